@@ -36,3 +36,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def bit_map(hashes: DataFrame, bits: int = 1 << 24) -> list[int]:
+    """A bit map of the 64-bit column `h`, as 64-bit words. Its size is fixed by `bits`, whatever the number of rows;
+    where it fills up, more rows go by than need to, and no result changes."""
+    at = F.pmod("h", F.lit(bits))
+    rows = hashes.select(F.shiftright(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("b"))
+    words = [0] * (bits >> 6)
+    for r in rows.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
+        words[r["w"]] = r["b"]
+    return words
