@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayleave.llm.decontaminate import decontaminate
 from wayleave.llm.exact_dedup import exact_dedup
+from wayleave.llm.licenses import license_scan
 from wayleave.llm.mixing import mix_sources
 from wayleave.llm.near_dedup import near_duplicates
+from wayleave.llm.pii import personal_data
 from wayleave.llm.quality import quality_scores
 from wayleave.llm.shared import table
 
@@ -18,6 +20,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,15 +36,21 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_pii": op3_pii,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_mixing": op5_mixing,
     "op7_near_dedup": op7_near_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_decontamination": op10_decontamination,
 }
 
