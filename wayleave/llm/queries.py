@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from wayleave.llm.chat import chat_digests
 from wayleave.llm.decontaminate import decontaminate
 from wayleave.llm.exact_dedup import exact_dedup
+from wayleave.llm.html_text import extract
 from wayleave.llm.licenses import license_scan
 from wayleave.llm.mixing import mix_sources
 from wayleave.llm.near_dedup import near_duplicates
 from wayleave.llm.pii import personal_data
 from wayleave.llm.quality import quality_scores
 from wayleave.llm.shared import table
+from wayleave.llm.warc import round_trip
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,10 +42,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).drop("payload", "url")
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -58,7 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_mixing": op5_mixing,
+    "op6_warc": op6_warc,
     "op7_near_dedup": op7_near_dedup,
+    "op8_html_extraction": op8_html_extraction,
     "op9_license_scan": op9_license_scan,
     "op10_decontamination": op10_decontamination,
 }
