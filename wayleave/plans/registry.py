@@ -3,9 +3,424 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from wayleave.functions import keys, units
+from wayleave.operators import balances, overlay, registers
+from wayleave.plans import lattice as la
 
 FLAGSHIP = "A07_territory_balance"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Decimals as doubles, so that results compare with any engine's."""
+    return df.select(*(F.col(f"`{c}`").cast("double").alias(c) if k.startswith("decimal") else F.col(f"`{c}`") for c, k in df.dtypes))
+
+
+def query(name: str, sql: str | None = None, lattice: bool = True):
+    def add(f):
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return plain(f(spark, sf_dir))
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = f"WITH {la.SQL.strip()}\n{sql.strip()}" if lattice else sql
+        return f
+
+    return add
+
+
+D = "CAST({0} AS DOUBLE) AS {0}"
+
+
+def dbl(*names: str) -> str:
+    return ", ".join(D.format(n) for n in names)
+
+
+DKA = "CAST(round(CAST({0} AS DECIMAL(24,6))*0.001, 3) AS DECIMAL(18,3))"
+
+
+# --- areas -----------------------------------------------------------------------------------------------------------
+
+
+def pieces(spark: SparkSession, d: str) -> DataFrame:
+    f = la.footprints(spark, d).withColumnRenamed("pole_no", "pole_no")
+    return overlay.box_overlaps(f, la.parcels(spark, d), ["corridor_id", "pole_no"], ["parcel_id"], la.CELL).withColumnRenamed("sqm", "piece_sqm")
+
+
+def gross(spark: SparkSession, d: str) -> DataFrame:
+    """Corridor areas by parcel, from the corridor's two boxes and their common part."""
+    c = la.corridors(spark, d).select("corridor_id", F.col("ring")[0]["y"].alias("b"))
+    box = lambda x0, x1, y1, sign: c.select("corridor_id", F.lit(sign).alias("sign"), F.lit(float(x0)).alias("x0"), F.col("b").alias("y0"), F.lit(float(x1)).alias("x1"), y1.alias("y1"))
+    boxes = box(5, 700, F.col("b") + 12, 1.0).unionByName(box(688, 700, F.lit(110.0), 1.0)).unionByName(box(688, 700, F.col("b") + 12, -1.0))
+    met = overlay.box_overlaps(boxes, la.parcels(spark, d), ["corridor_id", "sign"], ["parcel_id"], la.CELL)
+    return met.groupBy("corridor_id", "parcel_id").agg(F.sum(F.col("sign") * F.col("sqm")).alias("gross_sqm")).where(F.col("gross_sqm") > overlay.SLIVER)
+
+
+def areas(spark: SparkSession, d: str) -> DataFrame:
+    """(corridor_id, parcel_id, drawn_sqm, gross_sqm) of every parcel that a corridor or one of its structures touches."""
+    g = gross(spark, d)
+    touched = g.select("corridor_id", "parcel_id").union(pieces(spark, d).select("corridor_id", "parcel_id")).distinct()
+    p = la.parcels(spark, d).select("parcel_id", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("drawn_sqm"))
+    return touched.join(p, "parcel_id").join(g, ["corridor_id", "parcel_id"], "left").withColumn("gross_sqm", F.coalesce("gross_sqm", F.lit(0.0)))
+
+
+def registered(spark: SparkSession, d: str) -> DataFrame:
+    return la.parcels(spark, d).where("in_register")
+
+
+def body(spark: SparkSession, d: str) -> DataFrame:
+    return registers.register_body(areas(spark, d), pieces(spark, d), registered(spark, d))
+
+
+def owners(spark: SparkSession, d: str) -> DataFrame:
+    return registers.parcel_owners(la.rights(spark, d), la.persons(spark, d))
+
+
+def balance(spark: SparkSession, d: str) -> DataFrame:
+    return balances.territory_balance(body(spark, d))
+
+
+@query("J01_corridor_parcel_areas", "SELECT corridor_id, parcel_id, CAST(gross_sqm AS DOUBLE) AS gross_sqm FROM gross")
+def _(spark, d):
+    parcels = la.parcels(spark, d).select("parcel_id", la.ring().alias("ring"))
+    met = overlay.overlap_areas(la.corridors(spark, d), parcels, ["corridor_id"], ["parcel_id"], cell=la.CELL)
+    return met.select("corridor_id", "parcel_id", F.round("sqm", 6).alias("gross_sqm"))
+
+
+@query("J02_footprint_parcel_pieces", "SELECT corridor_id, pole_no, parcel_id, CAST(piece_sqm AS DOUBLE) AS piece_sqm FROM piece WHERE piece_sqm > 0.001")
+def _(spark, d):
+    f = la.footprints(spark, d).select("corridor_id", "pole_no", la.ring().alias("ring"))
+    met = overlay.overlap_areas(f, la.parcels(spark, d).select("parcel_id", la.ring().alias("ring")), ["corridor_id", "pole_no"], ["parcel_id"], cell=la.CELL)
+    return met.select("corridor_id", "pole_no", "parcel_id", F.round("sqm", 6).alias("piece_sqm"))
+
+
+@query("J05_structure_parcels", "SELECT f.corridor_id, f.pole_no, p.parcel_id, coalesce(p.piece_sqm, 0.0) AS piece_sqm, (f.x0+f.x1)/2 AS cx, (f.y0+f.y1)/2 AS cy FROM footprint f LEFT JOIN piece p USING (corridor_id, pole_no)")
+def _(spark, d):
+    centre = la.footprints(spark, d).select("corridor_id", "pole_no", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    return centre.join(pieces(spark, d), ["corridor_id", "pole_no"], "left").withColumn("piece_sqm", F.coalesce("piece_sqm", F.lit(0.0)))
+
+
+@query("J06_shape_overlap", "SELECT a.pole_no AS a, b.pole_no AS b, (least(a.x1,b.x1)-greatest(a.x0,b.x0))*(least(a.y1,b.y1)-greatest(a.y0,b.y0)) AS sqm FROM footprint a JOIN footprint b ON a.pole_no < b.pole_no AND a.x0<b.x1 AND a.x1>b.x0 AND a.y0<b.y1 AND a.y1>b.y0")
+def _(spark, d):
+    f = la.footprints(spark, d)
+    a, b = f.select(F.col("pole_no").alias("a"), la.ring().alias("ring")), f.select(F.col("pole_no").alias("b"), la.ring().alias("ring"))
+    return overlay.overlap_areas(a, b, ["a"], ["b"], cell=la.CELL).where("a < b").select("a", "b", F.round("sqm", 6).alias("sqm"))
+
+
+@query("A01_sum_areas_by_parcel", "SELECT corridor_id, parcel_id, CAST(sum(drawn_sqm) AS DOUBLE) AS drawn_sqm, CAST(sum(gross_sqm) AS DOUBLE) AS gross_sqm FROM (SELECT corridor_id, parcel_id, drawn_sqm, gross_sqm FROM areas UNION ALL SELECT corridor_id, parcel_id, drawn_sqm/2, gross_sqm FROM areas WHERE drawn_sqm = 400) GROUP BY ALL")
+def _(spark, d):
+    a = areas(spark, d)
+    again = a.where("drawn_sqm = 400").withColumn("drawn_sqm", F.col("drawn_sqm") / 2)
+    return registers.sum_by_parcel(a.unionByName(again))
+
+
+@query("A02_sum_rounded_pieces", "SELECT corridor_id, parcel_id, CAST(step_dka AS DOUBLE) AS step_dka FROM step")
+def _(spark, d):
+    return registers.printed_steps(pieces(spark, d)).drop("pole_numbers")
+
+
+@query("A03_poles_of_parcel", "SELECT corridor_id, parcel_id, pole_numbers FROM step")
+def _(spark, d):
+    return registers.printed_steps(pieces(spark, d)).drop("step_dka")
+
+
+@query("A05_winning_parcel", "SELECT corridor_id, pole_no, parcel_id, piece_sqm FROM winner")
+def _(spark, d):
+    return registers.winning_parcels(pieces(spark, d))
+
+
+@query("A06_poles_per_parcel", "SELECT corridor_id, parcel_id, poles FROM poles")
+def _(spark, d):
+    return registers.poles_per_parcel(registers.winning_parcels(pieces(spark, d)))
+
+
+@query("A11_lowest_pole", "SELECT corridor_id, split_part(parcel_id,'.',1) AS ekatte, CAST(min(CAST(pole_no AS BIGINT)) AS VARCHAR) AS lowest_pole FROM piece GROUP BY ALL")
+def _(spark, d):
+    return registers.lowest_pole(pieces(spark, d).withColumn("ekatte", keys.ekatte_of(F.col("parcel_id"))), "corridor_id", "ekatte")
+
+
+@query("A13_uncovered_footprints", "SELECT * FROM (SELECT f.corridor_id, f.pole_no, f.area_sqm, coalesce(s, 0.0) AS covered_sqm, f.area_sqm - coalesce(s, 0.0) AS missing_sqm FROM footprint f LEFT JOIN (SELECT corridor_id, pole_no, sum(piece_sqm) AS s FROM piece GROUP BY ALL) USING (corridor_id, pole_no)) WHERE missing_sqm > 0.001")
+def _(spark, d):
+    return registers.uncovered(la.footprints(spark, d), pieces(spark, d))
+
+
+STEP_ROWS = f"""rows_ AS (SELECT p.corridor_id, p.parcel_id, {DKA.format('drawn_sqm')} AS area_dka, p.pole_no, {DKA.format('piece_sqm')} AS step_dka FROM piece p JOIN areas a USING (corridor_id, parcel_id))"""
+
+
+@query("A14_steps_table", f", {STEP_ROWS} SELECT corridor_id, parcel_id, {dbl('area_dka')}, pole_no, {dbl('step_dka')}, CAST(area_dka - sum(step_dka) OVER w AS DOUBLE) AS remainder_dka, row_number() OVER (w ORDER BY CAST(pole_no AS BIGINT)) AS turn, CASE WHEN row_number() OVER (w ORDER BY CAST(pole_no AS BIGINT)) = 1 THEN count(*) OVER w ELSE 0 END AS parcel_rows FROM rows_ WINDOW w AS (PARTITION BY corridor_id, parcel_id)")
+def _(spark, d):
+    return registers.steps_table(pieces(spark, d), areas(spark, d).select("corridor_id", "parcel_id", "drawn_sqm"))
+
+
+@query("K04_steps_table_print_rows", f", {STEP_ROWS} SELECT corridor_id, 'row' AS row_kind, parcel_id, {dbl('area_dka')}, pole_no, {dbl('step_dka')}, CAST(area_dka - sum(step_dka) OVER (PARTITION BY corridor_id, parcel_id) AS DOUBLE) AS remainder_dka FROM rows_ UNION ALL SELECT corridor_id, 'total', NULL, NULL, NULL, CAST(sum(step_dka) AS DOUBLE), NULL FROM rows_ GROUP BY corridor_id")
+def _(spark, d):
+    t = registers.steps_table(pieces(spark, d), areas(spark, d).select("corridor_id", "parcel_id", "drawn_sqm"))
+    rows = t.select("corridor_id", F.lit("row").alias("row_kind"), "parcel_id", "area_dka", "pole_no", "step_dka", "remainder_dka")
+    return rows.unionByName(t.groupBy("corridor_id").agg(F.sum("step_dka").alias("step_dka")).withColumn("row_kind", F.lit("total")), allowMissingColumns=True)
+
+
+# --- registers -------------------------------------------------------------------------------------------------------
+
+ROMAN = "CASE kat WHEN '0' THEN '' WHEN '1' THEN 'I' WHEN '2' THEN 'II' WHEN '3' THEN 'III' WHEN '4' THEN 'IV' WHEN '5' THEN 'V' WHEN '6' THEN 'VI' WHEN '7' THEN 'VII' WHEN '8' THEN 'VIII' WHEN '9' THEN 'IX' WHEN '10' THEN 'X' END"
+REGISTER = f"""register AS (SELECT b.corridor_id, b.ekatte, row_number() OVER (PARTITION BY b.corridor_id, b.ekatte ORDER BY split_part(b.parcel_id,'.',1)::BIGINT, split_part(b.parcel_id,'.',2)::BIGINT, split_part(b.parcel_id,'.',3)::BIGINT, coalesce(owner_ord, 1)) AS row_ord,
+  coalesce(owner_ord, 1) = 1 AS first, b.parcel_id AS id, b.*, person_id, person_name FROM body b LEFT JOIN owner o ON o.parcel_id = b.parcel_id AND b.found)"""
+
+
+@query("J14_parcel_owners", "SELECT parcel_id, owner_ord, person_id, person_name FROM owner")
+def _(spark, d):
+    return owners(spark, d)
+
+
+@query("J15_affected_register", f", {REGISTER} SELECT corridor_id, ekatte, row_ord, CASE WHEN first THEN id END AS parcel_id, {', '.join(f'CAST(CASE WHEN first THEN {c} END AS DOUBLE) AS {c}' for c in ('area_dka', 'restricted_dka', 'remainder_dka', 'step_dka'))}, CASE WHEN first THEN pole_numbers END AS pole_numbers, CASE WHEN first AND found THEN {ROMAN} END AS category, vids AS ownership, person_id, person_name FROM register")
+def _(spark, d):
+    return registers.affected_register(body(spark, d), owners(spark, d))
+
+
+@query("A04_register_totals", f"SELECT corridor_id, ekatte, count(*) AS parcels, {', '.join(f'CAST(sum({c}) AS DOUBLE) AS {c}' for c in ('area_dka', 'restricted_dka', 'remainder_dka'))}, CAST(sum(coalesce(step_dka, 0)) AS DOUBLE) AS step_dka FROM body GROUP BY ALL")
+def _(spark, d):
+    return registers.register_totals(body(spark, d))
+
+
+@query("K02_register_print_rows", f", {REGISTER} SELECT corridor_id, ekatte, 'row' AS row_kind, row_ord, CASE WHEN first THEN id END AS parcel_id, {', '.join(f'CAST(CASE WHEN first THEN {c} END AS DOUBLE) AS {c}' for c in ('area_dka', 'restricted_dka', 'remainder_dka', 'step_dka'))} FROM register UNION ALL SELECT corridor_id, ekatte, 'total', NULL, NULL, {', '.join(f'CAST(sum({c}) AS DOUBLE)' for c in ('area_dka', 'restricted_dka', 'remainder_dka'))}, CAST(sum(coalesce(step_dka, 0)) AS DOUBLE) FROM body GROUP BY corridor_id, ekatte")
+def _(spark, d):
+    b = body(spark, d)
+    rows = registers.affected_register(b, owners(spark, d)).select("corridor_id", "ekatte", F.lit("row").alias("row_kind"), "row_ord", "parcel_id", "area_dka", "restricted_dka", "remainder_dka", "step_dka")
+    return rows.unionByName(registers.register_totals(b).drop("parcels").withColumn("row_kind", F.lit("total")), allowMissingColumns=True)
+
+
+STEPS = f"""block AS (SELECT corridor_id, pole_no, parcel_id, sum({DKA.format('piece_sqm')}) AS piece_dka FROM piece GROUP BY ALL),
+steps AS (SELECT b.corridor_id, b.pole_no, b.parcel_id, b.piece_dka, {DKA.format('a.drawn_sqm')} AS area_dka, c.kat, c.vids, o.owner_ord, o.person_id, o.person_name, coalesce(o.owner_ord, 1) = 1 AS first, c.parcel_id IS NOT NULL AS found,
+  row_number() OVER (PARTITION BY b.corridor_id ORDER BY b.pole_no::BIGINT, split_part(b.parcel_id,'.',1)::BIGINT, split_part(b.parcel_id,'.',2)::BIGINT, split_part(b.parcel_id,'.',3)::BIGINT, coalesce(o.owner_ord, 1)) AS row_ord
+  FROM block b JOIN areas a USING (corridor_id, parcel_id) LEFT JOIN (SELECT * FROM parcel WHERE in_register) c ON c.parcel_id = b.parcel_id LEFT JOIN owner o ON o.parcel_id = b.parcel_id AND c.parcel_id IS NOT NULL)"""
+
+
+@query("J16_steps_register", f", {STEPS} SELECT corridor_id, row_ord, CASE WHEN first THEN 'Стълб №' || pole_no END AS pole_label, CAST(CASE WHEN first THEN piece_dka END AS DOUBLE) AS piece_dka, CASE WHEN first THEN parcel_id END AS parcel_id, CAST(CASE WHEN first THEN area_dka END AS DOUBLE) AS area_dka, CASE WHEN first AND found THEN {ROMAN} END AS category, CASE WHEN first THEN vids END AS ownership, person_id, person_name FROM steps")
+def _(spark, d):
+    return registers.steps_register(pieces(spark, d), areas(spark, d), registered(spark, d), owners(spark, d))
+
+
+@query("K03_steps_register_totals", f", {STEPS} SELECT corridor_id, count(DISTINCT pole_no) AS poles, CAST(sum(CASE WHEN first THEN piece_dka END) AS DOUBLE) AS piece_dka FROM steps GROUP BY ALL")
+def _(spark, d):
+    rows = registers.steps_register(pieces(spark, d), areas(spark, d), registered(spark, d), owners(spark, d))
+    return rows.groupBy("corridor_id").agg(F.countDistinct("pole_label").alias("poles"), F.sum("piece_dka").alias("piece_dka"))
+
+
+CONTROL = """control AS (SELECT p.parcel_id, r.right_ord, p.kat, p.area_sqm, (p.x1-p.x0)*(p.y1-p.y0) AS drawn_sqm, r.kind, r.doc1, r.doc2, r.person_id, n.name FROM parcel p LEFT JOIN rights r USING (parcel_id) LEFT JOIN person n USING (person_id) WHERE p.in_register)"""
+
+
+@query("J13_control_report", f", {CONTROL} SELECT parcel_id, row_number() OVER (PARTITION BY split_part(parcel_id,'.',1) ORDER BY {la.ORDER}, right_ord NULLS FIRST) AS row_ord, {ROMAN} AS category, area_sqm AS cad_sqm, drawn_sqm, CAST(round(CAST(drawn_sqm AS DECIMAL(24,6)) - CAST(area_sqm AS DECIMAL(24,6)), 2) AS DOUBLE) AS difference_sqm, kind AS right_kind, CASE WHEN doc1 IS NULL OR doc1 IN ('', '-2') THEN '' WHEN doc2 IN ('', '-2') THEN doc1 ELSE doc1 || '/' || doc2 END AS share, person_id, name AS person_name FROM control")
+def _(spark, d):
+    drawn = la.parcels(spark, d).select("parcel_id", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("drawn_sqm"))
+    return registers.control_report(drawn, registered(spark, d), la.rights(spark, d), la.persons(spark, d))
+
+
+@query("J27_unmatched_keys", "SELECT 'not_found' AS issue, parcel_id AS key, count(*) AS n FROM body WHERE NOT found GROUP BY ALL UNION ALL SELECT 'without_owners', parcel_id, count(*) FROM body WHERE found AND parcel_id NOT IN (SELECT parcel_id FROM owner) GROUP BY ALL UNION ALL SELECT 'negative_remainder', parcel_id, count(*) FROM body WHERE remainder_dka < 0 GROUP BY ALL")
+def _(spark, d):
+    b = body(spark, d)
+    issue = lambda name, rows: rows.groupBy(F.lit(name).alias("issue"), F.col("parcel_id").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    lost = issue("not_found", b.where("not found")).unionByName(issue("without_owners", b.where("found").join(owners(spark, d), "parcel_id", "left_anti")))
+    return lost.unionByName(issue("negative_remainder", b.where("remainder_dka < 0")))
+
+
+# --- balances --------------------------------------------------------------------------------------------------------
+
+GROUPS = "CASE WHEN NOT found THEN 3 WHEN {e} THEN 2 WHEN {n} THEN 0 ELSE 1 END AS class, CASE WHEN found AND NOT {e} AND {n} THEN CAST({c} AS BIGINT) ELSE 0 END AS number, CASE WHEN NOT found THEN 'Няма данни в .cad' WHEN {e} THEN '{none}' ELSE {c} END AS key, CASE WHEN NOT found THEN 'Няма данни в .cad' WHEN {e} THEN '{none}' ELSE {t} END AS \"group\""
+BALANCE = (
+    "grouped AS ("
+    + " UNION ALL ".join(
+        f"SELECT corridor_id, ekatte, {i} AS table_ord, {GROUPS.format(c=c, e=e, n=n, none=none, t=t)}, area_dka, restricted_dka, coalesce(step_dka, 0) AS step_dka, poles FROM body"
+        for i, (c, e, n, none, t) in enumerate([("kat", "kat = '0'", "true", "Без категория", ROMAN + " || ' категория'"), *((c, f"{c} = ''", "false", "Без код", c) for c in ("vids", "vidt", "ntp"))])
+    )
+    + """),
+sums AS (SELECT corridor_id, ekatte, table_ord, class, number, key, min("group") AS "group", count(*) AS parcels, sum(area_dka) AS area_dka, sum(restricted_dka) AS restricted_dka, sum(poles) AS poles, sum(step_dka) AS step_dka, sum(restricted_dka)+sum(step_dka) AS affected_dka FROM grouped GROUP BY ALL)"""
+)
+SUMMED = "sum(parcels) AS parcels, sum(area_dka) AS area_dka, sum(restricted_dka) AS restricted_dka, sum(poles) AS poles, sum(step_dka) AS step_dka, sum(affected_dka) AS affected_dka"
+
+
+def finished(table: str, section: str) -> str:
+    share = "CASE WHEN {w} <> 0 THEN CAST(round(affected_dka * 100 / {w}, 2) AS DOUBLE) END"
+    w = f"sum(affected_dka) OVER (PARTITION BY {section}, table_ord)"
+    return f"""SELECT {section}, table_ord, class, number, key, "group", CAST(parcels AS BIGINT) AS parcels, {dbl('area_dka', 'restricted_dka')}, CAST(poles AS BIGINT) AS poles, {dbl('step_dka', 'affected_dka')}, CAST(row_number() OVER (PARTITION BY {section}, table_ord ORDER BY class, number, key) AS INTEGER) AS no, {share.format(w=w)} AS percent, 'group' AS row_kind FROM {table}
+UNION ALL SELECT {section}, table_ord, NULL, NULL, NULL, 'Общо', CAST(sum(parcels) AS BIGINT), CAST(sum(area_dka) AS DOUBLE), CAST(sum(restricted_dka) AS DOUBLE), CAST(sum(poles) AS BIGINT), CAST(sum(step_dka) AS DOUBLE), CAST(sum(affected_dka) AS DOUBLE), NULL, CASE WHEN sum(affected_dka) <> 0 THEN 100.0 END, 'total' FROM {table} GROUP BY {section}, table_ord"""
+
+
+@query("A07_territory_balance", f", {BALANCE} {finished('sums', 'corridor_id, ekatte')}")
+def _(spark, d):
+    return balance(spark, d)
+
+
+MUNICIPAL = f"""municipal AS (SELECT corridor_id, province, municipality, table_ord, class, number, key, min("group") AS "group", {SUMMED} FROM sums JOIN settlement USING (ekatte) GROUP BY ALL)"""
+
+
+@query("A08_municipality_balance", f", {BALANCE}, {MUNICIPAL} {finished('municipal', 'corridor_id, province, municipality')}")
+def _(spark, d):
+    return balances.municipality_balance(balance(spark, d), la.settlements(spark, d))
+
+
+AXIS = """axis AS (SELECT r_regionkey AS corridor_id, p.parcel_id, p.ekatte, least(x1, 694)-greatest(x0, 5) AS metres FROM region JOIN parcel p ON p.y0 < 16+18*r_regionkey AND p.y1 > 16+18*r_regionkey AND p.x0 < 694 AND p.x1 > 5)"""
+
+
+def route(spark: SparkSession, d: str) -> DataFrame:
+    """Metres of each corridor's straight axis in each parcel: the axis goes to the cells it crosses, then meets parcels by cell."""
+    a = la.corridors(spark, d).select("corridor_id", (F.col("ring")[0]["y"] + 6).alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(34).cast("long"))).alias("cx"))
+    a = a.withColumn("cy", F.floor(F.col("y") / la.CELL))
+    p = la.parcels(spark, d).select("parcel_id", "ekatte", "x0", "x1", "y0", "y1", F.floor(F.col("x0") / la.CELL).alias("cx"), F.floor(F.col("y0") / la.CELL).alias("cy"))
+    met = a.join(p, ["cx", "cy"]).where((F.col("y") > F.col("y0")) & (F.col("y") < F.col("y1")))
+    metres = F.least("x1", F.lit(694.0)) - F.greatest("x0", F.lit(5.0))
+    return met.select("corridor_id", "parcel_id", "ekatte", metres.alias("metres")).where("metres > 0")
+
+
+@query("A10_route_metres_by_settlement", f", {AXIS} SELECT corridor_id, ekatte, CAST(sum(metres) AS DOUBLE) AS metres, CAST(round(CAST(sum(metres) AS DECIMAL(24,6))*0.001, 3) AS DOUBLE) AS km FROM axis GROUP BY ALL")
+def _(spark, d):
+    return route(spark, d).groupBy("corridor_id", "ekatte").agg(F.sum("metres").alias("metres")).withColumn("km", units.to_km(F.col("metres")))
+
+
+RECAP = f"""recap AS (SELECT corridor_id, ekatte, {SUMMED} FROM sums WHERE table_ord = 0 GROUP BY ALL),
+recap_m AS (SELECT r.*, s.province, s.municipality, coalesce(m, 0) AS m FROM recap r JOIN settlement s USING (ekatte) LEFT JOIN (SELECT corridor_id, ekatte, CAST(sum(metres) AS DECIMAL(24,6)) AS m FROM axis GROUP BY ALL) USING (corridor_id, ekatte))"""
+
+
+@query("A09_recapitulation", f", {BALANCE}, {AXIS}, {RECAP} SELECT corridor_id, province, municipality, ekatte, CASE WHEN ekatte IS NOT NULL THEN 0 WHEN municipality IS NOT NULL THEN 1 ELSE 2 END AS level, CAST(sum(parcels) AS BIGINT) AS parcels, CAST(sum(area_dka) AS DOUBLE) AS area_dka, CAST(sum(restricted_dka) AS DOUBLE) AS restricted_dka, CAST(sum(poles) AS BIGINT) AS poles, CAST(sum(step_dka) AS DOUBLE) AS step_dka, CAST(sum(affected_dka) AS DOUBLE) AS affected_dka, CAST(round(sum(m)*0.001, 3) AS DOUBLE) AS route_km FROM recap_m GROUP BY GROUPING SETS ((corridor_id, province, municipality, ekatte), (corridor_id, province, municipality), (corridor_id, province))")
+def _(spark, d):
+    return balances.recapitulation(balance(spark, d), la.settlements(spark, d), route(spark, d))
+
+
+@query("V01_verify_balance", "SELECT corridor_id, ekatte FROM body WHERE false")
+def _(spark, d):
+    b = body(spark, d)
+    return balances.unequal_totals(balances.territory_balance(b), registers.register_totals(b))
+
+
+@query("V03_recap_matches", "SELECT corridor_id, '' AS province, '' AS municipality FROM body WHERE false")
+def _(spark, d):
+    bal, s = balance(spark, d), la.settlements(spark, d)
+    return balances.unequal_municipalities(balances.recapitulation(bal, s), balances.municipality_balance(bal, s))
+
+
+@query("V04_pole_counts_agree", f", {BALANCE} SELECT w.corridor_id, w.winners, CAST(s.counted AS BIGINT) AS counted FROM (SELECT corridor_id, count(*) AS winners FROM winner GROUP BY ALL) w JOIN (SELECT corridor_id, sum(poles) AS counted FROM sums WHERE table_ord = 0 GROUP BY ALL) s USING (corridor_id)")
+def _(spark, d):
+    w = registers.winning_parcels(pieces(spark, d)).groupBy("corridor_id").agg(F.count(F.lit(1)).alias("winners"))
+    s = balance(spark, d).where("row_kind = 'total' and table_ord = 0").groupBy("corridor_id").agg(F.sum("poles").alias("counted"))
+    return w.join(s, "corridor_id")
+
+
+@query("V05_negative_remainder", "SELECT corridor_id, parcel_id, CAST(remainder_dka AS DOUBLE) AS remainder_dka FROM body WHERE remainder_dka < 0")
+def _(spark, d):
+    return body(spark, d).where("remainder_dka < 0").select("corridor_id", "parcel_id", "remainder_dka")
+
+
+# --- orders and scalars ----------------------------------------------------------------------------------------------
+
+
+@query("T01_parcel_id_order", f"SELECT ekatte, parcel_id, row_number() OVER (PARTITION BY ekatte ORDER BY {la.ORDER}) AS ord FROM parcel")
+def _(spark, d):
+    return la.parcels(spark, d).select("ekatte", "parcel_id", F.row_number().over(Window.partitionBy("ekatte").orderBy(keys.parcel_key(F.col("parcel_id")))).alias("ord"))
+
+
+@query("T02_control_id_order", f"SELECT ekatte, parcel_id, row_number() OVER (PARTITION BY ekatte ORDER BY {la.ORDER}) AS ord FROM parcel")
+def _(spark, d):
+    return la.parcels(spark, d).select("ekatte", "parcel_id", F.row_number().over(Window.partitionBy("ekatte").orderBy(keys.control_key(F.col("parcel_id")))).alias("ord"))
+
+
+@query("T03_pole_order", "SELECT corridor_id, pole_no, row_number() OVER (PARTITION BY corridor_id ORDER BY TRY_CAST(pole_no AS BIGINT) NULLS LAST, lower(pole_no), pole_no) AS ord FROM (SELECT corridor_id, CASE WHEN CAST(pole_no AS BIGINT)%7=0 THEN 'ПС-' || pole_no ELSE pole_no END AS pole_no FROM footprint)")
+def _(spark, d):
+    p = la.footprints(spark, d).select("corridor_id", F.when(F.col("pole_no").cast("long") % 7 == 0, F.concat(F.lit("ПС-"), F.col("pole_no"))).otherwise(F.col("pole_no")).alias("pole_no"))
+    return p.select("corridor_id", "pole_no", F.row_number().over(Window.partitionBy("corridor_id").orderBy(keys.pole_key(F.col("pole_no")))).alias("ord"))
+
+
+@query("T06_limit_list", f"SELECT ekatte, string_agg(parcel_id, ', ' ORDER BY {la.ORDER}) FILTER (rn <= 5) || CASE WHEN count(*) > 5 THEN ' …' ELSE '' END AS ids FROM (SELECT *, row_number() OVER (PARTITION BY ekatte ORDER BY {la.ORDER}) AS rn FROM parcel) GROUP BY ekatte")
+def _(spark, d):
+    ranked = la.parcels(spark, d).withColumn("rn", F.row_number().over(Window.partitionBy("ekatte").orderBy(keys.parcel_key(F.col("parcel_id")))))
+    first = ranked.groupBy("ekatte").agg(F.array_sort(F.collect_list(F.when(F.col("rn") <= 5, F.struct("rn", "parcel_id")))).alias("l"), F.count(F.lit(1)).alias("n"))
+    return first.select("ekatte", F.concat(F.array_join(F.transform("l", lambda x: x["parcel_id"]), ", "), F.when(F.col("n") > 5, F.lit(" …")).otherwise(F.lit(""))).alias("ids"))
+
+
+@query("T07_hex_handle_order", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CASE WHEN l_partkey%13=0 THEN NULL ELSE l_partkey END AS handle_no FROM lineitem", lattice=False)
+def _(spark, d):
+    li = la.t(spark, d, "lineitem")
+    handle = F.when(F.col("l_partkey") % 13 == 0, F.lit("X?")).otherwise(F.hex("l_partkey"))
+    return li.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", keys.hex_handle(handle).alias("handle_no"))
+
+
+@query("F01_sqm_to_dka", "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, CAST(CAST(round(CAST(l_extendedprice AS DECIMAL(24,6))*0.001, 3) AS DECIMAL(18,3)) AS DOUBLE) AS dka, CAST(CAST(round(CAST(l_extendedprice AS DECIMAL(24,6))*0.001, 3) AS DECIMAL(18,3)) AS VARCHAR) AS text FROM lineitem", lattice=False)
+def _(spark, d):
+    dka = units.sqm_to_dka(F.col("l_extendedprice"))
+    return la.t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", dka.alias("dka"), units.format_dka(dka).alias("text"))
+
+
+@query("F03_ids", "SELECT parcel_id, split_part(parcel_id,'.',1) AS ekatte, parcel_id AS \"full\", regexp_replace(parcel_id, '^[^.]*[.]', '') AS label FROM parcel")
+def _(spark, d):
+    p = la.parcels(spark, d)
+    return p.select("parcel_id", keys.ekatte_of(F.col("parcel_id")).alias("ekatte"), keys.full_parcel_id(F.col("ekatte"), keys.parcel_label(F.col("parcel_id"))).alias("full"), keys.parcel_label(F.col("parcel_id")).alias("label"))
+
+
+@query("F08_normalize_code", "SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS code FROM supplier", lattice=False)
+def _(spark, d):
+    padded = F.concat(F.lit("  "), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"), F.lit(" "))
+    return la.t(spark, d, "supplier").select("s_suppkey", keys.normal_code(padded).alias("code"))
+
+
+@query("F09_roman_category", f"SELECT parcel_id, kat, {ROMAN} AS roman FROM parcel")
+def _(spark, d):
+    return la.parcels(spark, d).select("parcel_id", "kat", units.roman_category(F.col("kat")).alias("roman"))
+
+
+@query("F10_format_share", "SELECT parcel_id, right_ord, CASE WHEN doc2 = '-2' THEN doc1 ELSE doc1 || '/' || doc2 END AS share FROM rights")
+def _(spark, d):
+    return la.rights(spark, d).select("parcel_id", "right_ord", units.share(F.col("doc1"), F.col("doc2")).alias("share"))
+
+
+@query("J12_describe_codes", "SELECT parcel_id, kat, CASE WHEN kat = '0' THEN 'код 0' ELSE kat || ' – ' || r_name END AS kat_text FROM (SELECT parcel_id, kat, CASE WHEN CAST(kat AS INTEGER) BETWEEN 1 AND 5 THEN CAST(kat AS INTEGER)-1 END AS k FROM parcel) LEFT JOIN region ON r_regionkey = k WHERE k IS NOT NULL OR kat = '0' UNION ALL SELECT parcel_id, kat, 'код ' || kat FROM parcel WHERE CAST(kat AS INTEGER) > 5")
+def _(spark, d):
+    codes = la.t(spark, d, "region").select(F.lit("kat").alias("nomenclature"), F.concat(F.lit("00"), (F.col("r_regionkey") + 1).cast("string")).alias("code"), F.col("r_name").alias("text"))
+    return registers.described(la.parcels(spark, d), codes, "kat", "kat", both=True).select("parcel_id", "kat", "kat_text")
+
+
+# --- differences of two snapshots ------------------------------------------------------------------------------------
+
+
+def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    before = la.t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    after = before.where("o_orderkey % 97 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 89 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return before, after
+
+
+SNAP = "WITH a AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice FROM orders), b AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, CASE WHEN o_orderkey%89=0 THEN o_totalprice+1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey%97<>0) "
+
+
+@query("U04_multiset_diff", SNAP + "SELECT 'before' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'after', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)", lattice=False)
+def _(spark, d):
+    a, b = snapshots(spark, d)
+    return a.exceptAll(b).select(F.lit("before").alias("side"), "*").unionByName(b.exceptAll(a).select(F.lit("after").alias("side"), "*"))
+
+
+@query("U05_count_diff_by_group", SNAP + "SELECT o_orderpriority, x.n AS before, y.n AS after, coalesce(y.n,0)-coalesce(x.n,0) AS difference FROM (SELECT o_orderpriority, count(*) AS n FROM a GROUP BY ALL) x FULL JOIN (SELECT o_orderpriority, count(*) AS n FROM b GROUP BY ALL) y USING (o_orderpriority)", lattice=False)
+def _(spark, d):
+    a, b = snapshots(spark, d)
+    n = lambda df, name: df.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias(name))
+    j = n(a, "before").join(n(b, "after"), "o_orderpriority", "full")
+    return j.withColumn("difference", F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0)))
+
+
+@query("U06_cell_diff", SNAP + "SELECT * FROM (SELECT o_orderkey, col, x.v AS before, y.v AS after FROM (SELECT o_orderkey, 'status' AS col, o_orderstatus AS v FROM a UNION ALL SELECT o_orderkey, 'price', CAST(CAST(o_totalprice AS DECIMAL(18,3)) AS VARCHAR) FROM a) x FULL JOIN (SELECT o_orderkey, 'status' AS col, o_orderstatus AS v FROM b UNION ALL SELECT o_orderkey, 'price', CAST(CAST(o_totalprice AS DECIMAL(18,3)) AS VARCHAR) FROM b) y USING (o_orderkey, col)) WHERE before IS DISTINCT FROM after", lattice=False)
+def _(spark, d):
+    a, b = snapshots(spark, d)
+
+    def cells(df: DataFrame, name: str) -> DataFrame:
+        return df.select("o_orderkey", F.expr(f"stack(2, 'status', o_orderstatus, 'price', cast(cast(o_totalprice as decimal(18,3)) as string)) as (col, {name})"))
+
+    return cells(a, "before").join(cells(b, "after"), ["o_orderkey", "col"], "full").where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+@query("U07_table_diff", SNAP + "SELECT o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'only before' WHEN a.o_orderkey IS NULL THEN 'only after' ELSE 'changed' END AS state FROM a FULL JOIN b USING (o_orderkey) WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_totalprice <> b.o_totalprice OR a.o_orderstatus <> b.o_orderstatus", lattice=False)
+def _(spark, d):
+    a, b = snapshots(spark, d)
+    row = lambda df, name: df.select("o_orderkey", F.struct("o_orderstatus", "o_orderpriority", "o_totalprice").alias(name))
+    j = row(a, "x").join(row(b, "y"), "o_orderkey", "full").where(~F.col("x").eqNullSafe(F.col("y")))
+    return j.select("o_orderkey", F.when(F.col("y").isNull(), "only before").when(F.col("x").isNull(), "only after").otherwise("changed").alias("state"))
