@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wayleave.functions import keys, units
 from wayleave.operators import balances, overlay, registers
 from wayleave.plans import lattice as la
+from wayleave.sources import cad
 
 FLAGSHIP = "A07_territory_balance"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -424,3 +425,96 @@ def _(spark, d):
     row = lambda df, name: df.select("o_orderkey", F.struct("o_orderstatus", "o_orderpriority", "o_totalprice").alias(name))
     j = row(a, "x").join(row(b, "y"), "o_orderkey", "full").where(~F.col("x").eqNullSafe(F.col("y")))
     return j.select("o_orderkey", F.when(F.col("y").isNull(), "only before").when(F.col("x").isNull(), "only after").otherwise("changed").alias("state"))
+
+
+# --- .cad files: the given tables written as lines of such files, and parsed back --------------------------------------
+
+
+def cad_lines(spark: SparkSession, d: str) -> DataFrame:
+    """(path, modified, line_no, text): one file for each settlement; names hold quotes, localities are by ownership."""
+    p = registered(spark, d)
+    # Lines of a file are numbered by section, then by row.
+    at = lambda part, i: (F.lit(part * 1_000_000_000).cast("long") + i).alias("line_no")
+    every = p.select("ekatte").distinct()
+    blocks = [
+        (0, ["HEADER", "VERSION 4.02", None, "NAME с. Пример", "END_HEADER", "", "CONTROL CADASTER"]),
+        (2, ["END_CONTROL", "CONTROL OTHER", "CONTUR_AREA 0.0 7777", "END_CONTROL", "TABLE POZEMLIMOTI", *(f"F {f} C 20 0 1" for f in ("IDENT", "VIDT", "NTP", "VIDS", "KAT", "MESTNOST"))]),
+        (4, ["END_TABLE", "TABLE MESTNOSTI", "F MESTNOST C 5", "F NAME C 40", 'D 1,"м. "ЛЪКИТЕ"",', 'D 1,"втора",', "END_TABLE", "TABLE PERSONS", "F PERSON C 12", "F NAME C 90", "F FLAG C 1"]),
+        (6, ["END_TABLE", "TABLE PRAVA", *(f"F {f} C 20" for f in ("IDENT", "PERSON", "PRAVOVID", "DOCID1", "DOCID2"))]),
+        (8, ["D 1,2,3,", "END_TABLE"]),
+    ]
+    fixed = None
+    for part, texts in blocks:
+        text = F.posexplode(F.array(*(F.lit(t) if t is not None else F.concat(F.lit("EKATTE "), F.col("ekatte")) for t in texts))).alias("i", "text")
+        rows = every.select("ekatte", text).select("ekatte", at(part, F.col("i")), "text")
+        fixed = rows if fixed is None else fixed.unionByName(rows)
+    q = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    ident = keys.parcel_label(F.col("parcel_id"))
+    area = p.select("ekatte", at(1, F.col("num")), F.concat(F.lit("CONTUR_AREA "), ident, F.lit(" "), F.replace(F.col("area_sqm").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))).alias("text"))
+    parcel = p.select("ekatte", at(3, F.col("num")), F.concat(F.lit("D "), F.concat_ws(",", ident, q("vidt"), q("ntp"), q("vids"), F.col("kat"), F.lit("1")), F.lit(",")).alias("text"))
+    r = la.rights(spark, d).join(p.select("parcel_id", "ekatte", "num"), "parcel_id")
+    right = r.select("ekatte", at(7, F.col("num") * 10_000 + F.col("right_ord")), F.concat(F.lit("D "), F.concat_ws(",", ident, F.col("person_id"), F.col("kind"), F.col("doc1"), F.col("doc2"))).alias("text"))
+    who = r.select("ekatte", "person_id").distinct().join(la.persons(spark, d), "person_id")
+    named = F.concat(F.lit('"ЕТ \\"'), F.col("name"), F.lit('\\" ООД"'))
+    person = who.select("ekatte", at(5, F.col("person_id").cast("long")), F.concat(F.lit("D "), F.concat_ws(",", "person_id", named, F.when(F.col("heirs"), F.lit("T")).otherwise(F.lit(""))), F.lit(",")).alias("text"))
+    all_ = fixed.unionByName(area).unionByName(parcel).unionByName(right).unionByName(person)
+    return all_.select(F.concat(F.lit("/"), F.col("ekatte"), F.lit(".cad")).alias("path"), F.lit("2026-01-01").cast("timestamp").alias("modified"), "line_no", "text")
+
+
+@query("S08_cad_parcels", "SELECT parcel_id, ekatte, vidt, ntp, vids, kat, 'м. \"ЛЪКИТЕ\"' AS locality, area_sqm FROM parcel WHERE in_register")
+def _(spark, d):
+    return cad.load_registers(cad_lines(spark, d))["parcels"].select("parcel_id", "ekatte", "vidt", "ntp", "vids", "kat", "locality", "area_sqm")
+
+
+@query("S12_cad_rights", "SELECT r.parcel_id, row_number() OVER (PARTITION BY r.parcel_id ORDER BY right_ord) AS ord, kind, r.person_id, 'ЕТ \"' || n.name || '\" ООД' AS person_name, n.heirs, doc1, doc2 FROM rights r JOIN (SELECT * FROM parcel WHERE in_register) p USING (parcel_id) JOIN person n USING (person_id)")
+def _(spark, d):
+    r = cad.load_registers(cad_lines(spark, d))["rights"]
+    return r.select("parcel_id", F.row_number().over(Window.partitionBy("parcel_id").orderBy("right_ord")).alias("ord"), "kind", "person_id", "person_name", "heirs", "doc1", "doc2")
+
+
+@query("S10_cad_persons", "SELECT DISTINCT p.ekatte, r.person_id, 'ЕТ \"' || n.name || '\" ООД' AS name, n.heirs FROM rights r JOIN (SELECT * FROM parcel WHERE in_register) p USING (parcel_id) JOIN person n USING (person_id)")
+def _(spark, d):
+    good = cad.good_rows(cad.table_rows(cad.sections(cad_lines(spark, d))))
+    return cad.persons(good).select(F.regexp_extract("path", "([0-9]+)", 1).alias("ekatte"), "person_id", "name", "heirs")
+
+
+@query("S13_cad_bad_records", "SELECT ekatte, 'PRAVA' AS \"table\", 'wrong number of values' AS reason, count(*) AS n FROM (SELECT DISTINCT ekatte FROM parcel WHERE in_register) GROUP BY ALL")
+def _(spark, d):
+    bad = cad.load_registers(cad_lines(spark, d))["bad_records"]
+    return bad.groupBy(F.regexp_extract("path", "([0-9]+)", 1).alias("ekatte"), "table", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("S06_cad_header", "SELECT DISTINCT ekatte, '4.02' AS version, 'с. Пример' AS settlement FROM parcel WHERE in_register")
+def _(spark, d):
+    return cad.headers(cad.sections(cad_lines(spark, d))).select("ekatte", "version", "settlement")
+
+
+@query("S07_cad_contour_areas", "SELECT ekatte, regexp_replace(parcel_id, '^[^.]*[.]', '') AS ident, area_sqm FROM parcel WHERE in_register")
+def _(spark, d):
+    return cad.contour_areas(cad.sections(cad_lines(spark, d))).select(F.regexp_extract("path", "([0-9]+)", 1).alias("ekatte"), "ident", "area_sqm")
+
+
+@query("S09_cad_localities", "SELECT DISTINCT ekatte, '1' AS code, 'м. \"ЛЪКИТЕ\"' AS locality FROM parcel WHERE in_register")
+def _(spark, d):
+    good = cad.good_rows(cad.table_rows(cad.sections(cad_lines(spark, d))))
+    return cad.localities(good).select(F.regexp_extract("path", "([0-9]+)", 1).alias("ekatte"), F.col("mestnost").alias("code"), "locality")
+
+
+@query("O01_newest_parcel_wins", "SELECT parcel_id, ekatte, CASE WHEN num%3=0 THEN 'new' ELSE vids END AS vids, CASE WHEN num%3=0 THEN 'b' ELSE 'a' END AS file FROM parcel WHERE in_register")
+def _(spark, d):
+    rows = cad_lines(spark, d)
+    parts = cad.sections(rows)
+    p = cad.parcels(cad.good_rows(cad.table_rows(parts)), parts)
+    again = p.where(F.element_at(F.split("parcel_id", r"\."), -1).cast("long") % 3 == 0).withColumn("vids", F.lit("new")).withColumn("path", F.concat(F.lit("/b"), F.col("path")))
+    r = cad.rights(cad.good_rows(cad.table_rows(parts)), parts).limit(0)
+    ages = rows.select("path").distinct().withColumn("modified", F.lit(1)).unionByName(again.select("path").distinct().withColumn("modified", F.lit(2)))
+    won, _ = cad.newest(p.unionByName(again), r, ages)
+    return won.select("parcel_id", "ekatte", "vids", F.when(F.startswith("path", F.lit("/b")), F.lit("b")).otherwise(F.lit("a")).alias("file"))
+
+
+@query("A22_register_summary", "SELECT p.ekatte, count(DISTINCT p.parcel_id) AS parcels, count(r.parcel_id) AS rights, count(DISTINCT r.person_id) AS persons FROM parcel p LEFT JOIN rights r USING (parcel_id) WHERE in_register GROUP BY ALL")
+def _(spark, d):
+    reg = cad.load_registers(cad_lines(spark, d))
+    n = reg["parcels"].groupBy("ekatte").agg(F.count(F.lit(1)).alias("parcels"))
+    r = reg["rights"].groupBy(keys.ekatte_of(F.col("parcel_id")).alias("ekatte")).agg(F.count(F.lit(1)).alias("rights"), F.countDistinct("person_id").alias("persons"))
+    return n.join(r, "ekatte", "left").select("ekatte", "parcels", F.coalesce("rights", F.lit(0)).alias("rights"), F.coalesce("persons", F.lit(0)).alias("persons"))
