@@ -8,8 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayleave.functions import keys, units
-from wayleave.operators import balances, overlay, registers
+from wayleave.functions import geometry, keys, units
+from wayleave.operators import balances, lines, overlay, registers
 from wayleave.plans import lattice as la
 from wayleave.sources import cad
 
@@ -518,3 +518,223 @@ def _(spark, d):
     n = reg["parcels"].groupBy("ekatte").agg(F.count(F.lit(1)).alias("parcels"))
     r = reg["rights"].groupBy(keys.ekatte_of(F.col("parcel_id")).alias("ekatte")).agg(F.count(F.lit(1)).alias("rights"), F.countDistinct("person_id").alias("persons"))
     return n.join(r, "ekatte", "left").select("ekatte", "parcels", F.coalesce("rights", F.lit(0)).alias("rights"), F.coalesce("persons", F.lit(0)).alias("persons"))
+
+
+# --- points, axes, numbering ------------------------------------------------------------------------------------------
+
+EDGE = """edge AS (SELECT *, row_number() OVER (PARTITION BY corridor_id, side ORDER BY x, pole::BIGINT) AS ord FROM (
+  SELECT corridor_id, pole_no AS pole, (x0+x1)/2 AS x, (y0+y1)/2 AS y, CASE WHEN (y0+y1)/2 > 16+18*corridor_id THEN 'left' ELSE 'right' END AS side, CAST(pole_no AS BIGINT)%4<>0 AS inside FROM footprint)),
+home AS (SELECT e.*, p.ekatte FROM edge e LEFT JOIN parcel p ON x >= p.x0 AND x < p.x1 AND y >= p.y0 AND y < p.y1)"""
+
+
+def edge(spark: SparkSession, d: str) -> DataFrame:
+    """Structure centres as points of a corridor's left or right edge, in order along it."""
+    e = la.footprints(spark, d).select("corridor_id", F.col("pole_no").alias("pole"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    e = e.withColumn("side", F.when(F.col("y") > 16 + 18 * F.col("corridor_id"), "left").otherwise("right")).withColumn("inside", F.col("pole").cast("long") % 4 != 0)
+    return e.withColumn("ord", F.row_number().over(Window.partitionBy("corridor_id", "side").orderBy("x", F.col("pole").cast("long"))))
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    shapes = la.parcels(spark, d).select("ekatte", F.col("num").alias("shape_ord"), la.ring().alias("ring"))
+    met = lines.containing(edge(spark, d), shapes, la.CELL).groupBy("corridor_id", "pole").agg(F.min_by("ekatte", "shape_ord").alias("ekatte"))
+    return edge(spark, d).join(met, ["corridor_id", "pole"], "left")
+
+
+@query("J08_point_settlement", f", {EDGE} SELECT corridor_id, pole, ekatte FROM home WHERE ekatte IS NOT NULL")
+def _(spark, d):
+    return points(spark, d).where("ekatte is not null").select("corridor_id", "pole", "ekatte")
+
+
+@query("J09_point_settlements_all", f", {EDGE} SELECT corridor_id, pole, string_agg(DISTINCT ekatte, ',' ORDER BY ekatte) AS ekattes FROM home WHERE ekatte IS NOT NULL GROUP BY ALL")
+def _(spark, d):
+    shapes = la.parcels(spark, d).select("ekatte", la.ring().alias("ring"))
+    return lines.all_settlements(edge(spark, d), shapes, ["corridor_id", "pole"], la.CELL)
+
+
+@query("J22_axis_length_by_parcel", f", {AXIS} SELECT corridor_id, parcel_id, CAST(metres AS DOUBLE) AS metres FROM axis WHERE metres > 0")
+def _(spark, d):
+    return route(spark, d).select("corridor_id", "parcel_id", "metres")
+
+
+@query("J24_locate_on_axis", ", p AS (SELECT corridor_id, pole_no, (x0+x1)/2 AS x, (y0+y1)/2 AS y FROM footprint), q AS (SELECT *, greatest(5, least(694, x)) AS c, 16+18*corridor_id AS ay FROM p) SELECT corridor_id, pole_no, round(c-5.0, 6) AS station, CASE WHEN sqrt((x-c)*(x-c)+(y-ay)*(y-ay)) <= 1e-6 THEN 0.0 ELSE round(sign(y-ay)*sqrt((x-c)*(x-c)+(y-ay)*(y-ay)), 6) END AS \"offset\" FROM q")
+def _(spark, d):
+    p = la.footprints(spark, d).select("corridor_id", "pole_no", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    y = F.col("ring")[0]["y"] + 6
+    part = F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(float(a)).alias("x0"), F.lit(float(b)).alias("x1")) for i, (a, b) in enumerate(((5, 200), (200, 350), (350, 694)))))).alias("s")
+    axis = la.corridors(spark, d).select("corridor_id", y.alias("y0"), y.alias("y1"), part).select("corridor_id", "y0", "y1", "s.*")
+    return lines.located(p, axis, ["corridor_id"], ["pole_no"]).select("corridor_id", "pole_no", F.round("station", 6).alias("station"), F.round("offset", 6).alias("offset"))
+
+
+@query("J25_section_poles", "SELECT corridor_id, split_part(parcel_id,'.',1) AS ekatte, count(*) AS poles FROM winner GROUP BY ALL")
+def _(spark, d):
+    return registers.winning_parcels(pieces(spark, d)).groupBy("corridor_id", keys.ekatte_of(F.col("parcel_id")).alias("ekatte")).agg(F.count(F.lit(1)).alias("poles"))
+
+
+@query("J26_coordinate_register", "SELECT f.corridor_id, f.pole_no, w.parcel_id, (f.x0+f.x1)/2 AS east, (f.y0+f.y1)/2 AS north, f.area_sqm, u.i AS corner, CASE WHEN u.i IN (1,2) THEN f.x0 ELSE f.x1 END AS corner_east, CASE WHEN u.i IN (1,4) THEN f.y0 ELSE f.y1 END AS corner_north FROM footprint f JOIN winner w USING (corridor_id, pole_no), (SELECT unnest([1,2,3,4]) AS i) u")
+def _(spark, d):
+    w = registers.winning_parcels(pieces(spark, d)).select("corridor_id", "pole_no", "parcel_id")
+    f = la.footprints(spark, d).withColumn("ring", la.ring()).withColumn("ring", geometry.clockwise(F.col("ring")))  # the corner with least x and y first, then with the clock
+    f = f.select("corridor_id", "pole_no", "area_sqm", "ring").join(w, ["corridor_id", "pole_no"])
+    c = geometry.centre(F.col("ring"))
+    f = f.select("*", c["x"].alias("east"), c["y"].alias("north")).select("*", F.posexplode("ring").alias("i", "p"))
+    return f.select("corridor_id", "pole_no", "parcel_id", "east", "north", "area_sqm", (F.col("i") + 1).alias("corner"), F.col("p.x").alias("corner_east"), F.col("p.y").alias("corner_north"))
+
+
+@query("O03_number_points", f", {EDGE} SELECT corridor_id, side, pole, CAST(CASE WHEN side = 'left' THEN 5001 ELSE 1 END + ord - 1 AS INTEGER) AS number FROM edge")
+def _(spark, d):
+    e = edge(spark, d)
+    both = lines.numbered(e.where("side = 'left'"), ["corridor_id"], 5001).unionByName(lines.numbered(e.where("side = 'right'"), ["corridor_id"], 1))
+    return both.select("corridor_id", "side", "pole", F.col("number").cast("int").alias("number"))
+
+
+INSIDE = f"{EDGE}, kept AS (SELECT e.*, CAST(5000 + row_number() OVER (PARTITION BY corridor_id, side ORDER BY ord) AS INTEGER) AS number FROM edge e JOIN (SELECT corridor_id, side, min(ord) AS a, max(ord) AS b FROM edge WHERE inside GROUP BY ALL) USING (corridor_id, side) WHERE ord BETWEEN a AND b)"
+
+
+def inside(spark: SparkSession, d: str) -> DataFrame:
+    return lines.numbered_inside(edge(spark, d), ["corridor_id", "side"], 5001).withColumn("number", F.col("number").cast("int"))
+
+
+@query("O04_number_inside", f", {INSIDE} SELECT corridor_id, side, pole, number FROM kept")
+def _(spark, d):
+    return inside(spark, d).select("corridor_id", "side", "pole", "number")
+
+
+@query("O05_number_ranges", f", {INSIDE}, runs AS (SELECT corridor_id, side, min(number) AS a, max(number) AS b FROM (SELECT *, number - row_number() OVER (PARTITION BY corridor_id, side ORDER BY number) AS i FROM kept WHERE inside) GROUP BY corridor_id, side, i) SELECT corridor_id, side, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '–' || b END, ', ' ORDER BY a) AS ranges FROM runs GROUP BY ALL")
+def _(spark, d):
+    return lines.number_ranges(inside(spark, d).where("inside"), ["corridor_id", "side"])
+
+
+@query("J18_pair_edges", f", {INSIDE} SELECT coalesce(l.corridor_id, r.corridor_id) AS corridor_id, coalesce(l.i, r.i) AS row_ord, l.number AS left_number, l.x AS left_x, l.y AS left_y, r.number AS right_number, r.x AS right_x, r.y AS right_y FROM (SELECT *, row_number() OVER (PARTITION BY corridor_id ORDER BY number) AS i FROM kept WHERE side='left') l FULL JOIN (SELECT *, row_number() OVER (PARTITION BY corridor_id ORDER BY number) AS i FROM kept WHERE side='right') r ON l.corridor_id=r.corridor_id AND l.i=r.i")
+def _(spark, d):
+    e = inside(spark, d)
+    return lines.paired_edges(e.where("side = 'left'"), e.where("side = 'right'"), ["corridor_id"])
+
+
+@query("A12_route_order", f", {EDGE} SELECT corridor_id, ekatte, min(round(place, 9)) AS place FROM (SELECT *, (ord-1)/greatest(count(*) OVER (PARTITION BY corridor_id, side)-1, 1) AS place FROM home) WHERE ekatte IS NOT NULL GROUP BY ALL")
+def _(spark, d):
+    return lines.route_order(points(spark, d), ["corridor_id", "side"]).select("corridor_id", "ekatte", F.round("place", 9).alias("place"))
+
+
+@query("O16_stations", f", {EDGE} SELECT corridor_id, side, pole, round(coalesce(sum(len) OVER (PARTITION BY corridor_id, side ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS station FROM (SELECT *, sqrt((lead(x) OVER w-x)*(lead(x) OVER w-x)+(lead(y) OVER w-y)*(lead(y) OVER w-y)) AS len FROM edge WINDOW w AS (PARTITION BY corridor_id, side ORDER BY ord))")
+def _(spark, d):
+    w = Window.partitionBy("corridor_id", "side").orderBy("ord")
+    s = edge(spark, d).select("*", F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1")).withColumnsRenamed({"x": "x0", "y": "y0"})
+    return lines.stations(s, ["corridor_id", "side"]).select("corridor_id", "side", "pole", F.round("station", 6).alias("station"))
+
+
+@query("O11_route_sort", "SELECT corridor_id, ekatte, dense_rank() OVER (PARTITION BY corridor_id ORDER BY lowest NULLS LAST, ekatte) AS place FROM (SELECT DISTINCT corridor_id, ekatte FROM areas) LEFT JOIN (SELECT corridor_id, split_part(parcel_id,'.',1) AS ekatte, min(pole_no::BIGINT) AS lowest FROM piece GROUP BY ALL) USING (corridor_id, ekatte)")
+def _(spark, d):
+    code = keys.ekatte_of(F.col("parcel_id")).alias("ekatte")
+    low = registers.lowest_pole(pieces(spark, d).select("*", code), "corridor_id", "ekatte")
+    s = areas(spark, d).select("corridor_id", code).distinct().join(low, ["corridor_id", "ekatte"], "left")
+    order = Window.partitionBy("corridor_id").orderBy(F.col("lowest_pole").isNull(), keys.pole_key(F.col("lowest_pole")), "ekatte")
+    return s.select("corridor_id", "ekatte", F.dense_rank().over(order).alias("place"))
+
+
+@query("J17_group_by_municipality", "SELECT corridor_id, coalesce(municipality, 'Неизвестна община') AS municipality, coalesce(province, '') AS province, count(DISTINCT ekatte) AS settlements, count(*) AS parcels FROM areas LEFT JOIN (SELECT * FROM settlement WHERE ekatte <> '00003') s USING (ekatte) GROUP BY ALL")
+def _(spark, d):
+    s = la.settlements(spark, d).where("ekatte <> '00003'")
+    rows = areas(spark, d).withColumn("ekatte", keys.ekatte_of(F.col("parcel_id"))).join(s, "ekatte", "left")
+    named = [F.coalesce("municipality", F.lit("Неизвестна община")).alias("municipality"), F.coalesce("province", F.lit("")).alias("province")]
+    return rows.groupBy("corridor_id", *named).agg(F.countDistinct("ekatte").alias("settlements"), F.count(F.lit(1)).alias("parcels"))
+
+
+@query("J20_dedup_structures", "SELECT corridor_id, pole_no, area_sqm FROM footprint")
+def _(spark, d):
+    f = la.footprints(spark, d)
+    again = f.where("cast(pole_no as long) % 3 = 0").select("corridor_id", "pole_no", *((F.col(c) + 0.004).alias(c) for c in ("x0", "y0", "x1", "y1")), F.col("area_sqm"))
+    both = f.withColumn("take", F.lit(0)).unionByName(again.withColumn("take", F.lit(1)))
+    place = [F.round(F.col(c) / 0.02).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")]
+    return both.groupBy("corridor_id", "pole_no", *place).agg(F.min_by("area_sqm", "take").alias("area_sqm")).select("corridor_id", "pole_no", "area_sqm")
+
+
+@query("P01_closed_shapes", "SELECT pole_no FROM footprint WHERE CAST(pole_no AS BIGINT)%3 <> 2")
+def _(spark, d):
+    k = F.col("pole_no").cast("long") % 3
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    near = F.when(k == 1, F.col("x0") + 0.005).otherwise(F.col("x0") + 1)
+    verts = F.array(at(F.col("x0"), F.col("y0")), at(F.col("x1"), F.col("y0")), at(F.col("x1"), F.col("y1")), at(near, F.col("y0")))
+    return lines.closed_shapes(la.footprints(spark, d).select("pole_no", (k == 0).alias("closed"), verts.alias("verts"))).select("pole_no")
+
+
+@query("P02_exclude_own_layers", "SELECT parcel_id FROM parcel WHERE num%5 <> 0")
+def _(spark, d):
+    layer = F.when(F.col("num") % 5 == 0, F.lit("Servitude_Points")).otherwise(F.lit("cadaster"))
+    return lines.exclude_layers(la.parcels(spark, d).select("parcel_id", layer.alias("layer"))).select("parcel_id")
+
+
+@query("P03_resolve_shape_id", "SELECT num, CASE WHEN num%4=0 THEN upper(to_hex(num)) ELSE parcel_id END AS id FROM parcel")
+def _(spark, d):
+    xdata = F.when(F.col("num") % 4 == 0, F.lit(" ")).otherwise(F.col("parcel_id"))
+    return la.parcels(spark, d).select("num", lines.resolved_id(xdata, F.hex("num")).alias("id"))
+
+
+@query("P05_exclude_marker_blocks", "SELECT pole_no FROM footprint WHERE CAST(pole_no AS BIGINT)%5 NOT IN (1, 2)")
+def _(spark, d):
+    k = F.col("pole_no").cast("long") % 5
+    named = la.footprints(spark, d).select("pole_no", F.when(k == 1, F.lit(" gbp032 ")).when(k == 2, F.lit("Serv_Tochka")).otherwise(F.lit("STALB")).alias("block_name"))
+    return lines.exclude_markers(named).select("pole_no")
+
+
+@query("P07_has_settlement", "SELECT num, num%6 <> 0 AS has FROM parcel")
+def _(spark, d):
+    p = la.parcels(spark, d).select("num", F.when(F.col("num") % 6 == 0, F.replace("parcel_id", F.lit("."), F.lit("-"))).otherwise(F.col("parcel_id")).alias("id"))
+    return p.select("num", (F.instr("id", ".") > 1).alias("has"))
+
+
+@query("P09_box_may_overlap", "SELECT f.pole_no, p.parcel_id FROM footprint f JOIN parcel p ON f.x0 <= p.x1+0.01 AND p.x0 <= f.x1+0.01 AND f.y0 <= p.y1+0.01 AND p.y0 <= f.y1+0.01")
+def _(spark, d):
+    box = lambda t: [F.col(f"{c}{t}") for c in ("x0", "y0", "x1", "y1")]
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - 0.01) / la.CELL), F.floor((F.col(hi) + 0.01) / la.CELL)))
+    spread = lambda df, key, t: df.select(key, *(F.col(c).alias(f"{c}{t}") for c in ("x0", "y0", "x1", "y1"))).withColumn("cx", cells(f"x0{t}", f"x1{t}")).withColumn("cy", cells(f"y0{t}", f"y1{t}"))
+    met = spread(la.footprints(spark, d), "pole_no", "a").join(spread(la.parcels(spark, d), "parcel_id", "b"), ["cx", "cy"])
+    return met.where(lines.box_may_overlap(box("a"), box("b"))).select("pole_no", "parcel_id").distinct()
+
+
+@query("F07_pole_numbers", "SELECT pole_no, 'Стълб №' || pole_no AS label, pole_no AS stripped, CAST(pole_no AS BIGINT) AS number FROM footprint")
+def _(spark, d):
+    label = F.concat(F.lit("Стълб №"), F.col("pole_no"))
+    return la.footprints(spark, d).select("pole_no", label.alias("label"), keys.strip_pole_prefix(label).alias("stripped"), keys.pole_number(F.lower(label)).alias("number"))
+
+
+@query("F14_balance_group", f"SELECT parcel_id, CASE WHEN NOT in_register THEN 3 WHEN kat='0' THEN 2 ELSE 0 END AS class, CASE WHEN in_register AND kat<>'0' THEN CAST(kat AS BIGINT) ELSE 0 END AS number, CASE WHEN NOT in_register THEN 'Няма данни в .cad' WHEN kat='0' THEN 'Без категория' ELSE {ROMAN} || ' категория' END AS text FROM parcel")
+def _(spark, d):
+    g = balances.balance_group(F.col("kat"), F.col("in_register"), category=True)
+    return la.parcels(spark, d).select("parcel_id", g.alias("g")).select("parcel_id", "g.class", "g.number", "g.text")
+
+
+@query("F16_signed_area", "SELECT parcel_id, (x1-x0)*(y1-y0) AS ccw, -(x1-x0)*(y1-y0) AS cw FROM parcel")
+def _(spark, d):
+    return la.parcels(spark, d).select("parcel_id", geometry.signed_area(la.ring()).alias("ccw"), geometry.signed_area(geometry.clockwise(la.ring())).alias("cw"))
+
+
+@query("A16_centroid", "SELECT parcel_id, (x0+x1)/2 AS cx, (y0+y1)/2 AS cy, x0 AS minx, y1 AS maxy FROM parcel")
+def _(spark, d):
+    c, b = geometry.centre(la.ring()), geometry.box(la.ring())
+    return la.parcels(spark, d).select("parcel_id", c["x"].alias("cx"), c["y"].alias("cy"), b["x0"].alias("minx"), b["y1"].alias("maxy"))
+
+
+@query("T05_ccw_corners", "SELECT parcel_id, u.i AS corner, CASE WHEN u.i IN (1,4) THEN x0 ELSE x1 END AS x, CASE WHEN u.i IN (1,2) THEN y0 ELSE y1 END AS y FROM parcel, (SELECT unnest([1,2,3,4]) AS i) u")
+def _(spark, d):
+    return la.parcels(spark, d).select("parcel_id", F.posexplode(geometry.by_angle(F.shuffle(la.ring()))).alias("i", "p")).select("parcel_id", (F.col("i") + 1).alias("corner"), "p.x", "p.y")
+
+
+@query("F19_arc_length", "SELECT pole_no, round(pi()/2*(x1-x0), 6) AS half, round(4*atan(0.5)*(x1-x0)/(2*sin(2*atan(0.5))), 6) AS flat, x1-x0 AS straight FROM footprint")
+def _(spark, d):
+    chord = F.col("x1") - F.col("x0")
+    return la.footprints(spark, d).select("pole_no", F.round(geometry.arc_length(chord, F.lit(1.0)), 6).alias("half"), F.round(geometry.arc_length(chord, F.lit(0.5)), 6).alias("flat"), geometry.arc_length(chord, F.lit(0.0)).alias("straight"))
+
+
+@query("F23_decimal_places", "SELECT p_partkey, CASE WHEN p_partkey%2=0 THEN 2 ELSE 0 END AS places FROM part", lattice=False)
+def _(spark, d):
+    text = F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice").cast("decimal(18,2)").cast("string")).otherwise(F.col("p_partkey").cast("string"))
+    return la.t(spark, d, "part").select("p_partkey", geometry.decimal_places(text).alias("places"))
+
+
+@query("P14_balance_check", "SELECT corridor_id, parcel_id, gross_sqm, pole_sqm, CASE WHEN abs(gross_sqm - (net_sqm + pole_sqm)) <= 0.001 THEN 'ОК' ELSE 'ГРЕШКА' END AS check_text FROM (SELECT corridor_id, parcel_id, CAST(gross_sqm AS DOUBLE) AS gross_sqm, coalesce(p, 0.0) AS pole_sqm, greatest(gross_sqm - coalesce(p, 0.0), 0.0) AS net_sqm FROM areas LEFT JOIN (SELECT corridor_id, parcel_id, sum(piece_sqm) AS p FROM piece GROUP BY ALL) USING (corridor_id, parcel_id))")
+def _(spark, d):
+    p = pieces(spark, d).groupBy("corridor_id", "parcel_id").agg(F.sum("piece_sqm").alias("pole_sqm"))
+    a = areas(spark, d).join(p, ["corridor_id", "parcel_id"], "left").withColumn("pole_sqm", F.coalesce("pole_sqm", F.lit(0.0)))
+    net = F.greatest(F.col("gross_sqm") - F.col("pole_sqm"), F.lit(0.0))
+    ok = F.abs(F.col("gross_sqm") - (net + F.col("pole_sqm"))) <= 0.001
+    return a.select("corridor_id", "parcel_id", "gross_sqm", "pole_sqm", F.when(ok, "ОК").otherwise("ГРЕШКА").alias("check_text"))
