@@ -1,0 +1 @@
+"""Operators: DataFrames in, DataFrames out."""

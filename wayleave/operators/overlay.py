@@ -152,10 +152,10 @@ def ring_area(ring) -> F.Column:
     return F.when(F.size(ring) > 2, F.aggregate(F.sequence(F.lit(2), F.size(ring) - 1), F.lit(0.0), lambda s, i: s + term(i)) / 2).otherwise(F.lit(0.0))
 
 
-def box_overlaps(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str], cell: float = 50.0, least: float = SLIVER) -> DataFrame:
-    """overlap_areas() for axis-parallel boxes (columns x0, y0, x1, y1): built-in expressions only.
+def box_parts(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str], cell: float = 50.0, least: float = SLIVER) -> DataFrame:
+    """(keys_a, keys_b, x0, y0, x1, y1): the common part of axis-parallel boxes, with built-in expressions only.
 
-    A pair that meets in several cells counts in the cell that holds the lower corner of its overlap.
+    A pair that meets in several cells counts in the cell that holds the lower corner of its common part.
     """
     cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
 
@@ -165,5 +165,11 @@ def box_overlaps(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str
 
     met = spread(a, keys_a, "a").join(spread(b, keys_b, "b"), ["cx", "cy"])
     x0, y0, x1, y1 = F.greatest("x0a", "x0b"), F.greatest("y0a", "y0b"), F.least("x1a", "x1b"), F.least("y1a", "y1b")
-    met = met.where((x1 > x0) & (y1 > y0) & (F.col("cx") == F.floor(x0 / cell)) & (F.col("cy") == F.floor(y0 / cell)))
-    return met.select(*keys_a, *keys_b, ((x1 - x0) * (y1 - y0)).alias("sqm")).where(F.col("sqm") > least)
+    met = met.where((x1 > x0) & (y1 > y0) & (F.col("cx") == F.floor(x0 / cell)) & (F.col("cy") == F.floor(y0 / cell)) & ((x1 - x0) * (y1 - y0) > least))
+    return met.select(*keys_a, *keys_b, x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
+def box_overlaps(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str], cell: float = 50.0, least: float = SLIVER) -> DataFrame:
+    """overlap_areas() for axis-parallel boxes."""
+    part = box_parts(a, b, keys_a, keys_b, cell, least)
+    return part.select(*keys_a, *keys_b, ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("sqm"))

@@ -1,0 +1 @@
+"""Tables derived from the given data, and the registered queries."""

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayleave.functions import geometry, keys, units
-from wayleave.operators import balances, lines, overlay, registers
+from wayleave.operators import balances, lines, overlay, registers, shapes
 from wayleave.plans import lattice as la
-from wayleave.sources import cad
+from wayleave.sources import cad, codes
 
 FLAGSHIP = "A07_territory_balance"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,8 +379,8 @@ def _(spark, d):
 
 @query("J12_describe_codes", "SELECT parcel_id, kat, CASE WHEN kat = '0' THEN 'код 0' ELSE kat || ' – ' || r_name END AS kat_text FROM (SELECT parcel_id, kat, CASE WHEN CAST(kat AS INTEGER) BETWEEN 1 AND 5 THEN CAST(kat AS INTEGER)-1 END AS k FROM parcel) LEFT JOIN region ON r_regionkey = k WHERE k IS NOT NULL OR kat = '0' UNION ALL SELECT parcel_id, kat, 'код ' || kat FROM parcel WHERE CAST(kat AS INTEGER) > 5")
 def _(spark, d):
-    codes = la.t(spark, d, "region").select(F.lit("kat").alias("nomenclature"), F.concat(F.lit("00"), (F.col("r_regionkey") + 1).cast("string")).alias("code"), F.col("r_name").alias("text"))
-    return registers.described(la.parcels(spark, d), codes, "kat", "kat", both=True).select("parcel_id", "kat", "kat_text")
+    texts = la.t(spark, d, "region").select(F.lit("kat").alias("nomenclature"), F.concat(F.lit("00"), (F.col("r_regionkey") + 1).cast("string")).alias("code"), F.col("r_name").alias("text"))
+    return registers.described(la.parcels(spark, d), texts, "kat", "kat", both=True).select("parcel_id", "kat", "kat_text")
 
 
 # --- differences of two snapshots ------------------------------------------------------------------------------------
@@ -535,8 +535,8 @@ def edge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    shapes = la.parcels(spark, d).select("ekatte", F.col("num").alias("shape_ord"), la.ring().alias("ring"))
-    met = lines.containing(edge(spark, d), shapes, la.CELL).groupBy("corridor_id", "pole").agg(F.min_by("ekatte", "shape_ord").alias("ekatte"))
+    parcels = la.parcels(spark, d).select("ekatte", F.col("num").alias("shape_ord"), la.ring().alias("ring"))
+    met = lines.containing(edge(spark, d), parcels, la.CELL).groupBy("corridor_id", "pole").agg(F.min_by("ekatte", "shape_ord").alias("ekatte"))
     return edge(spark, d).join(met, ["corridor_id", "pole"], "left")
 
 
@@ -547,8 +547,8 @@ def _(spark, d):
 
 @query("J09_point_settlements_all", f", {EDGE} SELECT corridor_id, pole, string_agg(DISTINCT ekatte, ',' ORDER BY ekatte) AS ekattes FROM home WHERE ekatte IS NOT NULL GROUP BY ALL")
 def _(spark, d):
-    shapes = la.parcels(spark, d).select("ekatte", la.ring().alias("ring"))
-    return lines.all_settlements(edge(spark, d), shapes, ["corridor_id", "pole"], la.CELL)
+    parcels = la.parcels(spark, d).select("ekatte", la.ring().alias("ring"))
+    return lines.all_settlements(edge(spark, d), parcels, ["corridor_id", "pole"], la.CELL)
 
 
 @query("J22_axis_length_by_parcel", f", {AXIS} SELECT corridor_id, parcel_id, CAST(metres AS DOUBLE) AS metres FROM axis WHERE metres > 0")
@@ -738,3 +738,159 @@ def _(spark, d):
     net = F.greatest(F.col("gross_sqm") - F.col("pole_sqm"), F.lit(0.0))
     ok = F.abs(F.col("gross_sqm") - (net + F.col("pole_sqm"))) <= 0.001
     return a.select("corridor_id", "parcel_id", "gross_sqm", "pole_sqm", F.when(ok, "ОК").otherwise("ГРЕШКА").alias("check_text"))
+
+
+# --- code lists, legacy tables, nearest shapes ------------------------------------------------------------------------
+
+
+@query("S15_scan_code_list", "SELECT CAST(r_regionkey AS VARCHAR) AS code, r_name || '; \"x\"' AS text FROM region", lattice=False)
+def _(spark, d):
+    r = la.t(spark, d, "region")
+    code = F.concat(F.lit("00"), F.col("r_regionkey").cast("string"))
+    row = lambda no, v: r.select((F.col("r_regionkey") * 10 + no).alias("line_no"), v.alias("value"))
+    lines_ = row(0, F.lit("# code;text")).unionByName(row(1, F.concat(code, F.lit(";"), F.col("r_name"), F.lit('; "x"')))).unionByName(row(2, F.concat(code, F.lit(";again")))).unionByName(row(3, F.lit("code;text"))).unionByName(row(4, F.lit("  ")))
+    return codes.code_list(lines_)
+
+
+@query("S16_overlay_defaults", "SELECT n_nationkey AS code, CASE WHEN n_nationkey%3=0 THEN 'own' ELSE n_name END AS text FROM nation", lattice=False)
+def _(spark, d):
+    n = la.t(spark, d, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("text"))
+    return codes.overlaid(n, n.where("code % 3 = 0").withColumn("text", F.lit("own")))
+
+
+@query("S17_scan_settlements", "SELECT * FROM settlement")
+def _(spark, d):
+    s = la.settlements(spark, d)
+    text = lambda no, name: s.select((F.col("ekatte").cast("long") * 10 + no).alias("line_no"), F.concat_ws(";", "ekatte", "kind", name, "municipality", "province").alias("value"))
+    bad = s.select(F.lit(0).cast("long").alias("line_no"), F.concat_ws(";", F.lit("x1"), "kind", "name", "municipality", "province").alias("value"))
+    return codes.settlement_list(text(1, F.lit("old")).unionByName(text(2, F.col("name"))).unionByName(bad))
+
+
+MATH = """three AS (SELECT f.corridor_id, p.parcel_id, greatest(f.x0,p.x0) AS x0, least(f.x1,p.x1) AS x1, greatest(f.y0,p.y0) AS y0, least(f.y1,p.y1) AS y1 FROM footprint f JOIN parcel p ON f.x0<p.x1 AND f.x1>p.x0 AND f.y0<p.y1 AND f.y1>p.y0),
+covered AS (SELECT corridor_id, parcel_id, sum(h+v-hv) AS sqm, sum((x1-x0)*(y1-y0)) AS pole FROM (SELECT *, greatest(0, least(x1,700)-greatest(x0,5))*greatest(0, least(y1,22+18*corridor_id)-greatest(y0,10+18*corridor_id)) AS h,
+    greatest(0, least(x1,700)-greatest(x0,688))*greatest(0, least(y1,110)-greatest(y0,10+18*corridor_id)) AS v, greatest(0, least(x1,700)-greatest(x0,688))*greatest(0, least(y1,22+18*corridor_id)-greatest(y0,10+18*corridor_id)) AS hv FROM three) GROUP BY ALL)"""
+
+
+@query("J03_math_test_areas", f", {MATH} SELECT corridor_id, parcel_id, CAST(drawn_sqm AS DOUBLE) AS area_sqm, CAST(gross_sqm AS DOUBLE) AS gross_sqm, CAST(gross_sqm - coalesce(sqm, 0) AS DOUBLE) AS net_sqm, CAST(coalesce(pole, 0) AS DOUBLE) AS pole_sqm, CAST(greatest(drawn_sqm - (gross_sqm - coalesce(sqm, 0)) - coalesce(pole, 0), 0) AS DOUBLE) AS remainder_sqm FROM areas LEFT JOIN covered USING (corridor_id, parcel_id)")
+def _(spark, d):
+    part = overlay.box_parts(la.footprints(spark, d), la.parcels(spark, d), ["corridor_id", "pole_no"], ["parcel_id"], la.CELL)
+    inside = overlay.overlap_areas(la.corridors(spark, d), part.select("corridor_id", "parcel_id", "pole_no", la.ring().alias("ring")), [], ["parcel_id", "pole_no"], ["corridor_id"], la.CELL)
+    inside = inside.groupBy("corridor_id", "parcel_id").agg(F.sum("sqm").alias("in_sqm"))
+    pole = part.groupBy("corridor_id", "parcel_id").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("pole_sqm"))
+    rows = areas(spark, d).join(inside, ["corridor_id", "parcel_id"], "left").join(pole, ["corridor_id", "parcel_id"], "left")
+    net, poles = F.round(F.col("gross_sqm") - F.coalesce("in_sqm", F.lit(0.0)), 6), F.coalesce("pole_sqm", F.lit(0.0))
+    return rows.select("corridor_id", "parcel_id", F.col("drawn_sqm").alias("area_sqm"), "gross_sqm", net.alias("net_sqm"), poles.alias("pole_sqm"), F.greatest(F.round(F.col("drawn_sqm") - net - poles, 6), F.lit(0.0)).alias("remainder_sqm"))
+
+
+@query("J07_nearest_centroid_match", "SELECT pole_no, parcel_id, round(dist, 6) AS dist FROM (SELECT f.pole_no, p.parcel_id, sqrt(pow((f.x0+f.x1)/2-(p.x0+p.x1)/2, 2)+pow((f.y0+f.y1)/2-(p.y0+p.y1)/2, 2)) AS dist, row_number() OVER (PARTITION BY f.pole_no ORDER BY sqrt(pow((f.x0+f.x1)/2-(p.x0+p.x1)/2, 2)+pow((f.y0+f.y1)/2-(p.y0+p.y1)/2, 2)), p.num) AS rn FROM footprint f JOIN parcel p ON abs((f.x0+f.x1)/2-(p.x0+p.x1)/2) < 50 AND abs((f.y0+f.y1)/2-(p.y0+p.y1)/2) < 50 WHERE least(10*f.area_sqm, (p.x1-p.x0)*(p.y1-p.y0)) >= 0.5*greatest(10*f.area_sqm, (p.x1-p.x0)*(p.y1-p.y0))) WHERE rn = 1 AND dist < 50")
+def _(spark, d):
+    mid = lambda a, b: (F.col(a) + F.col(b)) / 2
+    p = la.footprints(spark, d).select("pole_no", mid("x0", "x1").alias("x"), mid("y0", "y1").alias("y"), (10 * F.col("area_sqm")).alias("area"))
+    t = la.parcels(spark, d).select(F.col("parcel_id").alias("target"), F.col("num").alias("ord"), mid("x0", "x1").alias("x"), mid("y0", "y1").alias("y"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area"))
+    return shapes.nearest_centroid(p, t, ["pole_no"]).select("pole_no", F.col("target").alias("parcel_id"), F.round("dist", 6).alias("dist"))
+
+
+@query("J11_distance_to_settlement", "SELECT pole_no, ekatte, round(min(dist), 6) AS dist FROM (SELECT pole_no, ekatte, sqrt(pow(greatest(p.x0-x, 0, x-p.x1), 2)+pow(greatest(p.y0-y, 0, y-p.y1), 2)) AS dist FROM (SELECT pole_no, (x0+x1)/2 AS x, (y0+y1)/2 AS y FROM footprint) f JOIN parcel p ON x BETWEEN p.x0-30 AND p.x1+30 AND y BETWEEN p.y0-30 AND p.y1+30) WHERE dist <= 30 GROUP BY ALL")
+def _(spark, d):
+    p = edge(spark, d).select(F.col("pole").alias("pole_no"), "x", "y")
+    return shapes.distance_to_settlements(p, la.parcels(spark, d).select("ekatte", la.ring().alias("ring")), ["pole_no"], 30.0).select("pole_no", "ekatte", F.round("dist", 6).alias("dist"))
+
+
+@query("J19_dedup_shapes", "SELECT parcel_id, 3*num+2 AS dropped FROM parcel WHERE num%3=0")
+def _(spark, d):
+    p = la.parcels(spark, d).where("num % 3 < 2")
+    handle = lambda k: F.hex(3 * F.col("num") + k)
+    first = p.select("parcel_id", handle(1).alias("h"), la.ring().alias("ring"))
+    moved = F.when(F.col("num") % 3 == 0, F.lit(0.0)).otherwise(F.lit(5.0))
+    second = p.select("parcel_id", handle(2).alias("h"), *((F.col(c) + moved).alias(c) for c in ("x0", "x1")), "y0", "y1").select("parcel_id", "h", la.ring().alias("ring"))
+    both = first.unionByName(second).withColumn("area", F.abs(geometry.signed_area(F.col("ring"))))
+    a, b = (both.select("parcel_id", F.col("h").alias(n), F.col("area").alias(f"area_{n}"), "ring") for n in ("a", "b"))
+    return shapes.overlap_flags(overlay.overlap_areas(a, b, ["a", "area_a"], ["b", "area_b"], ["parcel_id"], la.CELL))
+
+
+@query("O06_merge_close_points", f", {EDGE} SELECT corridor_id, side, pole, 'a,b' AS ekattes FROM edge")
+def _(spark, d):
+    e = edge(spark, d).select("corridor_id", "side", "pole", "x", "y", (2 * F.col("ord")).alias("ord"), F.array(F.lit("b")).alias("ekattes"))
+    again = e.select("corridor_id", "side", "pole", (F.col("x") + 0.005).alias("x"), "y", (F.col("ord") + 1).alias("ord"), F.array(F.lit("a")).alias("ekattes"))
+    return shapes.merged_close(e.unionByName(again), ["corridor_id", "side"]).select("corridor_id", "side", "pole", F.array_join("ekattes", ",").alias("ekattes"))
+
+
+LEGACY = "raw AS (SELECT a.corridor_id, a.parcel_id, a.ekatte, a.drawn_sqm, a.gross_sqm, coalesce(s.q, 0) AS pole_sqm, coalesce(nullif(p.vidt, ''), '(без вид)') AS territory, coalesce(nullif(p.vids, ''), '(без собственост)') AS ownership FROM areas a JOIN parcel p USING (parcel_id) LEFT JOIN (SELECT corridor_id, parcel_id, sum(piece_sqm) AS q FROM piece GROUP BY ALL) s USING (corridor_id, parcel_id))"
+
+
+def raw_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Unrounded sums by parcel, with empty texts named: the older tables add square metres and round once."""
+    q = pieces(spark, d).groupBy("corridor_id", "parcel_id").agg(F.sum("piece_sqm").alias("pole_sqm"))
+    named = lambda c, none: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(none))
+    p = la.parcels(spark, d).select("parcel_id", "ekatte", named("vidt", "(без вид)").alias("territory"), named("vids", "(без собственост)").alias("ownership"))
+    return areas(spark, d).join(p, "parcel_id").join(q, ["corridor_id", "parcel_id"], "left").withColumn("pole_sqm", F.coalesce("pole_sqm", F.lit(0.0)))
+
+
+def once(c: str) -> str:
+    return f"CAST(round(CAST(sum({c}) AS DECIMAL(24,6))*0.001, 3) AS DOUBLE)"
+
+
+def rounded_once(rows: DataFrame, *by) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("parcels"), *(units.sqm_to_dka(F.sum(c)).alias(n) for c, n in (("drawn_sqm", "area_dka"), ("gross_sqm", "gross_dka"), ("pole_sqm", "step_dka"))))
+
+
+ONCE = f"count(*) AS parcels, {once('drawn_sqm')} AS area_dka, {once('gross_sqm')} AS gross_dka, {once('pole_sqm')} AS step_dka"
+
+
+@query("A18_legacy_balances", f", {LEGACY} SELECT corridor_id, 0 AS table_ord, territory AS \"group\", {ONCE} FROM raw GROUP BY ALL UNION ALL SELECT corridor_id, 1, ownership, {ONCE} FROM raw GROUP BY corridor_id, ownership")
+def _(spark, d):
+    t = F.explode(F.array(*(F.struct(F.lit(i).alias("table_ord"), F.col(c).alias("group")) for i, c in enumerate(("territory", "ownership"))))).alias("t")
+    rows = raw_rows(spark, d).select("*", t)
+    return rounded_once(rows, "corridor_id", F.col("t.table_ord").alias("table_ord"), F.col("t.group").alias("group"))
+
+
+@query("A19_legacy_settlement_balance", f", {LEGACY} SELECT corridor_id, ekatte, {ONCE} FROM raw GROUP BY GROUPING SETS ((corridor_id, ekatte), (corridor_id))")
+def _(spark, d):
+    r = raw_rows(spark, d)
+    return rounded_once(r, "corridor_id", "ekatte").unionByName(rounded_once(r, "corridor_id"), allowMissingColumns=True)
+
+
+@query("A20_legacy_recap", f", {LEGACY} SELECT corridor_id, territory, {ONCE} FROM raw GROUP BY GROUPING SETS ((corridor_id, territory), (corridor_id))")
+def _(spark, d):
+    r = raw_rows(spark, d)
+    return rounded_once(r, "corridor_id", "territory").unionByName(rounded_once(r, "corridor_id"), allowMissingColumns=True)
+
+
+@query("J21_legacy_merge_rows", "SELECT k.parcel_id, CASE WHEN p.in_register THEN p.vidt ELSE 'NO DATA' END AS territory, coalesce(s.poles, 0) AS poles, CAST(coalesce(g.gross_sqm, 0) AS DOUBLE) AS gross_sqm FROM (SELECT parcel_id FROM gross WHERE corridor_id=0 UNION SELECT parcel_id FROM piece WHERE corridor_id=0) k JOIN parcel p USING (parcel_id) LEFT JOIN (SELECT parcel_id, count(*) AS poles FROM piece WHERE corridor_id=0 GROUP BY ALL) s USING (parcel_id) LEFT JOIN (SELECT * FROM gross WHERE corridor_id=0) g USING (parcel_id)")
+def _(spark, d):
+    g, q = gross(spark, d).where("corridor_id = 0").drop("corridor_id"), pieces(spark, d).where("corridor_id = 0")
+    keys_ = g.select("parcel_id").union(q.select("parcel_id")).distinct()
+    rows = keys_.join(registered(spark, d).select("parcel_id", "vidt"), "parcel_id", "left").join(q.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("poles")), "parcel_id", "left").join(g, "parcel_id", "left")
+    return rows.select("parcel_id", F.coalesce("vidt", F.lit("NO DATA")).alias("territory"), F.coalesce("poles", F.lit(0)).alias("poles"), F.coalesce("gross_sqm", F.lit(0.0)).alias("gross_sqm"))
+
+
+@query("V02_verify_combined", "SELECT corridor_id, '' AS province, '' AS municipality, 0 AS table_ord FROM body WHERE false")
+def _(spark, d):
+    bal, s = balance(spark, d), la.settlements(spark, d)
+    section = ["corridor_id", "province", "municipality", "table_ord"]
+    own = balances.municipality_balance(bal, s).where("row_kind = 'total'").select(*section, F.struct(*balances.SUMS).alias("a"))
+    sums = bal.where("row_kind = 'total'").join(s.select("ekatte", "municipality", "province"), "ekatte").groupBy(*section).agg(*(F.sum(c).alias(c) for c in balances.SUMS)).select(*section, F.struct(*balances.SUMS).alias("b"))
+    j = own.join(sums, section, "full")
+    differ = F.lit(False)
+    for c in balances.SUMS:
+        differ = differ | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return j.where(differ).select(*section)
+
+
+@query("U03_shared_settlement", f", {EDGE} SELECT a.corridor_id, a.pole, coalesce(a.ekatte = b.ekatte, false) AS shared FROM home a JOIN home b ON a.corridor_id=b.corridor_id AND a.side=b.side AND b.ord=a.ord+1")
+def _(spark, d):
+    p = points(spark, d).withColumn("ekattes", F.array_compact(F.array("ekatte")))
+    w = Window.partitionBy("corridor_id", "side").orderBy("ord")
+    return p.select("corridor_id", "pole", F.arrays_overlap("ekattes", F.lead("ekattes").over(w)).alias("shared")).where("shared is not null")
+
+
+@query("F25_angles", "SELECT pole_no, round(CASE WHEN atan2(y0, x0) < 0 THEN atan2(y0, x0)+2*pi() ELSE atan2(y0, x0) END, 9) AS normal, round(atan2(sin(atan2(y0, x0))+sin(atan2(y1, x1)), cos(atan2(y0, x0))+cos(atan2(y1, x1))), 9) AS bisector FROM footprint")
+def _(spark, d):
+    a, b = F.atan2("y0", "x0"), F.atan2("y1", "x1")
+    return la.footprints(spark, d).select("pole_no", F.round(geometry.normal_angle(a), 9).alias("normal"), F.round(geometry.bisector(a, b), 9).alias("bisector"))
+
+
+@query("F27_vertex_labels", "SELECT parcel_id, u.i AS vertex, num || '-' || u.i AS label FROM parcel, (SELECT unnest([1,2,3,4]) AS i) u")
+def _(spark, d):
+    v = la.parcels(spark, d).select("parcel_id", "num", F.posexplode(la.ring()).alias("i", "p"))
+    return v.select("parcel_id", (F.col("i") + 1).alias("vertex"), F.concat_ws("-", F.col("num").cast("string"), (F.col("i") + 1).cast("string")).alias("label"))

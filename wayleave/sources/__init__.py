@@ -1,0 +1 @@
+"""Readers of cadastral files."""

@@ -1,0 +1 @@
+"""No operator of the domain works on streams; this package is kept for them."""
