@@ -129,3 +129,28 @@ def route_order(points: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by)
     place = (F.row_number().over(w.orderBy("ord")) - 1) / F.greatest(F.count(F.lit(1)).over(w) - 1, F.lit(1))
     return points.withColumn("place", place).where("ekatte is not null").groupBy("corridor_id", "ekatte").agg(F.min("place").alias("place"))
+
+
+def split_parameters(cuts: Column, start: float, end: float, gap: float = 1e-7) -> Column:
+    """Sorted cut parameters without those at the ends or within gap of the last kept one."""
+    inner = F.array_sort(F.filter(cuts, lambda p: ~F.isnan(p) & (p > start + gap) & (p < end - gap)))
+    empty = F.array().cast("array<double>")
+    return F.aggregate(inner, empty, lambda kept, p: F.when((F.size(kept) > 0) & (p - F.try_element_at(kept, F.lit(-1)) <= gap), kept).otherwise(F.concat(kept, F.array(p))))
+
+
+def boundary_crossings(parts: DataFrame, cuts: DataFrame, by: list[str], cluster: float = 0.5) -> DataFrame:
+    """(by, at, from_ekatte, to_ekatte, merged_hits, span): one crossing for each change of settlement along a segment.
+
+    parts (by, a, b, ekatte, start_ekatte) are a segment's pieces between its cuts, in metres, classified by their midpoint, in order of a; cuts (by, m). Short
+    inner pieces are noise; a piece in no settlement is a hole. A crossing lies where the first settlement ends, and takes
+    the cuts from there to where the second begins, within cluster metres.
+    """
+    w = Window.partitionBy(*by).orderBy("a")
+    ends = (F.row_number().over(w) == 1) | (F.lead("a").over(w).isNull())
+    kept = parts.withColumn("_ends", ends).where(F.col("_ends") | (F.col("b") - F.col("a") >= cluster)).where("ekatte is not null")
+    before = F.coalesce(F.lag("ekatte").over(w), F.when(F.row_number().over(w) == 1, F.col("start_ekatte")))
+    found = kept.select(*by, "a", before.alias("from_ekatte"), F.col("ekatte").alias("to_ekatte"), F.coalesce(F.lag("b").over(w), F.lit(0.0)).alias("at")).where("from_ekatte <> to_ekatte")
+    near = found.join(cuts, by, "left").where(F.col("m").isNull() | F.col("m").between(F.col("at") - cluster, F.col("a") + cluster))
+    hits = near.groupBy(*by, "a").agg(F.count("m").alias("n"), (F.max("m") - F.min("m")).alias("span"))
+    out = found.join(hits, [*by, "a"], "left")
+    return out.select(*by, "at", "from_ekatte", "to_ekatte", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("merged_hits"), F.coalesce("span", F.lit(0.0)).alias("span"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wayleave.functions import geometry, keys, units
 from wayleave.operators import balances, lines, overlay, registers, shapes
 from wayleave.plans import lattice as la
-from wayleave.sources import cad, codes
+from wayleave.sources import cad, codes, flat
 
 FLAGSHIP = "A07_territory_balance"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -894,3 +894,64 @@ def _(spark, d):
 def _(spark, d):
     v = la.parcels(spark, d).select("parcel_id", "num", F.posexplode(la.ring()).alias("i", "p"))
     return v.select("parcel_id", (F.col("i") + 1).alias("vertex"), F.concat_ws("-", F.col("num").cast("string"), (F.col("i") + 1).cast("string")).alias("label"))
+
+
+@query("S18_scan_flat_register", "SELECT parcel_id, vids AS owner, ekatte, area_sqm, '' AS subdivision, CASE WHEN num%2=0 THEN vidt ELSE '' END AS territory FROM parcel")
+def _(spark, d):
+    p = la.parcels(spark, d)
+    area = F.col("area_sqm").cast("decimal(18,2)").cast("string")
+    short, long = [F.col("parcel_id"), F.col("vids"), F.col("ekatte"), area], [F.lit(""), F.col("vidt")]
+    value = F.when(F.col("num") % 2 == 0, F.concat_ws(";", *short, *long)).otherwise(F.concat_ws("\t", *short))
+    rows = p.select(F.col("num").alias("line_no"), value.alias("value")).unionByName(p.select((F.col("num") + 10**9).alias("line_no"), F.concat_ws(",", *short[:3], F.lit("7")).alias("value")))
+    rows = rows.unionByName(p.select(F.lit(0).cast("long").alias("line_no"), F.concat_ws(",", *short[:3], F.lit("bad")).alias("value")))
+    return flat.flat_register(rows).select("parcel_id", "owner", "ekatte", "area_sqm", "subdivision", "territory")
+
+
+def features(spark: SparkSession, d: str) -> DataFrame:
+    p = la.parcels(spark, d)
+    name = flat.PROPERTIES
+    props = F.struct(
+        keys.parcel_label(F.col("parcel_id")).alias(name["ident"]), F.concat(F.col("ekatte"), F.lit(" - гр. Пример")).alias(name["place"]), F.col("area_sqm").cast("decimal(18,2)").cast("string").alias(name["area"]),
+        F.when(F.col("num") % 2 == 0, F.concat(F.lit('[{"person_name":"'), F.col("vids"), F.lit('"}]'))).otherwise(F.lit("no json")).alias(name["rights"]), F.col("ntp").alias(name["tenant"]), F.col("vidt").alias(name["territory"]),
+    )
+    at = lambda x, y: F.array(F.col(x), F.col(y))
+    ring = F.array(at("x0", "y0"), at("x1", "y0"), at("x1", "y1"), at("x0", "y1"), at("x0", "y0"))
+    geo = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    return p.select(F.col("num").alias("ord"), F.to_json(F.struct(props.alias("properties"), geo.alias("geometry"))).alias("feature"))
+
+
+@query("S19_scan_geojson_attrs", "SELECT parcel_id, ekatte, area_sqm, CASE WHEN num%2=0 THEN vids ELSE ntp END AS owner, vidt AS territory FROM parcel")
+def _(spark, d):
+    return flat.geojson_attributes(features(spark, d)).select("parcel_id", "ekatte", "area_sqm", "owner", "territory")
+
+
+@query("S20_scan_geojson_centroids", "SELECT parcel_id, (3*x0+2*x1)/5 AS x, (3*y0+2*y1)/5 AS y, area_sqm FROM parcel")
+def _(spark, d):
+    return flat.geojson_centroids(features(spark, d))
+
+
+PARTS = f"""{AXIS}, cut AS (SELECT DISTINCT a.corridor_id, m FROM axis a JOIN parcel p USING (parcel_id), unnest([greatest(p.x0, 5)-5, least(p.x1, 694)-5]) AS u(m) WHERE a.metres > 0),
+bound AS (SELECT corridor_id, m AS a, lead(m) OVER (PARTITION BY corridor_id ORDER BY m) AS b FROM (SELECT corridor_id, m FROM cut UNION SELECT r_regionkey, 0 FROM region UNION SELECT r_regionkey, 689 FROM region)),
+part_ AS (SELECT b.corridor_id, b.a, b.b, p.ekatte FROM bound b LEFT JOIN parcel p ON p.y0 < 16+18*corridor_id AND p.y1 > 16+18*corridor_id AND p.x0 <= (a+b)/2+5 AND p.x1 > (a+b)/2+5 WHERE b.b IS NOT NULL),
+seq AS (SELECT *, lag(ekatte) OVER w AS f, coalesce(lag(b) OVER w, 0) AS upto FROM part_ WHERE ekatte IS NOT NULL WINDOW w AS (PARTITION BY corridor_id ORDER BY a))"""
+
+
+@query("O08_boundary_crossings", f", {PARTS} SELECT s.corridor_id, CAST(upto AS DOUBLE) AS \"at\", f AS from_ekatte, ekatte AS to_ekatte, greatest(count(c.m), 1) AS merged_hits, CAST(coalesce(max(c.m)-min(c.m), 0) AS DOUBLE) AS span FROM seq s LEFT JOIN cut c ON c.corridor_id=s.corridor_id AND c.m BETWEEN upto-0.5 AND a+0.5 WHERE f <> ekatte GROUP BY s.corridor_id, upto, a, f, ekatte")
+def _(spark, d):
+    r = route(spark, d).join(la.parcels(spark, d).select("parcel_id", "x0", "x1"), "parcel_id")
+    cuts = r.select("corridor_id", F.explode(F.array(F.greatest("x0", F.lit(5.0)) - 5, F.least("x1", F.lit(694.0)) - 5)).alias("m")).distinct()
+    ends = la.corridors(spark, d).select("corridor_id", F.explode(F.array(F.lit(0.0), F.lit(689.0))).alias("m"))
+    w = Window.partitionBy("corridor_id").orderBy("m")
+    parts = cuts.union(ends).distinct().select("corridor_id", F.col("m").alias("a"), F.lead("m").over(w).alias("b")).where("b is not null")
+    parcels = r.select("corridor_id", "ekatte", "x0", "x1", F.floor((F.col("x0") + F.col("x1")) / 2 / la.CELL).alias("cell"))
+    mid = (F.col("a") + F.col("b")) / 2 + 5
+    parts = parts.withColumn("cell", F.floor(mid / la.CELL)).join(parcels, ["corridor_id", "cell"], "left").select("corridor_id", "a", "b", F.when((mid >= F.col("x0")) & (mid < F.col("x1")), F.col("ekatte")).alias("ekatte"), F.lit(None).cast("string").alias("start_ekatte"))
+    return lines.boundary_crossings(parts, cuts, ["corridor_id"])
+
+
+@query("O10_split_parameters", f", {PARTS}, inner_ AS (SELECT corridor_id, m FROM cut WHERE m > 0.0000001 AND m < 689-0.0000001) SELECT corridor_id, string_agg(CAST(CAST(m AS INTEGER) AS VARCHAR), ',' ORDER BY m) AS cuts FROM inner_ GROUP BY ALL")
+def _(spark, d):
+    r = route(spark, d).join(la.parcels(spark, d).select("parcel_id", "x0", "x1"), "parcel_id")
+    cuts = r.select("corridor_id", F.explode(F.array(F.greatest("x0", F.lit(5.0)) - 5, F.least("x1", F.lit(694.0)) - 5, F.col("x0") - 5 + 5e-8)).alias("m"))
+    kept = cuts.groupBy("corridor_id").agg(lines.split_parameters(F.collect_list("m"), 0.0, 689.0).alias("kept"))
+    return kept.select("corridor_id", F.array_join(F.transform("kept", lambda m: m.cast("int").cast("string")), ",").alias("cuts"))
