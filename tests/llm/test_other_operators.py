@@ -75,6 +75,7 @@ def test_html():
     <article><h1>Head &amp; line</h1><p><b>First  text<br>more<p>Second &lt;one&gt;</p><div class="newsletter-signup">Sign up</div><p>x</p></article>
     <aside>side</aside><div id="comments"><p>nice</p></div><form>f<input></form><footer>&copy; foot</footer>"""
     assert main_text(page) == "Head & line\n\nFirst text more\n\nSecond <one>\n\nx"
+    assert main_text("<div class='layout with-sidebar'><article>kept</article></div><div class='sidebar'>gone</div>") == "kept"
     assert main_text("") == "" and main_text("<!-- open") == "" and main_text("<p") == ""
     assert main_text("<main>5 < 6 and &nosuch; &#x41;</main>") == "5 < 6 and &nosuch; A"
 

@@ -34,6 +34,8 @@ NAMES = re.compile(
     r"nav(?:bar|igation)?|menu|breadcrumbs?|pagination|pager|sidebar|side-?bar|widget|related|recommended|footer|masthead|site-?header|page-?header|comments?|comment-?list|replies|reply|disqus|respond|toolbar|skip-?link|copyright|legal|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+# Names that only say what a page has or lacks elsewhere.
+ABOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is|show|hide)[-_]\S+", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article(?:-?(?:body|content|text))?|post(?:-?(?:body|content))?|entry(?:-?content)?|story(?:-?body)?|main(?:-?content)?|content)(?=$|[\s_-])", re.I)
 ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "dialog": -1, "alert": -1, "main": 1, "article": 1}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
@@ -68,6 +70,7 @@ def _evidence(name: str, attributes: str, inside: int) -> int:
                     return NEVER
                 points += 30 * said
             elif key in ("class", "id") and name not in ("html", "body"):
+                value = ABOUT.sub("", value)
                 if NAMES.search(value):
                     return NEVER
                 if CONTENT.search(value):
