@@ -45,7 +45,7 @@ SPACED = _classes(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D and b != 0)
 ALNUM = _classes(lambda b: b >= 0x80 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)
 
 
-def pieces(column: pa.Array | pa.ChunkedArray, most: int = 1 << 21) -> Iterator[tuple[int, pa.Array]]:
+def pieces(column: pa.Array | pa.ChunkedArray, most: int = 1 << 19) -> Iterator[tuple[int, pa.Array]]:
     """The column in slices of about `most` bytes, or of one text if that is longer; with the slice's first row."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     a = pc.fill_null(a.cast(pa.large_string()), "")
