@@ -127,14 +127,20 @@ def _base(t: Column) -> dict[str, Column]:
     return {"n": n.cast("long"), "first": words(before), "last": words(t) - words(after) - words(last), "labels": F.array_sort(F.array_distinct(labels))}
 
 
-def _detections(rows: DataFrame, key: list[str], text: str) -> DataFrame:
-    """(key, priority, label, confidence, start, end) of every match of every rule whose keyword occurs."""
-    low = F.lower(F.col(text))
-    all_ = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(la).alias("label"), F.lit(k).alias("k"), F.lit("(?i)" + e).alias("e"), F.lit(c).alias("c")) for p, la, k, e, c in rules()))
-    tried = rows.withColumn("_low", low).withColumn("r", F.explode(F.filter(all_, lambda r: F.contains(F.col("_low"), r["k"]))))
-    found = tried.select(*key, "r", F.regexp_extract_all(text, F.col("r.e"), F.lit(0)).alias("m"), F.col(text).alias("_x")).where(F.size("m") > 0)
+def _hits(low: str) -> Column:
+    """The keywords that occur in a column of lower-case texts."""
+    return F.array_compact(F.array(*(F.when(F.contains(F.col(low), F.lit(k)), F.lit(k)) for k in KEYWORDS)))
+
+
+def _detections(rows: DataFrame, key: list[str], text: str, hits: str) -> DataFrame:
+    """(key, priority, label, confidence, start, end) of every match of every rule whose keyword occurs; key names one row."""
+    table = rows.sparkSession.createDataFrame(rules(), "p int, label string, k string, e string, c double")
+    tried = rows.select(*key, text, F.explode(hits).alias("k")).join(F.broadcast(table), "k")  # as many rows as there are rules
+    e = F.concat(F.lit("(?i)"), F.col("e"))
+    found = tried.select(*key, F.struct("p", "label", "c", "e").alias("r"), F.regexp_extract_all(text, e, F.lit(0)).alias("m"), F.col(text).alias("_x"), e.alias("_e")).where(F.size("m") > 0)
     # Where each match lies: the parts between matches have the rest of the length.
-    parts = found.select(*key, "r", "m", F.split("_x", F.col("r.e"), -1).alias("between")).select(*key, "r", F.posexplode(F.transform(F.arrays_zip("between", "m"), lambda z: F.struct(F.length(z["between"]).alias("b"), F.length(z["m"]).alias("l")))).alias("i", "z"))
+    zipped = F.transform(F.arrays_zip(F.split("_x", F.col("_e"), -1).alias("between"), "m"), lambda z: F.struct(F.length(z["between"]).alias("b"), F.length(z["m"]).alias("l")))
+    parts = found.select(*key, "r", F.posexplode(zipped).alias("i", "z"))
     up_to = Window.partitionBy(*key, "r").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     at = parts.withColumn("end", F.sum(F.col("z.b") + F.coalesce("z.l", F.lit(0))).over(up_to)).where(F.col("z.l").isNotNull())
     return at.select(*key, F.col("r.p").alias("priority"), F.col("r.label").alias("label"), F.col("r.c").alias("confidence"), (F.col("end") - F.col("z.l")).alias("start"), "end")
@@ -162,16 +168,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     t = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(t).alias("_th"), t.alias("_t"))
     key = ["_k", "_th"]
-    asked = F.regexp_like("_t", F.lit("(?i)" + "|".join(KEYWORDS)))
-    near = F.contains(F.lower("_t"), F.lit("license"))
+    id_ = F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63))).alias("_k")
     b = _base(F.col("_t"))
     none = F.array().cast("array<string>")
-    base = rows.select(
-        "_id", "_th", F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63))).alias("_k"), F.regexp_count("_t", F.lit(f"{W}+")).cast("long").alias("n_words"),
-        F.when(near, F.struct(*(c.alias(n) for n, c in b.items()))).alias("b"), asked.alias("_asked"),
-    )
-    gated = rows.where(asked).withColumn("_k", F.coalesce(F.col("_id").cast("long"), F.lit(-(1 << 63)))).dropDuplicates(key)
-    found = suppressed(_detections(gated, key, "_t"), key)
+    near = F.regexp_like("_t", F.lit("(?i)license"))
+    base = rows.select("_id", "_th", id_, F.regexp_count("_t", F.lit(f"{W}+")).cast("long").alias("n_words"), F.when(near, F.struct(*(c.alias(n) for n, c in b.items()))).alias("b"))
+    # Texts stay where they are read: only places and lengths of matches are shuffled.
+    each = rows.select(F.monotonically_increasing_id().alias("_row"), id_, "_th", "_t", F.lower("_t").alias("_low"))
+    each = each.select("_row", *key, "_t", _hits("_low").alias("_h"))
+    found = suppressed(_detections(each, ["_row", *key], "_t", "_h"), ["_row", *key])
     per = found.groupBy(*key).agg(F.collect_set("label").alias("_l"), F.max("confidence").alias("_c"))
     out = base.join(per, key, "left")
     hit = F.coalesce(F.col("b.n"), F.lit(0)) > 0
