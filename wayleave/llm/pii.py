@@ -70,15 +70,17 @@ def base_spans(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     return found.where(ok)
 
 
-def _disclosing(texts: DataFrame, spans: DataFrame, threshold: float, support: int) -> DataFrame | None:
-    """(term): the terms that disclose an entity; None if there are none."""
+def _disclosing(texts: DataFrame, asked: DataFrame, spans: DataFrame, threshold: float, support: int) -> DataFrame | None:
+    """(term): the terms that disclose an entity; None if there are none. texts are all rows (_th, _t), asked the distinct texts that may hold entities.
+
+    Only texts that may hold entities are shuffled; of the others only those of their words that are terms in question.
+    """
     value = F.when(F.col("kind") == 0, F.lower("match")).when(F.col("kind") == 1, F.col("match")).otherwise(_digits(F.col("match")))
-    entity = spans.select("_th", "kind", value.alias("value"), "start", "end").distinct()
-    often = entity.groupBy("kind", "value").agg(F.countDistinct("_th").alias("ne")).where(F.col("ne") >= support)
-    often = save(often, "entities")
+    entity = spans.select("_th", "kind", value.alias("value"), "start", "end")
+    often = save(entity.groupBy("kind", "value").agg(F.countDistinct("_th").alias("ne")).where(F.col("ne") >= support), "entities")
     if often.isEmpty():
         return None
-    near = entity.join(often, ["kind", "value"]).join(texts.select("_th", "_t"), "_th")
+    near = entity.join(often, ["kind", "value"]).join(asked, "_th")
     before = F.substring("_t", F.greatest(F.col("start") - CONTEXT + 1, F.lit(1)), F.least("start", F.lit(CONTEXT)))
     after = F.substring("_t", F.col("end") + 1, F.lit(CONTEXT))
     around = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("\n", before, after)), F.lit(TERM), F.lit(0)))
@@ -87,15 +89,23 @@ def _disclosing(texts: DataFrame, spans: DataFrame, threshold: float, support: i
     pairs = save(pairs, "pairs")
     if pairs.isEmpty():
         return None
-    n = texts.count()
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("nt"))
+    n = texts.select("_th").distinct().count()
     pmi = F.log(F.lit(float(n)) * F.col("net") / (F.col("ne") * F.col("nt")))
-    rated = pairs.join(counts, "term").where((F.col("ne") < n) & (pmi >= threshold * F.log(F.lit(float(n)) / F.col("ne"))))
+
+    def rated(pairs: DataFrame, among: DataFrame) -> DataFrame:
+        counts = _words(among).join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.countDistinct("_th").alias("nt"))
+        return pairs.join(counts, "term").where((F.col("ne") < n) & (pmi >= threshold * F.log(F.lit(float(n)) / F.col("ne")))).drop("nt")
+
+    # Common words fail already by how many of the few asked texts hold them; only the rest is counted over all texts.
+    rated = rated(save(rated(pairs, asked), "pairs"), texts)
     terms = save(rated.select("term").distinct(), "terms")
     return None if terms.isEmpty() else terms
 
 
+def _words(texts: DataFrame) -> DataFrame:
+    return texts.select("_th", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(TERM), F.lit(0)))).alias("term"))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     t = text_or_empty(text_col)
     return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_k"), F.xxhash64(t).alias("_th"), t.alias("_t"))
@@ -105,28 +115,18 @@ def all_spans(docs: DataFrame, threshold: float = 0.8, support: int = 3, id_col:
     """(_th, kind, start, end) of each distinct text with spans; _th is the text's hash."""
     texts = _keyed(docs, id_col, text_col).select("_th", "_t")
     gated = F.regexp_like("_t", F.lit(r"@|\+|[0-9]\.[0-9]|[0-9](?:[\x20-]?[0-9]){12}"))
-    base = save(base_spans(texts.where(gated).dropDuplicates(["_th"]), ["_th"], "_t"), "base-spans")
+    asked = texts.where(gated).dropDuplicates(["_th"])
+    base = save(base_spans(asked, ["_th"], "_t"), "base-spans")
     spans = base.select("_th", "kind", "start", "end")
-    some = texts.join(base.select("_th").distinct(), "_th", "left_semi").dropDuplicates(["_th"])
-    terms = _disclosing_terms(docs, some, base, threshold, support, id_col, text_col)
+    terms = _disclosing(texts, asked, base, threshold, support)
     if terms is not None:
-        words = texts.select("_th", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(TERM), F.lit(0)))).alias("term"))
-        holding = words.join(terms, "term", "left_semi").select("_th").distinct()
+        holding = _words(texts).join(terms, "term", "left_semi").select("_th").distinct()
         held = texts.join(holding, "_th", "left_semi").dropDuplicates(["_th"])
         more = placed(held, ["_th"], "_t", TERM).withColumn("term", F.lower("match")).join(terms, "term", "left_semi")
         spans = spans.unionByName(more.select("_th", F.lit(4).alias("kind"), "start", "end"))
     return spans
 
 
-def _disclosing_terms(docs, some, base, threshold, support, id_col, text_col):
-    all_texts = _keyed(docs, id_col, text_col).select("_th", "_t").dropDuplicates(["_th"])
-    value = F.when(F.col("kind") == 0, F.lower("match")).when(F.col("kind") == 1, F.col("match")).otherwise(_digits(F.col("match")))
-    often = base.select("_th", "kind", value.alias("value")).distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
-    if often.isEmpty():
-        return None
-    return _disclosing(all_texts, base, threshold, support) if some is not None else None
-
-
 def personal_data(docs: DataFrame, threshold: float = 0.8, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans, row_hash.
 
