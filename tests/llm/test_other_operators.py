@@ -80,6 +80,21 @@ def test_html():
     assert main_text("<main>5 < 6 and &nosuch; &#x41;</main>") == "5 < 6 and &nosuch; A"
 
 
+def test_html_attributes_and_inline_pieces():
+    long = "many words of the article stand here " * 8
+    page = "<article><p>%s</p></article>"
+    for a in ('href="/hidden-gems"', 'href="/p?id=footer"', 'style="overflow:hidden"', 'data-hidden="false"', 'data-id="menu"', 'title="a hidden id=nav"', "data-x=hidden", "href=/a/hidden"):
+        assert main_text(page % f"<a {a}>x</a> {long}") == f"x {long}".strip(), a
+        assert main_text(f"<article><div {a}><p>{long}</p></div></article>") == long.strip(), a
+    for a in ("hidden", "HIDDEN=''", 'aria-hidden="true"', "class=x hidden"):
+        assert main_text(page % f"<span {a}>secret</span>{long}") == long.strip(), a
+        assert main_text(page % f"{long}<div {a}>secret</div>") == long.strip(), a
+        assert main_text(f"<article>{long}<span {a}>secret<div>more</div></span></article>") == long.strip(), a
+    assert main_text(page % f"<svg><text>icon</text></svg>{long}") == long.strip()
+    assert main_text(page % f"<button>Press</button> {long}") == f"Press {long}".strip()
+    assert main_text(page % long + "<div><button>Press</button></div>") == long.strip()
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(60):

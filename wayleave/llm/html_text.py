@@ -25,7 +25,7 @@ from wayleave.llm.shared import text_or_empty
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("template svg math canvas object audio video select button datalist head".split())
+UNSEEN = frozenset("template svg canvas object audio video select datalist head".split())
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body article main section div table ul ol dl td th li blockquote nav footer aside form header".split())
@@ -40,29 +40,39 @@ CONTENT = re.compile(r"(?:^|[\s_-])(?:article(?:-?(?:body|content|text))?|post(?
 ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "dialog": -1, "alert": -1, "main": 1, "article": 1}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s>]+)))?")
+SAYING = frozenset("class id role hidden aria-hidden".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 summary legend".split())
 WHITE = re.compile(r"[\x09-\x0D\x20]+")
 NEVER = -1000
+#: A button's text counts where it stands in a heading or among other text.
+BUTTON = -500
 
 
 class Block:
-    __slots__ = ("path", "pieces", "linked", "score", "text")
+    """A block of text: the elements it stands in, the innermost of them, and pieces (text, element around it, in a link)."""
 
-    def __init__(self, path: tuple[int, ...], score: int):
-        self.path, self.score, self.pieces, self.linked, self.text = path, score, [], 0, ""
+    __slots__ = ("element", "linked", "name", "path", "pieces", "score", "text")
+
+    def __init__(self, path: tuple[int, ...], name: str, element: int):
+        self.path, self.name, self.element, self.pieces, self.score, self.linked, self.text = path, name, element, [], 0, 0, ""
 
 
 def _evidence(name: str, attributes: str, inside: int) -> int:
-    """What an element says about all that it holds: NEVER, or points for content."""
+    """What an element says about all that it holds: NEVER, BUTTON, or points for content."""
     if name in UNSEEN or name in FURNITURE:
         return NEVER
-    points = 40 if name in ("article", "main") else 0
+    points = 40 if name in ("article", "main") else BUTTON if name == "button" else 0
     if name == "header":
         points = 0 if inside > 0 else NEVER
     if attributes:
+        said_before = set()
         for key, a, b, c in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
-            if key == "hidden" or (key == "aria-hidden" and value == "true"):
+            if key not in SAYING or key in said_before:
+                continue
+            said_before.add(key)
+            if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
                 return NEVER
             if key == "role":
                 said = ROLES.get(value.lower(), 0)
@@ -78,10 +88,32 @@ def _evidence(name: str, attributes: str, inside: int) -> int:
     return points
 
 
+def _weigh(b: Block, total: list[int]) -> None:
+    """Text and score of a block: the points of its block-level surroundings, and of inline elements by their share of the text.
+
+    Hidden inline pieces are left out and say nothing about the rest; blocks in hidden surroundings are NEVER content.
+    """
+    base = total[b.element]
+    pieces = b.pieces
+    if base > BUTTON:
+        shown = [x for x in pieces if total[x[1]] > NEVER]
+        if b.name not in HEADINGS and not any(total[x[1]] > BUTTON and x[0].strip(" \t\n\r\x0b\x0c") for x in shown):
+            shown = []
+        pieces = shown
+    b.text = WHITE.sub(" ", "".join(x[0] for x in pieces)).strip(" ")
+    if base <= BUTTON:
+        b.score = NEVER
+        return
+    b.linked = sum(len(x[0]) for x in pieces if x[2])
+    inline = sum((total[x[1]] - base) * len(x[0]) for x in pieces if total[x[1]] > BUTTON)
+    b.score = base + round(inline / max(1, sum(len(x[0]) for x in pieces)))
+
+
 def blocks(html: str) -> list[Block]:
     """Blocks of text in page order, with the path of elements they stand in and the points of those elements."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # name, number, points of it and all around it
+    stack: list[tuple[str, int]] = []  # name, number
+    total = [0]  # points of each element and all around it
     number = at = links = 0
     now: Block | None = None
     end = len(html)
@@ -92,11 +124,10 @@ def blocks(html: str) -> list[Block]:
         if now is None:
             if not text.strip(" \t\n\r\x0b\x0c"):
                 return
-            now = Block(tuple(x[1] for x in stack if x[0] in BLOCK), stack[-1][2] if stack else 0)
+            path = tuple(x for x in stack if x[0] in BLOCK)
+            now = Block(tuple(x[1] for x in path), *(path[-1] if path else ("", 0)))
             out.append(now)
-        now.pieces.append(text)
-        if links:
-            now.linked += len(text)
+        now.pieces.append((text, stack[-1][1] if stack else 0, links > 0))
 
     while at < end:
         lt = html.find("<", at)
@@ -149,12 +180,13 @@ def blocks(html: str) -> list[Block]:
                 if stack[i][0] in SCOPE:
                     break
         number += 1
-        around = stack[-1][2] if stack else 0
+        around = total[stack[-1][1]] if stack else 0
         own = NEVER if around <= NEVER else _evidence(name, tag[3], around)
-        stack.append((name, number, NEVER if own <= NEVER else around + own))
+        total.append(NEVER if own <= NEVER else BUTTON if BUTTON in (around, own) else around + own)
+        stack.append((name, number))
         links += name == "a"
     for b in out:
-        b.text = WHITE.sub(" ", "".join(b.pieces)).strip(" ")
+        _weigh(b, total)
     return [b for b in out if b.text]
 
 
