@@ -95,6 +95,19 @@ def test_html_attributes_and_inline_pieces():
     assert main_text(page % long + "<div><button>Press</button></div>") == long.strip()
 
 
+def test_html_names_are_finite():
+    long = ("many words of the article stand here " * 8).strip()
+    body = f"<h1>A heading of the page with words enough</h1><p>{long}</p><p>{long}</p>"
+    want = f"A heading of the page with words enough\n\n{long}\n\n{long}"
+    for name in ("page-with-sidebar", "post comments-open", "layout--has-sidebar", "entry-content legal-news", "sidebar"):
+        for page in ('<main class="%s">%s</main>', '<div id="%s"><article>%s</article></div>', '<div class="%s">%s</div>'):
+            assert main_text(page % (name, body)) == want, (name, page)
+        assert main_text(f'<nav>Menu</nav><article class="{name}">{body}</article><div class="sidebar">gone</div><footer>gone</footer>') == want, name
+    for name in ("sidebar", "comments", "post-comments", "share-buttons", "related-posts", "side-bar", "newsletter_signup"):
+        assert main_text(f'<main><article>{body}<div class="{name}"><p>gone with the furniture</p></div></article></main>') == want, name
+        assert main_text(f'<article>{body}</article><div id="{name}"><p>gone with the furniture</p></div>') == want, name
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(60):

@@ -35,7 +35,9 @@ NAMES = re.compile(
     re.I,
 )
 # Names that only say what a page has or lacks elsewhere.
-ABOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is|show|hide)[-_]\S+", re.I)
+ABOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|without|no|is|show|hide)[-_]+\S+", re.I)
+# Words beside which a name still is the whole of what a token says.
+SHAPE = frozenset("site page main top bottom left right primary secondary global local sub list item items link links box block bar wrapper wrap container inner outer area section group header title heading body content icon icons button buttons btn text form row col column columns post posts article articles entry story stories mobile desktop sticky fixed".split())
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article(?:-?(?:body|content|text))?|post(?:-?(?:body|content))?|entry(?:-?content)?|story(?:-?body)?|main(?:-?content)?|content)(?=$|[\s_-])", re.I)
 ROLES = {"navigation": -1, "banner": -1, "contentinfo": -1, "complementary": -1, "search": -1, "dialog": -1, "alert": -1, "main": 1, "article": 1}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
@@ -47,6 +49,11 @@ WHITE = re.compile(r"[\x09-\x0D\x20]+")
 NEVER = -1000
 #: A button's text counts where it stands in a heading or among other text.
 BUTTON = -500
+#: What a furniture name costs as a whole token of a class or id, and as part of one; points around a whole one count up to AT_MOST.
+WHOLE, PART, AT_MOST = -40, -8, 10
+LEAST, MOST = -80, 60
+#: A name on an element with this share of the text that can be seen does not tell parts of the page apart.
+NEARLY_ALL = 0.9
 
 
 class Block:
@@ -58,13 +65,25 @@ class Block:
         self.path, self.name, self.element, self.pieces, self.score, self.linked, self.text = path, name, element, [], 0, 0, ""
 
 
-def _evidence(name: str, attributes: str, inside: int) -> int:
-    """What an element says about all that it holds: NEVER, BUTTON, or points for content."""
+def _names(value: str) -> tuple[int, int]:
+    """What a class or id says: points for content, and the cost of its worst furniture name."""
+    points = cost = 0
+    for token in ABOUT.sub("", value).split():
+        if NAMES.search(token):
+            rest = re.split(r"[\s_-]+", NAMES.sub(" ", token).lower())
+            cost = min(cost, WHOLE if all(not x or x.isdigit() or x in SHAPE for x in rest) else PART)
+        elif CONTENT.search(token):
+            points = 20
+    return points, cost
+
+
+def _evidence(name: str, attributes: str, inside: int) -> tuple[int, int]:
+    """What an element says about all that it holds: NEVER, BUTTON, or points for content; and what its class and id cost."""
     if name in UNSEEN or name in FURNITURE:
-        return NEVER
-    points = 40 if name in ("article", "main") else BUTTON if name == "button" else 0
-    if name == "header":
-        points = 0 if inside > 0 else NEVER
+        return NEVER, 0
+    points, cost = 40 if name in ("article", "main") else BUTTON if name == "button" else 0, 0
+    if name == "header" and inside <= 0:
+        return NEVER, 0
     if attributes:
         said_before = set()
         for key, a, b, c in ATTRIBUTE.findall(attributes):
@@ -73,19 +92,39 @@ def _evidence(name: str, attributes: str, inside: int) -> int:
                 continue
             said_before.add(key)
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-                return NEVER
+                return NEVER, 0
             if key == "role":
                 said = ROLES.get(value.lower(), 0)
                 if said < 0:
-                    return NEVER
+                    return NEVER, 0
                 points += 30 * said
             elif key in ("class", "id") and name not in ("html", "body"):
-                value = ABOUT.sub("", value)
-                if NAMES.search(value):
-                    return NEVER
-                if CONTENT.search(value):
-                    points += 20
-    return points
+                more, less = _names(value)
+                points, cost = points + more, min(cost, less)
+    return points, cost
+
+
+def _totals(parents: list[int], said: list[tuple[int, int]], first: list[int], out: list[Block]) -> list[int]:
+    """Points of each element and all around it with the cost of names; `first` has them without."""
+    size = [0] * len(parents)
+    for b in out:
+        for text, element, _ in b.pieces:
+            if first[element] > BUTTON:
+                size[element] += len(text)
+    for n in range(len(parents) - 1, 0, -1):
+        size[parents[n]] += size[n]
+    total = [0]
+    for n in range(1, len(parents)):
+        if first[n] <= BUTTON:
+            total.append(first[n])
+            continue
+        around, (points, cost) = total[parents[n]], said[n]
+        if size[n] >= NEARLY_ALL * size[0]:
+            cost = 0
+        if cost <= WHOLE:
+            around = min(around, AT_MOST)
+        total.append(max(LEAST, min(MOST, around + points + cost)))
+    return total
 
 
 def _weigh(b: Block, total: list[int]) -> None:
@@ -113,7 +152,7 @@ def blocks(html: str) -> list[Block]:
     """Blocks of text in page order, with the path of elements they stand in and the points of those elements."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []  # name, number
-    total = [0]  # points of each element and all around it
+    parents, said, first = [0], [(0, 0)], [0]  # of each element; points of it and all around it without names
     number = at = links = 0
     now: Block | None = None
     end = len(html)
@@ -180,11 +219,14 @@ def blocks(html: str) -> list[Block]:
                 if stack[i][0] in SCOPE:
                     break
         number += 1
-        around = total[stack[-1][1]] if stack else 0
-        own = NEVER if around <= NEVER else _evidence(name, tag[3], around)
-        total.append(NEVER if own <= NEVER else BUTTON if BUTTON in (around, own) else around + own)
+        parents.append(stack[-1][1] if stack else 0)
+        around = first[parents[-1]]
+        said.append((NEVER, 0) if around <= NEVER else _evidence(name, tag[3], around))
+        own = said[-1][0]
+        first.append(NEVER if own <= NEVER else BUTTON if around == BUTTON or own < LEAST else around + own)
         stack.append((name, number))
         links += name == "a"
+    total = _totals(parents, said, first, out)
     for b in out:
         _weigh(b, total)
     return [b for b in out if b.text]
