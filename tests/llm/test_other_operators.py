@@ -108,6 +108,14 @@ def test_html_names_are_finite():
         assert main_text(f'<article>{body}</article><div id="{name}"><p>gone with the furniture</p></div>') == want, name
 
 
+def test_html_short_text_is_kept():
+    long = ("many words of the article stand here " * 8).strip()
+    assert main_text(f"<body><h1>Title</h1><p>{long}</p></body>") == f"Title\n\n{long}"
+    assert main_text(f"<body><p>First.</p><p>{long}</p><h2><a href=/x>Linked</a></h2><p>{long}</p><p>The end.</p></body>") == f"First.\n\n{long}\n\nLinked\n\n{long}\n\nThe end."
+    assert main_text("<body><p>One short line.</p><p>Two of <a href=/y>them</a> here.</p><ul><li>a</li><li>b</li></ul></body>") == "One short line.\n\nTwo of them here.\n\na\n\nb"
+    assert main_text(f"<body><ul><li><a href=/>Home</a></li><li><a href=/b>News of today</a></li></ul><p>{long}</p></body>") == long
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(60):

@@ -184,6 +184,8 @@ def blocks(html: str) -> list[Block]:
             at = end if close < 0 else close + 1
             continue
         tag = TAG.match(html, lt) or LOOSE.match(html, lt)
+        if not tag and re.match(r"/?[a-zA-Z]", html[lt + 1 : lt + 3]):
+            break
         if not tag:
             add("<")
             at = lt + 1
@@ -233,12 +235,17 @@ def blocks(html: str) -> list[Block]:
 
 
 def terminal(b: Block) -> int:
-    """Cost of calling a block boilerplate (positive), or of calling it content (negative)."""
+    """Cost of calling a block boilerplate (positive), or of calling it content (negative).
+
+    Only evidence of furniture makes it negative: points of what the block stands in, or much of its text in links.
+    Shortness alone does not, and a heading has a cost of its own.
+    """
     if b.score <= NEVER:
         return NEVER
     words = b.text.count(" ") + 1
     share = min(1.0, b.linked / max(1, len(b.text)))
-    return b.score + min(20, words // 4) - round(30 * share) - (6 if words < 8 else 0) - 4
+    heading = b.name in HEADINGS
+    return b.score + 4 + (8 if heading else 0) + min(30, words // 4) - round((10 if heading else 30) * share * share)
 
 
 def smoothness(a: Block, b: Block) -> int:
