@@ -212,6 +212,35 @@ def test_license_scan(spark, texts):
     assert "gpl-3.0" in by[602].labels and "lgpl-2.1" in by[602].labels and "gpl-3.0" in by[603].labels
 
 
+def labels_of(spark, texts):
+    rows = license_scan(frame(spark, list(enumerate(texts)))).collect()
+    return [set(r.labels.split(",")) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_license_scan_over_lines(spark):
+    cases = [
+        ("Apache License\n                           Version 2.0, January 2004", "apache-2.0"),
+        ("GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007", "gpl-3.0"),
+        ("// GNU General Public\n// License as published, version 2", "gpl"),
+        (" * GNU General Public\r\n * License v2", "gpl-2.0"),
+        ("Permission is hereby granted, free of\ncharge, to any person obtaining a  copy of this", "mit"),
+        ("# Permission to use, copy, modify,\n#\n# and/or distribute this software", "isc"),
+        ("Redistribution  and use in source and\n   binary forms", "bsd"),
+        ("released into the public\ndomain", "public-domain"),
+        ("This is free and unencumbered software\nreleased into the public\n domain.", "unlicense"),
+        ("Creative\nCommons Attribution-Share\nAlike", "cc-by-sa"),
+        ("All rights\n reserved.", "proprietary"),
+        ("do what the fork you want to public\nlicense", "wtfpl"),
+        ("GPL v3, CC BY 4.0", "gpl-3.0"),
+        ("CC BY 4.0", "cc-by-4.0"),
+        ("Mozilla Public License\n2.0.", "mpl-2.0"),
+    ]
+    for (text, want), got in zip(cases, labels_of(spark, [t for t, _ in cases]), strict=True):
+        assert want in got, (text, got)
+    for got in labels_of(spark, ["under the GPL\n2. Next item", "Apache License\n1. Definitions", "CC BY\n4) Next item", "MIT\nis a place. License"]):
+        assert not got & {"gpl-2.0", "apache-1.0", "cc-by-4.0", "mit"}, got
+
+
 @pytest.mark.parametrize("operator", [exact_dedup, near_duplicates, mix_sources, personal_data, license_scan, without_copies, without_near_duplicates, mixed])
 def test_empty_table(spark, operator):
     assert operator(frame(spark, [])).count() == 0

@@ -16,6 +16,10 @@ from wayleave.llm.shared import text_or_empty
 W = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 N = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
+# Blanks within a line; and what may stand between two words: those, or line breaks with marks of comments after them.
+B = r"[\x20\t\x0B\f\r\u00A0]"
+GAP = rf"(?:{B}*(?:\n{B}*(?:(?:[*#/;%>|!]+|--+){B}*)?)+|{B}+)"
+
 # The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -67,23 +71,35 @@ SINGLES = [
     ("bsd", "redistribution", r"\bredistribution and use in source and binary forms\b"),
     ("zlib", "zlib", r"\bzlib(?:/libpng)? license\b"),
     ("unlicense", "unlicense", r"\bunlicense\b"),
-    ("unlicense", "public domain", r"\bfree and unencumbered software released into the public domain\b"),
-    ("wtfpl", "public license", r"\bdo what the f\w+ you want to public license\b"),
+    ("unlicense", "domain", r"\bfree and unencumbered software released into the public domain\b"),
+    ("wtfpl", "license", r"\bdo what the f\w+ you want to public license\b"),
     ("cc0", "cc0", r"\bcc0(?:[ -]1(?:\.0)?)?\b"),
-    ("public-domain", "public domain", r"\bpublic domain\b"),
+    ("public-domain", "domain", r"\bpublic domain\b"),
     ("ncsa", "ncsa", r"\b(?:university of illinois|ncsa) open source license\b"),
     ("postgresql", "postgresql", r"\bpostgresql license\b"),
     ("openssl", "openssl", r"\bopenssl license\b"),
-    ("proprietary", "rights reserved", r"\ball rights reserved\b"),
+    ("proprietary", "reserved", r"\ball rights reserved\b"),
     ("proprietary", "proprietary", r"\bproprietary (?:and confidential|license)\b"),
     ("commercial", "commercial", r"\bcommercial license\b"),
     ("unknown-license", "licen", r"\blicen[cs]ed? under\b"),
 ]
 
 
+def _spaced(expression: str) -> str:
+    """The expression with each space taken for a gap; it has spaces only alone, as ' *', ' ?' and '[ -]'."""
+    return expression.replace("[ -]", f"(?:{GAP}|-)").replace(" *", f"{GAP}?").replace(" ?", f"{GAP}?").replace(" ", GAP)
+
+
+def _number(v: str, glue: str) -> str:
+    """The version after glue, or on another line if it does not look like a list's number there; with or without trailing .0."""
+    n = v.replace(".", "[.]")
+    listed = "" if "." in v else r"(?![.)](?:\s|$))"
+    return rf"(?:{glue}{n}(?:[.]0)*|{GAP}{n}(?:(?:[.]0)+|{listed}))(?![0-9]|[.][0-9])"
+
+
 def _version(v: str) -> str:
     """The version, with a leading v or the word version, and with or without trailing .0."""
-    return rf",? *(?:v|version)?\.? *{v.replace('.', '[.]')}(?:[.]0)*(?![0-9]|[.][0-9])"
+    return ",?" + _number(v, rf"(?:{GAP}?(?:version|v)\.?{GAP}?|{B}*\.?{B}*)")
 
 
 def rules() -> list[tuple[int, str, str, str, float]]:
@@ -95,17 +111,18 @@ def rules() -> list[tuple[int, str, str, str, float]]:
             label = f"{stem}-{v if '.' in v else v + '.0'}"
             out += [(0, label, "spdx", rf"\bspdx-license-identifier: *{s}-{v.replace('.', '[.]')}(?:[.]0)?(?:-only|-or-later|\+)?(?![\w.])", 1.0) for s in shorts]
             out.append((1, label, keyword, rf"\b{long}{_version(v)}", 0.95))
-            out += [(1, label, s, rf"\b{s}[ -]?v?{v.replace('.', '[.]')}(?:[.]0)?\+?(?![0-9]|[.][0-9])", 0.9) for s in shorts]
+            out += [(1, label, s, rf"\b{s}{_number(v, rf'(?:{GAP}v|(?:{B}*|-)v?)')}\+?", 0.9) for s in shorts]
         out.append((2, stem, keyword, rf"\b{long}\b", 0.7))
         out += [(2, stem, s, rf"\b{s} licen[cs]ed?\b", 0.6) for s in shorts]
     for kind in CC:
         words = kind.replace("by", "attribution").replace("nc", "non-?commercial").replace("sa", "share-? ?alike").replace("nd", "no-? ?deriv(?:ative)?s?").replace("attribution-", "attribution[ -]").replace("-share", "[ -]share").replace("-no-", "[ -]no-").replace("-non", "[ -]non")
         for v in CC_VERSIONS:
-            out.append((1, f"cc-{kind}-{v if '.' in v else v + '.0'}", "cc", rf"\bcc[ -]{kind}[ -]{v.replace('.', '[.]')}(?:[.]0)?(?![0-9]|[.][0-9])", 0.95))
+            out.append((1, f"cc-{kind}-{v if '.' in v else v + '.0'}", "cc", rf"\bcc[ -]{kind}{_number(v, rf'(?:{B}+|-)')}", 0.95))
         out.append((2, f"cc-{kind}", "cc", rf"\bcc[ -]{kind}(?![\w-])", 0.8))
-        out.append((2, f"cc-{kind}", "creative commons", rf"\bcreative commons {words}\b", 0.8))
-    out.append((2, "cc", "creative commons", r"\bcreative commons\b", 0.5))
+        out.append((2, f"cc-{kind}", "commons", rf"\bcreative commons {words}\b", 0.8))
+    out.append((2, "cc", "commons", r"\bcreative commons\b", 0.5))
     out += [(3 if label in ("unknown-license", "public-domain", "proprietary") else 2, label, keyword, expression, 0.3 if label == "unknown-license" else 0.7) for label, keyword, expression in SINGLES]
+    out = [(p, label, keyword, _spaced(expression), c) for p, label, keyword, expression, c in out]
     return sorted(out, key=lambda r: r[0])
 
 
