@@ -10,7 +10,7 @@ import pytest
 from wayleave.llm import near_dedup
 from wayleave.llm.decontaminate import decontaminate, without_contaminated
 from wayleave.llm.exact_dedup import exact_dedup, without_copies
-from wayleave.llm.licenses import license_scan, rules
+from wayleave.llm.licenses import license_scan, rules, suppressed
 from wayleave.llm.mixing import mix_sources, mixed
 from wayleave.llm.near_dedup import near_duplicates, without_near_duplicates
 from wayleave.llm.pii import personal_data, sanitised
@@ -241,6 +241,17 @@ def test_license_scan_over_lines(spark):
         assert not got & {"gpl-2.0", "apache-1.0", "cc-by-4.0", "mit"}, got
 
 
+def test_license_scan_longer_detections(spark):
+    texts = ["GNU Lesser General Public License version 3", "Affero General Public License v3", "GNU Library General Public\nLicense, version 2", "GNU General Public License version 3 and GNU Lesser General Public License version 3", "GPL 3 GPL 3"]
+    got = labels_of(spark, texts)
+    assert "lgpl-3.0" in got[0] and "gpl-3.0" not in got[0]
+    assert "agpl-3.0" in got[1] and "gpl-3.0" not in got[1]
+    assert "lgpl-2.0" in got[2] and "gpl-2.0" not in got[2]
+    assert {"gpl-3.0", "lgpl-3.0"} <= got[3] and "gpl-3.0" in got[4]
+    found = spark.createDataFrame([(1, 1, "a", 0, 9), (1, 1, "b", 0, 9), (1, 1, "c", 0, 8), (1, 1, "d", 1, 9), (1, 2, "e", 0, 9), (1, 1, "f", 5, 12), (2, 1, "g", 1, 9)], "k int, priority int, label string, start int, end int")
+    assert {r.label for r in suppressed(found, ["k"]).collect()} == {"a", "b", "f", "g"}
+
+
 @pytest.mark.parametrize("operator", [exact_dedup, near_duplicates, mix_sources, personal_data, license_scan, without_copies, without_near_duplicates, mixed])
 def test_empty_table(spark, operator):
     assert operator(frame(spark, [])).count() == 0

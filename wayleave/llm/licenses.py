@@ -2,8 +2,9 @@
 
 A rule is (priority, label, keyword, regular expression, confidence). Texts without any keyword go by after one look. For
 the others, the rules whose keyword occurs are applied; every match is a detection with its interval of characters.
-A detection that lies within the interval of another one of a better priority is dropped, by running maxima over the
-detections of a document in order of their start, one for each priority; no pairs of detections are made.
+A detection that lies within the interval of another one of a better priority, or within a longer one of its own priority,
+is dropped, by running maxima over the detections of a document in order of their start, one for each priority; no pairs
+of detections are made.
 """
 
 from __future__ import annotations
@@ -164,13 +165,16 @@ def _detections(rows: DataFrame, key: list[str], text: str, hits: str) -> DataFr
 
 
 def suppressed(found: DataFrame, key: list[str]) -> DataFrame:
-    """Without the detections that lie within the interval of one of a better priority."""
+    """Without the detections that lie within the interval of one of a better priority, or within a longer one of their own."""
     order = Window.partitionBy(*key).orderBy("start", F.col("end").desc(), "priority")
     kept = found
     for p in range(PRIORITIES - 1):
         kept = kept.withColumn(f"_r{p}", F.max(F.when(F.col("priority") == p, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     covered = F.greatest(*(F.when(F.col("priority") > p, F.coalesce(F.col(f"_r{p}"), F.lit(-1))).otherwise(F.lit(-1)) for p in range(PRIORITIES - 1)))
-    return kept.where(covered < F.col("end")).drop(*(f"_r{p}" for p in range(PRIORITIES - 1)))
+    own = Window.partitionBy(*key, "priority").orderBy("start")
+    earlier, so_far = (F.coalesce(F.max("end").over(own.rangeBetween(Window.unboundedPreceding, to)), F.lit(-1)) for to in (-1, 0))
+    kept = kept.withColumn("_longer", (earlier >= F.col("end")) | (so_far > F.col("end")))
+    return kept.where((covered < F.col("end")) & ~F.col("_longer")).drop("_longer", *(f"_r{p}" for p in range(PRIORITIES - 1)))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
