@@ -5,9 +5,10 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from wayleave.llm import near_dedup
+from wayleave.llm import near_dedup, textops
 from wayleave.llm.decontaminate import decontaminate, without_contaminated
 from wayleave.llm.exact_dedup import exact_dedup, without_copies
 from wayleave.llm.licenses import license_scan, rules, suppressed
@@ -252,6 +253,19 @@ def test_license_scan_longer_detections(spark):
     assert {r.label for r in suppressed(found, ["k"]).collect()} == {"a", "b", "f", "g"}
 
 
+def test_long_words_differ_by_the_order_of_their_tails(spark):
+    head = "x" * 4096
+    words = [head + "ab" * 3000, head + "ba" * 3000, head + "a" * 3000 + "b" * 3000, "b" * 4096 + "a" * 4096, "a" * 4096 + "b" * 4096, head + "ab" * 3000]
+    chinese = ["天" * 1400 + "地玄黄" * 900, "天" * 1400 + "玄地黄" * 900]
+    for classes in (textops.SPACED, textops.ALNUM):
+        h = textops.Words(pa.array(words + chinese, pa.large_string()), classes).hash
+        assert len(set(h.tolist())) == 7 and h[0] == h[5]
+        assert textops.Words(pa.array([" y " + words[1]], pa.large_string()), classes).hash[1] == h[1]
+    docs = list(enumerate(words[:2] + chinese))
+    assert all(r.kept for r in near_duplicates(frame(spark, docs)).collect())
+    assert without_near_duplicates(frame(spark, docs)).count() == 4
+
+
 @pytest.mark.parametrize("operator", [exact_dedup, near_duplicates, mix_sources, personal_data, license_scan, without_copies, without_near_duplicates, mixed])
 def test_empty_table(spark, operator):
     assert operator(frame(spark, [])).count() == 0

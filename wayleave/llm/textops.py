@@ -93,9 +93,15 @@ class Words:
             spread[0] += at[0]
             place = np.arange(data.size) - np.repeat(at, spread)
             place[: at[0]] = 0
-            np.minimum(place, 4095, out=place)
             values = _BYTE[c]
-            values *= _POWERS[place]
+            if place.max() < _POWERS.size:
+                values *= _POWERS[place]
+            else:  # every block of a long word has a multiplier of its own
+                block = place // _POWERS.size
+                several = _numbers(int(block.max()) + 1, 303) | U(1)
+                several[0] = 1
+                values *= _POWERS[place % _POWERS.size]
+                values *= several[block]
             self.hash = mix(np.add.reduceat(values, at) + size.astype(np.uint64) * _STEP)
         else:
             self.hash = np.zeros(0, np.uint64)
