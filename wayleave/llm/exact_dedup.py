@@ -6,8 +6,9 @@ equals stays. The range key is a short prefix and a 64-bit hash of the text, so
 small and many texts with one beginning still spread over many ranges; the sort and the comparison use the whole text.
 
 A group of copies may hold a large part of all rows. Counts by hash (pre-aggregated in every task) name those hashes
-that have more than a partition's fair share; their rows get a salt from the identifier, the runs of each salt are
-found apart, and only one row for each run and salt meets in a second step.
+that have more than a partition's fair share; their rows get a salt from the identifier and the runs of each salt are
+found apart. What these runs have in common, the smallest identifier and the count, comes from a second read of the rows
+with those hashes, grouped by hash and text.
 """
 
 from __future__ import annotations
