@@ -88,3 +88,26 @@ def test_register_adds_up(spark):
     step = F.coalesce("step_dka", F.lit(0))
     assert body.where(F.col("area_dka") != F.col("restricted_dka") + F.col("remainder_dka") + step).count() == 0
     assert balances.unequal_totals(balances.territory_balance(body), registers.register_totals(body)).count() == 0
+
+
+def test_merged_close_in_runs(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from wayleave.operators import shapes
+
+    rng = random.Random(3)
+    xs = np.cumsum([rng.choice([0.004, 0.006, 0.011, 0.5]) for _ in range(300)]).tolist()
+    points = spark.createDataFrame([(1, i, x, 0.0, [str(i % 3)]) for i, x in enumerate(xs)], "e int, ord int, x double, y double, ekattes array<string>")
+    kept = []
+    for i, x in enumerate(xs):
+        if kept and x - xs[kept[-1][0]] < 0.01:
+            kept[-1][1].add(str(i % 3))
+        else:
+            kept.append((i, {str(i % 3)}))
+    for n in (1, 7, 1000):
+        monkeypatch.setattr(shapes, "RUNS", n)
+        got = shapes.merged_close(points, ["e"])
+        assert "_run" in got._jdf.queryExecution().analyzed().toString()
+        assert sorted((r.ord, set(r.ekattes)) for r in got.collect()) == kept

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayleave.functions.keys import hex_handle
@@ -64,8 +64,15 @@ def overlap_flags(pairs: DataFrame) -> DataFrame:
     return rows.groupBy("parcel_id").applyInPandas(run, "parcel_id string, dropped long")
 
 
+RUNS = 1000
+
+
 def merged_close(points: DataFrame, by: list[str], gap: float = 0.01) -> DataFrame:
-    """Points in order without those closer than gap to the last kept one, whose settlements they join: state runs along one edge at a time."""
+    """Points in order without those closer than gap to the last kept one, whose settlements they join.
+
+    A point further from the one before it than twice the gap (three times, for rounding) is kept whatever came before, so
+    an edge is worked off in runs between such points, RUNS at a time.
+    """
     kinds = dict(points.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -78,4 +85,7 @@ def merged_close(points: DataFrame, by: list[str], gap: float = 0.01) -> DataFra
                 kept.append(r | {"ekattes": list(r["ekattes"])})
         return pd.DataFrame(kept, columns=pdf.columns)
 
-    return points.groupBy(*by).applyInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    order = Window.partitionBy(*by).orderBy("ord")
+    far = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(order), F.col("y") - F.lag("y").over(order)) >= 3 * gap, F.lit(True))
+    runs = points.withColumn("_far", far).withColumn("_run", F.floor(F.sum(F.col("_far").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) / RUNS)).drop("_far")
+    return runs.groupBy(*by, "_run").applyInPandas(lambda pdf: run(pdf.drop(columns="_run")), ", ".join(f"{c} {k}" for c, k in kinds.items()))
