@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayleave.llm.shared import save, text_or_empty
+from wayleave.llm.shared import as_row, save, text_or_empty, whole_rows
 from wayleave.llm.textops import ALNUM, U, Words, mix, pieces
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -92,7 +92,9 @@ def decontaminate(
     A-Z count as a-z; words are runs of ASCII letters, digits and non-ASCII characters. n_hit counts the words inside
     any occurrence of a window; contaminated: n_hit > 0 and part * n_hit >= n_words. Null texts have no words; items
     without words have no window; without items nothing is hit. Repeated rows each get their result, repeated items count
-    once by their identifier, and an item without one is listed as an empty string. An empty table gives an empty result.
+    once by their identifier, and an item without one is listed as an empty string. Texts may have any length; windows that
+    occur several times or overlap count each word once. An empty table gives an empty result. Only the named columns are
+    read, so others may have any name.
     """
     spark = docs.sparkSession
     tokens = save(items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), text_or_empty(item_text).alias("t")).mapInArrow(_item_windows(window, shingle), "item string, wtext string, len int, k int, off int, h long"), "windows")
@@ -102,7 +104,7 @@ def decontaminate(
     seen[probes["w"].to_numpy(np.int64)] = probes["b"].to_numpy(np.int64).astype(np.uint8)
     widths = sorted(r["k"] for r in tokens.select("k").distinct().collect())
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("t")).select("id", F.xxhash64("t").alias("th"), "t")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(f"`{text_col}`").alias("t")).select("id", F.xxhash64("t").alias("th"), "t")
     scan = save(rows.mapInArrow(_scan(widths, spark.sparkContext.broadcast(seen)), "id long, th long, n_words long, hits array<struct<pos:int,h:long>>, text string"), "scan")
     key = ["id", "th"]
     some = scan.where(F.size("hits") > 0).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
@@ -112,9 +114,11 @@ def decontaminate(
     ranked = tokens.select("wtext", "len", "off", "h").distinct().join(counts, "h", "left")
     prefix = ranked.groupBy("wtext", "len").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "off")).alias("x")).where("x.df > 0").select("wtext", "len", "x.h", "x.off")
     near = at.join(prefix, "h").withColumn("start", F.col("pos") - F.col("off")).where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
+    # A document's candidates come together, so that its words are taken apart once, not once for each of them.
+    asked = near.groupBy(*key).agg(F.collect_set(F.struct("start", "len", "wtext")).alias("asked"))
     words = some.dropDuplicates(key).select(*key, F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0)).alias("words"))
-    same = F.array_join(F.slice("words", F.col("start") + 1, F.col("len")), " ") == F.col("wtext")
-    found = save(near.select(*key, "start", "len", "wtext").join(words, key).where(same).select(*key, "start", "len", "wtext"), "found")
+    same = F.filter("asked", lambda x: F.array_join(F.slice("words", x["start"] + 1, x["len"]), " ") == x["wtext"])
+    found = save(asked.join(words, key).select(*key, F.explode(same).alias("x")).select(*key, "x.start", "x.len", "x.wtext"), "found")
 
     end = F.col("start") + F.col("len")
     reach = F.max(end).over(Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
@@ -123,10 +127,10 @@ def decontaminate(
     named = found.select(*key, "wtext").distinct().join(tokens.select("wtext", "item").distinct(), "wtext").select(*key, "item").distinct()
     listed = named.groupBy(*key).agg(F.count(F.lit(1)).alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("list"))
 
-    all_ = scan.select(F.col("id").alias(id_col), F.coalesce("id", F.lit(NO_ID)).alias("id"), "th", "n_words").join(covered, key, "left").join(listed, key, "left")
+    all_ = scan.select(F.col("id").alias("_given"), F.coalesce("id", F.lit(NO_ID)).alias("id"), "th", "n_words").join(covered, key, "left").join(listed, key, "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return all_.select(
-        id_col,
+        F.col("_given").alias(id_col),
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -137,11 +141,16 @@ def decontaminate(
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that decontaminate() does not mark, with all their columns."""
+    """The rows of docs that decontaminate() does not mark, with all their columns, whatever their names.
+
+    What decontaminate() says of nulls, long texts, repeated rows and empty tables holds here: a row without words is kept,
+    of repeated rows all or none are.
+    """
     bad = decontaminate(docs, items, id_col=id_col, text_col=text_col, **how).where("contaminated")
-    bad = save(bad.select(F.coalesce(id_col, F.lit(NO_ID)).alias("_id"), F.col("row_hash").alias("_th")).distinct(), "contaminated")
-    rows = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_th", F.xxhash64(text_or_empty(text_col)))
-    return rows.join(bad, ["_id", "_th"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    bad = save(bad.select(F.coalesce(f"`{id_col}`", F.lit(NO_ID)).alias("_id"), F.col("row_hash").alias("_th")).distinct(), "contaminated")
+    id_ = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    rows = docs.select(as_row(docs).alias("_row"), id_.alias("_id"), F.xxhash64(text_or_empty(f"`{text_col}`")).alias("_th"))
+    return whole_rows(rows.join(bad, ["_id", "_th"], "left_anti"), docs)
 
 
 #: Stands for a null identifier in joins.

@@ -13,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayleave.llm.shared import save, text_or_empty
+from wayleave.llm.shared import as_row, join_hot, save, text_or_empty, whole_rows
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-# Starts of runs only (or where the last match ended), and possessive runs: the same matches, without retries inside a run.
+# Starts of runs only (or where the last match ended), and possessive runs: the same matches, without retries inside a run
+# and without recursion, so that runs may have any length.
 LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
-    "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -70,9 +71,10 @@ def base_spans(rows: DataFrame, key: list[str], text: str) -> DataFrame:
     return found.where(ok)
 
 
-def _disclosing(texts: DataFrame, asked: DataFrame, spans: DataFrame, threshold: float, support: int) -> DataFrame | None:
-    """(term): the terms that disclose an entity; None if there are none. texts are all rows (_th, _t), asked the distinct texts that may hold entities.
+def _disclosing(texts: DataFrame, asked: DataFrame, spans: DataFrame, keys: DataFrame, threshold: float, support: int) -> DataFrame | None:
+    """(term): the terms that disclose an entity; None if there are none.
 
+    texts are all rows (_th, _t), keys their saved keys (_th), asked the distinct texts that may hold entities.
     Only texts that may hold entities are shuffled; of the others only those of their words that are terms in question.
     """
     value = F.when(F.col("kind") == 0, F.lower("match")).when(F.col("kind") == 1, F.col("match")).otherwise(_digits(F.col("match")))
@@ -89,7 +91,7 @@ def _disclosing(texts: DataFrame, asked: DataFrame, spans: DataFrame, threshold:
     pairs = save(pairs, "pairs")
     if pairs.isEmpty():
         return None
-    n = texts.select("_th").distinct().count()
+    n = keys.distinct().count()
     pmi = F.log(F.lit(float(n)) * F.col("net") / (F.col("ne") * F.col("nt")))
 
     def rated(pairs: DataFrame, among: DataFrame) -> DataFrame:
@@ -106,22 +108,27 @@ def _words(texts: DataFrame) -> DataFrame:
     return texts.select("_th", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit(TERM), F.lit(0)))).alias("term"))
 
 
+def text_key(t: Column) -> Column:
+    """128 bits of the text's SHA-256: what tells texts apart."""
+    return F.unhex(F.substring(F.sha2(F.encode(t, "UTF-8"), 256), 1, 32))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    t = text_or_empty(text_col)
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_k"), F.xxhash64(t).alias("_th"), t.alias("_t"))
+    t = text_or_empty(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("_k"), text_key(t).alias("_th"), t.alias("_t"))
 
 
-def all_spans(docs: DataFrame, threshold: float = 0.8, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_th, kind, start, end) of each distinct text with spans; _th is the text's hash."""
-    texts = _keyed(docs, id_col, text_col).select("_th", "_t")
+def _all_spans(keyed: DataFrame, rows: DataFrame, threshold: float, support: int) -> DataFrame:
+    """(_th, kind, start, end) of each distinct text with spans; _th is the text's key. `rows` are the saved keys of all rows (_id, _k, _th)."""
+    texts = keyed.select("_k", "_th", "_t")
     gated = F.regexp_like("_t", F.lit(r"@|\+|[0-9]\.[0-9]|[0-9](?:[\x20-]?[0-9]){12}"))
     asked = texts.where(gated).dropDuplicates(["_th"])
     base = save(base_spans(asked, ["_th"], "_t"), "base-spans")
     spans = base.select("_th", "kind", "start", "end")
-    terms = _disclosing(texts, asked, base, threshold, support)
+    terms = _disclosing(texts, asked, base, rows.select("_th"), threshold, support)
     if terms is not None:
         holding = _words(texts).join(terms, "term", "left_semi").select("_th").distinct()
-        held = texts.join(holding, "_th", "left_semi").dropDuplicates(["_th"])
+        held = join_hot(texts, save(holding, "holding"), ["_th"], ["_k"], "left_semi", counted=rows).dropDuplicates(["_th"])
         more = placed(held, ["_th"], "_t", TERM).withColumn("term", F.lower("match")).join(terms, "term", "left_semi")
         spans = spans.unionByName(more.select("_th", F.lit(4).alias("kind"), "start", "end"))
     return spans
@@ -131,13 +138,16 @@ def personal_data(docs: DataFrame, threshold: float = 0.8, support: int = 3, id_
     """One row for each input row: id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans, row_hash.
 
     Spans are kind:start:end in code points, end exclusive, by kind in the order of KINDS, then by start, joined by commas.
-    A null text counts as empty and has none; repeated rows each get their result; an empty table gives an empty result.
+    A null text counts as empty and has none; repeated rows each get their result; texts and runs of any length are looked
+    through as a whole; where two terms or entities tie, both count; an empty table gives an empty result. Only the two
+    named columns are read, so others may have any name.
     """
-    spans = all_spans(docs, threshold, support, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col)
+    rows = save(keyed.drop("_t"), "keys")
+    spans = _all_spans(keyed, rows, threshold, support)
     names = F.array(*map(F.lit, KINDS))
     listed = spans.groupBy("_th").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("s"))
-    rows = _keyed(docs, id_col, text_col).drop("_t", "_k")
-    out = rows.join(listed, "_th", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")))
+    out = join_hot(rows, save(listed, "listed"), ["_th"], ["_k"]).withColumn("s", F.coalesce("s", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")))
     text = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     number = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return out.select(
@@ -146,9 +156,14 @@ def personal_data(docs: DataFrame, threshold: float = 0.8, support: int = 3, id_
 
 
 def sanitised(docs: DataFrame, threshold: float = 0.8, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with `sanitised`: entities replaced by the name of their kind in brackets, disclosing terms removed; where spans overlap, the first counts."""
-    texts = _keyed(docs, id_col, text_col).select("_th", "_t")
-    spans = all_spans(docs, threshold, support, id_col, text_col)
+    """docs with `sanitised`: entities replaced by the name of their kind in brackets, disclosing terms removed; where spans overlap, the first counts.
+
+    A null text becomes an empty one in it. Other columns stay as they are, whatever their names, but for one called
+    sanitised, which is replaced. What personal_data() says of repeated rows, long texts, ties and empty tables holds here.
+    """
+    keyed = _keyed(docs, id_col, text_col)
+    texts, keys = keyed.select("_th", "_t"), save(keyed.drop("_t"), "keys")
+    spans = _all_spans(keyed, keys, threshold, support)
     order = Window.partitionBy("_th").orderBy("start", "kind")
     end = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     free = spans.withColumn("_e", F.coalesce(end, F.lit(0))).where(F.col("start") >= F.col("_e"))
@@ -157,5 +172,7 @@ def sanitised(docs: DataFrame, threshold: float = 0.8, support: int = 3, id_col:
     label = F.when(F.col("kind") == 4, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)), F.lit("]")))
     piece = F.concat(F.substring("_t", F.col("from") + 1, F.col("start") - F.col("from")), label, F.when(F.col("last"), F.substring("_t", F.col("end") + 1, F.length("_t"))).otherwise(F.lit("")))
     joined = held.groupBy("_th").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", piece.alias("p")))), lambda x: x["p"]), "").alias("_s"))
-    out = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "sanitised"), F.xxhash64(text_or_empty(text_col)).alias("_th"), text_or_empty(text_col).alias("_t")).join(joined, "_th", "left")
-    return out.withColumn("sanitised", F.coalesce("_s", "_t")).drop("_th", "_t", "_s")
+    t = text_or_empty(f"`{text_col}`")
+    rows = docs.select(as_row(docs).alias("_row"), F.col(f"`{id_col}`").alias("_id"), text_key(t).alias("_th"), t.alias("_t"))
+    out = join_hot(rows, save(joined, "sanitised"), ["_th"], ["_id"], counted=keys).withColumn("_clean", F.coalesce("_s", "_t"))
+    return whole_rows(out, docs, sanitised="_clean")

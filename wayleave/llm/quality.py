@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayleave.llm.shared import bit_map, text_or_empty
+from wayleave.llm.shared import as_row, bit_map, text_or_empty, whole_rows
 from wayleave.llm.textops import SPACED, Words, pieces, raw
 
 TRIGRAMS = 1 << 16
@@ -59,25 +59,39 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n[0, f]), pa.array(n[1, f])], ["f", "bad", "good"])
 
 
+def _packed(f: np.ndarray) -> bytes:
+    """A feature list as 4 bytes a feature, or as a bit for each of all features where that is shorter: 8 kB at most, whatever the text."""
+    if 4 * f.size < FEATURES // 8:
+        return f.astype("<u4").tobytes()
+    bits = np.zeros(FEATURES, bool)
+    bits[f] = True
+    return np.packbits(bits).tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<u4").astype(np.int64) if len(b) < FEATURES // 8 else np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), count=FEATURES))
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, a in pieces(batch.column(0)):
-            lists = pa.array([f.astype(np.int32) for f in _indicators(a)], pa.list_(pa.int32()))
+            lists = pa.array([_packed(f) for f in _indicators(a)], pa.binary())
             yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(at, len(a))], ["fs", "label"])
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = 1.0, rounds: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
+def descend(rows: list[bytes], y: np.ndarray, ratio: np.ndarray, cost: float = 1.0, rounds: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L1 hinge loss over unit-length rows ratio[features]; returns weights by feature, and the bias."""
     w, bias = np.zeros(ratio.size), 0.0
     alpha = np.zeros(len(rows))
     share = np.array([(y < 0).mean(), (y > 0).mean()])
     limit = np.where(y > 0, cost / max(2 * share[1], 1e-9), cost / max(2 * share[0], 1e-9))
-    values = [ratio[f] / max(np.sqrt((ratio[f] ** 2).sum()), 1e-12) for f in rows]
     order, rng = np.arange(len(rows)), np.random.default_rng(seed)
     for _ in range(rounds):
         rng.shuffle(order)
         for i in order:
-            f, x = rows[i], values[i]
+            f = _unpacked(rows[i])  # one row at a time: all of them would not be bounded by their packed size
+            x = ratio[f]
+            x = x / max(np.sqrt((x * x).sum()), 1e-12)
             slope = y[i] * (w[f] @ x + bias) - 1
             new = min(max(alpha[i] - slope / (x @ x + 1.0), 0.0), limit[i])
             if new != alpha[i]:
@@ -107,8 +121,10 @@ def _scores(model):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, np.ndarray, float]:
     """(log-count ratios, weights, bias) from documents whose identifier has a label 0 or 1 in `labels`.
 
-    Rows without label, and labels without a row, are left out; of repeated labels the least counts. Without rows of both
-    labels the model is all zeros and every score 0.5.
+    Rows without label, and labels without a row, are left out before the sample is taken; of repeated labels the least
+    counts. Ratios come from all labelled rows, repeated ones each. The sample has at most `sample` identifiers, those with the
+    least hashes, and one text of each (of several with one identifier that with the least hash), packed to 8 kB at most. Without
+    rows of both labels the model is all zeros and every score 0.5.
     """
     spark = docs.sparkSession
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
@@ -120,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "d
             h = batch.column(1).to_numpy(zero_copy_only=False) % (seen.value.size << 6)
             yield batch.filter(pa.array((seen.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) > 0)).select([0, 2])
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long")).alias("h"), text_or_empty(text_col).alias("t"))
+    docs = docs.where(F.col(id_col).isNotNull())
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long")).alias("h"), text_or_empty(text_col).alias("t"))
     rows = rows.mapInArrow(labelled, "id long, t string")
     train = rows.join(marks, "id")
     counts = train.select("t", "label").mapInArrow(_counts, "f long, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()  # FEATURES rows at most
@@ -132,14 +149,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "d
     if (good > 1).any() and (bad > 1).any():
         ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
         ratio[(good == 1) & (bad == 1)] = 0
-    chosen = marks.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample)
-    kept = rows.join(F.broadcast(chosen), "id").select("t", "label").mapInArrow(_listed, "fs array<int>, label int").toArrow().combine_chunks()
+    there = docs.select(F.col(id_col).cast("long").alias("id")).join(marks, "id").dropDuplicates(["id"])
+    chosen = there.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample)
+    one = rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min_by("t", F.struct(F.xxhash64("t"), F.col("t"))).alias("t"))
+    kept = one.select("t", "label").mapInArrow(_listed, "fs binary, label int").toArrow().combine_chunks()
     y = np.where(kept["label"].to_numpy() == 1, 1.0, -1.0)
     if len(y) and ratio.any() and (y > 0).any() and (y < 0).any():
-        lists = kept["fs"].chunk(0)
-        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-        fs = [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-        order = sorted(range(len(y)), key=lambda i: (len(fs[i]), fs[i].tobytes(), y[i]))  # the same from run to run
+        fs = kept["fs"].to_pylist()
+        order = sorted(range(len(y)), key=lambda i: (len(fs[i]), fs[i], y[i]))  # the same from run to run
         weight, bias = descend([fs[i] for i in order], y[order], ratio)
     else:
         weight, bias = np.zeros(FEATURES), 0.0
@@ -147,29 +164,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "d
 
 
 def score(docs: DataFrame, model: tuple, text_col: str = "text") -> DataFrame:
-    """All columns of docs and `score`, 0 to 1; a null text scores as an empty one. A column that is called score is replaced."""
+    """All columns of docs and `score`, 0 to 1; a null text scores as an empty one.
+
+    A column that is called score is replaced, others stay, whatever their names. Repeated rows and equal texts have equal
+    scores; texts may have any length; an empty table gives an empty result.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "score"]
-    rows = docs.select(*(F.col(f"`{c}`") for c in names), text_or_empty(text_col).alias("_scored"))
-    return rows.mapInArrow(_scores(sent), docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("score", F.lit(0.5)).schema)
+    rows = docs.select(as_row(docs).alias("_row"), text_or_empty(f"`{text_col}`").alias("_scored"))
+    scored = rows.mapInArrow(_scores(sent), rows.select("_row", F.lit(0.5).alias("score")).schema)
+    return whole_rows(scored, docs, score="score")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, held_out, score, predicted. Labels of rows that are held out are never read.
 
     held_out: crc32 of the identifier's text modulo 3 is `held_out`. The score depends on the text alone. A null
-    identifier counts as an empty text here and is not trained on. An empty table gives an empty result.
+    identifier counts as an empty text here and is not trained on. Repeated rows each get their result, and equal texts
+    equal scores; texts may have any length. An empty table gives an empty result. Only the named columns are read.
     """
     out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == held_out
     model = fit(docs.where(~out), labels.where(~out), id_col=id_col, text_col=text_col)
-    rows = docs.select(F.col(id_col), out.alias("held_out"), F.col(text_col).alias("_text"))
-    scored = score(rows, model, "_text").drop("_text")
+    rows = docs.select(F.col(id_col).alias("_id"), out.alias("held_out"), F.col(text_col).alias("_text"))
+    scored = score(rows, model, "_text").select(F.col("_id").alias(id_col), "held_out", "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that quality_scores() predicts as 1, with all their columns."""
+    """The rows of docs that quality_scores() predicts as 1, with all their columns, whatever their names; what it says of odd input holds here."""
     out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == held_out
     model = fit(docs.where(~out), labels.where(~out), id_col=id_col, text_col=text_col)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_text"))
-    return score(rows, model, "_text").where("score >= 0.5").select("_row.*")
+    rows = docs.select(as_row(docs).alias("_row"), F.col(text_col).alias("_text"))
+    return whole_rows(score(rows, model, "_text").where("score >= 0.5"), docs)

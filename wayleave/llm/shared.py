@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (one machine, tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = f"file://{tempfile.mkdtemp(prefix='wayleave-')}"
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -47,3 +49,48 @@ def bit_map(hashes: DataFrame, bits: int = 1 << 24) -> list[int]:
     for r in rows.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
         words[r["w"]] = r["b"]
     return words
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that no column of an operator's own can clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def whole_rows(rows: DataFrame, like: DataFrame, row: str = "_row", **more: str) -> DataFrame:
+    """The columns of `like` out of the struct `row`, with its names; `more` (name=column) goes last and replaces columns of those names."""
+    own = [F.col(f"{row}.`{c}`").alias(c) for c in like.columns if c not in more]
+    return rows.select(*own, *(F.col(c).alias(n) for n, c in more.items()))
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: list[str], spread: list[str], how: str = "left", counted: DataFrame | None = None) -> DataFrame:
+    """rows.join(table, key, how) for a table of one row a key, where one key may hold a large part of the rows.
+
+    Keys with more than half a partition's fair share of the rows (at most twice as many keys as partitions) are dealt by a hash of the columns
+    `spread` into as many parts as they hold such shares; the table's rows of those keys are repeated for each part.
+    Which keys these are comes from counts over `counted` (a saved table with the same keys; rows itself if that is one), which every task
+    aggregates before the shuffle.
+    """
+    n = partitions(rows.sparkSession)
+    counted = rows if counted is None else counted
+    counts = counted.groupBy(*key).agg(F.count(F.lit(1)).alias("_many"))
+    fair = counted.count() // (2 * n) + 16
+    hot = save(counts.where(F.col("_many") > fair).select(*key, F.ceil(F.col("_many") / fair).cast("int").alias("_parts")), "hot")
+    if hot.isEmpty():
+        return rows.join(table, key, how)
+    hot = F.broadcast(hot)  # 2 n rows at most
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int"))).drop("_parts")
+    told = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(told, [*key, "_part"], how).drop("_part")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with consecutive numbers from 1 in the given order, without a task that sees all rows: ranges, and the count of rows before each."""
+    ranged = df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("_range", F.spark_partition_id())
+    ranged = save(ranged, "ranges")  # the ranges stay as they are, whatever is computed again
+    before, so_far = {}, 0
+    for r in sorted(ranged.groupBy("_range").count().collect()):  # one row for each range
+        before[r["_range"]], so_far = so_far, so_far + r["count"]
+    if not before:
+        return ranged.drop("_range").withColumn(name, F.lit(0).cast("long"))
+    start = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("_range"))
+    return ranged.withColumn(name, start + F.row_number().over(Window.partitionBy("_range").orderBy(*order))).drop("_range")

@@ -24,25 +24,18 @@ def _numbers(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + U(seed)) * U(0x9E3779B97F4A7C15))
 
 
-_BYTE = _numbers(256, 11)
-_BYTE[0] = 0
 _STEP = U(0xD6E8FEB86659FD93)
 _PLACE = _numbers(64, 101) | U(1)
 
 
-def _classes(is_word) -> np.ndarray:
-    """For each byte 0 if it parts words, else the byte with A-Z in lower case."""
-    t = np.zeros(256, np.uint8)
-    for b in range(256):
-        if is_word(b):
-            t[b] = b + 32 if 65 <= b <= 90 else b
-    return t
-
-
-#: Words are runs of other than ASCII white space.
-SPACED = _classes(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D and b != 0)
-#: Words are runs of ASCII letters, digits and all that is not ASCII.
-ALNUM = _classes(lambda b: b >= 0x80 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)
+#: For each byte, itself with A-Z in lower case.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: Whether a byte belongs to a word: words are runs of other than ASCII white space.
+SPACED = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
+#: The same where words are runs of ASCII letters, digits and all that is not ASCII.
+ALNUM = np.array([b >= 0x80 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
+#: Masks that leave the first 0 to 8 bytes of a block.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def pieces(column: pa.Array | pa.ChunkedArray, most: int = 1 << 19) -> Iterator[tuple[int, pa.Array]]:
@@ -69,15 +62,16 @@ def raw(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Hashes of all words of a slice of texts; `doc` has each word's row in the slice, `first` and `count` each row's words."""
+    """Hashes of all words of a slice of texts; `doc` has each word's row in the slice, `first` and `count` each row's words.
+
+    A word's hash mixes each of its blocks of 8 bytes with the block's number, adds these up, and mixes the sum with the
+    word's length: every byte counts at its place, however long the word is.
+    """
 
-    def __init__(self, a: pa.Array, classes: np.ndarray):
+    def __init__(self, a: pa.Array, is_word: np.ndarray):
         data, offsets = raw(a)
-        c = classes[data]
-        if classes is SPACED and data.size:  # the byte 0 is part of words there, but 0 means a gap here
-            c[data == 0] = 1
         n = len(a)
-        word = c != 0
+        word = is_word[data]
         begins = np.zeros(data.size + 1, bool)
         begins[offsets[:-1]] = True
         starts = word.copy()
@@ -89,20 +83,15 @@ class Words:
         self.first = np.cumsum(self.count) - self.count
         if at.size:
             size = np.add.reduceat(word, at, dtype=np.int64)
-            spread = np.diff(np.append(at, data.size))
-            spread[0] += at[0]
-            place = np.arange(data.size) - np.repeat(at, spread)
-            place[: at[0]] = 0
-            values = _BYTE[c]
-            if place.max() < _POWERS.size:
-                values *= _POWERS[place]
-            else:  # every block of a long word has a multiplier of its own
-                block = place // _POWERS.size
-                several = _numbers(int(block.max()) + 1, 303) | U(1)
-                several[0] = 1
-                values *= _POWERS[place % _POWERS.size]
-                values *= several[block]
-            self.hash = mix(np.add.reduceat(values, at) + size.astype(np.uint64) * _STEP)
+            padded = np.zeros(data.size + 8, np.uint8)
+            padded[:-8] = LOWER[data]
+            from_each = np.ndarray(data.size + 1, np.dtype("<u8"), padded, 0, (1,))  # the 8 bytes from each place on
+            blocks = (size + 7) >> 3
+            begin = np.cumsum(blocks) - blocks
+            number = np.arange(int(blocks.sum())) - np.repeat(begin, blocks)
+            value = from_each[np.repeat(at, blocks) + 8 * number] & _FIRST[np.minimum(np.repeat(size, blocks) - 8 * number, 8)]
+            mixed = mix(value + _numbers(int(number.max()) + 1, 11)[number])
+            self.hash = mix(np.add.reduceat(mixed, begin) + size.astype(np.uint64) * _STEP)
         else:
             self.hash = np.zeros(0, np.uint64)
 
@@ -125,6 +114,3 @@ class Words:
             more = self.count[rows] > j
             out[more] += self.hash[self.first[rows[more]] + j] * _PLACE[j]
         return mix(out + self.count[rows].astype(np.uint64)), rows
-
-
-_POWERS = np.cumprod(np.full(4096, 0x9FB21C651E98DF25, np.uint64))
