@@ -11,7 +11,7 @@ import pytest
 from wayleave.llm import near_dedup, textops
 from wayleave.llm.decontaminate import decontaminate, without_contaminated
 from wayleave.llm.exact_dedup import exact_dedup, without_copies
-from wayleave.llm.licenses import license_scan, rules, suppressed
+from wayleave.llm.licenses import BLANKS, BREAK, license_scan, rules, suppressed
 from wayleave.llm.mixing import mix_sources, mixed
 from wayleave.llm.near_dedup import near_duplicates, without_near_duplicates
 from wayleave.llm.pii import personal_data, sanitised
@@ -253,6 +253,59 @@ def test_license_scan_longer_detections(spark):
     assert {r.label for r in suppressed(found, ["k"]).collect()} == {"a", "b", "f", "g"}
 
 
+def test_license_rules_against_brute_force(spark):
+    """Texts drawn from the rules' own expressions, alone, glued, wrapped and nested: labels and scores as all rules give them one by one."""
+    rng = random.Random(12)
+    own = []
+    for n, (_, _, keyword, expression, _) in enumerate(rules()):
+        text = exrex(expression, rng)
+        assert re.search(expression, text, re.ASCII) and keyword in text, (expression, text)
+        own.append(text)
+    texts = own + [f"x {rng.choice(own)}, {rng.choice(own)}\n * {rng.choice(own)} {rng.choice(own)}." for _ in range(150)] + [rng.choice(own).title().replace(" ", rng.choice(["  ", " \n# ", "\r\n * "])) for _ in range(150)]
+    texts += ["gnu lesser general public license version 3", "the affero general public license v3", "simplified bsd license", "license", "mit licenses", None, "", "gpl " * 2000]
+    base = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    want = []
+    for t in texts:
+        e = re.sub(BLANKS, " ", re.sub(BREAK, "\n", (t or "").lower()))
+        found = {}
+        for n, (p, label, _, expression, c) in enumerate(rules()):
+            for m in re.finditer(expression, e, re.ASCII):
+                found[m.span()] = min(found.get(m.span(), (10**6,)), (n, p, label, c))
+        left = [x for (s, f), x in found.items() if not any(s2 <= s and f <= f2 and (y[1] < x[1] or (y[1] == x[1] and (s2, f2) != (s, f))) for (s2, f2), y in found.items())]
+        w = " ".join(ALNUM.findall((t or "").translate(LOWER)))
+        labels = {la for ph, la in base.items() if re.search(rf"(?<!\S){ph}(?!\S)", w)}
+        want.append((",".join(sorted(labels | {x[2] for x in left})), max([x[3] for x in left] + [0.7] * bool(labels), default=0.0)))
+    rows = sorted(license_scan(frame(spark, list(enumerate(texts)))).collect(), key=lambda r: r.doc_id)
+    for r, t, w in zip(rows, texts, want, strict=True):
+        assert (r.labels, r.score) == w, t
+    assert rows[len(texts) - 8].labels == "gpl,lgpl-3.0" and rows[len(texts) - 7].labels == "agpl-3.0,gpl" and rows[len(texts) - 6].labels == "bsd-2-clause"
+
+
+def exrex(expression, rng):
+    """A text that the expression matches: one way through its groups, choices and repetitions."""
+    import re._constants as c
+    import re._parser as parser
+
+    def one(nodes):
+        out = ""
+        for op, av in nodes:
+            if op is c.LITERAL:
+                out += chr(av)
+            elif op is c.IN:
+                kinds = [x for x in av if x[0] is not c.NEGATE]
+                what, v = rng.choice(kinds)
+                out += chr(v) if what is c.LITERAL else chr(v[0]) if what is c.RANGE else {c.CATEGORY_SPACE: " ", c.CATEGORY_WORD: "w"}[v]
+            elif op is c.BRANCH:
+                out += one(rng.choice(av[1]))
+            elif op is c.SUBPATTERN:
+                out += one(av[3])
+            elif op in (c.MAX_REPEAT, c.POSSESSIVE_REPEAT):
+                out += "".join(one(av[2]) for _ in range(rng.randint(av[0], min(av[1], av[0] + 1))))
+        return out
+
+    return next(t for t in (one(parser.parse(expression)) for _ in range(200)) if re.search(expression, t, re.ASCII))
+
+
 def test_long_words_differ_by_the_order_of_their_tails(spark):
     head = "x" * 4096
     words = [head + "ab" * 3000, head + "ba" * 3000, head + "a" * 3000 + "b" * 3000, "b" * 4096 + "a" * 4096, "a" * 4096 + "b" * 4096, head + "ab" * 3000]

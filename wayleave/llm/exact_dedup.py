@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wayleave.llm.shared import partitions, text_or_empty
 
-WHITE = r"[\x20\x09-\x0D]+"
+WHITE = r"[\x20\x09\x0A\x0B\x0C\x0D]+"
 PREFIX = 48
 SALTS = 32
 

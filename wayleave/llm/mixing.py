@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wayleave.llm.shared import as_row, join_hot, numbered, save, text_or_empty, whole_rows
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09\x0A\x0B\x0C\x0D]+"
 OFFSETS = 32
 MILLION = 1_000_000
 EXACT = "decimal(38,9)"
@@ -76,7 +76,10 @@ def _tilts(sizes: DataFrame, targets: DataFrame, cap: int, tolerance: float = 1e
     hist = sizes.join(t.select("source_key", "ordinal", "mean"), "source_key").where("size > 0").select("ordinal", "size", "n", (F.col("size") / F.col("mean")).alias("x"))
     hist = save(hist, "hist")
     full = F.col("target") >= F.col("size") * (cap - 1e-9)
-    state = t.select("ordinal", "mean", "target", F.lit(0.0).alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), full.alias("full"), full.alias("done"))
+    # The first lam gives a document of its source's mean size, weighted by words, the rate that all would need.
+    typical = hist.groupBy("ordinal").agg((F.sum((F.col("n") * F.col("size") * F.col("x")).cast(EXACT)) / F.sum((F.col("n") * F.col("size")).cast(EXACT))).cast("double").alias("typical"))
+    start = F.when(full, F.lit(0.0)).otherwise(F.log(F.col("target") / F.col("size")) / F.col("typical"))
+    state = t.join(typical, "ordinal").select("ordinal", "mean", "target", start.alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), full.alias("full"), full.alias("done"))
     for _ in range(rounds):
         for _ in range(STEPS):
             state = _stepped(hist, state, cap, tolerance)
