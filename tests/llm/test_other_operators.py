@@ -5,12 +5,13 @@ import collections
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import pytest
 
 from wayleave.llm import chat, warc
-from wayleave.llm.html_text import extract, main_text, minimum_cut
+from wayleave.llm.html_text import BUCKETS, _bucket, extract, learned, main_text, minimum_cut
 from wayleave.llm.quality import good_documents, quality_scores
 
 SF = "/root/testdata/sf0.01"
@@ -116,6 +117,55 @@ def test_html_short_text_is_kept():
     assert main_text(f"<body><ul><li><a href=/>Home</a></li><li><a href=/b>News of today</a></li></ul><p>{long}</p></body>") == long
 
 
+def test_html_furniture_names_and_forms_inside_content():
+    long = ("many words of the article stand here " * 12).strip()
+    assert main_text(f"<body><form id=aspnetForm><div class=content><h1>Title here</h1><p>{long}</p></div></form></body>") == f"Title here\n\n{long}"
+    for name in ("legal", "notice-period", "share-price", "search-results-explained"):
+        assert main_text(f"<article><p>{long}</p><div class='{name}'><p>{long}</p></div></article>") == f"{long}\n\n{long}", name
+    for small in ("<form><p>Your mail</p></form>", "<nav>Home</nav>", "<footer><p>All rights</p></footer>", "<aside>Other</aside>"):
+        assert main_text(f"<article><p>{long}</p>{small}</article>") == long, small
+        assert main_text(f"<body>{small}<div><p>{long}</p></div></body>") == long, small
+
+
+def test_html_deep_pages_take_linear_time():
+    def took(n):
+        page = "".join(f"<div id=x{i}>a" for i in range(n)) + "</p></section>" * n
+        began = time.process_time()
+        assert main_text(page, [0] * BUCKETS).count("a") == n
+        return time.process_time() - began
+
+    took(1000)
+    assert took(24_000) < 12 * took(6_000) + 0.5
+
+
+def generated(rng, n):
+    """Pages with known main text: furniture of a site that repeats or bears telling names, and blocks of content without any."""
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ren", "sto") for b in ("ra", "ne", "dit", "os")]
+    say = lambda k: " ".join(rng.choice(words) for _ in range(k)).capitalize() + "."
+    for i in range(n):
+        body = [("h1", say(5))] + [(rng.choice(["p", "p", "p", "li", "h2"]), say(rng.choice([2, 6, 25, 40]))) for _ in range(rng.randint(4, 9))] + [("p", say(30))]
+        inner = "".join(f"<ul><li>{t}</li></ul>" if k == "li" else f"<{k}>{t}</{k}>" for k, t in body)
+        main = rng.choice(["<article>%s</article>", "<main>%s</main>", "<div class='xk-text'>%s</div>", "<div class='story'>%s</div>"]) % inner
+        bar = "<div class='xk-promo-rail'><p>Subscribe to our daily letter today</p><p>%s</p></div>" % say(3)
+        yield f"<html><body><nav><a href=/>Home</a> <a href=/n>News</a></nav>{bar}{main}<div class='comments'><p>{say(12)}</p></div><footer>Imprint of the site</footer></body></html>", "\n\n".join(t for _, t in body)
+
+
+def test_html_on_generated_pages(spark):
+    rng = random.Random(21)
+    pages = list(generated(rng, 300))
+    df = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string")
+    steps = learned(df)
+    assert steps[_bucket(".xk-promo-rail")] < 0 < steps[_bucket(".xk-text")] and steps == learned(df.repartition(5))
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    right = sum(got[i] == want for i, (_, want) in enumerate(pages))
+    assert right >= 0.97 * len(pages), right
+    # Content words kept and furniture words let in, over all pages.
+    pairs = [(collections.Counter(got[i].split()), collections.Counter(want.split())) for i, (_, want) in enumerate(pages)]
+    common, said, asked = (sum(x.total() for x in z) for z in ([a & b for a, b in pairs], [a for a, _ in pairs], [b for _, b in pairs]))
+    assert common / asked > 0.99 and common / said > 0.99
+    assert learned(df.limit(0)) == [0] * BUCKETS and extract(df, sample=0).count() == 300
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(60):
