@@ -29,6 +29,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 # Control strings of this template and of other common ones.
 CONTROL = [START, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>"]
 CHUNK = 4096
+#: Bytes of roles and texts that are assembled at once, if a turn is not longer by itself: indices take some 20 bytes for each.
+BYTES = 2 << 20
 LOSS_ROLE = "assistant"
 FORMATTED = "conv_id long, chunk long, n_turns long, formatted string, loss array<struct<start:long,end:long>>"
 
@@ -94,8 +96,12 @@ def assemble(roles: pa.Array, texts: pa.Array, first: np.ndarray) -> tuple[pa.Ar
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 40
     for batch in batches:
-        for at in range(0, batch.num_rows, CHUNK):
-            b = batch.slice(at, CHUNK)
+        size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (1, 2))
+        ends, to = np.cumsum(size), 0
+        while to < batch.num_rows:
+            at, base = to, ends[to - 1] if to else 0
+            to = min(at + CHUNK, max(at + 1, int(np.searchsorted(ends, base + BYTES, side="right"))))
+            b = batch.slice(at, to - at)
             ids = b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, np.int64)
             formatted, spans = assemble(b.column(1).fill_null(""), b.column(2).fill_null(""), first)

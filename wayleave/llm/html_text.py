@@ -8,8 +8,8 @@ one row: pages are independent of each other, and nothing is shuffled.
 The classifier is a naive Bayes model. Its prior are points for what a block stands in, for names of classes and identifiers around it, for
 length and for the share of link text; what the pages at hand say is added to it: the tags and names around blocks are
 counted for both classes over a sample of at most SAMPLE pages of at most LARGEST bytes each (`learned`), and each moves the cost by its log-odds, bounded by
-STEP points each and REACH together. There are no labelled pages. Blocks that repeat on several pages of the sample, and those the
-prior is sure to be furniture, count as boilerplate; blocks of WORDS words or more that stand on one page only and that the prior calls content
+STEP points each and REACH together. There are no labelled pages. Blocks that repeat on several pages of the sample, unless the
+prior is sure of them, and those it is sure to be furniture, count as boilerplate; blocks of WORDS words or more that stand on one page only and that the prior calls content
 count as content; others are not counted.
 """
 
@@ -426,7 +426,7 @@ def learned(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> list[
     some = rows.join(F.broadcast(chosen), "page").groupBy("page").agg(F.min("t").alias("t"))
     told = save(some.mapInArrow(_told, "page long, block long, words long, prior long, features array<int>"), "blocks")
     spread = told.groupBy("block").agg(F.countDistinct("page").alias("pages"))
-    marked = told.join(spread, "block").select("features", F.when((F.col("pages") >= PAGES) | (F.col("prior") <= SURE), F.lit(0)).when((F.col("pages") == 1) & (F.col("words") >= WORDS) & (F.col("prior") > 0), F.lit(1)).alias("label")).where("label is not null")
+    marked = told.join(spread, "block").select("features", F.when((F.col("pages") >= PAGES) & (F.col("prior") <= -SURE) | (F.col("prior") <= SURE), F.lit(0)).when((F.col("pages") == 1) & (F.col("words") >= WORDS) & (F.col("prior") > 0), F.lit(1)).alias("label")).where("label is not null")
     one = F.array(F.lit(-1))  # counts the blocks themselves
     counts = marked.select("label", F.explode(F.concat("features", one)).alias("f")).groupBy("f").agg(F.sum("label").alias("good"), F.sum(1 - F.col("label")).alias("bad"))
     by = {r["f"]: (r["good"], r["bad"]) for r in counts.collect()}  # BUCKETS + 1 rows at most

@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayleave.llm.shared import partitions, save, shared_dir, text_or_empty
+from wayleave.llm.shared import join_hot, partitions, save, shared_dir, text_or_empty
 
 BLOCK = 256
 PLAIN = re.compile(r"[\x21-\x7E]*")
-READ = 1 << 20
+READ, INFLATED = 1 << 20, 4 << 20
 NO_ID = -(1 << 63)
 
 
@@ -97,8 +97,8 @@ def _normalise(folder: str):
                 part = f"{name}.{uuid.uuid4().hex}"
                 open_, data, at, n, blocks = zlib.decompressobj(31), bytearray(), 0, 0, []
                 with store.open_input_stream(mono, compression=None) as src, store.open_output_stream(part, compression=None) as dst, store.open_output_stream(f"{part}.idx", compression=None) as idx:
-                    while chunk := src.read(READ):
-                        data += open_.decompress(chunk)
+                    while chunk := open_.unconsumed_tail or src.read(READ):
+                        data += open_.decompress(chunk, INFLATED)  # no more at once, however well the rest is packed
                         start = 0
                         while (head := _head(data, start)) and head[2] <= len(data):
                             fields, _, end = head
@@ -111,8 +111,8 @@ def _normalise(folder: str):
                             at, n, start = at + len(member), n + 1, end
                             blocks[-1][1:] = [at - blocks[-1][0], blocks[-1][2] + 1]
                         del data[:start]
-                if n != expected or data:
-                    raise ValueError(f"{mono}: {n} records of {expected}, {len(data)} bytes left")
+                if n != expected or data or not open_.eof or open_.unused_data:
+                    raise ValueError(f"{mono}: {n} records of {expected}, {len(data)} bytes left, {'ended' if open_.eof else 'cut short'}")
                 store.move(f"{part}.idx", f"{name}.idx")
                 store.move(part, name)
                 if blocks:
@@ -164,13 +164,14 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 
     A null html is an empty payload. Rows without page_id revisit one that has it; where no row has, all are responses.
     Rows that repeat the largest page_id with an equal payload are all responses. Which payloads occur more than once comes from counts by digest,
-    aggregated before the shuffle, so that pages themselves are not grouped.
+    aggregated before the shuffle, so that pages themselves are not grouped; pages of a payload that very many share are dealt to several tasks.
     """
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), text_or_empty(html).alias("html"))
+    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), text_or_empty(f"`{html}`").alias("html"))
     key = [F.sha1(F.encode("html", "UTF-8")).alias("d"), F.length("html").alias("l")]
-    last = rows.select("page_id", *key).groupBy("d", "l").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("c")).where("c > 1 and last is not null").drop("c")
+    keys = save(rows.select("page_id", *key), "payload-keys")
+    last = keys.groupBy("d", "l").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("c")).where("c > 1 and last is not null").drop("c")
     last = save(last, "payloads")
-    joined = rows.select("*", *key).join(last, ["d", "l"], "left")
+    joined = join_hot(rows.select("*", *key), last, ["d", "l"], ["page_id", "url"], counted=keys)
     revisit = F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id"))
     return joined.select("page_id", "url", "html", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit")).mapInArrow(_write(folder), "path string, n long")
 
@@ -185,7 +186,11 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
-    """Write all pages, normalise the archives, and read them back. An empty table gives an empty result."""
+    """Write all pages, normalise the archives, and read them back.
+
+    Payloads may have any length and any bytes of UTF-8, the record marks included; what write() says of nulls and repeated rows
+    holds here. An empty table gives an empty result. Only the three named columns are read, so others may have any name.
+    """
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
