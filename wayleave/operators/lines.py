@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayleave.operators.overlay import fragments
+
 OWN_LAYERS = ["servitude_points", "pole_corners", "servitude_markers"]
 MARKERS = ["GBP032", "SERV_TOCHKA"]
 CLOSE_M, BOX_M = 0.01, 0.01
@@ -59,13 +61,14 @@ def crossings(ring: Column, x: Column, y: Column) -> Column:
 def containing(points: DataFrame, shapes: DataFrame, cell: float = 50.0) -> DataFrame:
     """points (x, y, ...) with each shape (ring, ...) that contains them, by even-odd crossings: an equi-join on cells.
 
-    A shape goes to all cells of its box; a point to its own.
+    Shapes are cut to cells, so a point meets the few edges in its own cell, however long the ring is.
     """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    cells = lambda c: F.sequence(F.floor(F.array_min(c) / cell), F.floor(F.array_max(c) / cell))
-    s = shapes.where(F.size("ring") > 2).withColumn("_cx", F.explode(cells(xs))).withColumn("_cy", F.explode(cells(ys)))
+    s = fragments(shapes, cell).withColumnsRenamed({"cx": "_cx", "cy": "_cy", "part": "_part"})
     p = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
-    return p.join(s, ["_cx", "_cy"]).where(crossings(F.col("ring"), F.col("x"), F.col("y")) % 2 == 1).drop("_cx", "_cy", "ring")
+    ring = F.transform(F.sequence(F.lit(1), F.size("_part"), F.lit(2)), lambda i: F.struct(F.element_at("_part", i).alias("x"), F.element_at("_part", i + 1).alias("y")))
+    met = p.join(s, ["_cx", "_cy"]).withColumn("_ring", ring)
+    inside = crossings(F.col("_ring"), F.col("x") - F.col("_cx") * cell, F.col("y") - F.col("_cy") * cell) % 2 == 1
+    return met.where(inside).drop("_cx", "_cy", "_part", "_ring")
 
 
 def first_settlement(points: DataFrame, shapes: DataFrame, keys: list[str], cell: float = 50.0) -> DataFrame:

@@ -1,8 +1,10 @@
 """Areas that polygons share: a grid-cell equi-join around a vectorised kernel.
 
-Each ring goes to the cells of its box and is clipped to them, so a long corridor becomes many small fragments. Fragments
+Each ring is halved again and again until its pieces lie in one cell each, so a long corridor becomes as many small fragments as it
+touches cells, whatever its box. Fragments
 meet in an equi-join on the cell; cells are disjoint, so the areas of a pair of shapes are a plain sum over its fragments
-and no pair has to be made distinct. The area of two fragments is a sum over pairs of their edges: each edge spans a
+and no pair has to be made distinct. Shapes whose few cells hold no fragment of the other side are left out before they are
+cut. The area of two fragments is a sum over pairs of their edges: each edge spans a
 signed triangle with the cell's corner, and the triangles' overlap is what lies below the nearer edge in the common angle.
 That holds for any simple ring, concave or not.
 """
@@ -13,55 +15,102 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLIVER = 0.001
 VERTEX = "array<struct<x:double,y:double>>"
 
 
-def _clip(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
-    """Ring clipped to a box, one side after the other."""
-    for axis, bound, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
-        if not len(ring):
-            return ring
-        d = sign * (ring[:, axis] - bound)
-        out = []
-        for i in range(len(ring)):
-            j = i - 1
-            if (d[i] >= 0) != (d[j] >= 0):
-                out.append(ring[j] + (ring[i] - ring[j]) * (d[j] / (d[j] - d[i])))
-            if d[i] >= 0:
-                out.append(ring[i])
-        ring = np.array(out) if out else np.zeros((0, 2))
-    return ring
+def _half(ring: np.ndarray, axis: int, bound: float, sign: int) -> np.ndarray:
+    """The part of a ring on one side of an axis-parallel line."""
+    d = sign * (ring[:, axis] - bound)
+    before, d0 = np.roll(ring, 1, axis=0), np.roll(d, 1)
+    crosses, stays = (d >= 0) != (d0 >= 0), d >= 0
+    both = np.empty((len(ring), 2, 2))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        both[:, 0] = before + (ring - before) * (d0 / (d0 - d))[:, None]
+    both[:, 0, axis] = bound
+    both[:, 1] = ring
+    return both[np.column_stack([crosses, stays])]
+
+
+def _spans(low: np.ndarray, high: np.ndarray, cell: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and last cell of intervals; one that ends on a line between cells does not reach the next one."""
+    first = np.floor(low / cell).astype(np.int64)
+    return first, np.maximum(np.ceil(high / cell).astype(np.int64) - 1, first)
+
+
+def cut(ring: np.ndarray, cell: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(cx, cy, piece) of a ring in every cell that it has an area in. Halves without area are left at once."""
+    wait = [ring]
+    while wait:
+        r = wait.pop()
+        nxt = np.roll(r, -1, axis=0)
+        o = r[0]
+        if len(r) < 3 or not abs(((r[:, 0] - o[0]) * (nxt[:, 1] - o[1]) - (nxt[:, 0] - o[0]) * (r[:, 1] - o[1])).sum()) > 0:
+            continue
+        (x0, y0), (x1, y1) = _spans(r.min(axis=0), r.max(axis=0), cell)
+        if x0 == x1 and y0 == y1:
+            yield int(x0), int(y0), r
+        else:
+            axis = int(y1 - y0 > x1 - x0)
+            bound = (((y0 + y1 if axis else x0 + x1) + 1) // 2) * cell
+            wait += [_half(r, axis, bound, -1), _half(r, axis, bound, 1)]
 
 
 def _fragments(cell: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, rings = [], []
-            for row, (cx, cy, ring) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("cx", "cy", "ring")), strict=True)):
-                points = np.array([(p["x"], p["y"]) for p in ring])
-                part = _clip(points, cx * cell, cy * cell, (cx + 1) * cell, (cy + 1) * cell)
-                if len(part) > 2:
-                    keep.append(row)
-                    rings.append((part - (cx * cell, cy * cell)).reshape(-1).tolist())
-            taken = batch.select([n for n in batch.schema.names if n != "ring"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(rings, pa.list_(pa.float64()))], [*taken.schema.names, "part"])
+            names = [n for n in batch.schema.names if n != "ring"]
+            rings = batch.column("ring")
+            size = np.diff(rings.offsets.to_numpy())
+            flat = rings.flatten()
+            xy = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")])
+            if not len(size):
+                continue
+            first = np.cumsum(size) - size
+            low, high = np.minimum.reduceat(xy, first), np.maximum.reduceat(xy, first)
+            from_, to = _spans(low, high, cell)
+            alone = (from_ == to).all(axis=1)  # in one cell as they are
+            keep, at, parts = [np.flatnonzero(alone)], [from_[alone]], []
+            mine = np.repeat(alone, size)
+            parts.append((xy - np.repeat(from_, size, axis=0) * cell)[mine].reshape(-1))
+            sizes = [2 * size[alone]]
+            for row in np.flatnonzero(~alone):
+                for cx, cy, piece in cut(xy[first[row] : first[row] + size[row]], cell):
+                    keep.append([row])
+                    at.append([(cx, cy)])
+                    sizes.append([2 * len(piece)])
+                    parts.append((piece - (cx * cell, cy * cell)).reshape(-1))
+            at, sizes = np.concatenate(at).astype(np.int64), np.concatenate(sizes).astype(np.int64)
+            taken = batch.select(names).take(pa.array(np.concatenate(keep).astype(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(parts)))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at[:, 0]), pa.array(at[:, 1]), lists], [*names, "cx", "cy", "part"])
 
     return run
 
 
 def fragments(shapes: DataFrame, cell: float) -> DataFrame:
     """shapes with a column ring -> its other columns, cx, cy and part (x and y by turns, from the cell's corner). Rings of under three vertices give nothing."""
-    box = shapes.where(F.size("ring") > 2)
+    shapes = shapes.where(F.size("ring") > 2).withColumn("ring", F.col("ring").cast(VERTEX))
+    kinds = dict(shapes.dtypes)
+    return shapes.mapInArrow(_fragments(cell), ", ".join(f"`{c}` {k}" for c, k in kinds.items() if c != "ring") + ", cx long, cy long, part array<double>")
+
+
+#: Shapes of at most so many cells are looked up by them before they are cut.
+FEW_CELLS = 16
+
+
+def _near(shapes: DataFrame, cells: DataFrame, cell: float) -> DataFrame:
+    """Without the shapes of few cells that have none of the cells."""
     x, y = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    cells = lambda c: F.sequence(F.floor(F.array_min(c) / cell), F.floor(F.array_max(c) / cell))
-    box = box.withColumn("cx", F.explode(cells(x))).withColumn("cy", F.explode(cells(y)))
-    names = [c for c in box.columns if c != "ring"]
-    kinds = dict(box.dtypes)
-    return box.mapInArrow(_fragments(cell), ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", part array<double>")
+    span = lambda c: F.sequence(F.floor(F.array_min(c) / cell), F.greatest(F.ceil(F.array_max(c) / cell) - 1, F.floor(F.array_min(c) / cell)))
+    count = lambda c: F.ceil(F.array_max(c) / cell) - F.floor(F.array_min(c) / cell)
+    rows = shapes.where(F.size("ring") > 2).withColumn("_few", F.greatest(count(x), F.lit(1)) * F.greatest(count(y), F.lit(1)) <= FEW_CELLS)
+    few = rows.where("_few").withColumn("_n", F.monotonically_increasing_id())
+    at = few.withColumn("cx", F.explode(span(x))).withColumn("cy", F.explode(span(y))).join(cells, ["cx", "cy"], "left_semi").drop("cx", "cy")
+    return at.dropDuplicates(["_n"]).drop("_n", "_few").unionByName(rows.where("not _few").drop("_few"))
 
 
 def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -128,16 +177,20 @@ def _areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(area)], [*rest.schema.names, "sqm"])
 
 
-def overlap_areas(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str], on: list[str] | None = None, cell: float = 50.0, least: float = SLIVER) -> DataFrame:
-    """(keys_a, keys_b, sqm): shared area of every pair of shapes with more than `least`; `on` names columns that must agree besides.
+def overlap_areas(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str], on: list[str] | None = None, cell: float = 50.0, least: float = SLIVER, where: Column | None = None) -> DataFrame:
+    """(keys_a, keys_b, sqm): shared area of every pair of shapes with more than `least`; `on` names columns that must agree besides, `where` says which pairs of keys count.
 
     Key columns of a and b must have different names, but for those in `on`. Fragments of one shape add up; shapes with
     one key are one shape.
     """
     on = on or []
     fa = fragments(a.select(*on, *keys_a, "ring"), cell).withColumnRenamed("part", "part_a")
-    fb = fragments(b.select(*on, *keys_b, "ring"), cell).withColumnRenamed("part", "part_b")
-    met = fa.join(fb, [*on, "cx", "cy"]).select(*on, *keys_a, *keys_b, "part_a", "part_b")
+    asked = b.select(*on, *keys_b, "ring")
+    if not on:
+        asked = _near(asked, fa.select("cx", "cy").distinct(), cell)
+    fb = fragments(asked, cell).withColumnRenamed("part", "part_b")
+    met = fa.join(fb, [*on, "cx", "cy"])
+    met = (met if where is None else met.where(where)).select(*on, *keys_a, *keys_b, "part_a", "part_b")
     kinds = dict(met.dtypes)
     names = [*on, *keys_a, *keys_b]
     areas = met.mapInArrow(_areas, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", sqm double")

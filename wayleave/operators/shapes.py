@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayleave.functions.keys import hex_handle
+from wayleave.operators.lines import containing
 
 
 def nearest_centroid(points: DataFrame, targets: DataFrame, keys: list[str], reach: float = 50.0, ratio: float = 0.5) -> DataFrame:
@@ -23,27 +24,35 @@ def nearest_centroid(points: DataFrame, targets: DataFrame, keys: list[str], rea
     return met.groupBy(*keys).agg(F.min_by(F.struct("target", "dist"), F.struct("dist", "ord")).alias("m")).select(*keys, "m.target", "m.dist")
 
 
-def distance_to_settlements(points: DataFrame, shapes: DataFrame, keys: list[str], reach: float) -> DataFrame:
-    """(keys, ekatte, dist): distance of each point to the nearest shape of each settlement within reach, 0 inside. Shapes need a ring."""
-    xs, ys = F.transform("ring", lambda q: q["x"]), F.transform("ring", lambda q: q["y"])
-    cells = lambda c: F.explode(F.sequence(F.floor((F.array_min(c) - reach) / reach), F.floor((F.array_max(c) + reach) / reach)))
-    s = shapes.withColumn("_cx", cells(xs)).withColumn("_cy", cells(ys))
-    p = points.withColumn("_cx", F.floor(F.col("x") / reach)).withColumn("_cy", F.floor(F.col("y") / reach))
+def ring_edges(shapes: DataFrame) -> DataFrame:
+    """shapes with a ring -> its other columns and one row for each edge (ax, ay, bx, by), the last to the first vertex too."""
     n = F.size("ring")
-    at = lambda i: F.element_at("ring", i)
+    at = F.posexplode("ring").alias("_i", "_p")
+    to = F.element_at("ring", F.when(F.col("_i") + 1 == n, F.lit(1)).otherwise(F.col("_i") + 2))
+    rows = shapes.select("*", at).select("*", to.alias("_q"))
+    return rows.select(*(F.col(c) for c in shapes.columns if c != "ring"), F.col("_p.x").alias("ax"), F.col("_p.y").alias("ay"), F.col("_q.x").alias("bx"), F.col("_q.y").alias("by"))
 
-    def edge(i):
-        a, b = at(i), at(F.when(i == n, F.lit(1)).otherwise(i + 1))
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        length = dx * dx + dy * dy
-        t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - a["x"]) * dx + (F.col("y") - a["y"]) * dy) / length))).otherwise(F.lit(0.0))
-        return F.hypot(F.col("x") - a["x"] - t * dx, F.col("y") - a["y"] - t * dy)
 
-    from wayleave.operators.lines import crossings
+def distance_to_settlements(points: DataFrame, shapes: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """(keys, ekatte, dist): distance of each point to the nearest shape of each settlement within reach, 0 inside. Shapes need a ring.
 
-    inside = crossings(F.col("ring"), F.col("x"), F.col("y")) % 2 == 1
-    dist = F.when(inside, F.lit(0.0)).otherwise(F.array_min(F.transform(F.sequence(F.lit(1), n), edge)))
-    return p.join(s, ["_cx", "_cy"]).withColumn("dist", dist).where(F.col("dist") <= reach).groupBy(*keys, "ekatte").agg(F.min("dist").alias("dist"))
+    Edges are cut into pieces no longer than reach, each of which goes to the few cells about it: an equi-join, whatever the
+    length of edges and rings.
+    """
+    e = ring_edges(shapes.select("ekatte", "ring"))
+    k = F.greatest(F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / reach), F.lit(1)).cast("int")
+    e = e.withColumn("_k", k).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    cut = lambda c, j: F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * j / F.col("_k")
+    e = e.select("ekatte", *(cut(c, F.col("_j") + n).alias(f"{c}{n}") for n in (0, 1) for c in ("x", "y")))
+    cells = lambda c: F.explode(F.sequence(F.floor((F.least(f"{c}0", f"{c}1") - reach) / reach), F.floor((F.greatest(f"{c}0", f"{c}1") + reach) / reach)))
+    e = e.withColumn("_cx", cells("x")).withColumn("_cy", cells("y"))
+    p = points.withColumn("_cx", F.floor(F.col("x") / reach)).withColumn("_cy", F.floor(F.col("y") / reach))
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    length = dx * dx + dy * dy
+    t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / F.when(length > 0, length)))).otherwise(F.lit(0.0))
+    near = p.join(e, ["_cx", "_cy"]).select(*keys, "ekatte", F.hypot(F.col("x") - F.col("x0") - t * dx, F.col("y") - F.col("y0") - t * dy).alias("dist")).where(F.col("dist") <= reach)
+    inside = containing(points, shapes.select("ekatte", "ring"), reach).select(*keys, "ekatte", F.lit(0.0).alias("dist"))
+    return near.unionByName(inside).groupBy(*keys, "ekatte").agg(F.min("dist").alias("dist"))
 
 
 def overlap_flags(pairs: DataFrame) -> DataFrame:

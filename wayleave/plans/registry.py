@@ -112,7 +112,7 @@ def _(spark, d):
 def _(spark, d):
     f = la.footprints(spark, d)
     a, b = f.select(F.col("pole_no").alias("a"), la.ring().alias("ring")), f.select(F.col("pole_no").alias("b"), la.ring().alias("ring"))
-    return overlay.overlap_areas(a, b, ["a"], ["b"], cell=la.CELL).where("a < b").select("a", "b", F.round("sqm", 6).alias("sqm"))
+    return overlay.overlap_areas(a, b, ["a"], ["b"], cell=la.CELL, where=F.col("a") < F.col("b")).select("a", "b", F.round("sqm", 6).alias("sqm"))
 
 
 @query("A01_sum_areas_by_parcel", "SELECT corridor_id, parcel_id, CAST(sum(drawn_sqm) AS DOUBLE) AS drawn_sqm, CAST(sum(gross_sqm) AS DOUBLE) AS gross_sqm FROM (SELECT corridor_id, parcel_id, drawn_sqm, gross_sqm FROM areas UNION ALL SELECT corridor_id, parcel_id, drawn_sqm/2, gross_sqm FROM areas WHERE drawn_sqm = 400) GROUP BY ALL")
@@ -805,7 +805,7 @@ def _(spark, d):
     second = p.select("parcel_id", handle(2).alias("h"), *((F.col(c) + moved).alias(c) for c in ("x0", "x1")), "y0", "y1").select("parcel_id", "h", la.ring().alias("ring"))
     both = first.unionByName(second).withColumn("area", F.abs(geometry.signed_area(F.col("ring"))))
     a, b = (both.select("parcel_id", F.col("h").alias(n), F.col("area").alias(f"area_{n}"), "ring") for n in ("a", "b"))
-    return shapes.overlap_flags(overlay.overlap_areas(a, b, ["a", "area_a"], ["b", "area_b"], ["parcel_id"], la.CELL))
+    return shapes.overlap_flags(overlay.overlap_areas(a, b, ["a", "area_a"], ["b", "area_b"], ["parcel_id"], la.CELL, where=keys.hex_handle(F.col("a")) < keys.hex_handle(F.col("b"))))
 
 
 @query("O06_merge_close_points", f", {EDGE} SELECT corridor_id, side, pole, 'a,b' AS ekattes FROM edge")
