@@ -125,3 +125,11 @@ def control_report(drawn: DataFrame, parcels: DataFrame, rights: DataFrame, pers
     order = Window.partitionBy(ekatte_of(F.col("parcel_id"))).orderBy(control_key(F.col("parcel_id")), "right_ord")
     difference = F.round(F.col("drawn_sqm").cast("decimal(24,6)") - F.col("area_sqm").cast("decimal(24,6)"), 2)
     return rows.select("parcel_id", F.row_number().over(order).alias("row_ord"), roman_category(F.col("kat")).alias("category"), F.col("area_sqm").alias("cad_sqm"), "drawn_sqm", difference.alias("difference_sqm"), F.col("kind").alias("right_kind"), share(F.col("doc1"), F.col("doc2")).alias("share"), "person_id", F.col("name").alias("person_name"))
+
+
+def merged_rows(gross: DataFrame, pieces: DataFrame, parcels: DataFrame, none: str = "NO DATA") -> DataFrame:
+    """(corridor_id, parcel_id, territory, poles, gross_sqm): parcels that a corridor or one of its structures touches, with what the register says of them (the older merge)."""
+    key = ["corridor_id", "parcel_id"]
+    rows = gross.select(*key).union(pieces.select(*key)).distinct().join(parcels, "parcel_id", "left")
+    rows = rows.join(pieces.groupBy(*key).agg(F.count(F.lit(1)).alias("poles")), key, "left").join(gross, key, "left")
+    return rows.select(*key, F.coalesce("vidt", F.lit(none)).alias("territory"), F.coalesce("poles", F.lit(0)).alias("poles"), F.coalesce("gross_sqm", F.lit(0.0)).alias("gross_sqm"))

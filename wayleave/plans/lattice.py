@@ -1,11 +1,13 @@
 """The cadastral tables as derived from the given TPC-H-like tables.
 
-Parcels stand on a lattice of 20 m, so that every overlap area is exact; see SQL below for the same in DuckDB.
+Parcels stand on a lattice of 20 m, so that every overlap area is exact; see SQL below for the same in DuckDB. Ten rows of parcels
+make a band; each band has a corridor of its own and the structures of one supplier in twenty parts, so that corridors,
+structures and what they touch grow with the tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CELL = 20
@@ -46,16 +48,26 @@ def settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(corridor_id, pole_no, x0, y0, x1, y1, area_sqm)"""
-    s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), ((F.col("s_suppkey") * 37) % 800).cast("double").alias("x"), ((F.col("s_suppkey") * 53) % 100).cast("double").alias("y"), (2 + F.col("s_suppkey") % 3).cast("double").alias("h"))
-    return s.select((F.col("k") % 5).cast("int").alias("corridor_id"), F.col("k").cast("string").alias("pole_no"), (F.col("x") - F.col("h")).alias("x0"), (F.col("y") - F.col("h")).alias("y0"), (F.col("x") + F.col("h")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"), (4 * F.col("h") * F.col("h")).alias("area_sqm"))
+    k = F.floor(F.col("s_suppkey") / 20)
+    s = t(spark, sf_dir, "supplier").select(k.alias("corridor_id"), F.col("s_suppkey").alias("k"), ((F.col("s_suppkey") * 37) % 800).cast("double").alias("x"), (200 * k + (F.col("s_suppkey") * 53) % 100).cast("double").alias("y"), (2 + F.col("s_suppkey") % 3).cast("double").alias("h"))
+    return s.select("corridor_id", F.col("k").cast("string").alias("pole_no"), (F.col("x") - F.col("h")).alias("x0"), (F.col("y") - F.col("h")).alias("y0"), (F.col("x") + F.col("h")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"), (4 * F.col("h") * F.col("h")).alias("area_sqm"))
+
+
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(corridor_id, b): the bands of parcel rows and where their corridors begin."""
+    k = F.floor(F.col("p_partkey") / 400)
+    return t(spark, sf_dir, "part").select(k.alias("corridor_id")).distinct().select("corridor_id", base(F.col("corridor_id")).alias("b"))
+
+
+def base(corridor_id: Column) -> Column:
+    return (200 * corridor_id + 10 + 18 * (corridor_id % 5)).cast("double")
 
 
 def corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(corridor_id, ring): one concave L for each region."""
-    r = t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("corridor_id"), (10 + 18 * F.col("r_regionkey")).cast("double").alias("b"))
+    """(corridor_id, ring): one concave L for each band."""
     at = lambda x, y: F.struct(F.lit(float(x)).alias("x"), y.cast("double").alias("y"))
-    low, top, end = F.col("b"), F.col("b") + 12, F.lit(110.0)
-    return r.select("corridor_id", F.array(at(5, low), at(700, low), at(700, end), at(688, end), at(688, top), at(5, top)).alias("ring"))
+    low, top, end = F.col("b"), F.col("b") + 12, 200 * F.col("corridor_id") + 110
+    return bands(spark, sf_dir).select("corridor_id", F.array(at(5, low), at(700, low), at(700, end), at(688, end), at(688, top), at(5, top)).alias("ring"))
 
 
 def ring(x0="x0", y0="y0", x1="x1", y1="y1"):
@@ -87,16 +99,17 @@ parcel AS (
          p_partkey%11<>0 AS in_register, p_partkey AS num, gy
   FROM (SELECT *, p_partkey%40 AS gx, p_partkey//40 AS gy, (p_partkey%40)//8 + 5*((p_partkey//400)%5) AS sk FROM part)),
 settlement AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 5, '0') AS ekatte, 'с.' AS kind, n_name AS name, r_name AS municipality, CAST(r_regionkey%2 AS VARCHAR) AS province FROM nation JOIN region ON n_regionkey = r_regionkey),
-footprint AS (SELECT CAST(s_suppkey%5 AS INTEGER) AS corridor_id, CAST(s_suppkey AS VARCHAR) AS pole_no, CAST(x-h AS DOUBLE) AS x0, CAST(y-h AS DOUBLE) AS y0, CAST(x+h AS DOUBLE) AS x1, CAST(y+h AS DOUBLE) AS y1, CAST(4*h*h AS DOUBLE) AS area_sqm
-  FROM (SELECT s_suppkey, (s_suppkey*37)%800 AS x, (s_suppkey*53)%100 AS y, 2+s_suppkey%3 AS h FROM supplier)),
+band AS (SELECT DISTINCT p_partkey//400 AS corridor_id, CAST(200*(p_partkey//400) + 10 + 18*((p_partkey//400)%5) AS DOUBLE) AS b FROM part),
+footprint AS (SELECT k AS corridor_id, CAST(s_suppkey AS VARCHAR) AS pole_no, CAST(x-h AS DOUBLE) AS x0, CAST(y-h AS DOUBLE) AS y0, CAST(x+h AS DOUBLE) AS x1, CAST(y+h AS DOUBLE) AS y1, CAST(4*h*h AS DOUBLE) AS area_sqm
+  FROM (SELECT s_suppkey, s_suppkey//20 AS k, (s_suppkey*37)%800 AS x, 200*(s_suppkey//20) + (s_suppkey*53)%100 AS y, 2+s_suppkey%3 AS h FROM supplier)),
 piece AS (SELECT f.corridor_id, f.pole_no, p.parcel_id, (least(f.x1,p.x1)-greatest(f.x0,p.x0))*(least(f.y1,p.y1)-greatest(f.y0,p.y0)) AS piece_sqm
   FROM footprint f JOIN parcel p ON f.x0<p.x1 AND f.x1>p.x0 AND f.y0<p.y1 AND f.y1>p.y0),
 gross AS (SELECT corridor_id, parcel_id, h+v-hv AS gross_sqm FROM (
-  SELECT r_regionkey AS corridor_id, parcel_id,
-    greatest(0, least(x1,700)-greatest(x0,5))*greatest(0, least(y1,22+18*r_regionkey)-greatest(y0,10+18*r_regionkey)) AS h,
-    greatest(0, least(x1,700)-greatest(x0,688))*greatest(0, least(y1,110)-greatest(y0,10+18*r_regionkey)) AS v,
-    greatest(0, least(x1,700)-greatest(x0,688))*greatest(0, least(y1,22+18*r_regionkey)-greatest(y0,10+18*r_regionkey)) AS hv
-  FROM region, parcel WHERE y0 < 200) WHERE h+v-hv > 0.001),
+  SELECT corridor_id, parcel_id,
+    greatest(0, least(x1,700)-greatest(x0,5))*greatest(0, least(y1,b+12)-greatest(y0,b)) AS h,
+    greatest(0, least(x1,700)-greatest(x0,688))*greatest(0, least(y1,200*corridor_id+110)-greatest(y0,b)) AS v,
+    greatest(0, least(x1,700)-greatest(x0,688))*greatest(0, least(y1,b+12)-greatest(y0,b)) AS hv
+  FROM band JOIN parcel ON gy//10 = corridor_id) WHERE h+v-hv > 0.001),
 areas AS (SELECT k.corridor_id, k.parcel_id, p.ekatte, (p.x1-p.x0)*(p.y1-p.y0) AS drawn_sqm, coalesce(g.gross_sqm, 0) AS gross_sqm
   FROM (SELECT corridor_id, parcel_id FROM gross UNION SELECT corridor_id, parcel_id FROM piece) k JOIN parcel p USING (parcel_id) LEFT JOIN gross g USING (corridor_id, parcel_id)),
 rights AS (SELECT p.parcel_id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS right_ord,

@@ -56,12 +56,10 @@ def pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gross(spark: SparkSession, d: str) -> DataFrame:
-    """Corridor areas by parcel, from the corridor's two boxes and their common part."""
-    c = la.corridors(spark, d).select("corridor_id", F.col("ring")[0]["y"].alias("b"))
-    box = lambda x0, x1, y1, sign: c.select("corridor_id", F.lit(sign).alias("sign"), F.lit(float(x0)).alias("x0"), F.col("b").alias("y0"), F.lit(float(x1)).alias("x1"), y1.alias("y1"))
-    boxes = box(5, 700, F.col("b") + 12, 1.0).unionByName(box(688, 700, F.lit(110.0), 1.0)).unionByName(box(688, 700, F.col("b") + 12, -1.0))
-    met = overlay.box_overlaps(boxes, la.parcels(spark, d), ["corridor_id", "sign"], ["parcel_id"], la.CELL)
-    return met.groupBy("corridor_id", "parcel_id").agg(F.sum(F.col("sign") * F.col("sqm")).alias("gross_sqm")).where(F.col("gross_sqm") > overlay.SLIVER)
+    """Corridor areas by parcel; the lattice's areas are whole numbers."""
+    parcels = la.parcels(spark, d).select("parcel_id", la.ring().alias("ring"))
+    met = overlay.overlap_areas(la.corridors(spark, d), parcels, ["corridor_id"], ["parcel_id"], cell=la.CELL)
+    return met.select("corridor_id", "parcel_id", F.round("sqm", 6).alias("gross_sqm"))
 
 
 def areas(spark: SparkSession, d: str) -> DataFrame:
@@ -90,9 +88,7 @@ def balance(spark: SparkSession, d: str) -> DataFrame:
 
 @query("J01_corridor_parcel_areas", "SELECT corridor_id, parcel_id, CAST(gross_sqm AS DOUBLE) AS gross_sqm FROM gross")
 def _(spark, d):
-    parcels = la.parcels(spark, d).select("parcel_id", la.ring().alias("ring"))
-    met = overlay.overlap_areas(la.corridors(spark, d), parcels, ["corridor_id"], ["parcel_id"], cell=la.CELL)
-    return met.select("corridor_id", "parcel_id", F.round("sqm", 6).alias("gross_sqm"))
+    return gross(spark, d)
 
 
 @query("J02_footprint_parcel_pieces", "SELECT corridor_id, pole_no, parcel_id, CAST(piece_sqm AS DOUBLE) AS piece_sqm FROM piece WHERE piece_sqm > 0.001")
@@ -265,7 +261,7 @@ def _(spark, d):
     return balances.municipality_balance(balance(spark, d), la.settlements(spark, d))
 
 
-AXIS = """axis AS (SELECT r_regionkey AS corridor_id, p.parcel_id, p.ekatte, least(x1, 694)-greatest(x0, 5) AS metres FROM region JOIN parcel p ON p.y0 < 16+18*r_regionkey AND p.y1 > 16+18*r_regionkey AND p.x0 < 694 AND p.x1 > 5)"""
+AXIS = """axis AS (SELECT corridor_id, p.parcel_id, p.ekatte, least(x1, 694)-greatest(x0, 5) AS metres FROM band JOIN parcel p ON gy//10 = corridor_id AND p.y0 < b+6 AND p.y1 > b+6 AND p.x0 < 694 AND p.x1 > 5)"""
 
 
 def route(spark: SparkSession, d: str) -> DataFrame:
@@ -431,11 +427,11 @@ def _(spark, d):
 
 
 def cad_lines(spark: SparkSession, d: str) -> DataFrame:
-    """(path, modified, line_no, text): one file for each settlement; names hold quotes, localities are by ownership."""
-    p = registered(spark, d)
+    """(path, modified, line_no, text): one file for each settlement of a band of parcels; names hold quotes, localities are by ownership."""
+    p = registered(spark, d).withColumn("band", F.floor(F.col("num") / 400))
     # Lines of a file are numbered by section, then by row.
     at = lambda part, i: (F.lit(part * 1_000_000_000).cast("long") + i).alias("line_no")
-    every = p.select("ekatte").distinct()
+    every = p.select("ekatte", "band").distinct()
     blocks = [
         (0, ["HEADER", "VERSION 4.02", None, "NAME с. Пример", "END_HEADER", "", "CONTROL CADASTER"]),
         (2, ["END_CONTROL", "CONTROL OTHER", "CONTUR_AREA 0.0 7777", "END_CONTROL", "TABLE POZEMLIMOTI", *(f"F {f} C 20 0 1" for f in ("IDENT", "VIDT", "NTP", "VIDS", "KAT", "MESTNOST"))]),
@@ -446,19 +442,19 @@ def cad_lines(spark: SparkSession, d: str) -> DataFrame:
     fixed = None
     for part, texts in blocks:
         text = F.posexplode(F.array(*(F.lit(t) if t is not None else F.concat(F.lit("EKATTE "), F.col("ekatte")) for t in texts))).alias("i", "text")
-        rows = every.select("ekatte", text).select("ekatte", at(part, F.col("i")), "text")
+        rows = every.select("ekatte", "band", text).select("ekatte", "band", at(part, F.col("i")), "text")
         fixed = rows if fixed is None else fixed.unionByName(rows)
     q = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
     ident = keys.parcel_label(F.col("parcel_id"))
-    area = p.select("ekatte", at(1, F.col("num")), F.concat(F.lit("CONTUR_AREA "), ident, F.lit(" "), F.replace(F.col("area_sqm").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))).alias("text"))
-    parcel = p.select("ekatte", at(3, F.col("num")), F.concat(F.lit("D "), F.concat_ws(",", ident, q("vidt"), q("ntp"), q("vids"), F.col("kat"), F.lit("1")), F.lit(",")).alias("text"))
-    r = la.rights(spark, d).join(p.select("parcel_id", "ekatte", "num"), "parcel_id")
-    right = r.select("ekatte", at(7, F.col("num") * 10_000 + F.col("right_ord")), F.concat(F.lit("D "), F.concat_ws(",", ident, F.col("person_id"), F.col("kind"), F.col("doc1"), F.col("doc2"))).alias("text"))
-    who = r.select("ekatte", "person_id").distinct().join(la.persons(spark, d), "person_id")
+    area = p.select("ekatte", "band", at(1, F.col("num")), F.concat(F.lit("CONTUR_AREA "), ident, F.lit(" "), F.replace(F.col("area_sqm").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))).alias("text"))
+    parcel = p.select("ekatte", "band", at(3, F.col("num")), F.concat(F.lit("D "), F.concat_ws(",", ident, q("vidt"), q("ntp"), q("vids"), F.col("kat"), F.lit("1")), F.lit(",")).alias("text"))
+    r = la.rights(spark, d).join(p.select("parcel_id", "ekatte", "band", "num"), "parcel_id")
+    right = r.select("ekatte", "band", at(7, F.col("num") * 10_000 + F.col("right_ord")), F.concat(F.lit("D "), F.concat_ws(",", ident, F.col("person_id"), F.col("kind"), F.col("doc1"), F.col("doc2"))).alias("text"))
+    who = r.select("ekatte", "band", "person_id").distinct().join(la.persons(spark, d), "person_id")
     named = F.concat(F.lit('"ЕТ \\"'), F.col("name"), F.lit('\\" ООД"'))
-    person = who.select("ekatte", at(5, F.col("person_id").cast("long")), F.concat(F.lit("D "), F.concat_ws(",", "person_id", named, F.when(F.col("heirs"), F.lit("T")).otherwise(F.lit(""))), F.lit(",")).alias("text"))
+    person = who.select("ekatte", "band", at(5, F.col("person_id").cast("long")), F.concat(F.lit("D "), F.concat_ws(",", "person_id", named, F.when(F.col("heirs"), F.lit("T")).otherwise(F.lit(""))), F.lit(",")).alias("text"))
     all_ = fixed.unionByName(area).unionByName(parcel).unionByName(right).unionByName(person)
-    return all_.select(F.concat(F.lit("/"), F.col("ekatte"), F.lit(".cad")).alias("path"), F.lit("2026-01-01").cast("timestamp").alias("modified"), "line_no", "text")
+    return all_.select(F.concat(F.lit("/"), F.col("band").cast("string"), F.lit("/"), F.col("ekatte"), F.lit(".cad")).alias("path"), F.lit("2026-01-01").cast("timestamp").alias("modified"), "line_no", "text")
 
 
 @query("S08_cad_parcels", "SELECT parcel_id, ekatte, vidt, ntp, vids, kat, 'м. \"ЛЪКИТЕ\"' AS locality, area_sqm FROM parcel WHERE in_register")
@@ -472,32 +468,32 @@ def _(spark, d):
     return r.select("parcel_id", F.row_number().over(Window.partitionBy("parcel_id").orderBy("right_ord")).alias("ord"), "kind", "person_id", "person_name", "heirs", "doc1", "doc2")
 
 
-@query("S10_cad_persons", "SELECT DISTINCT p.ekatte, r.person_id, 'ЕТ \"' || n.name || '\" ООД' AS name, n.heirs FROM rights r JOIN (SELECT * FROM parcel WHERE in_register) p USING (parcel_id) JOIN person n USING (person_id)")
+@query("S10_cad_persons", "SELECT ekatte, person_id, name, heirs FROM (SELECT DISTINCT p.ekatte, p.num//400 AS band, r.person_id, 'ЕТ \"' || n.name || '\" ООД' AS name, n.heirs FROM rights r JOIN (SELECT * FROM parcel WHERE in_register) p USING (parcel_id) JOIN person n USING (person_id))")
 def _(spark, d):
     good = cad.good_rows(cad.table_rows(cad.sections(cad_lines(spark, d))))
-    return cad.persons(good).select(F.regexp_extract("path", "([0-9]+)", 1).alias("ekatte"), "person_id", "name", "heirs")
+    return cad.persons(good).select(F.regexp_extract("path", "([0-9]+)[.]cad", 1).alias("ekatte"), "person_id", "name", "heirs")
 
 
-@query("S13_cad_bad_records", "SELECT ekatte, 'PRAVA' AS \"table\", 'wrong number of values' AS reason, count(*) AS n FROM (SELECT DISTINCT ekatte FROM parcel WHERE in_register) GROUP BY ALL")
+@query("S13_cad_bad_records", "SELECT ekatte, 'PRAVA' AS \"table\", 'wrong number of values' AS reason, count(*) AS n FROM (SELECT DISTINCT ekatte, num//400 AS band FROM parcel WHERE in_register) GROUP BY ALL")
 def _(spark, d):
     bad = cad.load_registers(cad_lines(spark, d))["bad_records"]
-    return bad.groupBy(F.regexp_extract("path", "([0-9]+)", 1).alias("ekatte"), "table", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return bad.groupBy(F.regexp_extract("path", "([0-9]+)[.]cad", 1).alias("ekatte"), "table", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S06_cad_header", "SELECT DISTINCT ekatte, '4.02' AS version, 'с. Пример' AS settlement FROM parcel WHERE in_register")
+@query("S06_cad_header", "SELECT ekatte, '4.02' AS version, 'с. Пример' AS settlement FROM (SELECT DISTINCT ekatte, num//400 AS band FROM parcel WHERE in_register)")
 def _(spark, d):
     return cad.headers(cad.sections(cad_lines(spark, d))).select("ekatte", "version", "settlement")
 
 
 @query("S07_cad_contour_areas", "SELECT ekatte, regexp_replace(parcel_id, '^[^.]*[.]', '') AS ident, area_sqm FROM parcel WHERE in_register")
 def _(spark, d):
-    return cad.contour_areas(cad.sections(cad_lines(spark, d))).select(F.regexp_extract("path", "([0-9]+)", 1).alias("ekatte"), "ident", "area_sqm")
+    return cad.contour_areas(cad.sections(cad_lines(spark, d))).select(F.regexp_extract("path", "([0-9]+)[.]cad", 1).alias("ekatte"), "ident", "area_sqm")
 
 
-@query("S09_cad_localities", "SELECT DISTINCT ekatte, '1' AS code, 'м. \"ЛЪКИТЕ\"' AS locality FROM parcel WHERE in_register")
+@query("S09_cad_localities", "SELECT ekatte, '1' AS code, 'м. \"ЛЪКИТЕ\"' AS locality FROM (SELECT DISTINCT ekatte, num//400 AS band FROM parcel WHERE in_register)")
 def _(spark, d):
     good = cad.good_rows(cad.table_rows(cad.sections(cad_lines(spark, d))))
-    return cad.localities(good).select(F.regexp_extract("path", "([0-9]+)", 1).alias("ekatte"), F.col("mestnost").alias("code"), "locality")
+    return cad.localities(good).select(F.regexp_extract("path", "([0-9]+)[.]cad", 1).alias("ekatte"), F.col("mestnost").alias("code"), "locality")
 
 
 @query("O01_newest_parcel_wins", "SELECT parcel_id, ekatte, CASE WHEN num%3=0 THEN 'new' ELSE vids END AS vids, CASE WHEN num%3=0 THEN 'b' ELSE 'a' END AS file FROM parcel WHERE in_register")
@@ -523,14 +519,14 @@ def _(spark, d):
 # --- points, axes, numbering ------------------------------------------------------------------------------------------
 
 EDGE = """edge AS (SELECT *, row_number() OVER (PARTITION BY corridor_id, side ORDER BY x, pole::BIGINT) AS ord FROM (
-  SELECT corridor_id, pole_no AS pole, (x0+x1)/2 AS x, (y0+y1)/2 AS y, CASE WHEN (y0+y1)/2 > 16+18*corridor_id THEN 'left' ELSE 'right' END AS side, CAST(pole_no AS BIGINT)%4<>0 AS inside FROM footprint)),
+  SELECT corridor_id, pole_no AS pole, (x0+x1)/2 AS x, (y0+y1)/2 AS y, CASE WHEN (y0+y1)/2 > 200*corridor_id+16+18*(corridor_id%5) THEN 'left' ELSE 'right' END AS side, CAST(pole_no AS BIGINT)%4<>0 AS inside FROM footprint)),
 home AS (SELECT e.*, p.ekatte FROM edge e LEFT JOIN parcel p ON x >= p.x0 AND x < p.x1 AND y >= p.y0 AND y < p.y1)"""
 
 
 def edge(spark: SparkSession, d: str) -> DataFrame:
     """Structure centres as points of a corridor's left or right edge, in order along it."""
     e = la.footprints(spark, d).select("corridor_id", F.col("pole_no").alias("pole"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    e = e.withColumn("side", F.when(F.col("y") > 16 + 18 * F.col("corridor_id"), "left").otherwise("right")).withColumn("inside", F.col("pole").cast("long") % 4 != 0)
+    e = e.withColumn("side", F.when(F.col("y") > la.base(F.col("corridor_id")) + 6, "left").otherwise("right")).withColumn("inside", F.col("pole").cast("long") % 4 != 0)
     return e.withColumn("ord", F.row_number().over(Window.partitionBy("corridor_id", "side").orderBy("x", F.col("pole").cast("long"))))
 
 
@@ -556,7 +552,7 @@ def _(spark, d):
     return route(spark, d).select("corridor_id", "parcel_id", "metres")
 
 
-@query("J24_locate_on_axis", ", p AS (SELECT corridor_id, pole_no, (x0+x1)/2 AS x, (y0+y1)/2 AS y FROM footprint), q AS (SELECT *, greatest(5, least(694, x)) AS c, 16+18*corridor_id AS ay FROM p) SELECT corridor_id, pole_no, round(c-5.0, 6) AS station, CASE WHEN sqrt((x-c)*(x-c)+(y-ay)*(y-ay)) <= 1e-6 THEN 0.0 ELSE round(sign(y-ay)*sqrt((x-c)*(x-c)+(y-ay)*(y-ay)), 6) END AS \"offset\" FROM q")
+@query("J24_locate_on_axis", ", p AS (SELECT corridor_id, pole_no, (x0+x1)/2 AS x, (y0+y1)/2 AS y FROM footprint), q AS (SELECT *, greatest(5, least(694, x)) AS c, 200*corridor_id+16+18*(corridor_id%5) AS ay FROM p WHERE corridor_id IN (SELECT corridor_id FROM band)) SELECT corridor_id, pole_no, round(c-5.0, 6) AS station, CASE WHEN sqrt((x-c)*(x-c)+(y-ay)*(y-ay)) <= 1e-6 THEN 0.0 ELSE round(sign(y-ay)*sqrt((x-c)*(x-c)+(y-ay)*(y-ay)), 6) END AS \"offset\" FROM q")
 def _(spark, d):
     p = la.footprints(spark, d).select("corridor_id", "pole_no", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     y = F.col("ring")[0]["y"] + 6
@@ -767,8 +763,8 @@ def _(spark, d):
 
 
 MATH = """three AS (SELECT f.corridor_id, p.parcel_id, greatest(f.x0,p.x0) AS x0, least(f.x1,p.x1) AS x1, greatest(f.y0,p.y0) AS y0, least(f.y1,p.y1) AS y1 FROM footprint f JOIN parcel p ON f.x0<p.x1 AND f.x1>p.x0 AND f.y0<p.y1 AND f.y1>p.y0),
-covered AS (SELECT corridor_id, parcel_id, sum(h+v-hv) AS sqm, sum((x1-x0)*(y1-y0)) AS pole FROM (SELECT *, greatest(0, least(x1,700)-greatest(x0,5))*greatest(0, least(y1,22+18*corridor_id)-greatest(y0,10+18*corridor_id)) AS h,
-    greatest(0, least(x1,700)-greatest(x0,688))*greatest(0, least(y1,110)-greatest(y0,10+18*corridor_id)) AS v, greatest(0, least(x1,700)-greatest(x0,688))*greatest(0, least(y1,22+18*corridor_id)-greatest(y0,10+18*corridor_id)) AS hv FROM three) GROUP BY ALL)"""
+covered AS (SELECT corridor_id, parcel_id, sum(h+v-hv) AS sqm, sum((x1-x0)*(y1-y0)) AS pole FROM (SELECT *, greatest(0, least(x1,700)-greatest(x0,5))*greatest(0, least(y1,b+12)-greatest(y0,b)) AS h,
+    greatest(0, least(x1,700)-greatest(x0,688))*greatest(0, least(y1,200*corridor_id+110)-greatest(y0,b)) AS v, greatest(0, least(x1,700)-greatest(x0,688))*greatest(0, least(y1,b+12)-greatest(y0,b)) AS hv FROM three LEFT JOIN band USING (corridor_id)) GROUP BY ALL)"""
 
 
 @query("J03_math_test_areas", f", {MATH} SELECT corridor_id, parcel_id, CAST(drawn_sqm AS DOUBLE) AS area_sqm, CAST(gross_sqm AS DOUBLE) AS gross_sqm, CAST(gross_sqm - coalesce(sqm, 0) AS DOUBLE) AS net_sqm, CAST(coalesce(pole, 0) AS DOUBLE) AS pole_sqm, CAST(greatest(drawn_sqm - (gross_sqm - coalesce(sqm, 0)) - coalesce(pole, 0), 0) AS DOUBLE) AS remainder_sqm FROM areas LEFT JOIN covered USING (corridor_id, parcel_id)")
@@ -856,12 +852,9 @@ def _(spark, d):
     return rounded_once(r, "corridor_id", "territory").unionByName(rounded_once(r, "corridor_id"), allowMissingColumns=True)
 
 
-@query("J21_legacy_merge_rows", "SELECT k.parcel_id, CASE WHEN p.in_register THEN p.vidt ELSE 'NO DATA' END AS territory, coalesce(s.poles, 0) AS poles, CAST(coalesce(g.gross_sqm, 0) AS DOUBLE) AS gross_sqm FROM (SELECT parcel_id FROM gross WHERE corridor_id=0 UNION SELECT parcel_id FROM piece WHERE corridor_id=0) k JOIN parcel p USING (parcel_id) LEFT JOIN (SELECT parcel_id, count(*) AS poles FROM piece WHERE corridor_id=0 GROUP BY ALL) s USING (parcel_id) LEFT JOIN (SELECT * FROM gross WHERE corridor_id=0) g USING (parcel_id)")
+@query("J21_legacy_merge_rows", "SELECT k.corridor_id, k.parcel_id, CASE WHEN p.in_register THEN p.vidt ELSE 'NO DATA' END AS territory, coalesce(s.poles, 0) AS poles, CAST(coalesce(g.gross_sqm, 0) AS DOUBLE) AS gross_sqm FROM (SELECT corridor_id, parcel_id FROM gross UNION SELECT corridor_id, parcel_id FROM piece) k JOIN parcel p USING (parcel_id) LEFT JOIN (SELECT corridor_id, parcel_id, count(*) AS poles FROM piece GROUP BY ALL) s USING (corridor_id, parcel_id) LEFT JOIN gross g USING (corridor_id, parcel_id)")
 def _(spark, d):
-    g, q = gross(spark, d).where("corridor_id = 0").drop("corridor_id"), pieces(spark, d).where("corridor_id = 0")
-    keys_ = g.select("parcel_id").union(q.select("parcel_id")).distinct()
-    rows = keys_.join(registered(spark, d).select("parcel_id", "vidt"), "parcel_id", "left").join(q.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("poles")), "parcel_id", "left").join(g, "parcel_id", "left")
-    return rows.select("parcel_id", F.coalesce("vidt", F.lit("NO DATA")).alias("territory"), F.coalesce("poles", F.lit(0)).alias("poles"), F.coalesce("gross_sqm", F.lit(0.0)).alias("gross_sqm"))
+    return registers.merged_rows(gross(spark, d), pieces(spark, d), registered(spark, d).select("parcel_id", "vidt"))
 
 
 @query("V02_verify_combined", "SELECT corridor_id, '' AS province, '' AS municipality, 0 AS table_ord FROM body WHERE false")
@@ -931,8 +924,8 @@ def _(spark, d):
 
 
 PARTS = f"""{AXIS}, cut AS (SELECT DISTINCT a.corridor_id, m FROM axis a JOIN parcel p USING (parcel_id), unnest([greatest(p.x0, 5)-5, least(p.x1, 694)-5]) AS u(m) WHERE a.metres > 0),
-bound AS (SELECT corridor_id, m AS a, lead(m) OVER (PARTITION BY corridor_id ORDER BY m) AS b FROM (SELECT corridor_id, m FROM cut UNION SELECT r_regionkey, 0 FROM region UNION SELECT r_regionkey, 689 FROM region)),
-part_ AS (SELECT b.corridor_id, b.a, b.b, p.ekatte FROM bound b LEFT JOIN parcel p ON p.y0 < 16+18*corridor_id AND p.y1 > 16+18*corridor_id AND p.x0 <= (a+b)/2+5 AND p.x1 > (a+b)/2+5 WHERE b.b IS NOT NULL),
+bound AS (SELECT corridor_id, m AS a, lead(m) OVER (PARTITION BY corridor_id ORDER BY m) AS b FROM (SELECT corridor_id, m FROM cut UNION SELECT corridor_id, 0 FROM band UNION SELECT corridor_id, 689 FROM band)),
+part_ AS (SELECT b.corridor_id, b.a, b.b, p.ekatte FROM bound b LEFT JOIN parcel p ON gy//10 = corridor_id AND p.y0 < 200*corridor_id+16+18*(corridor_id%5) AND p.y1 > 200*corridor_id+16+18*(corridor_id%5) AND p.x0 <= (a+b)/2+5 AND p.x1 > (a+b)/2+5 WHERE b.b IS NOT NULL),
 seq AS (SELECT *, lag(ekatte) OVER w AS f, coalesce(lag(b) OVER w, 0) AS upto FROM part_ WHERE ekatte IS NOT NULL WINDOW w AS (PARTITION BY corridor_id ORDER BY a))"""
 
 
