@@ -157,3 +157,22 @@ def boundary_crossings(parts: DataFrame, cuts: DataFrame, by: list[str], cluster
     hits = near.groupBy(*by, "a").agg(F.count("m").alias("n"), (F.max("m") - F.min("m")).alias("span"))
     out = found.join(hits, [*by, "a"], "left")
     return out.select(*by, "at", "from_ekatte", "to_ekatte", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("merged_hits"), F.coalesce("span", F.lit(0.0)).alias("span"))
+
+
+def listed_points(points: DataFrame) -> DataFrame:
+    """Points of the walk that have a settlement; the others are not in the register."""
+    return points.where(F.size("ekattes") > 0)
+
+
+def corridor_print_rows(points: DataFrame, left: int = 5001, right: int = 1) -> DataFrame:
+    """(corridor_id, ekatte, row_ord, left_no, left_north, left_east, right_no, right_north, right_east): the coordinate register of corridor edges as printed.
+
+    Listed points are numbered along each edge; a shared point stands in both of its settlements, under one number. Drawing y is north, x is east,
+    to three decimals, half away from zero.
+    """
+    p = listed_points(points)
+    both = numbered(p.where("side = 'left'"), ["corridor_id"], left).unionByName(numbered(p.where("side = 'right'"), ["corridor_id"], right))
+    printed = lambda c: F.round(F.col(c).cast("decimal(24,6)"), 3).cast("double")
+    each = both.select("corridor_id", "side", "number", printed("x").alias("x"), printed("y").alias("y"), F.explode("ekattes").alias("ekatte"))
+    rows = paired_edges(each.where("side = 'left'"), each.where("side = 'right'"), ["corridor_id", "ekatte"])
+    return rows.select("corridor_id", "ekatte", "row_ord", *(F.col(f"{s}_{c}").alias(f"{s}_{n}") for s in ("left", "right") for c, n in (("number", "no"), ("y", "north"), ("x", "east"))))

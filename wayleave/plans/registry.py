@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayleave.functions import geometry, keys, units
-from wayleave.operators import balances, lines, overlay, registers, shapes
+from wayleave.operators import balances, edges, lines, overlay, registers, shapes
 from wayleave.plans import lattice as la
 from wayleave.sources import cad, codes, flat
 
@@ -264,14 +264,21 @@ def _(spark, d):
 AXIS = """axis AS (SELECT corridor_id, p.parcel_id, p.ekatte, least(x1, 694)-greatest(x0, 5) AS metres FROM band JOIN parcel p ON gy//10 = corridor_id AND p.y0 < b+6 AND p.y1 > b+6 AND p.x0 < 694 AND p.x1 > 5)"""
 
 
+def axis(spark: SparkSession, d: str) -> DataFrame:
+    """(corridor_id, ord, x0, y0, x1, y1, bulge): each corridor's straight axis."""
+    y = (F.col("b") + 6).alias
+    return la.bands(spark, d).select("corridor_id", F.lit(0).alias("ord"), F.lit(5.0).alias("x0"), y("y0"), F.lit(694.0).alias("x1"), y("y1"), F.lit(0.0).alias("bulge"))
+
+
+def ringed(spark: SparkSession, d: str) -> DataFrame:
+    """Parcels as shapes: (parcel_id, ekatte, ord, ring)."""
+    return la.parcels(spark, d).select("parcel_id", "ekatte", F.col("num").alias("ord"), la.ring().alias("ring"))
+
+
 def route(spark: SparkSession, d: str) -> DataFrame:
-    """Metres of each corridor's straight axis in each parcel: the axis goes to the cells it crosses, then meets parcels by cell."""
-    a = la.corridors(spark, d).select("corridor_id", (F.col("ring")[0]["y"] + 6).alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(34).cast("long"))).alias("cx"))
-    a = a.withColumn("cy", F.floor(F.col("y") / la.CELL))
-    p = la.parcels(spark, d).select("parcel_id", "ekatte", "x0", "x1", "y0", "y1", F.floor(F.col("x0") / la.CELL).alias("cx"), F.floor(F.col("y0") / la.CELL).alias("cy"))
-    met = a.join(p, ["cx", "cy"]).where((F.col("y") > F.col("y0")) & (F.col("y") < F.col("y1")))
-    metres = F.least("x1", F.lit(694.0)) - F.greatest("x0", F.lit(5.0))
-    return met.select("corridor_id", "parcel_id", "ekatte", metres.alias("metres")).where("metres > 0")
+    """Metres of each corridor's axis in each parcel."""
+    met = edges.axis_lengths(axis(spark, d), ringed(spark, d), ["corridor_id"], la.CELL).where("parcel_id is not null")
+    return met.select("corridor_id", "parcel_id", keys.ekatte_of(F.col("parcel_id")).alias("ekatte"), F.round("metres", 6).alias("metres"))
 
 
 @query("A10_route_metres_by_settlement", f", {AXIS} SELECT corridor_id, ekatte, CAST(sum(metres) AS DOUBLE) AS metres, CAST(round(CAST(sum(metres) AS DECIMAL(24,6))*0.001, 3) AS DOUBLE) AS km FROM axis GROUP BY ALL")
@@ -931,14 +938,12 @@ seq AS (SELECT *, lag(ekatte) OVER w AS f, coalesce(lag(b) OVER w, 0) AS upto FR
 
 @query("O08_boundary_crossings", f", {PARTS} SELECT s.corridor_id, CAST(upto AS DOUBLE) AS \"at\", f AS from_ekatte, ekatte AS to_ekatte, greatest(count(c.m), 1) AS merged_hits, CAST(coalesce(max(c.m)-min(c.m), 0) AS DOUBLE) AS span FROM seq s LEFT JOIN cut c ON c.corridor_id=s.corridor_id AND c.m BETWEEN upto-0.5 AND a+0.5 WHERE f <> ekatte GROUP BY s.corridor_id, upto, a, f, ekatte")
 def _(spark, d):
-    r = route(spark, d).join(la.parcels(spark, d).select("parcel_id", "x0", "x1"), "parcel_id")
-    cuts = r.select("corridor_id", F.explode(F.array(F.greatest("x0", F.lit(5.0)) - 5, F.least("x1", F.lit(694.0)) - 5)).alias("m")).distinct()
-    ends = la.corridors(spark, d).select("corridor_id", F.explode(F.array(F.lit(0.0), F.lit(689.0))).alias("m"))
-    w = Window.partitionBy("corridor_id").orderBy("m")
-    parts = cuts.union(ends).distinct().select("corridor_id", F.col("m").alias("a"), F.lead("m").over(w).alias("b")).where("b is not null")
-    parcels = r.select("corridor_id", "ekatte", "x0", "x1", F.floor((F.col("x0") + F.col("x1")) / 2 / la.CELL).alias("cell"))
-    mid = (F.col("a") + F.col("b")) / 2 + 5
-    parts = parts.withColumn("cell", F.floor(mid / la.CELL)).join(parcels, ["corridor_id", "cell"], "left").select("corridor_id", "a", "b", F.when((mid >= F.col("x0")) & (mid < F.col("x1")), F.col("ekatte")).alias("ekatte"), F.lit(None).cast("string").alias("start_ekatte"))
+    key = ["corridor_id", "ord"]
+    hits = edges.boundary_hits(axis(spark, d), ringed(spark, d), key, la.CELL)
+    pieces = edges.classified_pieces(axis(spark, d), hits, ringed(spark, d), key, "ekatte", la.CELL)
+    metres = lambda c: F.round(F.col(c) * F.col("length"), 6)
+    cuts = hits.select("corridor_id", F.explode("cuts").alias("t")).select("corridor_id", F.round(F.col("t") * 689.0, 6).alias("m"))
+    parts = pieces.select("corridor_id", metres("a").alias("a"), metres("b").alias("b"), "ekatte", F.lit(None).cast("string").alias("start_ekatte"))
     return lines.boundary_crossings(parts, cuts, ["corridor_id"])
 
 
@@ -948,3 +953,6 @@ def _(spark, d):
     cuts = r.select("corridor_id", F.explode(F.array(F.greatest("x0", F.lit(5.0)) - 5, F.least("x1", F.lit(694.0)) - 5, F.col("x0") - 5 + 5e-8)).alias("m"))
     kept = cuts.groupBy("corridor_id").agg(lines.split_parameters(F.collect_list("m"), 0.0, 689.0).alias("kept"))
     return kept.select("corridor_id", F.array_join(F.transform("kept", lambda m: m.cast("int").cast("string")), ",").alias("cuts"))
+
+
+from wayleave.plans import files, routes  # noqa: E402, F401  registers the queries of these modules too
