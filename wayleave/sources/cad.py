@@ -20,7 +20,7 @@ LETTERS = "".join(chr(0x410 + i) for i in range(64)) + "".join("№" if b == 0xD
 MARKS = ["HEADER", "LAYER", "CONTROL", "TABLE", "END_HEADER", "END_LAYER", "END_CONTROL", "END_TABLE"]
 KEYS = {"POZEMLIMOTI": "IDENT", "MESTNOSTI": "MESTNOST", "PRAVA": "IDENT", "PERSONS": "PERSON", "GORIMOTI": "IDENT"}
 # One value and its comma: quoted, where only a quote before a comma or the end closes; or plain.
-VALUE = r'\s*(?:"(?:[^"\\]|\\(?!"\s*(?:,|$))|\\"|"(?!\s*(?:,|$)))*"\s*|[^,]*?\s*)(?:,|$)'
+VALUE = r'\s*+(?:"(?:[^"\\]++|\\(?!"\s*+(?:,|$))|\\"|"(?!\s*+(?:,|$)))*+"\s*+|[^,]*+)(?:,|$)'
 
 
 def scan_cad_dir(spark: SparkSession, folder: str, library: str = TEMPLATES) -> DataFrame:
@@ -171,3 +171,8 @@ def load_registers(rows: DataFrame) -> dict[str, DataFrame]:
     r = rights(good, parts).join(skipped.select("path"), "path", "left_anti")
     won, held = newest(p, r, modified)
     return {"parcels": won, "rights": held, "persons": persons(good), "headers": headers(parts), "bad_records": bad_records(raw), "skipped": skipped}
+
+
+def union_persons(persons_: DataFrame) -> DataFrame:
+    """(ekatte, person_id): the persons of all files of a settlement, each once."""
+    return persons_.select("ekatte", "person_id").distinct()

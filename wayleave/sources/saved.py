@@ -23,3 +23,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """files (name, content) written below folder, each under another name first, then moved, so that a task that runs again leaves the same files. Returns (name, size)."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+
+    def run(batches):
+        import pyarrow as pa
+
+        there, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            names, contents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for name, content in zip(names, contents, strict=True):
+                part = f"{base}/{name}.{uuid.uuid4().hex}"
+                with there.open_output_stream(part, compression=None) as f:
+                    f.write(content)
+                there.move(part, f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c) for c in contents], pa.int64())], ["name", "size"])
+
+    return saved(files.select("name", "content").mapInArrow(run, "name string, size long"), "written")
