@@ -207,7 +207,7 @@ def carried(own: list, near: list) -> list:
 def settled(points: DataFrame, shapes: DataFrame, keys: list[str], cell: float, gap: float) -> DataFrame:
     """points with own (settlement that holds them) and near (settlements within gap)."""
     own = containing(points.select(*keys, "x", "y"), shapes.select("ring", F.col("ord").alias("_ord"), "ekatte"), cell).groupBy(*keys).agg(F.min_by("ekatte", "_ord").alias("own"))
-    near = distance_to_settlements(points.select(*keys, "x", "y"), shapes, keys, gap).groupBy(*keys).agg(F.collect_set("ekatte").alias("near"))
+    near = distance_to_settlements(points.select(*keys, "x", "y"), shapes, keys, gap, cell).groupBy(*keys).agg(F.collect_set("ekatte").alias("near"))
     return points.join(own, keys, "left").join(near, keys, "left").withColumn("near", F.coalesce("near", F.array().cast("array<string>")))
 
 
@@ -238,7 +238,7 @@ def walk_edges(edges: DataFrame, shapes: DataFrame, cell: float = 50.0, reach: f
     # Hits of one crossing that lie apart: an overlap where their middle is in more than one settlement, else a gap.
     middle = first.where("span_m > 0").select(*keys, F.col("mid_x").alias("x"), F.col("mid_y").alias("y"))
     over = containing(middle, shapes.select("ring", "ekatte"), cell).groupBy(*keys).agg((F.countDistinct("ekatte") > 1).alias("is_overlap"))
-    far = distance_to_settlements(first.select(*keys, "x", "y"), shapes, keys, reach).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ekatte", "dist"))).alias("far"))
+    far = distance_to_settlements(first.select(*keys, "x", "y"), shapes, keys, reach, cell).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ekatte", "dist"))).alias("far"))
     known = first.drop("mid_x", "mid_y").join(over, keys, "left").na.fill(False, ["is_overlap"]).join(far, keys, "left")
     return known.groupBy(*side).applyInPandas(_bridge, head + ", is_overlap boolean, merged boolean, bridged boolean")
 

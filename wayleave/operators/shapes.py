@@ -33,25 +33,26 @@ def ring_edges(shapes: DataFrame) -> DataFrame:
     return rows.select(*(F.col(c) for c in shapes.columns if c != "ring"), F.col("_p.x").alias("ax"), F.col("_p.y").alias("ay"), F.col("_q.x").alias("bx"), F.col("_q.y").alias("by"))
 
 
-def distance_to_settlements(points: DataFrame, shapes: DataFrame, keys: list[str], reach: float) -> DataFrame:
+def distance_to_settlements(points: DataFrame, shapes: DataFrame, keys: list[str], reach: float, cell: float = 50.0) -> DataFrame:
     """(keys, ekatte, dist): distance of each point to the nearest shape of each settlement within reach, 0 inside. Shapes need a ring.
 
-    Edges are cut into pieces no longer than reach, each of which goes to the few cells about it: an equi-join, whatever the
-    length of edges and rings.
+    Edges are cut into pieces no longer than a cell (or than reach, if that is more), each of which goes to the few cells
+    about it: an equi-join, whatever the length of edges and rings.
     """
+    cell = max(cell, reach)
     e = ring_edges(shapes.select("ekatte", "ring"))
-    k = F.greatest(F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / reach), F.lit(1)).cast("int")
+    k = F.greatest(F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / cell), F.lit(1)).cast("int")
     e = e.withColumn("_k", k).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     cut = lambda c, j: F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * j / F.col("_k")
     e = e.select("ekatte", *(cut(c, F.col("_j") + n).alias(f"{c}{n}") for n in (0, 1) for c in ("x", "y")))
-    cells = lambda c: F.explode(F.sequence(F.floor((F.least(f"{c}0", f"{c}1") - reach) / reach), F.floor((F.greatest(f"{c}0", f"{c}1") + reach) / reach)))
+    cells = lambda c: F.explode(F.sequence(F.floor((F.least(f"{c}0", f"{c}1") - reach) / cell), F.floor((F.greatest(f"{c}0", f"{c}1") + reach) / cell)))
     e = e.withColumn("_cx", cells("x")).withColumn("_cy", cells("y"))
-    p = points.withColumn("_cx", F.floor(F.col("x") / reach)).withColumn("_cy", F.floor(F.col("y") / reach))
+    p = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     length = dx * dx + dy * dy
     t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / F.when(length > 0, length)))).otherwise(F.lit(0.0))
     near = p.join(e, ["_cx", "_cy"]).select(*keys, "ekatte", F.hypot(F.col("x") - F.col("x0") - t * dx, F.col("y") - F.col("y0") - t * dy).alias("dist")).where(F.col("dist") <= reach)
-    inside = containing(points, shapes.select("ekatte", "ring"), reach).select(*keys, "ekatte", F.lit(0.0).alias("dist"))
+    inside = containing(points, shapes.select("ekatte", "ring"), cell).select(*keys, "ekatte", F.lit(0.0).alias("dist"))
     return near.unionByName(inside).groupBy(*keys, "ekatte").agg(F.min("dist").alias("dist"))
 
 
