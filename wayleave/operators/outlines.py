@@ -237,7 +237,7 @@ def _farthest(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
 def corridor_markers(outlines: DataFrame, by: list[str]) -> DataFrame:
     """(by, side, number, x, y, text_angle): a point every MARK_M along both ways between an outline's two vertices furthest apart.
 
-    Arcs count as straight. No point stands where less than MARK_REST_M remain. Numbers start at LEFT and RIGHT.
+    Arcs count as straight, and a vertex within CLOSED_M (in x and in y) of the one before it is left out. No point stands where less than MARK_REST_M remain. Numbers start at LEFT and RIGHT.
     """
     of = lambda c: F.transform("verts", lambda p: p[c])
     found = outlines.where(F.size("verts") > 1).withColumn("_f", _farthest(of("x"), of("y"))).where("_f.i >= 0")
