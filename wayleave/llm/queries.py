@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wayleave.llm.chat import CONTROL, END, START, chat_digests
+from wayleave.llm.collocations import collocations
 from wayleave.llm.decontaminate import decontaminate
 from wayleave.llm.exact_dedup import exact_dedup
 from wayleave.llm.html_text import extract
 from wayleave.llm.licenses import license_scan
+from wayleave.llm.merkle import lower_cased, merkle_manifest, one_in_five
 from wayleave.llm.mixing import mix_sources
 from wayleave.llm.near_dedup import near_duplicates
 from wayleave.llm.pii import personal_data
 from wayleave.llm.quality import quality_scores
 from wayleave.llm.shared import table
+from wayleave.llm.substring_dedup import substring_dedup
 from wayleave.llm.warc import round_trip
 
 
@@ -62,6 +65,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_hash")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), window=20)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"), tampered=lower_cased(one_in_five()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -73,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_license_scan": op9_license_scan,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 def _escaped(c: str, role: bool = False) -> str:
@@ -88,6 +106,16 @@ def _escaped(c: str, role: bool = False) -> str:
 LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM_WORDS = rf"regexp_extract_all({LOWER_AZ}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: Unsigned crc32 of the decimal doc_id, bit by bit.
+CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)))"""
+
+
+def _leaf(text: str) -> str:
+    values = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END" for v in values) + ")"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -128,5 +156,43 @@ hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(ra
 named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS l FROM m GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20*coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op11_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER_AZ}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, x, count(*) AS f FROM (SELECT lang, k, ws[s:s+k-1] AS x FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS s FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k)) GROUP BY ALL),
+c AS (SELECT *, array_to_string(x, ' ') AS phrase FROM g WHERE k >= 2 AND f >= 100),
+t AS (SELECT c.lang AS lang, phrase, c.f AS a, n.n AS n, j, l.f AS l, r.f AS r, CAST(1000*CAST(c.f AS HUGEINT)*n.n // (CAST(l.f AS HUGEINT)*r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) AS c JOIN n ON n.lang = c.lang JOIN g AS l ON l.lang = c.lang AND l.x = c.x[:j] JOIN g AS r ON r.lang = c.lang AND r.x = c.x[j+1:]),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+s AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND len(c.phrase) > len(b.phrase) AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100*c.f >= 100*b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s QUALIFY rank <= 2000
+""",
+    "op12_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, s, array_to_string(ws[s:s+19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM d WHERE len(ws) >= 20)),
+w AS (SELECT doc_id, s FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM w),
+stay AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id) LEFT JOIN stay USING (doc_id)
+""",
+    "op13_merkle_manifest": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS g, {_leaf("text")} AS leaf,
+  CASE WHEN {CRC} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf("text")} END AS changed FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+t AS (SELECT g, 0 AS v, i, n, leaf AS h FROM r UNION ALL SELECT g, v + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, v, n, i // 16),
+tops AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS v, i, n, h FROM tops UNION ALL SELECT v + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY v, n, i // 16),
+tw AS (SELECT g, v, i, n, coalesce(string_agg(h, '') OVER (PARTITION BY g, v, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(h, '') OVER (PARTITION BY g, v, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind FROM t),
+uw AS (SELECT v, i, n, coalesce(string_agg(h, '') OVER (PARTITION BY v, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+  coalesce(string_agg(h, '') OVER (PARTITION BY v, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS behind FROM u),
+f AS (SELECT doc_id, leaf, g, i AS place, 0 AS v, i, n, changed AS h, '' AS proof FROM r
+  UNION ALL SELECT doc_id, leaf, f.g, place, f.v + 1, f.i // 16, (f.n + 15) // 16, sha256(before || h || behind), proof || before || behind FROM f JOIN tw ON f.g = tw.g AND f.v = tw.v AND f.i = tw.i WHERE f.n > 1),
+e AS (SELECT doc_id, leaf, f.g, place, tops.h AS subroot, 0 AS v, tops.i, tops.n, f.h, proof FROM f JOIN tops USING (g) WHERE f.n = 1
+  UNION ALL SELECT doc_id, leaf, g, place, subroot, e.v + 1, e.i // 16, (e.n + 15) // 16, sha256(before || h || behind), proof || before || behind FROM e JOIN uw ON e.v = uw.v AND e.i = uw.i WHERE e.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, e.h AS folded_root, e.h = root AS verified FROM e, (SELECT h AS root FROM u WHERE n = 1) WHERE e.n = 1
 """,
 }

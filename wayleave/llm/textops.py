@@ -30,6 +30,8 @@ _PLACE = _numbers(64, 101) | U(1)
 
 #: For each byte, itself with A-Z in lower case.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: For each byte, itself.
+AS_IS = np.arange(256, dtype=np.uint8)
 #: Whether a byte belongs to a word: words are runs of other than ASCII white space.
 SPACED = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
 #: The same where words are runs of ASCII letters, digits and all that is not ASCII.
@@ -62,13 +64,13 @@ def raw(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Hashes of all words of a slice of texts; `doc` has each word's row in the slice, `first` and `count` each row's words.
+    """Hashes of all words of a slice of texts; `doc` has each word's row in the slice, `starts` and `size` its bytes, `first` and `count` each row's words.
 
     A word's hash mixes each of its blocks of 8 bytes with the block's number, adds these up, and mixes the sum with the
-    word's length: every byte counts at its place, however long the word is.
+    word's length: every byte counts at its place, however long the word is. `fold` maps the bytes before they are hashed.
     """
 
-    def __init__(self, a: pa.Array, is_word: np.ndarray):
+    def __init__(self, a: pa.Array, is_word: np.ndarray, fold: np.ndarray = LOWER):
         data, offsets = raw(a)
         n = len(a)
         word = is_word[data]
@@ -82,9 +84,9 @@ class Words:
         self.count = np.bincount(self.doc, minlength=n)
         self.first = np.cumsum(self.count) - self.count
         if at.size:
-            size = np.add.reduceat(word, at, dtype=np.int64)
+            self.size = size = np.add.reduceat(word, at, dtype=np.int64)
             padded = np.zeros(data.size + 8, np.uint8)
-            padded[:-8] = LOWER[data]
+            padded[:-8] = fold[data]
             from_each = np.ndarray(data.size + 1, np.dtype("<u8"), padded, 0, (1,))  # the 8 bytes from each place on
             blocks = (size + 7) >> 3
             begin = np.cumsum(blocks) - blocks
@@ -93,7 +95,7 @@ class Words:
             mixed = mix(value + _numbers(int(number.max()) + 1, 11)[number])
             self.hash = mix(np.add.reduceat(mixed, begin) + size.astype(np.uint64) * _STEP)
         else:
-            self.hash = np.zeros(0, np.uint64)
+            self.hash, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on, and that word's number; words with fewer than k left in their text have none."""
