@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayleave.operators.overlay import fragments
+from wayleave.sources.saved import saved
 
 OWN_LAYERS = ["servitude_points", "pole_corners", "servitude_markers"]
 MARKERS = ["GBP032", "SERV_TOCHKA"]
@@ -87,17 +88,41 @@ def stations(segments: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("station", F.coalesce(F.sum("length").over(before), F.lit(0.0)))
 
 
-def located(points: DataFrame, axis: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
-    """(by, keys, station, offset): each point at the nearest segment of its axis (the first of equals); left of the axis is positive."""
-    s = stations(axis, by)
-    m = points.join(s, by)
+def along_cells(df: DataFrame, cell: float, x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1") -> DataFrame:
+    """df with a row for each cell (_cx, _cy) along its segments: these are taken in pieces no longer than a cell, each with the cells of its box."""
+    k = F.greatest(F.ceil(F.hypot(F.col(x1) - F.col(x0), F.col(y1) - F.col(y0)) / cell), F.lit(1)).cast("int")
+    df = df.withColumn("_k", k).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    at = lambda a, b, j: F.col(a) + (F.col(b) - F.col(a)) * j / F.col("_k")
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.least(at(a, b, F.col("_j")), at(a, b, F.col("_j") + 1)) / cell), F.floor(F.greatest(at(a, b, F.col("_j")), at(a, b, F.col("_j") + 1)) / cell)))
+    return df.withColumn("_cx", cells(x0, x1)).withColumn("_cy", cells(y0, y1)).drop("_k", "_j").distinct()
+
+
+def located(points: DataFrame, axis: DataFrame, by: list[str], keys: list[str], cell: float = 64.0) -> DataFrame:
+    """(by, keys, station, offset): each point at the nearest segment of its axis (the first of equals); left of the axis is positive.
+
+    A point meets the segments that pass through its own cell and the eight about it. What lies within a cell's width is sure to be among them,
+    so if the nearest one does, it is the nearest of all; the points left over try again with cells of four times the width, until none is
+    left. So a point meets a few segments, however many its axis has. Points without an axis of some length are left out.
+    """
+    s = saved(stations(axis, by).where("length > 0"), "stations")
+    left = points.select(*by, *keys, "x", "y").join(s.select(*by).distinct(), by, "left_semi")
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / (F.col("length") * F.col("length"))))
     ex, ey = F.col("x") - F.col("x0") - t * dx, F.col("y") - F.col("y0") - t * dy
     side = F.signum(dx * (F.col("y") - F.col("y0")) - dy * (F.col("x") - F.col("x0")))
     dist = F.hypot(ex, ey)
-    near = F.min_by(F.struct((F.col("station") + t * F.col("length")).alias("station"), F.when(dist <= 1e-6, F.lit(0.0)).otherwise(side * dist).alias("offset")), F.struct(dist.alias("d"), F.col("ord")))
-    return m.where("length > 0").groupBy(*by, *keys).agg(near.alias("n")).select(*by, *keys, "n.station", "n.offset")
+    near = F.min_by(F.struct((F.col("station") + t * F.col("length")).alias("station"), F.when(dist <= 1e-6, F.lit(0.0)).otherwise(side * dist).alias("offset"), dist.alias("d")), F.struct(dist.alias("d"), F.col("ord")))
+    found = None
+    while True:
+        about = lambda c: F.explode(F.sequence(F.floor(F.col(c) / cell) - 1, F.floor(F.col(c) / cell) + 1))  # noqa: B023, E731
+        p = left.withColumn("_cx", about("x")).withColumn("_cy", about("y"))
+        met = p.join(along_cells(s, cell), [*by, "_cx", "_cy"]).groupBy(*by, *keys).agg(near.alias("n")).where(F.col("n.d") <= cell)
+        sure = saved(met.select(*by, *keys, "n.station", "n.offset"), "located")
+        found = sure if found is None else found.unionByName(sure)
+        left = saved(left.join(sure.select(*by, *keys), [*by, *keys], "left_anti"), "left")
+        if left.isEmpty():
+            return found
+        cell *= 4
 
 
 def numbered(points: DataFrame, by: list[str], start: int) -> DataFrame:
@@ -142,7 +167,7 @@ def split_parameters(cuts: Column, start: float, end: float, gap: float = 1e-7)
 
 
 def boundary_crossings(parts: DataFrame, cuts: DataFrame, by: list[str], cluster: float = 0.5) -> DataFrame:
-    """(by, at, from_ekatte, to_ekatte, merged_hits, span): one crossing for each change of settlement along a segment.
+    """(by, at, from_ekatte, to_ekatte, merged_hits, span, middle): one crossing for each change of settlement along a segment.
 
     parts (by, a, b, ekatte, start_ekatte) are a segment's pieces between its cuts, in metres, classified by their midpoint, in order of a; cuts (by, m). Short
     inner pieces are noise; a piece in no settlement is a hole. A crossing lies where the first settlement ends, and takes
@@ -154,9 +179,9 @@ def boundary_crossings(parts: DataFrame, cuts: DataFrame, by: list[str], cluster
     before = F.coalesce(F.lag("ekatte").over(w), F.when(F.row_number().over(w) == 1, F.col("start_ekatte")))
     found = kept.select(*by, "a", before.alias("from_ekatte"), F.col("ekatte").alias("to_ekatte"), F.coalesce(F.lag("b").over(w), F.lit(0.0)).alias("at")).where("from_ekatte <> to_ekatte")
     near = found.join(cuts, by, "left").where(F.col("m").isNull() | F.col("m").between(F.col("at") - cluster, F.col("a") + cluster))
-    hits = near.groupBy(*by, "a").agg(F.count("m").alias("n"), (F.max("m") - F.min("m")).alias("span"))
+    hits = near.groupBy(*by, "a").agg(F.count("m").alias("n"), (F.max("m") - F.min("m")).alias("span"), ((F.max("m") + F.min("m")) / 2).alias("middle"))
     out = found.join(hits, [*by, "a"], "left")
-    return out.select(*by, "at", "from_ekatte", "to_ekatte", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("merged_hits"), F.coalesce("span", F.lit(0.0)).alias("span"))
+    return out.select(*by, "at", "from_ekatte", "to_ekatte", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).alias("merged_hits"), F.coalesce("span", F.lit(0.0)).alias("span"), F.coalesce("middle", "at").alias("middle"))
 
 
 def listed_points(points: DataFrame) -> DataFrame:

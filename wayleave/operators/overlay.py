@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayleave.sources.saved import saved
+
 SLIVER = 0.001
 VERTEX = "array<struct<x:double,y:double>>"
 
@@ -177,14 +179,23 @@ def _areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(area)], [*rest.schema.names, "sqm"])
 
 
+def _has_arcs(shapes: DataFrame) -> bool:
+    return "bulge" in shapes.schema["ring"].dataType.elementType.fieldNames()
+
+
 def overlap_areas(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str], on: list[str] | None = None, cell: float = 50.0, least: float = SLIVER, where: Column | None = None) -> DataFrame:
     """(keys_a, keys_b, sqm): shared area of every pair of shapes with more than `least`; `on` names columns that must agree besides, `where` says which pairs of keys count.
 
     Key columns of a and b must have different names, but for those in `on`. Fragments of one shape add up; shapes with
-    one key are one shape.
+    one key are one shape. Where the vertices of a or b have a bulge, their arcs are taken as they are (curved.curved_areas).
     """
+    if _has_arcs(a) or _has_arcs(b):
+        from wayleave.operators import curved
+
+        as_bent = lambda df: df if _has_arcs(df) else df.withColumn("ring", curved.bent(F.col("ring")))
+        return curved.curved_areas(as_bent(a), as_bent(b), keys_a, keys_b, on, cell, least, where)
     on = on or []
-    fa = fragments(a.select(*on, *keys_a, "ring"), cell).withColumnRenamed("part", "part_a")
+    fa = saved(fragments(a.select(*on, *keys_a, "ring"), cell).withColumnRenamed("part", "part_a"), "fragments")
     asked = b.select(*on, *keys_b, "ring")
     if not on:
         asked = _near(asked, fa.select("cx", "cy").distinct(), cell)

@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayleave.functions.keys import hex_handle
 from wayleave.operators.lines import containing
 
 
@@ -56,24 +55,6 @@ def distance_to_settlements(points: DataFrame, shapes: DataFrame, keys: list[str
     return near.unionByName(inside).groupBy(*keys, "ekatte").agg(F.min("dist").alias("dist"))
 
 
-def overlap_flags(pairs: DataFrame) -> DataFrame:
-    """pairs (parcel_id, a, b, area_a, area_b, sqm) -> (parcel_id, dropped): handles that coincide with a kept shape of a lower handle.
-
-    The order matters: a shape is compared with kept ones only, so a parcel's pairs are worked off one after another; a parcel has a handful.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = (np.abs(pdf.area_a - pdf.area_b) < 0.01) & (pdf.sqm >= 0.99 * np.minimum(pdf.area_a, pdf.area_b))
-        dropped: set[int] = set()
-        for a, b, s in sorted(zip(pdf.na, pdf.nb, same, strict=True)):
-            if s and a not in dropped:
-                dropped.add(b)
-        return pd.DataFrame({"parcel_id": pd.Series([pdf.parcel_id.iloc[0]] * len(dropped), dtype=object), "dropped": pd.Series(sorted(dropped), dtype="int64")})
-
-    rows = pairs.withColumn("na", hex_handle(F.col("a"))).withColumn("nb", hex_handle(F.col("b"))).where("na < nb")
-    return rows.groupBy("parcel_id").applyInPandas(run, "parcel_id string, dropped long")
-
-
 RUNS = 1000
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayleave.operators import outlines as ol
+from wayleave.operators import overlay
 from wayleave.plans import lattice as la
 from wayleave.plans import routes
 from wayleave.plans.registry import query
@@ -121,3 +122,39 @@ UNION ALL SELECT corridor_id, 'right', k, CAST(20*k - 7 AS DOUBLE), CAST(y0 + 35
 def _(spark, d):
     m = ol.corridor_markers(routes.outlines(spark, d), ["corridor_id"])
     return m.select("corridor_id", "side", "number", *(F.round(c, 6).alias(c) for c in ("x", "y", "text_angle")))
+
+
+def _under(x: str, y: str, r: str) -> str:
+    """Area between 0 and x that lies below both y and the half circle of radius r about 0, in SQL; odd in x."""
+    x, y = f"greatest(-{r}, least({r}, {x}))", f"greatest(0, least({r}, {y}))"
+    s = lambda z: f"(({z})*sqrt(greatest(0, {r}*{r} - ({z})*({z}))) + {r}*{r}*asin(least(1, ({z})/{r})))/2"
+    c = f"sqrt({r}*{r} - {y}*{y})"
+    return f"sign({x})*({y}*least(abs({x}), {c}) + {s(f'greatest(abs({x}), {c})')} - {s(c)})"
+
+
+@query(
+    "J01_curved_corridors",
+    ", bow AS (SELECT corridor_id, b, 60.0 + 10*(corridor_id%3) AS r FROM band), "
+    "cell_ AS (SELECT corridor_id, parcel_id, r, x0-350 AS xa, x1-350 AS xb, y0-b AS ya, y1-b AS yb FROM bow JOIN parcel ON gy//10 = corridor_id) "
+    f"SELECT * FROM (SELECT corridor_id, parcel_id, round({_under('xb', 'yb', 'r')} - {_under('xa', 'yb', 'r')} - {_under('xb', 'ya', 'r')} + {_under('xa', 'ya', 'r')}, 5) AS gross_sqm FROM cell_) WHERE gross_sqm > 0.001",
+)
+def _(spark, d):
+    """Corridors that are half discs, written as two vertices, over the parcels."""
+    r = 60 + 10 * (F.col("corridor_id") % 3)
+    bows = la.bands(spark, d).select("corridor_id", F.array(_at(350 - r, F.col("b")), _at(350 + r, F.col("b"), 1.0)).alias("ring"))
+    met = overlay.overlap_areas(bows, la.parcels(spark, d).select("parcel_id", la.ring().alias("ring")), ["corridor_id"], ["parcel_id"], cell=la.CELL)
+    return met.select("corridor_id", "parcel_id", F.round("sqm", 5).alias("gross_sqm")).where("gross_sqm > 0.001")
+
+
+@query(
+    "J01_curved_shapes",
+    """, disc AS (SELECT corridor_id, parcel_id, 40.0 + corridor_id%7 AS r, 6.0 + num%4 AS s, sqrt((x0 - 342)*(x0 - 342) + (y0 - 200*corridor_id - 90)*(y0 - 200*corridor_id - 90)) AS d FROM band JOIN parcel ON gy//10 = corridor_id),
+lens AS (SELECT corridor_id, parcel_id, CASE WHEN d >= r + s THEN 0 WHEN d <= r - s THEN pi()*s*s ELSE r*r*acos((d*d+r*r-s*s)/(2*d*r)) + s*s*acos((d*d+s*s-r*r)/(2*d*s)) - sqrt((r+s-d)*(d+r-s)*(d-r+s)*(d+r+s))/2 END AS sqm FROM disc)
+SELECT corridor_id, parcel_id, round(sqm, 5) AS sqm FROM lens WHERE sqm > 0.001""",
+)
+def _(spark, d):
+    """Discs over discs: a round place for each corridor, and a disc in each parcel."""
+    ring = lambda x, y, r: F.array(_at(x - r, y, 1.0), _at(x + r, y, 1.0)).alias("ring")
+    places = la.bands(spark, d).select("corridor_id", ring(F.lit(352), 200 * F.col("corridor_id") + 100, 40 + F.col("corridor_id") % 7))
+    discs = la.parcels(spark, d).select("parcel_id", ring(F.col("x0") + 10, F.col("y0") + 10, 6 + F.col("num") % 4))
+    return overlay.overlap_areas(places, discs, ["corridor_id"], ["parcel_id"], cell=la.CELL).select("corridor_id", "parcel_id", F.round("sqm", 5).alias("sqm")).where("sqm > 0.001")

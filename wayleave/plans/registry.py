@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayleave.functions import geometry, keys, units
-from wayleave.operators import balances, edges, lines, overlay, registers, shapes
+from wayleave.operators import balances, duplicates, edges, lines, overlay, registers, shapes
 from wayleave.plans import lattice as la
 from wayleave.sources import cad, codes, flat
+from wayleave.sources.saved import saved
 
 FLAGSHIP = "A07_territory_balance"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -505,14 +506,76 @@ def _(spark, d):
 
 @query("O01_newest_parcel_wins", "SELECT parcel_id, ekatte, CASE WHEN num%3=0 THEN 'new' ELSE vids END AS vids, CASE WHEN num%3=0 THEN 'b' ELSE 'a' END AS file FROM parcel WHERE in_register")
 def _(spark, d):
+    won, _ = newest_of(spark, d)
+    return won.select("parcel_id", "ekatte", "vids", F.when(F.startswith("path", F.lit("/b")), F.lit("b")).otherwise(F.lit("a")).alias("file"))
+
+
+@query("O01_newest_rights", "SELECT r.parcel_id, r.person_id, kind, 'a' AS file, right_ord FROM rights r JOIN (SELECT * FROM parcel WHERE in_register) p USING (parcel_id) WHERE num%3 <> 0 UNION ALL SELECT r.parcel_id, r.person_id, 'new', 'b', right_ord FROM rights r JOIN (SELECT * FROM parcel WHERE in_register) p USING (parcel_id) WHERE num%3 = 0 AND right_ord%2 = 0")
+def _(spark, d):
+    """A parcel's rights come from the file that it comes from: of the newer file's parcels every second right, though the older one has them all."""
+    _, held = newest_of(spark, d)
+    file = F.when(F.startswith("path", F.lit("/b")), F.lit("b")).otherwise(F.lit("a")).alias("file")
+    return held.where("person_id <> '2'").select("parcel_id", "person_id", "kind", file, (F.col("right_ord") % 10_000).alias("right_ord"))
+
+
+def newest_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each file again, a day later, with every third parcel and every second of its rights changed."""
     rows = cad_lines(spark, d)
-    parts = cad.sections(rows)
-    p = cad.parcels(cad.good_rows(cad.table_rows(parts)), parts)
-    again = p.where(F.element_at(F.split("parcel_id", r"\."), -1).cast("long") % 3 == 0).withColumn("vids", F.lit("new")).withColumn("path", F.concat(F.lit("/b"), F.col("path")))
-    r = cad.rights(cad.good_rows(cad.table_rows(parts)), parts).limit(0)
+    parts = saved(cad.sections(rows), "parts")
+    good = cad.good_rows(cad.table_rows(parts))
+    third = F.element_at(F.split("parcel_id", r"\."), -1).try_cast("long") % 3 == 0
+    later = F.concat(F.lit("/b"), F.col("path")).alias("path")
+    p, r = cad.parcels(good, parts), cad.rights(good, parts)
+    again = p.where(third).withColumn("vids", F.lit("new")).withColumn("path", later)
+    held = r.where(third & (F.col("right_ord") % 2 == 0)).withColumn("kind", F.lit("new")).withColumn("path", later)
     ages = rows.select("path").distinct().withColumn("modified", F.lit(1)).unionByName(again.select("path").distinct().withColumn("modified", F.lit(2)))
-    won, _ = cad.newest(p.unionByName(again), r, ages)
-    return won.select("parcel_id", "ekatte", "vids", F.when(F.startswith("path", F.lit("/b")), F.lit("b")).otherwise(F.lit("a")).alias("file"))
+    return cad.newest(p.unionByName(again), r.unionByName(held), ages)
+
+
+SPOILT = """f AS (SELECT DISTINCT num//400 AS band, ekatte FROM parcel WHERE in_register), file AS (SELECT band, ekatte, '/' || band || '/' || ekatte || '.cad' AS path FROM f),
+own AS (SELECT p.*, num//400 AS band FROM parcel p WHERE in_register),
+lost AS (SELECT o.band, o.ekatte, count(*) AS n FROM rights r JOIN own o USING (parcel_id) WHERE CAST(r.person_id AS BIGINT)%13=0 GROUP BY ALL)"""
+
+
+@query(
+    "S13_cad_warnings",
+    f""", {SPOILT} SELECT path, '' AS "table", 'other format version' AS reason, 1 AS n FROM file WHERE band%3=0
+UNION ALL SELECT path, '', 'no settlement code', 1 FROM file WHERE band%3=1
+UNION ALL SELECT path, '', 'undecodable characters', 2 FROM file WHERE band%3=2
+UNION ALL SELECT path, '', 'bad contour area', count(*) FROM own JOIN file USING (band, ekatte) WHERE num%7=0 GROUP BY path
+UNION ALL SELECT path, 'PRAVA', 'wrong number of values', 1 FROM file
+UNION ALL SELECT path, 'PRAVA', 'person not listed', n FROM lost JOIN file USING (band, ekatte)
+UNION ALL SELECT path, 'POZEMLIMOTI', 'repeated parcel', count(*) FROM own JOIN file USING (band, ekatte) WHERE num%17=0 GROUP BY path
+UNION ALL SELECT path, 'PERSONS', 'repeated with another name', count(DISTINCT r.person_id) FROM rights r JOIN own o USING (parcel_id) JOIN file USING (band, ekatte) WHERE CAST(r.person_id AS BIGINT)%19=0 AND CAST(r.person_id AS BIGINT)%13<>0 GROUP BY path""",
+)
+def _(spark, d):
+    """Files with another version, without a code or with bytes outside the code page; areas that are no numbers, persons that are missing or named twice, parcels listed twice."""
+    told = cad.warnings(spoilt_lines(spark, d))
+    return told.groupBy("path", "table", "reason").agg(F.sum("n").cast("long").alias("n"))
+
+
+@query("S07_bad_contour_areas", f", {SPOILT} SELECT path, num FROM own JOIN file USING (band, ekatte) WHERE num%7=0")
+def _(spark, d):
+    bad = cad.warnings(spoilt_lines(spark, d)).where("reason = 'bad contour area'")
+    return bad.select("path", (F.col("line_no") - 1_000_000_000).alias("num"))
+
+
+def spoilt_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = cad_lines(spark, d)
+    band, part, at = F.get(F.split("path", "/"), F.lit(1)).cast("long") % 3, F.floor(F.col("line_no") / 1_000_000_000), F.col("line_no") % 1_000_000_000
+    text = F.col("text")
+    spoilt = (
+        F.when((text == "VERSION 4.02") & (band == 0), F.lit("VERSION 4.03"))
+        .when(F.startswith("text", F.lit("NAME ")) & (band == 2), F.lit("NAME с. ��"))
+        .when((part == 1) & (at % 7 == 0), F.concat(F.substring_index("text", " ", 2), F.lit(" n,n")))
+        .otherwise(text)
+    )
+    person = part == 5
+    rows = rows.withColumn("text", spoilt).where(~(F.startswith("text", F.lit("EKATTE ")) & (band == 1))).where(~(person & F.startswith("text", F.lit("D ")) & (at % 13 == 0)))
+    twice = rows.where((part == 3) & (at % 17 == 0))
+    named = rows.where(person & F.startswith("text", F.lit("D ")) & (at % 19 == 0)).withColumn("text", F.concat(F.substring_index("text", ",", 1), F.lit(',"another",,')))
+    later = lambda df, by: df.withColumn("line_no", F.col("line_no") + by)
+    return rows.unionByName(later(twice, 100_000_000)).unionByName(later(named, 100_000_000))
 
 
 @query("A22_register_summary", "SELECT p.ekatte, count(DISTINCT p.parcel_id) AS parcels, count(r.parcel_id) AS rights, count(DISTINCT r.person_id) AS persons FROM parcel p LEFT JOIN rights r USING (parcel_id) WHERE in_register GROUP BY ALL")
@@ -642,13 +705,39 @@ def _(spark, d):
     return rows.groupBy("corridor_id", *named).agg(F.countDistinct("ekatte").alias("settlements"), F.count(F.lit(1)).alias("parcels"))
 
 
-@query("J20_dedup_structures", "SELECT corridor_id, pole_no, area_sqm FROM footprint")
+@query("J20_dedup_structures", "SELECT corridor_id, pole_no, area_sqm, CAST(unnest(CASE WHEN CAST(pole_no AS BIGINT)%3=0 THEN [0, 2] ELSE [0] END) AS INTEGER) AS take FROM footprint")
 def _(spark, d):
+    """Every third structure is drawn three times, each time 8 mm further on: the second repeats the first, and the third only the second. On whole metres such corners lie on both sides of a line between cells."""
     f = la.footprints(spark, d)
-    again = f.where("cast(pole_no as long) % 3 = 0").select("corridor_id", "pole_no", *((F.col(c) + 0.004).alias(c) for c in ("x0", "y0", "x1", "y1")), F.col("area_sqm"))
-    both = f.withColumn("take", F.lit(0)).unionByName(again.withColumn("take", F.lit(1)))
-    place = [F.round(F.col(c) / 0.02).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")]
-    return both.groupBy("corridor_id", "pole_no", *place).agg(F.min_by("area_sqm", "take").alias("area_sqm")).select("corridor_id", "pole_no", "area_sqm")
+    moved = lambda i: f.select("corridor_id", "pole_no", *((F.col(c) + 0.008 * i - 0.004).alias(c) for c in ("x0", "y0", "x1", "y1")), "area_sqm", F.lit(i).alias("take"))
+    third = F.col("pole_no").cast("long") % 3 == 0
+    all_ = moved(0).unionByName(moved(1).where(third)).unionByName(moved(2).where(third))
+    return duplicates.dedup_structures(all_, ["corridor_id", "pole_no"]).select("corridor_id", "pole_no", "area_sqm", "take")
+
+
+SHIFTED = "SELECT num, d, (x1-x0)*(y1-y0) AS a, (x1-x0)*(y1-y0) + d AS b, (x1-x0)*(y1-y0)*(1 - d) AS s FROM (SELECT *, (num%5)*0.004 AS d FROM parcel)"
+
+
+@query("P10_is_duplicate_shape", f", s AS ({SHIFTED}) SELECT num, abs(a-b) < 0.01 AND s >= 0.99*least(a, b) AS same FROM s")
+def _(spark, d):
+    size, more = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), (F.col("num") % 5) * 0.004
+    p = la.parcels(spark, d).select("num", size.alias("a"), (size + more).alias("b"), (size * (1 - more)).alias("s"))
+    return p.select("num", duplicates.is_duplicate_shape(F.col("a"), F.col("b"), F.col("s")).alias("same"))
+
+
+@query("P11_same_footprint", "SELECT pole_no, CAST(pole_no AS BIGINT)%5 <= 2 AS same FROM footprint")
+def _(spark, d):
+    f, more = la.footprints(spark, d), (F.col("pole_no").cast("long") % 5) * 0.0045
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    return f.select("pole_no", lines.same_footprint(F.col("area_sqm"), F.col("area_sqm") + more / 2, box, [box[0], box[1], box[2] + more, box[3]]).alias("same"))
+
+
+@query("F22_corners_match", "SELECT pole_no, CAST(pole_no AS BIGINT)%4 < 3 AS same FROM footprint")
+def _(spark, d):
+    """The corners, turned about and each moved by 0, 4, 8 or 12 mm, against the outline."""
+    more = (F.col("pole_no").cast("long") % 4) * 0.004
+    moved = F.transform(F.reverse(la.ring()), lambda p: p.withField("x", p["x"] + more))
+    return la.footprints(spark, d).select("pole_no", geometry.corners_match(moved, la.ring()).alias("same"))
 
 
 @query("P01_closed_shapes", "SELECT pole_no FROM footprint WHERE CAST(pole_no AS BIGINT)%3 <> 2")
@@ -799,16 +888,23 @@ def _(spark, d):
     return shapes.distance_to_settlements(p, la.parcels(spark, d).select("ekatte", la.ring().alias("ring")), ["pole_no"], 30.0).select("pole_no", "ekatte", F.round("dist", 6).alias("dist"))
 
 
-@query("J19_dedup_shapes", "SELECT parcel_id, 3*num+2 AS dropped FROM parcel WHERE num%3=0")
+@query(
+    "J19_dedup_shapes",
+    """, h AS (SELECT parcel_id, num, unnest(range(0, 4)) AS k FROM parcel WHERE num%3 < 2)
+SELECT parcel_id, printf('%X', 4*num+k+1) AS handle, CASE WHEN num%3=0 AND k IN (1, 2) THEN printf('%X', 4*num+1) WHEN num%3=1 AND k=1 THEN printf('%X', 4*num+1) WHEN num%3=1 AND k=3 THEN printf('%X', 4*num+3) END AS kept_handle, num%3=0 AND k=3 AS partly FROM h""",
+)
 def _(spark, d):
-    p = la.parcels(spark, d).where("num % 3 < 2")
-    handle = lambda k: F.hex(3 * F.col("num") + k)
-    first = p.select("parcel_id", handle(1).alias("h"), la.ring().alias("ring"))
-    moved = F.when(F.col("num") % 3 == 0, F.lit(0.0)).otherwise(F.lit(5.0))
-    second = p.select("parcel_id", handle(2).alias("h"), *((F.col(c) + moved).alias(c) for c in ("x0", "x1")), "y0", "y1").select("parcel_id", "h", la.ring().alias("ring"))
-    both = first.unionByName(second).withColumn("area", F.abs(geometry.signed_area(F.col("ring"))))
-    a, b = (both.select("parcel_id", F.col("h").alias(n), F.col("area").alias(f"area_{n}"), "ring") for n in ("a", "b"))
-    return shapes.overlap_flags(overlay.overlap_areas(a, b, ["a", "area_a"], ["b", "area_b"], ["parcel_id"], la.CELL, where=keys.hex_handle(F.col("a")) < keys.hex_handle(F.col("b"))))
+    """Of every third parcel three shapes with the same outline, one of them begun at another corner, and one moved by 5 m; of the next a chain of four, 0.9 % of their width apart: each repeats the one before it, not the one before that."""
+    p = la.parcels(spark, d).where("num % 3 < 2").withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
+    step = F.when(F.col("num") % 3 == 1, F.col("k") * 0.18).when(F.col("k") == 3, 5.0).otherwise(0.0)
+    ring = la.ring()
+    turned = F.when(F.col("k") == 2, F.concat(F.slice(ring, 2, 3), F.slice(ring, 1, 1))).otherwise(ring)
+    moved = p.select("parcel_id", F.hex(4 * F.col("num") + F.col("k") + 1).alias("handle"), F.col("num"), "k", *((F.col(c) + step).alias(c) for c in ("x0", "x1")), "y0", "y1")
+    s = moved.select("parcel_id", "handle", turned.alias("ring")).withColumn("area", F.round(F.abs(geometry.signed_area(F.col("ring"))), 6))
+    out = duplicates.dedup_shapes(s, la.CELL)
+    # Neighbours of a chain share much without being the same; that is shown for the others.
+    three = F.element_at(F.split("parcel_id", r"[.]"), -1).cast("long") % 3
+    return out.withColumn("partly", F.col("partly") & (three == 0))
 
 
 @query("O06_merge_close_points", f", {EDGE} SELECT corridor_id, side, pole, 'a,b' AS ekattes FROM edge")
@@ -944,7 +1040,7 @@ def _(spark, d):
     metres = lambda c: F.round(F.col(c) * F.col("length"), 6)
     cuts = hits.select("corridor_id", F.explode("cuts").alias("t")).select("corridor_id", F.round(F.col("t") * 689.0, 6).alias("m"))
     parts = pieces.select("corridor_id", metres("a").alias("a"), metres("b").alias("b"), "ekatte", F.lit(None).cast("string").alias("start_ekatte"))
-    return lines.boundary_crossings(parts, cuts, ["corridor_id"])
+    return lines.boundary_crossings(parts, cuts, ["corridor_id"]).drop("middle")
 
 
 @query("O10_split_parameters", f", {PARTS}, inner_ AS (SELECT corridor_id, m FROM cut WHERE m > 0.0000001 AND m < 689-0.0000001) SELECT corridor_id, string_agg(CAST(CAST(m AS INTEGER) AS VARCHAR), ',' ORDER BY m) AS cuts FROM inner_ GROUP BY ALL")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayleave.operators import edges, lines
+from wayleave.operators import edges, lines, walk
 from wayleave.plans import lattice as la
 from wayleave.plans.registry import query, ringed
 
@@ -104,7 +104,7 @@ walked AS (SELECT *, row_number() OVER (PARTITION BY corridor_id, side ORDER BY
 
 
 def walked(spark: SparkSession, d: str) -> DataFrame:
-    return edges.walk_edges(split(spark, d), ringed(spark, d), la.CELL)
+    return walk.walk_edges(split(spark, d), ringed(spark, d), la.CELL)
 
 
 @query("O09_walk_edge", f", {WALK} SELECT corridor_id, side, ord, x, CAST(y AS DOUBLE) AS y, is_boundary, ekattes, CASE WHEN is_boundary THEN 1 ELSE 0 END AS merged_hits, CASE WHEN corridor_id%2=0 THEN 0.0 ELSE 3.141593 END AS direction FROM walked")
@@ -114,7 +114,7 @@ def _(spark, d):
 
 @query("A21_walk_stats", f", {WALK} SELECT corridor_id, side, count(*) FILTER (NOT is_boundary) AS vertices, count(*) FILTER (NOT is_boundary AND ekattes = '') AS outside, count(*) FILTER (is_boundary) AS boundary, 0 AS snapped, 0 AS gaps, 0 AS overlaps, count(*) FILTER (is_boundary) AS merged_hits, 0 AS merged, 0 AS bridged FROM walked GROUP BY ALL")
 def _(spark, d):
-    return edges.walk_stats(walked(spark, d), ["corridor_id", "side"])
+    return walk.walk_stats(walked(spark, d), ["corridor_id", "side"])
 
 
 @query("P12_listed_points", f", {WALK} SELECT corridor_id, side, ord, ekattes FROM walked WHERE ekattes <> ''")
@@ -139,4 +139,57 @@ def _(spark, d):
     # Points half a metre below the upper end of cells, where two of three parcels leave a gap.
     p = la.parcels(spark, d).where("floor(num / 40) % 10 = 1")
     points = p.select(F.floor(F.col("num") / 400).alias("corridor_id"), F.floor(F.col("x0") / 20).alias("ord"), (F.col("x0") + 10).alias("x"), (F.col("y0") + 19.5).alias("y"))
-    return edges.resolve_with_gap(points, ringed(spark, d), ["corridor_id"], la.CELL)
+    return walk.resolve_with_gap(points, ringed(spark, d), ["corridor_id"], la.CELL)
+
+
+# Scenes for the walk, one after another along x in each corridor: settlement A up to x = 10, B from there, and an edge through them.
+# (case, where B begins, the edge's vertices)
+SCENES = [
+    ("snap", 10.0, [(2, 0), (10.03, 0), (18, 0)]),
+    ("gap", 11.0, [(2, 0), (18, 0)]),
+    ("overlap", 9.7, [(2, 0), (18, 0)]),
+    ("bridge", 10.0, [(5, 0), (10, 0), (15, 0)]),
+    ("merge", 10.0, [(2, 0), (10.02, 0), (10.03, 0), (2, 1)]),
+    ("carried", 12.5, [(2, 0), (11, 0), (11.5, 0), (18, 0)]),
+]
+SAID = """said AS (SELECT * FROM (VALUES
+  ('snap', 1, 2.0, false, 'A', 0.0, 1, 0, 0.0, false, false, false), ('snap', 2, 10.03, false, 'A,B', 0.03, 0, 0, 0.0, false, false, false), ('snap', 3, 18.0, false, 'B', 0.0, 0, 0, 0.0, false, false, false),
+  ('gap', 1, 2.0, false, 'A', 0.0, 0, 0, 0.0, false, false, false), ('gap', 2, 10.0, true, 'A,B', 0.0, 0, 2, 1.0, false, false, false), ('gap', 3, 18.0, false, 'B', 0.0, 0, 0, 0.0, false, false, false),
+  ('overlap', 1, 2.0, false, 'A', 0.0, 0, 0, 0.0, false, false, false), ('overlap', 2, 9.7, true, 'A,B', 0.0, 0, 2, 0.3, true, false, false), ('overlap', 3, 18.0, false, 'B', 0.0, 0, 0, 0.0, false, false, false),
+  ('bridge', 1, 5.0, false, 'A', 0.0, 0, 0, 0.0, false, false, false), ('bridge', 2, 10.0, false, 'B,A', 0.0, 0, 0, 0.0, false, false, true), ('bridge', 3, 15.0, false, 'B', 0.0, 0, 0, 0.0, false, false, false),
+  ('merge', 1, 2.0, false, 'A', 0.0, 1, 0, 0.0, false, false, false), ('merge', 2, 10.02, false, 'A,B', 0.02, 0, 0, 0.0, false, false, false), ('merge', 3, 10.03, false, 'B,A', 0.03, 1, 0, 0.0, false, true, true), ('merge', 4, 2.0, false, 'A', 0.0, 0, 0, 0.0, false, false, false),
+  ('carried', 1, 2.0, false, 'A', 0.0, 0, 0, 0.0, false, false, false), ('carried', 2, 11.0, false, 'A', 0.0, 0, 0, 0.0, false, false, false), ('carried', 3, 11.5, false, 'A,B', 0.0, 1, 0, 0.0, false, false, false), ('carried', 4, 18.0, false, 'B', 0.0, 0, 0, 0.0, false, false, false)
+) v("case", ord, x, is_boundary, ekattes, snap_m, snapped, merged_hits, span_m, is_overlap, merged, bridged)), strip AS (SELECT DISTINCT p_partkey//400 AS corridor_id FROM part)"""
+
+
+def scenes(spark: SparkSession, d: str) -> DataFrame:
+    """The walk through the scenes of every corridor; x counts from the scene's beginning."""
+    rows = strips(spark, d)
+    pair = lambda x, y: F.struct(F.lit(float(x)).alias("x"), (F.col("y") + y).cast("double").alias("y"))
+    box = lambda a, b: F.array(pair(a, -5), pair(b, -5), pair(b, 5), pair(a, 5))
+    shapes, edge = [], []
+    for i, (name, begin, verts) in enumerate(SCENES):
+        at = 100 * i
+        shapes += [F.struct(F.lit(f"A{i}").alias("e"), F.lit(0).alias("ord"), box(at, at + 10).alias("ring")), F.struct(F.lit(f"B{i}").alias("e"), F.lit(1).alias("ord"), box(at + begin, at + 20).alias("ring"))]
+        edge += [F.struct(F.lit(name).alias("side"), F.lit(k + 1).alias("ord"), F.lit(float(at + x)).alias("x"), (F.col("y") + y).cast("double").alias("y")) for k, (x, y) in enumerate(verts)]
+    s = rows.select("corridor_id", "y", F.explode(F.array(*shapes)).alias("s")).select(F.concat("s.e", F.lit("-"), F.col("corridor_id").cast("string")).alias("ekatte"), "s.ord", "s.ring")
+    e = rows.select("corridor_id", F.explode(F.array(*edge)).alias("v")).select("corridor_id", "v.*", F.lit(0.0).alias("bulge"))
+    begin = F.element_at(F.create_map(*(F.lit(v) for i, (name, _, _) in enumerate(SCENES) for v in (name, 100.0 * i))), F.col("case"))
+    walked_ = walk.walk_edges(e, s, la.CELL).withColumnRenamed("side", "case")
+    return walked_.withColumn("x", F.round(F.col("x") - begin, 6)).withColumn("ekattes", F.array_join(F.transform("ekattes", lambda c: F.substr(c, F.lit(1), F.lit(1))), ","))
+
+
+@query("O09_walk_cases", f'WITH {SAID} SELECT corridor_id, "case", ord, x::DOUBLE AS x, is_boundary, ekattes, snap_m::DOUBLE AS snap_m, snapped, merged_hits, span_m::DOUBLE AS span_m, is_overlap, merged, bridged FROM strip, said', lattice=False)
+def _(spark, d):
+    """Vertices that take a crossing near them, a gap and an overlap of settlements, neighbours with nothing in common, shared neighbours that become one, a settlement carried over a gap."""
+    w = scenes(spark, d)
+    return w.select("corridor_id", "case", "ord", "x", "is_boundary", "ekattes", F.round("snap_m", 3).alias("snap_m"), "snapped", "merged_hits", F.round("span_m", 6).alias("span_m"), "is_overlap", "merged", "bridged")
+
+
+@query(
+    "A21_walk_case_stats",
+    f"""WITH {SAID} SELECT corridor_id, "case", count(*) FILTER (NOT is_boundary) AS vertices, 0 AS outside, count(*) FILTER (is_boundary) AS boundary, sum(snapped)::BIGINT AS snapped, count(*) FILTER (span_m > 0 AND NOT is_overlap) AS gaps, count(*) FILTER (span_m > 0 AND is_overlap) AS overlaps, sum(merged_hits)::BIGINT AS merged_hits, count(*) FILTER (merged) AS merged, count(*) FILTER (bridged) AS bridged FROM strip, said GROUP BY ALL""",
+    lattice=False,
+)
+def _(spark, d):
+    return walk.walk_stats(scenes(spark, d), ["corridor_id", "case"])

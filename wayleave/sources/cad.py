@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayleave.functions.keys import full_parcel_id, unescaped_quotes
+from wayleave.sources.saved import saved
 
 VERSION = "4.02"
 TEMPLATES = "template.cad"
@@ -173,6 +174,40 @@ def load_registers(rows: DataFrame) -> dict[str, DataFrame]:
     return {"parcels": won, "rights": held, "persons": persons(good), "headers": headers(parts), "bad_records": bad_records(raw), "skipped": skipped}
 
 
+def warnings(rows: DataFrame) -> DataFrame:
+    """(path, line_no, table, reason, n): all that reading the lines met with, and went on; never what a row holds.
+
+    A line of its own has its number and n 1: rows that do not fit their fields or have no key, contour areas that are no number, parcels listed
+    again. The others are said of a file, with a null line_no and how many there are: another format version than VERSION, no settlement code, characters that the code page
+    lacks, persons listed again with another name, rights of persons that are not listed.
+    """
+    parts = saved(sections(rows), "parts")
+    raw = saved(table_rows(parts), "table-rows")
+    good = good_rows(raw)
+    files = rows.groupBy("path").agg(F.sum(undecodable(F.col("text"))).cast("long").alias("odd"))
+    head = files.join(headers(parts), "path", "left")
+    of_file = lambda df, reason, n=F.lit(1), table="": df.select("path", F.lit(None).cast("long").alias("line_no"), F.lit(table).alias("table"), F.lit(reason).alias("reason"), n.cast("long").alias("n"))
+    of_line = lambda df, reason, table: df.select("path", "line_no", table.alias("table"), reason.alias("reason"), F.lit(1).cast("long").alias("n"))
+    listed = _of(good, "POZEMLIMOTI", "IDENT")
+    again = listed.withColumn("_i", F.row_number().over(Window.partitionBy("path", "ident").orderBy("line_no"))).where("_i > 1")
+    who = persons(good)
+    unknown = _of(good, "PRAVA", "PERSON").join(who.select("path", F.col("person_id").alias("person")), ["path", "person"], "left_anti")
+    told = [
+        of_file(head.where((F.col("version") != "") & (F.col("version") != VERSION)), "other format version"),
+        of_file(head.where(F.coalesce("ekatte", F.lit("")) == ""), "no settlement code"),
+        of_file(head.where("odd > 0"), "undecodable characters", F.col("odd")),
+        of_file(who.where("names > 1").groupBy("path").agg(F.count(F.lit(1)).alias("n")), "repeated with another name", F.col("n"), "PERSONS"),
+        of_file(unknown.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "person not listed", F.col("n"), "PRAVA"),
+        of_line(contour_areas(parts).where("area_sqm is null"), F.lit("bad contour area"), F.lit("")),
+        of_line(again, F.lit("repeated parcel"), F.lit("POZEMLIMOTI")),
+        of_line(bad_records(raw), F.col("reason"), F.col("table")),
+    ]
+    out = told[0]
+    for t in told[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def union_persons(persons_: DataFrame) -> DataFrame:
     """(ekatte, person_id): the persons of all files of a settlement, each once."""
     return persons_.select("ekatte", "person_id").distinct()
