@@ -27,7 +27,7 @@ from wayleave.llm.textops import LOWER, U, Words, mix, pieces, raw
 
 RANKED, TILE, BITS = 1 << 18, 512, 1 << 24
 #: Numbers in one buffer, in one row, and the least share of a tile's cells that makes it dense.
-BUFFER, ROW, DENSE = 1 << 21, 1024, 0.25
+BUFFER, ROW, DENSE = 1 << 20, 1024, 0.25
 BREAK = -1
 _ENDS = np.array([b in b".,;:!?" or 0x0A <= b <= 0x0D for b in range(256)])
 _IN_WORD = np.array([b not in b" \t" for b in range(256)]) & ~_ENDS
@@ -145,17 +145,22 @@ def _first_level(level):
     return run
 
 
-def _flat(batch: pa.RecordBatch) -> np.ndarray:
-    """All rows of a batch with a break behind each."""
+def _flat(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """All rows of a batch with a break behind each, about BUFFER numbers at a time."""
     lists = batch.column(0)
-    return np.insert(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py(), BREAK)
+    ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+    ids, at = lists.flatten().to_numpy(), 0
+    while at < len(ends):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + BUFFER, side="right")))
+        yield np.insert(ids[base : ends[to - 1]], ends[at:to] - base, BREAK)
+        at = to
 
 
 def _next_level(level):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = level.value
-        for batch in batches:
-            ids = _flat(batch)
+        for ids in (x for batch in batches for x in _flat(batch)):
             whole = (ids[1:] >= 0) & (ids[:-1] >= 0)
             up = np.full(ids.size, BREAK)
             up[:-1][whole] = known.numbers(pair_hash(ids[:-1][whole], ids[1:][whole]))
@@ -174,9 +179,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = (ids[1:] >= 0) & (ids[:-1] >= 0)
         return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in tally(ids[:-1][whole], ids[1:][whole])], ["a", "b", "n"])
 
-    for batch in batches:
-        waiting.append(_flat(batch))
-        size += waiting[-1].size
+    for ids in (x for batch in batches for x in _flat(batch)):
+        waiting.append(ids)
+        size += ids.size
         if size >= BUFFER:
             yield counted()
             waiting, size = [], 0
