@@ -127,6 +127,43 @@ def test_html_furniture_names_and_forms_inside_content():
         assert main_text(f"<body>{small}<div><p>{long}</p></div></body>") == long, small
 
 
+NAMED = ["sidebar", "advert", "comments", "newsletter", "sponsored", "share", "related", "cookie-consent", "menu", "pagination"]
+
+
+@pytest.mark.parametrize("words", [20, 100, 500])
+@pytest.mark.parametrize("name", NAMED)
+def test_html_long_furniture(name, words):
+    """However long, in one block or many, within an article, a main element or beside the text."""
+    rng = random.Random(words)
+    say = lambda n: " ".join(rng.choice(["wind", "over", "the", "grey", "roofs", "and", "no", "rain"]) for _ in range(n)) + "."
+    many = "".join(f"<p>{say(max(1, words // 5))}</p>" for _ in range(5))
+    text = [say(30), say(60), say(25)]
+    for held in (f"<p>{say(words)}</p>", many, f"<div class=content><article>{many}</article></div>"):
+        for mark in (f"<div class={name}>%s</div>", f"<section id={name}>%s</section>", f"<ol class='{name}'><li>%s</li></ol>"):
+            bar = mark % held
+            for page in (f"<article><h1>Title</h1><p>{text[0]}</p>{bar}<p>{text[1]}</p><p>{text[2]}</p></article>", f"<main><h1>Title</h1><p>{text[0]}</p><p>{text[1]}</p>{bar}<p>{text[2]}</p></main>", f"<body><h1>Title</h1><p>{text[0]}</p><p>{text[1]}</p><p>{text[2]}</p>{bar}</body>"):
+                if len(bar) < 5 * sum(map(len, text)):  # what holds nearly all of a page is its text
+                    assert main_text(page) == "\n\n".join(["Title", *text]), page
+
+
+@pytest.mark.parametrize("words", [10, 140])
+def test_html_forms_and_comments(words):
+    said = " ".join(["word"] * words)
+    text = " ".join(["text"] * 90)
+    for out in (f"<form><p>{said}</p></form>", f"<div class=comments><article class=comment><p>{said}</p></article></div>", f"<article class=comment-body><p>{said}</p></article>", f"<aside><p>{said}</p></aside>"):
+        assert main_text(f"<article><p>{text}</p><p>{text}</p>{out}</article>") == f"{text}\n\n{text}", out
+
+
+def test_html_names_that_are_no_furniture():
+    """Texts about notices and laws, an article in an element with such a name, and main text within a named layout."""
+    text, more = " ".join(["text"] * 60), " ".join(["more"] * 40)
+    for inside in (f"<div class=legal><p>{more}</p></div>", f"<div class=notice-period><p>{more}</p></div>", f"<div class=has-sidebar><p>{more}</p></div>", f"<div class='post comments-open'><p>{more}</p></div>"):
+        assert main_text(f"<article><p>{text}</p>{inside}</article>") == f"{text}\n\n{more}", inside
+    for name in ("sidebar", "widget", "legal"):
+        assert main_text(f"<body><nav>Home</nav><div class={name}><article><p>{text}</p><p>{more}</p></article></div></body>") == f"{text}\n\n{more}"
+    assert main_text(f"<body><div class=widget><p>{more}</p><main><p>{text}</p></main></div><p>{more}</p></body>").split("\n\n") in ([text, more], [text])
+
+
 def test_html_deep_pages_take_linear_time():
     def took(n):
         page = "".join(f"<div id=x{i}>a" for i in range(n)) + "</p></section>" * n
@@ -147,7 +184,8 @@ def generated(rng, n):
         inner = "".join(f"<ul><li>{t}</li></ul>" if k == "li" else f"<{k}>{t}</{k}>" for k, t in body)
         main = rng.choice(["<article>%s</article>", "<main>%s</main>", "<div class='xk-text'>%s</div>", "<div class='story'>%s</div>"]) % inner
         bar = "<div class='xk-promo-rail'><p>Subscribe to our daily letter today</p><p>%s</p></div>" % say(3)
-        yield f"<html><body><nav><a href=/>Home</a> <a href=/n>News</a></nav>{bar}{main}<div class='comments'><p>{say(12)}</p></div><footer>Imprint of the site</footer></body></html>", "\n\n".join(t for _, t in body)
+        bar += rng.choice(["", f"<div class=sponsored><p>{say(rng.choice([3, 30, 120, 500]))}</p></div>"])
+        yield f"<html><body><nav><a href=/>Home</a> <a href=/n>News</a></nav>{bar}{main}<div class='comments'><p>{say(rng.choice([3, 12, 100]))}</p></div><footer>Imprint of the site</footer></body></html>", "\n\n".join(t for _, t in body)
 
 
 def test_html_on_generated_pages(spark):

@@ -8,7 +8,9 @@ one row: pages are independent of each other, and nothing is shuffled.
 The classifier is a naive Bayes model. Its prior are points for what a block stands in, for names of classes and identifiers around it, for
 length and for the share of link text; what the pages at hand say is added to it: the tags and names around blocks are
 counted for both classes over a sample of at most SAMPLE pages of at most LARGEST bytes each (`learned`), and each moves the cost by its log-odds, bounded by
-STEP points each and REACH together. There are no labelled pages. Blocks that repeat on several pages of the sample, unless the
+STEP points each and REACH together. An element that is surely furniture (a tag or a whole name that says so, and nothing on it that speaks for content)
+is a unit of its own: no smoothness edge leaves it, length is no evidence in it, and what it holds gains no points for content, a main element excepted. So
+long furniture goes like short one. There are no labelled pages. Blocks that repeat on several pages of the sample, unless the
 prior is sure of them, and those it is sure to be furniture, count as boilerplate; blocks of WORDS words or more that stand on one page only and that the prior calls content
 count as content; others are not counted.
 """
@@ -74,12 +76,13 @@ BUCKETS, MANY, DOUBT, STEP, REACH = 1 << 14, 256, 20, 6, 12
 class Block:
     """A block of text: the innermost block-level element it stands in, that one's parent, how many there are, how many of them the block before stands in too, and pieces (text, element around it, in a link)."""
 
-    __slots__ = ("common", "depth", "element", "linked", "name", "parent", "pieces", "score", "seen", "text")
+    __slots__ = ("common", "depth", "element", "furniture", "linked", "name", "parent", "pieces", "score", "seen", "text")
 
     def __init__(self, around: list[tuple[str, int]], common: int):
         self.name, self.element = around[-1] if around else ("", 0)
         self.parent = around[-2][1] if len(around) > 1 else 0 if around else -1
         self.depth, self.common, self.pieces, self.score, self.linked, self.text, self.seen = len(around), common, [], 0, 0, "", []
+        self.furniture = 0  # the innermost element around it that is surely furniture, 0 if none is
 
 
 def _bucket(feature: str) -> int:
@@ -126,11 +129,17 @@ def _evidence(name: str, attributes: str, inside: int) -> tuple[int, int, list[i
                 more, less = _names(value)
                 points, cost = points + more, min(cost, less)
                 features += [_bucket(f".{x}") for x in value.lower().split()]
+    if name == "article" and points == 40 and _surely(cost):
+        points = 0  # a comment, say
     return points, cost, features
 
 
-def _totals(parents: list[int], said: list[tuple[int, int, list[int]]], first: list[int], out: list[Block]) -> list[int]:
-    """Points of each element and all around it with the cost of tags and names; `first` has them without."""
+def _surely(cost: int) -> bool:
+    return cost <= WHOLE and cost != UNSURE
+
+
+def _totals(parents: list[int], said: list[tuple[int, int, list[int]]], first: list[int], out: list[Block], mains: set[int]) -> tuple[list[int], list[int]]:
+    """Points of each element and all around it with the cost of tags and names (`first` has them without), and the innermost sure furniture that each stands in or is."""
     size = [0] * len(parents)
     for b in out:
         for text, element, _ in b.pieces:
@@ -138,18 +147,24 @@ def _totals(parents: list[int], said: list[tuple[int, int, list[int]]], first: l
                 size[element] += len(text)
     for n in range(len(parents) - 1, 0, -1):
         size[parents[n]] += size[n]
-    total = [0]
+    total, within = [0], [0]
     for n in range(1, len(parents)):
+        inside = 0 if n in mains else within[parents[n]]
         if first[n] <= BUTTON:
             total.append(first[n])
+            within.append(inside)
             continue
         around, (points, cost, _) = total[parents[n]], said[n]
         if size[n] >= NEARLY_ALL * size[0]:
             cost = 0
-        if cost <= WHOLE and cost != UNSURE:
+        if _surely(cost):
             around = min(around, AT_MOST)
+            inside = inside if points > 0 else n
+        if inside:
+            points = min(points, 0)
         total.append(max(LEAST, min(MOST, around + points + cost)))
-    return total
+        within.append(inside)
+    return total, within
 
 
 def _weigh(b: Block, total: list[int]) -> None:
@@ -202,6 +217,7 @@ def blocks(html: str, steps: list[int] | None = None, features: bool = False) ->
     out: list[Block] = []
     stack: list[tuple[str, int]] = []  # name, number
     around_now: list[tuple[str, int]] = []  # those of block level
+    mains: set[int] = set()
     parents, said, first = [0], [(0, 0, [])], [0]  # of each element; points of it and all around it without tags and names
     number = at = links = common = 0
     open_ = Counter()  # how many elements of a name are open
@@ -285,15 +301,18 @@ def blocks(html: str, steps: list[int] | None = None, features: bool = False) ->
         around = first[parents[-1]]
         said.append((NEVER, 0, []) if around <= NEVER else _evidence(name, tag[3], around))
         own = said[-1][0]
+        if name == "main":
+            mains.add(number)
         first.append(NEVER if own <= NEVER else BUTTON if around == BUTTON or own < LEAST else around + own)
         stack.append((name, number))
         open_[name] += 1
         if name in BLOCK:
             around_now.append((name, number))
         links += name == "a"
-    total = _totals(parents, said, first, out)
+    total, within = _totals(parents, said, first, out, mains)
     for b in out:
         _weigh(b, total)
+        b.furniture = within[b.element]
     if steps is not None or features:
         more, seen = _around(parents, said, steps, {b.element for b in out} if features else set())
         for b in out:
@@ -313,19 +332,20 @@ def terminal(b: Block) -> int:
     """Cost of calling a block boilerplate (positive), or of calling it content (negative).
 
     Only evidence of furniture makes it negative: points of what the block stands in, or much of its text in links.
-    Shortness alone does not, and a heading has a cost of its own.
+    Shortness alone does not, and a heading has a cost of its own. Length speaks for content, but not within sure furniture.
     """
     if b.score <= NEVER:
         return NEVER
     words = b.text.count(" ") + 1
     share = min(1.0, b.linked / max(1, len(b.text)))
     heading = b.name in HEADINGS
-    return b.score + 4 + (8 if heading else 0) + min(30, words // 4) - round((10 if heading else 30) * share * share)
+    length = 0 if b.furniture else min(30, words // 4)
+    return b.score + 4 + (8 if heading else 0) + length - round((10 if heading else 30) * share * share)
 
 
 def smoothness(a: Block, b: Block) -> int:
-    """Strength of the edge between two blocks in a row: less the further apart they stand in the tree."""
-    return 12 // (1 + max(a.depth, b.depth) - b.common) if b.common else 0
+    """Strength of the edge between two blocks in a row: less the further apart they stand in the tree, none across the border of sure furniture."""
+    return 12 // (1 + max(a.depth, b.depth) - b.common) if b.common and a.furniture == b.furniture else 0
 
 
 def minimum_cut(costs: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -397,7 +417,7 @@ def main_text(html: str, steps: list[int] | None = None) -> str:
     edges = [(i, i + 1, smoothness(found[i], found[i + 1])) for i in range(len(found) - 1)]
     last: dict[int, int] = {}
     for i, b in enumerate(found):
-        if b.parent in last and last[b.parent] != i - 1:
+        if b.parent in last and last[b.parent] != i - 1 and found[last[b.parent]].furniture == b.furniture:
             edges.append((last[b.parent], i, 4))
         last[b.parent] = i
     content = minimum_cut([terminal(b) for b in found], edges)
