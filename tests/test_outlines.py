@@ -2,9 +2,11 @@
 
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
+from wayleave.operators import edges
 from wayleave.operators import outlines as ol
 
 SCHEMA = "id int, closed boolean, verts array<struct<x:double,y:double,bulge:double>>"
@@ -60,3 +62,51 @@ def test_farthest_vertices(spark):
         pairs = [(-math.dist(v[a][:2], v[b][:2]), a, b) for a in range(len(v)) for b in range(a + 1, len(v))]
         far = min(pairs)
         assert got[i] == ((far[1], far[2]) if far[0] < 0 else (-1, -1))
+
+
+def plain_chain(pieces):
+    left, line = [list(p) for p in pieces], None
+    line = left.pop(0)
+    while left:
+        far = [(min(math.dist(line[-1], p[0]), math.dist(line[-1], p[-1])), i) for i, p in enumerate(left)]
+        nxt = left.pop(min(far)[1])
+        nxt = nxt if math.dist(line[-1], nxt[0]) <= math.dist(line[-1], nxt[-1]) else nxt[::-1]
+        line = line + (nxt[1:] if len(nxt) > 1 and math.dist(line[-1], nxt[0]) <= 1e-9 else nxt)
+    return line
+
+
+def chained(spark, chains):
+    df = spark.createDataFrame([(c, i, [{"x": float(x), "y": float(y)} for x, y in p]) for c, ps in chains.items() for i, p in enumerate(ps)], "corridor_id long, ord long, verts array<struct<x:double,y:double>>")
+    return {r["corridor_id"]: [(p["x"], p["y"]) for p in r["verts"]] for r in edges.chain_axis(df).collect()}
+
+
+def test_chained_pieces(spark):
+    """Against the plain loop: pieces in any order and direction, equal distances, far clusters, single points."""
+    rnd = random.Random(9)
+    point = lambda: (rnd.choice([0, 3, 5, 8, 1000, 1004]) + rnd.random() * rnd.choice([0, 1]), rnd.choice([0, 4, -500]))
+    chains = {c: [[point() for _ in range(rnd.randint(1, 3))] for _ in range(rnd.randint(1, 40))] for c in range(12)}
+    got = chained(spark, chains)
+    assert got == {c: [(float(x), float(y)) for x, y in plain_chain(ps)] for c, ps in chains.items()}
+
+
+def test_many_pieces_and_long_lines_take_seconds(spark):
+    rnd = random.Random(1)
+    n = 30_000
+    line = [(10.0 * i, 50 * math.sin(i / 40)) for i in range(n + 1)]
+    pieces = [[a, b] if rnd.random() < 0.5 else [b, a] for a, b in zip(line, line[1:])]
+    first, rest = [line[0], line[1]], pieces[1:]
+    rnd.shuffle(rest)
+    began = time.time()
+    assert chained(spark, {1: [first, *rest]})[1] == line
+    long = spark.createDataFrame([(1, False, [(x, y, 0.0) for x, y in line + line[-2 : -n // 3 : -1]])], SCHEMA)
+    row = ol.remove_retraced_ends(long).select("removed_start", "removed_end", F.size("verts").alias("n")).first()
+    assert tuple(row) == (0, n // 3 - 2, n + 1)
+    assert time.time() - began < 60
+
+
+def test_line_drawn_to_and_fro(spark):
+    """Between two points again and again: the longest tail that mirrors what is before it goes."""
+    verts = [(0.0 if i % 2 else 5.0, 0.0, 0.0) for i in range(4001)]
+    df = spark.createDataFrame([(1, False, verts)], SCHEMA)
+    row = ol.remove_retraced_ends(df).select("removed_start", "removed_end").first()
+    assert row["removed_end"] == 2000 and row["removed_start"] == 1000

@@ -34,22 +34,62 @@ def dedupe_vertices(verts: Column, tolerance: float = SAME_M) -> Column:
     return F.slice(kept, F.lit(1), F.coalesce(last, F.lit(0)))
 
 
+class Ends:
+    """The free ends of pieces, in cells of about one piece each, for the one nearest to a point."""
+
+    #: So many rings of cells are looked through before all ends that are left are.
+    RINGS = 6
+
+    def __init__(self, ends: np.ndarray):
+        """ends: start and end of each piece, (n, 2, 2)."""
+        self.ends, self.left = ends, np.ones(len(ends), bool)
+        self.low = ends.min(axis=(0, 1))
+        self.cell = max(float((ends.max(axis=(0, 1)) - self.low).max()) / math.sqrt(len(ends)), SAME_M)
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        for (x, y), i in zip(((ends - self.low) // self.cell).astype(np.int64).reshape(-1, 2).tolist(), np.repeat(np.arange(len(ends)), 2).tolist(), strict=True):
+            self.cells.setdefault((x, y), []).append(i)
+
+    def take(self, i: int) -> None:
+        self.left[i] = False
+        for x, y in ((self.ends[i] - self.low) // self.cell).astype(np.int64).tolist():
+            self.cells[x, y].remove(i)
+
+    def nearest(self, p: np.ndarray) -> tuple[int, bool]:
+        """The piece with an end nearest to p (the first of equals), and whether that is its start, which goes first of equals."""
+        cx, cy = ((p - self.low) // self.cell).astype(np.int64).tolist()
+        some: list[int] = []
+        for r in range(self.RINGS):
+            ring = [(x, y) for x in range(cx - r, cx + r + 1) for y in ((cy - r, cy + r) if abs(x - cx) < r else range(cy - r, cy + r + 1))]
+            some += [i for c in dict.fromkeys(ring) for i in self.cells.get(c, ())]
+            found = self._best(np.unique(some), p) if some else None
+            if found and found[0] <= r * self.cell:  # whatever lies that near has been looked at
+                return found[1:]
+        return self._best(np.flatnonzero(self.left), p)[1:]
+
+    def _best(self, of: np.ndarray, p: np.ndarray) -> tuple[float, int, bool]:
+        far = np.hypot(*np.moveaxis(self.ends[of] - p, 2, 0))
+        i = int(far.min(axis=1).argmin())
+        return float(far[i].min()), int(of[i]), bool(far[i, 0] <= far[i, 1])
+
+
 def chain_axis(pieces: DataFrame) -> DataFrame:
-    """pieces (corridor_id, ord, verts) in pick order -> (corridor_id, verts): joined from the first piece on, each time by the piece whose start or end is nearest to the tail, the start preferred."""
+    """pieces (corridor_id, ord, verts) in pick order -> (corridor_id, verts): joined from the first piece on, each time by the piece whose start or end is nearest to the tail, the start preferred.
+
+    Each piece depends on where the one before it ends, so an axis is one task's work; its pieces' ends stand in cells, so that a step looks at a few of them.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = [[(p["x"], p["y"]) for p in v] for v in pdf.sort_values("ord").verts]
-        line = left.pop(0)
-        while left:
-            ends = np.array([(v[0], v[-1]) for v in left])
-            far = np.hypot(*np.moveaxis(ends - np.array(line[-1]), 2, 0))  # piece by (start, end)
-            i = int(far.min(axis=1).argmin())
-            nxt = left.pop(i)
-            nxt = nxt if far[i, 0] <= far[i, 1] else nxt[::-1]
-            line += nxt[1:] if math.dist(line[-1], nxt[0]) <= SAME_M else nxt
-        return pd.DataFrame({"corridor_id": [pdf.corridor_id.iloc[0]], "verts": [[{"x": x, "y": y} for x, y in line]]})
-
-    rows = pieces.select(F.col("corridor_id").cast("long"), "ord", F.transform("verts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("verts"))
+        parts = [np.array([(p["x"], p["y"]) for p in v]) for v in pdf.sort_values("ord").verts]
+        ends = Ends(np.array([(v[0], v[-1]) for v in parts]))
+        line, i = [parts[0]], 0
+        for _ in parts[1:]:
+            ends.take(i)
+            i, forth = ends.nearest(line[-1][-1])
+            nxt = parts[i] if forth else parts[i][::-1]
+            line.append(nxt[1:] if len(nxt) > 1 and math.dist(line[-1][-1], nxt[0]) <= SAME_M else nxt)
+        return pd.DataFrame({"corridor_id": [pdf.corridor_id.iloc[0]], "verts": [[{"x": x, "y": y} for x, y in np.concatenate(line).tolist()]]})
+
+    rows = pieces.where(F.size("verts") > 0).select(F.col("corridor_id").cast("long"), "ord", F.transform("verts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("verts"))
     return rows.groupBy("corridor_id").applyInPandas(run, "corridor_id long, verts array<struct<x:double,y:double>>")
 
 

@@ -39,26 +39,33 @@ def _apart(p: Column, q: Column) -> Column:
     return F.hypot(p["x"] - q["x"], p["y"] - q["y"])
 
 
-def _retraced(verts: Column, turn) -> Column:
-    """The largest m for which the m vertices after vertex turn(m), counted from 1, lie on those before it, arcs bent the other way."""
+def _retraced(verts: Column, turn, last) -> Column:
+    """The largest m for which the m vertices after vertex turn(m), counted from 1, lie on those before it, arcs bent the other way.
+
+    Only those m are looked at for which the outermost pair, vertex last(m) and its image, and the innermost one agree: on a line that does not run back
+    over itself none, so that the time grows with its length. They are tried from the largest on, up to the first that holds.
+    """
     half = F.floor((F.size(verts) - 1) / 2).cast("int")
+    at = lambda i: F.element_at(verts, i.cast("int"))
+    alike = lambda i, j: (_apart(at(i), at(j)) <= RETRACE_M) & (F.abs(at(i - 1)["bulge"] + at(j)["bulge"]) < RETRACE_BULGE)
 
-    def mirrored(m: Column) -> Column:
-        at = lambda i: F.element_at(verts, (turn(m) + i).cast("int"))
-        return F.forall(F.sequence(F.lit(1), m), lambda k: (_apart(at(k), at(-k)) <= RETRACE_M) & (F.abs(at(k - 1)["bulge"] + at(-k)["bulge"]) < RETRACE_BULGE))
+    def ends(m: Column) -> Column:
+        far = F.lit(last) * m  # from the turn to the free end, and its image as far on the other side
+        return F.when(m <= half, (_apart(at(turn(m) + far), at(turn(m) - far)) <= RETRACE_M) & alike(turn(m) + 1, turn(m) - 1)).otherwise(False)
 
-    found = F.filter(F.sequence(F.lit(1), F.greatest(half, F.lit(1))), lambda m: F.when(m <= half, mirrored(m)).otherwise(False))
-    return F.coalesce(F.array_max(found), F.lit(0))
+    some = F.filter(F.sequence(F.lit(1), F.greatest(half, F.lit(1))), ends)
+    whole = lambda m: F.forall(F.sequence(F.lit(1), m), lambda k: alike(turn(m) + k, turn(m) - k))
+    return F.aggregate(F.reverse(some), F.lit(0), lambda found, m: F.when(found > 0, found).when(whole(m), m).otherwise(F.lit(0)))
 
 
 def remove_retraced_ends(outlines: DataFrame) -> DataFrame:
     """Open lines without the tail, then the head, that runs back over the line; adds removed_start, removed_end. Closed ones stay."""
     n = F.size("verts")
-    out = _once(outlines, "removed_end", F.when(F.col("closed"), F.lit(0)).otherwise(_retraced(F.col("verts"), lambda m: n - m)))
+    out = _once(outlines, "removed_end", F.when(F.col("closed"), F.lit(0)).otherwise(_retraced(F.col("verts"), lambda m: n - m, 1)))
     last = F.element_at("verts", n - F.col("removed_end"))
     cut = F.concat(F.slice("verts", F.lit(1), n - F.col("removed_end") - 1), F.array(last.withField("bulge", F.lit(0.0))))
     out = _once(out, "verts", F.when(F.col("removed_end") > 0, cut).otherwise(F.col("verts")))
-    out = _once(out, "removed_start", F.when(F.col("closed"), F.lit(0)).otherwise(_retraced(F.col("verts"), lambda m: m + 1)))
+    out = _once(out, "removed_start", F.when(F.col("closed"), F.lit(0)).otherwise(_retraced(F.col("verts"), lambda m: m + 1, -1)))
     return out.withColumn("verts", F.slice("verts", F.col("removed_start") + 1, F.greatest(F.size("verts"), F.lit(1))))
 
 
