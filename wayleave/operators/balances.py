@@ -93,3 +93,16 @@ def unequal_municipalities(recap: DataFrame, combined: DataFrame) -> DataFrame:
     a = recap.where("level = 1").select(*section, F.struct(*SUMS).alias("a"))
     b = combined.where("row_kind = 'total' and table_ord = 0").select(*section, F.struct(*SUMS).alias("b"))
     return a.join(b, section, "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(*section)
+
+
+def unequal_combined(balance: DataFrame, combined: DataFrame, settlements: DataFrame) -> DataFrame:
+    """(corridor_id, province, municipality, table_ord): tables whose total differs from the sum of their settlements' totals: empty if all is well."""
+    section = ["corridor_id", "province", "municipality", "table_ord"]
+    own = combined.where("row_kind = 'total'").select(*section, F.struct(*SUMS).alias("a"))
+    rows = balance.where("row_kind = 'total'").join(settlements.select("ekatte", "municipality", "province"), "ekatte", "left")
+    rows = rows.withColumn("municipality", F.coalesce("municipality", F.lit("Неизвестна община"))).withColumn("province", F.coalesce("province", F.lit("")))
+    sums = rows.groupBy(*section).agg(*(F.sum(c).alias(c) for c in SUMS)).select(*section, F.struct(*SUMS).alias("b"))
+    differ = F.lit(False)
+    for c in SUMS:
+        differ = differ | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return own.join(sums, section, "full").where(differ).select(*section)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayleave.functions.keys import POLE_PREFIX, control_key, ekatte_of, is_ownership, normal_code, parcel_key, pole_key, strip_pole_prefix
 from wayleave.functions.units import DKA, roman_category, share, sqm_to_dka
+from wayleave.operators.order import placed
 
 HEIRS = "н-ци на "
 
@@ -95,10 +96,10 @@ def steps_register(pieces: DataFrame, areas: DataFrame, parcels: DataFrame, owne
     rows = block.join(drawn, ["corridor_id", "parcel_id"], "left").join(parcels.select("parcel_id", "kat", "vids", F.lit(True).alias("found")), "parcel_id", "left")
     rows = rows.join(owners, (rows.parcel_id == owners.parcel_id) & rows.found, "left").drop(owners.parcel_id).withColumn("owner_ord", F.coalesce("owner_ord", F.lit(1)))
     first = F.col("owner_ord") == 1
-    order = Window.partitionBy("corridor_id").orderBy(pole_key(F.col("pole_no")), parcel_key(F.col("parcel_id")), "parcel_id", "owner_ord")
+    rows = placed(rows, ["corridor_id"], [pole_key(F.col("pole_no")), parcel_key(F.col("parcel_id")), F.col("parcel_id"), F.col("owner_ord")])
     only = lambda c, n: F.when(first, c).alias(n)
     return rows.select(
-        "corridor_id", F.row_number().over(order).alias("row_ord"), only(F.concat(F.lit(POLE_PREFIX), F.col("pole_no")), "pole_label"), only(F.col("piece_dka"), "piece_dka"), only(F.col("parcel_id"), "parcel_id"),
+        "corridor_id", "row_ord", only(F.concat(F.lit(POLE_PREFIX), F.col("pole_no")), "pole_label"), only(F.col("piece_dka"), "piece_dka"), only(F.col("parcel_id"), "parcel_id"),
         only(sqm_to_dka(F.col("drawn_sqm")), "area_dka"), F.when(first & F.col("found"), roman_category(F.col("kat"))).alias("category"), only(F.col("vids"), "ownership"), "person_id", "person_name",
     )
 
@@ -119,12 +120,12 @@ def uncovered(footprints: DataFrame, pieces: DataFrame, tolerance: float = 0.001
 
 
 def control_report(drawn: DataFrame, parcels: DataFrame, rights: DataFrame, persons: DataFrame) -> DataFrame:
-    """Drawn parcels against the register: one row for each right, one row for a parcel without any."""
+    """Drawn parcels against the register: one row for each right, one row for a parcel without any; with a right's term where rights have one."""
     sums = drawn.groupBy("parcel_id").agg(F.sum("drawn_sqm").alias("drawn_sqm"))
     rows = sums.join(parcels.select("parcel_id", "kat", "area_sqm"), "parcel_id").join(rights, "parcel_id", "left").join(persons, "person_id", "left")
     order = Window.partitionBy(ekatte_of(F.col("parcel_id"))).orderBy(control_key(F.col("parcel_id")), "right_ord")
     difference = F.round(F.col("drawn_sqm").cast("decimal(24,6)") - F.col("area_sqm").cast("decimal(24,6)"), 2)
-    return rows.select("parcel_id", F.row_number().over(order).alias("row_ord"), roman_category(F.col("kat")).alias("category"), F.col("area_sqm").alias("cad_sqm"), "drawn_sqm", difference.alias("difference_sqm"), F.col("kind").alias("right_kind"), share(F.col("doc1"), F.col("doc2")).alias("share"), "person_id", F.col("name").alias("person_name"))
+    return rows.select("parcel_id", F.row_number().over(order).alias("row_ord"), roman_category(F.col("kat")).alias("category"), F.col("area_sqm").alias("cad_sqm"), "drawn_sqm", difference.alias("difference_sqm"), F.col("kind").alias("right_kind"), share(F.col("doc1"), F.col("doc2")).alias("share"), "person_id", F.col("name").alias("person_name"), *(c for c in ["term"] if c in rights.columns))
 
 
 def merged_rows(gross: DataFrame, pieces: DataFrame, parcels: DataFrame, none: str = "NO DATA") -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayleave.functions import geometry, keys
-from wayleave.operators import balances, printing, registers
+from wayleave.operators import balances, overlay, printing, registers, report
 from wayleave.plans import lattice as la
-from wayleave.plans.registry import BALANCE, MATH, QUERIES, areas, balance, body, cad_lines, pieces, query, registered
+from wayleave.plans.registry import AXIS, BALANCE, CONTROL, DKA, MATH, MUNICIPAL, QUERIES, RECAP, REGISTER, ROMAN, STEP_ROWS, STEPS, areas, balance, body, cad_lines, pieces, query, registered, route
 from wayleave.sources import cad
 from wayleave.sources import shapes as drawn
 from wayleave.sources.saved import saved, shared_dir, write_files
@@ -283,3 +283,120 @@ def _(spark, d):
     id_ = F.concat_ws(".", "ekatte", "label")
     place = lambda key: F.row_number().over(Window.partitionBy("ekatte").orderBy(key(id_)))
     return rows.select("ekatte", "label", place(keys.parcel_key).alias("natural_place"), place(keys.control_key).alias("control_place"))
+
+
+# --- one run for all reports, and print rows --------------------------------------------------------------------------------
+
+
+def run_reports(spark: SparkSession, d: str, which: str = "true") -> dict[str, DataFrame]:
+    f = la.footprints(spark, d).where(which).select("corridor_id", "pole_no", "area_sqm", la.ring().alias("ring"))
+    drawn = la.parcels(spark, d).select("parcel_id", la.ring().alias("ring"))
+    shared = report.shared_tables(la.corridors(spark, d).where(which), f.select("corridor_id", "pole_no", "ring"), drawn, registered(spark, d), la.CELL)
+    metres = route(spark, d).where(which).select("corridor_id", "ekatte", "metres")
+    return report.reports(shared, f, registered(spark, d), la.rights(spark, d), la.persons(spark, d), la.settlements(spark, d), metres)
+
+
+@query(
+    "K01_report_run",
+    f""", {BALANCE}, {REGISTER}, {STEPS}, {STEP_ROWS}, {CONTROL}, {MUNICIPAL}, {AXIS}, {RECAP}
+SELECT 'affected_register' AS report, corridor_id, count(*) AS n, CAST(sum(CASE WHEN first THEN area_dka END) AS DOUBLE) AS total FROM register GROUP BY corridor_id
+UNION ALL SELECT 'register_totals', corridor_id, count(DISTINCT ekatte), CAST(sum(area_dka) AS DOUBLE) FROM body GROUP BY corridor_id
+UNION ALL SELECT 'steps_register', corridor_id, count(*), CAST(sum(CASE WHEN first THEN piece_dka END) AS DOUBLE) FROM steps GROUP BY corridor_id
+UNION ALL SELECT 'steps_table', corridor_id, count(*), CAST(sum(step_dka) AS DOUBLE) FROM rows_ GROUP BY corridor_id
+UNION ALL SELECT 'coordinates', w.corridor_id, 7*count(*), CAST(5*sum((f.x0+f.x1)/2) AS DOUBLE) FROM winner w JOIN footprint f USING (corridor_id, pole_no) GROUP BY w.corridor_id
+UNION ALL SELECT 'balance', corridor_id, count(*) + count(DISTINCT ekatte || table_ord), 2*CAST(sum(area_dka) AS DOUBLE) FROM sums GROUP BY corridor_id
+UNION ALL SELECT 'municipality_balance', corridor_id, count(*) + count(DISTINCT province || municipality || table_ord), 2*CAST(sum(area_dka) AS DOUBLE) FROM municipal GROUP BY corridor_id
+UNION ALL SELECT 'recapitulation', corridor_id, count(*) + count(DISTINCT province || municipality) + count(DISTINCT province), 3*CAST(sum(area_dka) AS DOUBLE) FROM recap_m GROUP BY corridor_id
+UNION ALL SELECT 'control', a.corridor_id, count(*), CAST(sum(c.area_sqm) AS DOUBLE) FROM areas a JOIN control c USING (parcel_id) GROUP BY a.corridor_id
+UNION ALL SELECT 'not_found', corridor_id, count(*), 0.0 FROM body WHERE NOT found GROUP BY corridor_id""",
+)
+def _(spark, d):
+    """All reports of all corridors written and read back; then every second corridor again, which must leave everything as it was."""
+    folder = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    report.write_reports(run_reports(spark, d), folder)
+    there = report.write_reports(run_reports(spark, d, "corridor_id % 2 = 0"), folder)
+    measure = {"affected_register": "area_dka", "register_totals": "area_dka", "steps_register": "piece_dka", "steps_table": "step_dka", "coordinates": "east", "balance": "area_dka", "municipality_balance": "area_dka", "recapitulation": "area_dka", "control": "cad_sqm"}
+    out = None
+    for name, rows in there.items():
+        value = F.coalesce(F.sum(measure[name]).cast("double"), F.lit(0.0)) if name in measure else F.lit(0.0)
+        one = rows.groupBy(F.lit(name).alias("report"), "corridor_id").agg(F.count(F.lit(1)).alias("n"), F.round(value, 6).alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+PLACES = "place AS (SELECT corridor_id, ekatte, (CAST(ekatte AS INTEGER)*7)%25 AS place FROM (SELECT DISTINCT corridor_id, ekatte FROM body) WHERE CAST(ekatte AS INTEGER)%4 <> 0)"
+
+
+@query(
+    "K06_recap_print_rows",
+    f""", {BALANCE}, {AXIS}, {RECAP}, {PLACES},
+own AS (SELECT r.*, s.kind || ' ' || s.name AS name, p.place, (p.place IS NULL)::INT AS last FROM recap_m r JOIN settlement s USING (ekatte) LEFT JOIN place p USING (corridor_id, ekatte)),
+turn AS (SELECT *, row_number() OVER (PARTITION BY corridor_id, province ORDER BY last, place, ekatte) AS t FROM own),
+muni AS (SELECT corridor_id, province, municipality, min(t) AS f FROM turn GROUP BY ALL), no_ AS (SELECT *, row_number() OVER (PARTITION BY corridor_id, province ORDER BY f) AS no FROM muni),
+all_ AS (SELECT corridor_id, province, 0 AS level, no, t, CASE WHEN t = f THEN no END AS shown, province AS province_name, municipality AS municipality_name, name AS settlement, ekatte, '' AS label, parcels, area_dka, poles, affected_dka, m FROM turn JOIN no_ USING (corridor_id, province, municipality)
+  UNION ALL SELECT corridor_id, province, 1, no, 0, NULL, '', '', '', '', 'Общо за общ. ' || municipality || ':', sum(parcels), sum(area_dka), sum(poles), sum(affected_dka), sum(m) FROM turn JOIN no_ USING (corridor_id, province, municipality) GROUP BY corridor_id, province, municipality, no
+  UNION ALL SELECT corridor_id, province, 2, 1000, 0, NULL, '', '', '', '', 'Общо за обл. ' || province || ':', sum(parcels), sum(area_dka), sum(poles), sum(affected_dka), sum(m) FROM turn GROUP BY corridor_id, province)
+SELECT corridor_id, province, row_number() OVER (PARTITION BY corridor_id, province ORDER BY no, level, t) AS row_ord, CASE level WHEN 0 THEN 'row' WHEN 1 THEN 'municipality' ELSE 'province' END AS row_kind, shown AS no, province_name, municipality_name, settlement, ekatte, label,
+  CAST(parcels AS BIGINT) AS parcels, CAST(area_dka AS DOUBLE) AS area_dka, CAST(poles AS BIGINT) AS poles, CAST(affected_dka AS DOUBLE) AS affected_dka, CAST(round(m*0.001, 3) AS DOUBLE) AS route_km FROM all_""",
+)
+def _(spark, d):
+    """Three of four settlements have a place along the route."""
+    s = la.settlements(spark, d)
+    bal = balance(spark, d)
+    code = F.col("ekatte").cast("int")
+    places = bal.select("corridor_id", "ekatte").distinct().where(code % 4 != 0).withColumn("place", (code * 7) % 25)
+    rows = printing.recap_print_rows(balances.recapitulation(bal, s, route(spark, d)), s, places)
+    return rows.drop("restricted_dka", "step_dka")
+
+
+@query(
+    "K07_control_print_rows",
+    f""", {CONTROL} SELECT row_number() OVER (PARTITION BY split_part(parcel_id,'.',1) ORDER BY {la.ORDER}, right_ord NULLS FIRST) AS row_ord, parcel_id, p.vidt, p.ntp, '' AS locality, coalesce({ROMAN.replace("CASE kat", "CASE control.kat")}, '') AS category, control.area_sqm AS cad_sqm, drawn_sqm,
+  CAST(round(CAST(drawn_sqm AS DECIMAL(24,6)) - CAST(control.area_sqm AS DECIMAL(24,6)), 2) AS DOUBLE) AS difference_sqm, p.vids AS ownership, coalesce(control.kind, '') AS right_kind, '' AS term, CASE WHEN doc1 IS NULL OR doc1 IN ('', '-2') THEN '' WHEN doc2 IN ('', '-2') THEN doc1 ELSE doc1 || '/' || doc2 END AS share, coalesce(person_id, '') AS person_id, coalesce(control.name, '') AS person_name FROM control JOIN parcel p USING (parcel_id)""",
+)
+def _(spark, d):
+    drawn = la.parcels(spark, d).select("parcel_id", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("drawn_sqm"))
+    p = registered(spark, d)
+    return printing.control_print_rows(registers.control_report(drawn, p, la.rights(spark, d), la.persons(spark, d)), p)
+
+
+# --- checks that find something ----------------------------------------------------------------------------------------------
+
+
+@query("V02_tampered_combined", f", {BALANCE}, {MUNICIPAL} SELECT DISTINCT corridor_id, province, municipality, 2 AS table_ord FROM municipal WHERE province = '1'")
+def _(spark, d):
+    """In every municipality of one province one group of the third table has a parcel too many."""
+    bal, s = saved(balance(spark, d), "balance"), la.settlements(spark, d)
+    combined = balances.municipality_balance(bal, s)
+    wrong = (F.col("province") == "1") & (F.col("table_ord") == 2) & (F.col("row_kind") == "total")
+    told = balances.unequal_combined(bal, combined.withColumn("parcels", F.col("parcels") + wrong.cast("long")), s)
+    return told.select("corridor_id", "province", "municipality", "table_ord")
+
+
+@query("V03_tampered_recap", f", {BALANCE}, {MUNICIPAL} SELECT DISTINCT corridor_id, province, municipality FROM municipal WHERE province = '0'")
+def _(spark, d):
+    """In one province the subtotals are a thousandth too large."""
+    bal, s = saved(balance(spark, d), "balance"), la.settlements(spark, d)
+    recap = balances.recapitulation(bal, s)
+    wrong = F.when((F.col("level") == 1) & (F.col("province") == "0"), F.lit("0.001").cast("decimal(4,3)")).otherwise(F.lit(0).cast("decimal(4,3)"))
+    kind = dict(recap.dtypes)["area_dka"]
+    return balances.unequal_municipalities(recap.withColumn("area_dka", (F.col("area_dka") + wrong).cast(kind)), balances.municipality_balance(bal, s))
+
+
+@query("V05_overdrawn_parcels", f", o AS (SELECT a.corridor_id, a.parcel_id, {DKA.format('a.drawn_sqm')} - {DKA.format('2*a.gross_sqm')} AS r FROM areas a JOIN parcel p USING (parcel_id) WHERE p.num%2=0) SELECT corridor_id, parcel_id, CAST(r AS DOUBLE) AS remainder_dka FROM o WHERE r < 0")
+def _(spark, d):
+    """Corridors drawn twice over every second parcel: what remains of it is negative where more than half was taken."""
+    a = areas(spark, d)
+    even = F.element_at(F.split("parcel_id", r"[.]"), -1).cast("long") % 2 == 0
+    again = a.where(even).withColumn("drawn_sqm", F.lit(0.0))
+    b = registers.register_body(a.where(even).unionByName(again), pieces(spark, d), registered(spark, d))
+    return b.where("remainder_dka < 0").select("corridor_id", "parcel_id", "remainder_dka")
+
+
+@query("J06_moved_footprints", ", m AS (SELECT corridor_id, pole_no, x0+1 AS x0, y0+2 AS y0, x1+1 AS x1, y1+2 AS y1 FROM footprint) SELECT a.pole_no AS a, b.pole_no AS b, (least(a.x1,b.x1)-greatest(a.x0,b.x0))*(least(a.y1,b.y1)-greatest(a.y0,b.y0)) AS sqm FROM footprint a JOIN m b ON a.x0<b.x1 AND a.x1>b.x0 AND a.y0<b.y1 AND a.y1>b.y0")
+def _(spark, d):
+    """Every footprint against all others moved by a metre and two."""
+    f = la.footprints(spark, d)
+    moved = f.select("pole_no", *((F.col(c) + by).alias(c) for c, by in (("x0", 1), ("y0", 2), ("x1", 1), ("y1", 2))))
+    a, b = f.select(F.col("pole_no").alias("a"), la.ring().alias("ring")), moved.select(F.col("pole_no").alias("b"), la.ring().alias("ring"))
+    return overlay.overlap_areas(a, b, ["a"], ["b"], cell=la.CELL).select("a", "b", F.round("sqm", 6).alias("sqm"))

@@ -63,12 +63,12 @@ def gross(spark: SparkSession, d: str) -> DataFrame:
     return met.select("corridor_id", "parcel_id", F.round("sqm", 6).alias("gross_sqm"))
 
 
-def areas(spark: SparkSession, d: str) -> DataFrame:
-    """(corridor_id, parcel_id, drawn_sqm, gross_sqm) of every parcel that a corridor or one of its structures touches."""
-    g = gross(spark, d)
-    touched = g.select("corridor_id", "parcel_id").union(pieces(spark, d).select("corridor_id", "parcel_id")).distinct()
+def areas(spark: SparkSession, d: str, cut: DataFrame | None = None) -> DataFrame:
+    """(corridor_id, parcel_id, drawn_sqm, gross_sqm) of every parcel that a corridor or one of its structures touches. cut: pieces(), where they are there already."""
+    key = ["corridor_id", "parcel_id"]
+    touched = (pieces(spark, d) if cut is None else cut).select(*key).distinct().join(gross(spark, d), key, "full").withColumn("gross_sqm", F.coalesce("gross_sqm", F.lit(0.0)))
     p = la.parcels(spark, d).select("parcel_id", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("drawn_sqm"))
-    return touched.join(p, "parcel_id").join(g, ["corridor_id", "parcel_id"], "left").withColumn("gross_sqm", F.coalesce("gross_sqm", F.lit(0.0)))
+    return touched.join(p, "parcel_id").select(*key, "drawn_sqm", "gross_sqm")
 
 
 def registered(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,9 @@ def registered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def body(spark: SparkSession, d: str) -> DataFrame:
-    return registers.register_body(areas(spark, d), pieces(spark, d), registered(spark, d))
+    """The register, computed once for all that reads it in a query."""
+    cut = saved(pieces(spark, d), "pieces")
+    return saved(registers.register_body(areas(spark, d, cut), cut, registered(spark, d)), "body")
 
 
 def owners(spark: SparkSession, d: str) -> DataFrame:
@@ -963,14 +965,7 @@ def _(spark, d):
 @query("V02_verify_combined", "SELECT corridor_id, '' AS province, '' AS municipality, 0 AS table_ord FROM body WHERE false")
 def _(spark, d):
     bal, s = balance(spark, d), la.settlements(spark, d)
-    section = ["corridor_id", "province", "municipality", "table_ord"]
-    own = balances.municipality_balance(bal, s).where("row_kind = 'total'").select(*section, F.struct(*balances.SUMS).alias("a"))
-    sums = bal.where("row_kind = 'total'").join(s.select("ekatte", "municipality", "province"), "ekatte").groupBy(*section).agg(*(F.sum(c).alias(c) for c in balances.SUMS)).select(*section, F.struct(*balances.SUMS).alias("b"))
-    j = own.join(sums, section, "full")
-    differ = F.lit(False)
-    for c in balances.SUMS:
-        differ = differ | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return j.where(differ).select(*section)
+    return balances.unequal_combined(bal, balances.municipality_balance(bal, s), s)
 
 
 @query("U03_shared_settlement", f", {EDGE} SELECT a.corridor_id, a.pole, coalesce(a.ekatte = b.ekatte, false) AS shared FROM home a JOIN home b ON a.corridor_id=b.corridor_id AND a.side=b.side AND b.ord=a.ord+1")
