@@ -4,7 +4,10 @@ import base64
 import collections
 import hashlib
 import itertools
+import os
 import random
+import subprocess
+import sys
 import time
 import zlib
 
@@ -241,3 +244,67 @@ def test_quality_without_labels(spark, rows):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in quality_scores(docs, none).collect()] == [0.5] * len(rows)
     assert good_documents(docs, none).count() == len(rows)
+
+
+def test_warc_members_take_linear_time():
+    """Many small members and few large ones; a cut one raises."""
+
+    def took(n, size):
+        data = b"".join(zlib.compress(bytes([65 + i % 26]) * 7 + str(i).encode() * size, 1, 31) for i in range(n))
+        began = time.process_time()
+        assert sum(1 for _ in warc.members(data)) == n
+        return time.process_time() - began, data
+
+    took(10, 10)
+    assert took(40_000, 10)[0] < 8 * took(10_000, 10)[0] + 0.5
+    data = took(20, 100_000)[1]
+    assert [bytes(m) for m in warc.members(data)] == [bytes([65 + i % 26]) * 7 + str(i).encode() * 100_000 for i in range(20)]
+    with pytest.raises((ValueError, zlib.error)):
+        list(warc.members(data[:-30]))
+
+
+def test_warc_blocks_by_bytes(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, "u", f"{i} " + "x" * (6 << 20 if i % 3 == 0 else 100)) for i in range(9)], "page_id long, url string, html string").coalesce(1)
+    folder = f"file://{tmp_path}"
+    index = warc.normalise(spark.createDataFrame(warc.write(df, folder).collect()), folder)
+    rows = index.collect()
+    assert sum(r.n for r in rows) == 9 and len(rows) == 3
+    got = {r.page_id: r.payload for r in warc.read(index, folder).collect()}
+    assert got == {r.page_id: r.html for r in df.collect()}
+
+
+def test_unescaped_in_pieces():
+    rng = random.Random(3)
+    for _ in range(300):
+        said = "".join(rng.choice(["a", "\\", "\n", "<s>", "é"]) for _ in range(rng.randint(0, 40)))
+        out = chat.escaped(chat.pa.array([said], chat.pa.large_string()))[0].as_py()
+        assert all(chat.unescaped(out, step) == said for step in (1, 2, 3, 7, 1000))
+
+
+LONG = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from wayleave.llm import chat, warc
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+base, n = peak(), 40 << 20
+if sys.argv[1] == "chat":
+    text = "word <s> \\\\" * (n // 10)
+    out, spans = chat.assemble(pa.array(["assistant"]), pa.array([text], pa.large_string()), np.array([0]))
+    (turn,) = chat.parsed(out[0].as_py())
+    assert turn == ("assistant", text)
+else:
+    import zlib
+    parts = warc.record(1, "u", b"x" * n, None, False)
+    data = zlib.compress(b"".join(parts), 1, 31)
+    (raw,) = warc.members(data)
+    assert raw == b"".join(parts)
+print(peak() - base)
+"""
+
+
+@pytest.mark.parametrize("what", ["chat", "warc"])
+def test_long_turns_and_payloads_stay_bounded(what):
+    """40 MB by themselves: under ten times that, much of it the test's own copies."""
+    run = subprocess.run([sys.executable, "-c", LONG, what], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)}, check=True)
+    assert int(run.stdout) < 10 * 40
+    print(run.stdout)

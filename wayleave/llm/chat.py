@@ -29,8 +29,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 # Control strings of this template and of other common ones.
 CONTROL = [START, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>"]
 CHUNK = 4096
-#: Bytes of roles and texts that are assembled at once, if a turn is not longer by itself: indices take some 20 bytes for each.
-BYTES = 2 << 20
+#: Bytes of roles and texts that are assembled at once, if a turn is not longer by itself, and bytes that are copied at once: indices take some 40 bytes for each of these.
+BYTES, COPIED = 2 << 20, 1 << 18
 LOSS_ROLE = "assistant"
 FORMATTED = "conv_id long, chunk long, n_turns long, formatted string, loss array<struct<start:long,end:long>>"
 
@@ -44,8 +44,18 @@ def escaped(column: pa.Array, role: bool = False) -> pa.Array:
     return out
 
 
-def unescaped(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+def unescaped(text: str, step: int = 1 << 16) -> str:
+    """The text without its escapes, piece by piece; no piece ends between a backslash and what it escapes."""
+    out, at = [], 0
+    while at < len(text):
+        end = at + step
+        piece = text[at:end]
+        if (len(piece) - len(piece.rstrip("\\"))) % 2:
+            end += 1
+            piece = text[at:end]
+        out.append(re.sub(r"\\(.)", r"\1", piece, flags=re.DOTALL))
+        at = end
+    return "".join(out)
 
 
 def _bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,11 +67,18 @@ def _bytes(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _scatter(out: np.ndarray, to: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-    """Copy data[start[i] : start[i] + size[i]] to out[to[i] :] for all i at once."""
-    total = int(size.sum())
-    if total:
-        step = np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(to, size) + step] = data[np.repeat(start, size) + step]
+    """Copy data[start[i] : start[i] + size[i]] to out[to[i] :] for all i, COPIED bytes at a time; longer segments go in several pieces."""
+    many = -(-size // COPIED)
+    of = np.repeat(np.arange(size.size), many)
+    skip = COPIED * (np.arange(of.size) - np.repeat(np.cumsum(many) - many, many))
+    to, start, size = to[of] + skip, start[of] + skip, np.minimum(size[of] - skip, COPIED)
+    ends, at = np.cumsum(size), 0
+    while at < of.size:
+        last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COPIED, side="right")))
+        n = size[at:last]
+        step = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to[at:last], n) + step] = data[np.repeat(start[at:last], n) + step]
+        at = last
 
 
 def assemble(roles: pa.Array, texts: pa.Array, first: np.ndarray) -> tuple[pa.Array, list[list[tuple[int, int]]]]:
@@ -123,7 +140,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
     Turns stand by `turn` (null last), then by role and text; rows that repeat each count. Null roles and texts count as empty. loss has
     the spans of formatted, in code points, that assistant texts take. Turns without a conversation are one of their own.
-    An empty table gives an empty result; other columns are not looked at.
+    Texts may have any length: a turn is assembled in some ten times its bytes. An empty table gives an empty result; other columns are not looked at.
     """
     rows = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(role).alias("role"), F.col(text).alias("text"), F.col(turn).alias("turn"))
     order = ["conv_id", F.col("turn").asc_nulls_last(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))]
@@ -132,7 +149,8 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     return ranged.select("conv_id", "role", "text").mapInArrow(_format, FORMATTED)
 
 
-TURN = re.compile(re.escape(START) + r"((?:[^\\\n]|\\.)*)\n((?:[^\\<]|\\.|<(?!\|im_end\|>))*)" + re.escape(END) + "\n", re.DOTALL)
+# Nothing is ever taken back, so that a long text needs no memory of where it could be.
+TURN = re.compile(re.escape(START) + r"((?:[^\\\n]++|\\.)*+)\n((?:[^\\<]++|\\.|<(?!\|im_end\|>))*+)" + re.escape(END) + "\n", re.DOTALL)
 
 
 def parsed(formatted: str) -> Iterator[tuple[str, str]]:
@@ -184,7 +202,7 @@ def chat_digests(turns: DataFrame, **columns) -> DataFrame:
     """One row for each conversation, read back from the formatted chunks: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_chunks.
 
     A digest runs over a whole conversation in order, so its chunks meet in one task, one after another; that task holds a chunk and the
-    hash states, whatever the conversation's length.
+    hash states, whatever the conversation's length. A turn of any length is held some five times over; what format_chats() says of nulls, ties, repeated rows and empty tables holds here.
     """
     chunks = save(format_chats(turns, **columns), "chats")
     by = chunks.select("conv_id", "formatted", "loss", "chunk").repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "chunk")
