@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from wayleave.llm.textops import SPACED, Words, pieces, raw
 
 TRIGRAMS = 1 << 16
 FEATURES = TRIGRAMS + 3
+#: Rows that are scored and given back together.
+ROWS = 1000
 
 
 def _indicators(a: pa.Array) -> Iterator[np.ndarray]:
@@ -102,18 +105,21 @@ def descend(rows: list[bytes], y: np.ndarray, ratio: np.ndarray, cost: float = 1
     return w, bias
 
 
-def _scores(model):
+def _scores(model, text: int):
+    """(_row, score): the text is the row's field of that number; a batch's rows go through as they are, some ROWS at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, weight, bias = model.value
         power = ratio * ratio
         product = ratio * weight
         for batch in batches:
-            out = []
-            for _, a in pieces(batch.column(batch.num_columns - 1)):
-                for f in _indicators(a):
-                    out.append(product[f].sum() / max(np.sqrt(power[f].sum()), 1e-12) + bias)
-            score = 1 / (1 + np.exp(-3 * np.clip(np.array(out, float), -200, 200)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*batch.schema.names[:-1], "score"])
+            for at in range(0, batch.num_rows, ROWS):
+                rows, out = batch.column(0).slice(at, ROWS), []
+                for _, a in pieces(pc.struct_field(rows, [text])):
+                    for f in _indicators(a):
+                        out.append(product[f].sum() / max(np.sqrt(power[f].sum()), 1e-12) + bias)
+                score = 1 / (1 + np.exp(-3 * np.clip(np.array(out, float), -200, 200)))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(score)], ["_row", "score"])
 
     return run
 
@@ -169,10 +175,14 @@ def score(docs: DataFrame, model: tuple, text_col: str = "text") -> DataFrame:
     A column that is called score is replaced, others stay, whatever their names. Repeated rows and equal texts have equal
     scores; texts may have any length; an empty table gives an empty result.
     """
+    return whole_rows(_with_score(docs, model, text_col), docs, score="score")
+
+
+def _with_score(docs: DataFrame, model: tuple, text_col: str) -> DataFrame:
+    """(_row, score): the columns of docs as one struct, in which the text goes to Python once."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(as_row(docs).alias("_row"), text_or_empty(f"`{text_col}`").alias("_scored"))
-    scored = rows.mapInArrow(_scores(sent), rows.select("_row", F.lit(0.5).alias("score")).schema)
-    return whole_rows(scored, docs, score="score")
+    rows = docs.select(as_row(docs).alias("_row"))
+    return rows.mapInArrow(_scores(sent, docs.columns.index(text_col)), rows.select("_row", F.lit(0.5).alias("score")).schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,5 +203,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, held_out: int = 1, id_col
     """The rows of docs that quality_scores() predicts as 1, with all their columns, whatever their names; what it says of odd input holds here."""
     out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == held_out
     model = fit(docs.where(~out), labels.where(~out), id_col=id_col, text_col=text_col)
-    rows = docs.select(as_row(docs).alias("_row"), F.col(text_col).alias("_text"))
-    return whole_rows(score(rows, model, "_text").where("score >= 0.5"), docs)
+    return whole_rows(_with_score(docs, model, text_col).where("score >= 0.5"), docs)
