@@ -167,3 +167,34 @@ def test_concave_shapes_drawn_twice(spark):
     rows = [("k", "A", 64.0, ring(ell)), ("k", "9", 64.0, ring(ell[2:] + ell[:2])), ("k", "zz", 64.0, ring(ell)), ("k", "1F", 9.0, ring(square)), ("m", "9", 64.0, ring(ell))]
     got = {(r.parcel_id, r.handle): (r.kept_handle, r.partly) for r in duplicates.dedup_shapes(spark.createDataFrame(rows, f"parcel_id string, handle string, area double, ring {PAIR}"), 7.0).collect()}
     assert got == {("k", "9"): (None, False), ("k", "A"): ("9", False), ("k", "zz"): ("9", False), ("k", "1F"): (None, True), ("m", "9"): (None, False)}
+
+
+@pytest.mark.parametrize("bent", [False, True])
+def test_dense_cells_are_cut_in_four(spark, monkeypatch, bent):
+    """A town of small parcels and a stack of copies in one cell, and a parcel as large as the map: areas stay, cells end with few pairs that do not overlap, and the stack is not cut."""
+    box = lambda x, y, w: [{"x": float(x + dx), "y": float(y + dy), "bulge": 0.0} for dx, dy in ((0, 0), (w, 0), (w, w), (0, w))]
+    town = [(f"t{i}-{j}", box(i, j, 1)) for i in range(40) for j in range(40)]
+    stack = [(f"s{i}", box(70, 70, 5)) for i in range(60)]
+    kind = "array<struct<x:double,y:double,bulge:double>>" if bent else PAIR
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} string, ring array<struct<x:double,y:double,bulge:double>>").withColumn("ring", F.expr("ring") if bent else F.transform("ring", lambda p: F.struct(p["x"], p["y"]))).withColumn("ring", F.col("ring").cast(kind))
+    a = frame([*town, *stack, ("whole", box(-1000, -1000, 2000))], "a")
+    b = frame([(f"b{i}", box(i + 0.5, i + 0.25, 1)) for i in range(40)] + [(f"c{i}", box(71, 71, 1)) for i in range(60)], "b")
+    module = curved if bent else overlay
+    made = []
+    monkeypatch.setattr(module, "refined", lambda *args, whole=module.refined: made.append(whole(*args)) or made[-1])
+    got = {(r.a, r.b): r.sqm for r in overlay.overlap_areas(a, b, ["a"], ["b"], cell=100.0).collect()}
+    fa, fb = made[0]
+    cells = fa.groupBy("lv", "cx", "cy").agg(F.count("a").alias("na")).join(fb.groupBy("lv", "cx", "cy").agg(F.count("b").alias("nb")), ["lv", "cx", "cy"]).collect()
+    assert max(r.lv for r in cells) > 1
+    assert max(r.na * r.nb for r in cells if r.nb < 60) < overlay.PAIRS
+    assert max(r.na * r.nb for r in cells) < 2 * 61 * 61
+    assert fb.where("b like 'c%'").count() <= 4 * 60
+    exp = {}
+    for (n, p) in [*town, *stack, ("whole", box(-1000, -1000, 2000))]:
+        for k in range(100):
+            m, q = (f"b{k}", box(k + 0.5, k + 0.25, 1)) if k < 40 else (f"c{k - 40}", box(71, 71, 1))
+            w = min(p[1]["x"], q[1]["x"]) - max(p[0]["x"], q[0]["x"])
+            h = min(p[2]["y"], q[2]["y"]) - max(p[0]["y"], q[0]["y"])
+            if w > 0 and h > 0:
+                exp[n, m] = w * h
+    assert got.keys() == exp.keys() and all(abs(got[k] - exp[k]) < 1e-7 for k in exp)

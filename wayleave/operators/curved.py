@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayleave.operators.overlay import FEW_CELLS, SLIVER, _cross, _rolled, _spans, edge_overlaps
+from wayleave.operators.overlay import FEW_CELLS, SLIVER, _cross, _rolled, _spans, edge_overlaps, refined
 from wayleave.sources.saved import saved
 
 VERTEX = "array<struct<x:double,y:double,bulge:double>>"
@@ -118,25 +118,26 @@ def _fragments(cell: float):
             ends = rings.offsets.to_numpy() - rings.offsets[0].as_py() if batch.num_rows else np.zeros(1, int)
             flat = rings.flatten()
             xyb = np.column_stack([flat.field(c).fill_null(0.0).to_numpy(zero_copy_only=False) for c in ("x", "y", "bulge")])
-            keep, at, parts = [], [], []
+            keep, at, parts, shares = [], [], [], []
             for row in range(batch.num_rows):
                 for cx, cy, piece in cut(xyb[ends[row] : ends[row + 1]], cell):
                     keep.append(row)
                     at.append((cx, cy))
+                    shares.append(abs(_area(piece)) / cell**2)
                     parts.append((piece - (cx * cell, cy * cell, 0.0)).reshape(-1))
             if keep:
                 where = np.array(at, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([p.size for p in parts])).astype(np.int32)), pa.array(np.concatenate(parts)))
-                yield pa.RecordBatch.from_arrays([*batch.select(names).take(pa.array(keep)).columns, pa.array(where[:, 0]), pa.array(where[:, 1]), lists], [*names, "cx", "cy", "part"])
+                yield pa.RecordBatch.from_arrays([*batch.select(names).take(pa.array(keep)).columns, pa.array(where[:, 0]), pa.array(where[:, 1]), lists, pa.array(shares)], [*names, "cx", "cy", "part", "share"])
 
     return run
 
 
 def fragments(shapes: DataFrame, cell: float) -> DataFrame:
-    """shapes with a column ring (x, y, bulge) -> its other columns, cx, cy and part (x, y, bulge by turns, from the cell's corner). Two vertices make a ring if an arc joins them."""
+    """shapes with a column ring (x, y, bulge) -> its other columns, cx, cy, part (x, y, bulge by turns, from the cell's corner) and the share of the cell that it covers. Two vertices make a ring if an arc joins them."""
     shapes = shapes.where(F.size("ring") > 1).withColumn("ring", F.col("ring").cast(VERTEX))
     kinds = dict(shapes.dtypes)
-    return shapes.mapInArrow(_fragments(cell), ", ".join(f"`{c}` {k}" for c, k in kinds.items() if c != "ring") + ", cx long, cy long, part array<double>")
+    return shapes.mapInArrow(_fragments(cell), ", ".join(f"`{c}` {k}" for c, k in kinds.items() if c != "ring") + ", cx long, cy long, part array<double>, share double")
 
 
 def bent(ring: Column) -> Column:
@@ -320,12 +321,12 @@ def curved_areas(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str
     arc of a full circle cannot be written as one vertex; two half circles make one.
     """
     on = on or []
-    fa = saved(fragments(a.select(*on, *keys_a, "ring"), cell).withColumnRenamed("part", "part_a"), "fragments")
+    fa = saved(fragments(a.select(*on, *keys_a, "ring"), cell), "fragments")
     asked = b.select(*on, *keys_b, F.col("ring").cast(VERTEX).alias("ring"))
     if not on:
         asked = _near(asked, fa.select("cx", "cy").distinct(), cell)
-    fb = fragments(asked, cell).withColumnRenamed("part", "part_b")
-    met = fa.join(fb, [*on, "cx", "cy"])
+    fa, fb = refined(fa, saved(fragments(asked, cell), "fragments"), on, cell, 3, cut, lambda ring: abs(_area(ring)))
+    met = fa.drop("share").withColumnRenamed("part", "part_a").join(fb.drop("share").withColumnRenamed("part", "part_b"), [*on, "lv", "cx", "cy"])
     met = (met if where is None else met.where(where)).select(*on, *keys_a, *keys_b, "part_a", "part_b")
     kinds = dict(met.dtypes)
     names = [*on, *keys_a, *keys_b]

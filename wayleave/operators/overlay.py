@@ -61,7 +61,14 @@ def cut(ring: np.ndarray, cell: float) -> Iterator[tuple[int, int, np.ndarray]]:
             wait += [_half(r, axis, bound, -1), _half(r, axis, bound, 1)]
 
 
-def _fragments(cell: float):
+def ring_sizes(flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Areas of rings given by their vertices one after another."""
+    first = np.cumsum(size) - size
+    nxt = _rolled(flat, size, first)
+    return np.abs(np.bincount(np.repeat(np.arange(len(size)), size), _cross(flat, nxt), minlength=len(size))) / 2
+
+
+def _fragments(cell: float, share: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [n for n in batch.schema.names if n != "ring"]
@@ -87,17 +94,77 @@ def _fragments(cell: float):
                     parts.append((piece - (cx * cell, cy * cell)).reshape(-1))
             at, sizes = np.concatenate(at).astype(np.int64), np.concatenate(sizes).astype(np.int64)
             taken = batch.select(names).take(pa.array(np.concatenate(keep).astype(np.int64)))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(parts)))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at[:, 0]), pa.array(at[:, 1]), lists], [*names, "cx", "cy", "part"])
+            flat_parts = np.concatenate(parts)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat_parts))
+            more = [pa.array(ring_sizes(flat_parts.reshape(-1, 2), sizes // 2) / cell**2)] if share else []
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at[:, 0]), pa.array(at[:, 1]), lists, *more], [*names, "cx", "cy", "part", *["share"] * share])
 
     return run
 
 
-def fragments(shapes: DataFrame, cell: float) -> DataFrame:
-    """shapes with a column ring -> its other columns, cx, cy and part (x and y by turns, from the cell's corner). Rings of under three vertices give nothing."""
+def fragments(shapes: DataFrame, cell: float, share: bool = False) -> DataFrame:
+    """shapes with a column ring -> its other columns, cx, cy and part (x and y by turns, from the cell's corner), and the share of the cell that it covers if asked for. Rings of under three vertices give nothing."""
     shapes = shapes.where(F.size("ring") > 2).withColumn("ring", F.col("ring").cast(VERTEX))
     kinds = dict(shapes.dtypes)
-    return shapes.mapInArrow(_fragments(cell), ", ".join(f"`{c}` {k}" for c, k in kinds.items() if c != "ring") + ", cx long, cy long, part array<double>")
+    return shapes.mapInArrow(_fragments(cell, share), ", ".join(f"`{c}` {k}" for c, k in kinds.items() if c != "ring") + ", cx long, cy long, part array<double>" + ", share double" * share)
+
+
+#: A cell with more pairs of fragments than this, and more than WASTE times those that the shapes' own depth explains, is cut in four, LEVELS times at most.
+PAIRS, WASTE, LEVELS = 4096, 16, 8
+
+
+def _quarters(half: float, width: int, cut_, size_of):
+    """Fragments (from their cell's corner, of twice the width `half`) cut to the four cells that theirs falls into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = ("cx", "cy", "part", "share")
+            names = [n for n in batch.schema.names if n not in own]
+            cx, cy = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("cx", "cy"))
+            keep, at, parts, shares = [], [], [], []
+            for row, part in enumerate(batch.column(batch.schema.get_field_index("part"))):
+                ring = np.array(part.as_py()).reshape(-1, width)
+                for i, j, piece in cut_(ring, half):
+                    corner = np.zeros(width)
+                    corner[:2] = i * half, j * half
+                    keep.append(row)
+                    at.append((2 * cx[row] + i, 2 * cy[row] + j))
+                    parts.append((piece - corner).reshape(-1))
+                    shares.append(size_of(piece) / half**2)
+            if keep:
+                where = np.array(at, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([p.size for p in parts])).astype(np.int32)), pa.array(np.concatenate(parts)))
+                yield pa.RecordBatch.from_arrays([*batch.select(names).take(pa.array(keep)).columns, pa.array(where[:, 0]), pa.array(where[:, 1]), lists, pa.array(shares)], [*names, *own])
+
+    return run
+
+
+def refined(a: DataFrame, b: DataFrame, on: list[str], cell: float, width: int = 2, cut_=cut, size_of=lambda ring: float(ring_sizes(ring, np.array([len(ring)]))[0])) -> tuple[DataFrame, DataFrame]:
+    """Fragments of two sides (saved) with `lv`: where many meet in a cell without lying upon each other, as in a dense town, the cell is cut in four, again and again.
+
+    How much of a cell each side covers in all (the sum of share) is how deep its shapes lie there; pairs that come from that depth would only be multiplied by cutting. So a
+    cell ends with about PAIRS pairs, or with little more than the pairs that overlap. Areas add up over cells of any size.
+    """
+    a, b = a.withColumn("lv", F.lit(0)), b.withColumn("lv", F.lit(0))
+    key = [*on, "cx", "cy"]
+    for level in range(LEVELS):
+        told = lambda df, n: df.where(F.col("lv") == level).groupBy(*key).agg(F.count(F.lit(1)).alias(f"n{n}"), F.sum("share").alias(f"d{n}"))  # noqa: B023, E731
+        pairs, deep = F.col("na") * F.col("nb"), F.greatest("da", F.lit(1.0)) * F.greatest("db", F.lit(1.0))
+        dense = saved(told(a, "a").join(told(b, "b"), key).where((pairs > PAIRS) & (pairs > WASTE * deep)).select(*key, F.lit(level).alias("lv")), "dense")
+        if dense.isEmpty():
+            break
+        half = cell / 2 ** (level + 1)
+
+        def parted(df: DataFrame) -> DataFrame:
+            kinds = dict(df.dtypes)
+            own = ("cx", "cy", "part", "share")
+            rest = [c for c in df.columns if c not in own]
+            some = df.join(dense, [*key, "lv"], "left_semi").select(*rest, *own)  # noqa: B023
+            finer = some.mapInArrow(_quarters(half, width, cut_, size_of), ", ".join(f"`{c}` {kinds[c]}" for c in [*rest, *own])).withColumn("lv", F.lit(level + 1))  # noqa: B023
+            return saved(df.join(dense, [*key, "lv"], "left_anti").unionByName(finer), "finer")  # noqa: B023
+
+        a, b = parted(a), parted(b)
+    return a, b
 
 
 #: Shapes of at most so many cells are looked up by them before they are cut.
@@ -195,12 +262,12 @@ def overlap_areas(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[st
         as_bent = lambda df: df if _has_arcs(df) else df.withColumn("ring", curved.bent(F.col("ring")))
         return curved.curved_areas(as_bent(a), as_bent(b), keys_a, keys_b, on, cell, least, where)
     on = on or []
-    fa = saved(fragments(a.select(*on, *keys_a, "ring"), cell).withColumnRenamed("part", "part_a"), "fragments")
+    fa = saved(fragments(a.select(*on, *keys_a, "ring"), cell, True), "fragments")
     asked = b.select(*on, *keys_b, "ring")
     if not on:
         asked = _near(asked, fa.select("cx", "cy").distinct(), cell)
-    fb = fragments(asked, cell).withColumnRenamed("part", "part_b")
-    met = fa.join(fb, [*on, "cx", "cy"])
+    fa, fb = refined(fa, saved(fragments(asked, cell, True), "fragments"), on, cell)
+    met = fa.drop("share").withColumnRenamed("part", "part_a").join(fb.drop("share").withColumnRenamed("part", "part_b"), [*on, "lv", "cx", "cy"])
     met = (met if where is None else met.where(where)).select(*on, *keys_a, *keys_b, "part_a", "part_b")
     kinds = dict(met.dtypes)
     names = [*on, *keys_a, *keys_b]
