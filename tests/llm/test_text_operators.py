@@ -253,6 +253,12 @@ def test_license_scan_longer_detections(spark):
     assert {r.label for r in suppressed(found, ["k"]).collect()} == {"a", "b", "f", "g"}
 
 
+def test_license_heads_and_tags(spark):
+    texts = ["Boost Software License - Version 1.0 - August 17th, 2003", "Eclipse Public License - v 2.0", "SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0)", "Redistributions of source code must retain the above copyright notice"]
+    got = labels_of(spark, texts)
+    assert "bsl-1.0" in got[0] and "epl-2.0" in got[1] and {x for x in got[2] if x.startswith("gpl-2.0")} and "bsd" in got[3]
+
+
 def test_license_rules_against_brute_force(spark):
     """Texts drawn from the rules' own expressions, alone, glued, wrapped and nested: labels and scores as all rules give them one by one."""
     rng = random.Random(12)

@@ -261,6 +261,7 @@ isc; permission; \bpermission to use, copy, modify, and(?:/or)? distribute this
 ntp; permission; \bpermission to use, copy, modify,? and distribute this software and its documentation\b
 bsd; bsd; \bbsd(?:[ \n-]style)? licen[cs]ed?\b
 bsd; redistribution; \bredistribution and use in source and binary forms\b
+bsd; redistribution; \bredistributions of source code must retain\b
 bsd-3-clause; endorse; \bmay be used to endorse or promote products derived from this software without\b
 bsd-4-clause; advertising; \ball advertising materials mentioning features or use of this software must display\b
 apache-2.0; grant; \bgrant of copyright licen[cs]e\. subject to the terms and conditions of this licen[cs]e\b
@@ -323,7 +324,7 @@ def _number(v: str) -> str:
     """Version v on the same line, or on another line if it does not look like a list's number there; with or without trailing .0."""
     n = v.replace(".", "[.]")
     listed = "" if "." in v else r"(?![.)](?:\s|$))"
-    word = rf",?(?:{GAP}?(?:version|ver|v)[.]?{GAP}?|{GAP}v|-v?|\x20?[.]?\x20?)"
+    word = rf",?(?:{GAP}?(?:[-–]{GAP}?)?(?:version|ver|v)[.]?{GAP}?|{GAP}v|-v?|\x20?[.]?\x20?)"
     return rf"(?:{word}{n}(?:[.]0)*|,?\n{n}(?:(?:[.]0)+|{listed}))(?![0-9]|[.][0-9])"
 
 
@@ -342,7 +343,7 @@ def rules() -> list[tuple[int, str, str, str, float]]:
     out: list[tuple[int, str, str, str, float]] = []
     for tag in TAGS:
         name = tag.replace(".", "[.]")
-        out.append((0, tag.removesuffix("-1.0") if tag == "cc0-1.0" else tag, "spdx", rf"\bspdx-license-identifier:\s?{name}(?:-only|-or-later|\+)?(?![\w.-])", 1.0))
+        out.append((0, tag.removesuffix("-1.0") if tag == "cc0-1.0" else tag, "spdx", rf"\bspdx-license-identifier:\s?[(]?{name}(?:-only|-or-later|\+)?(?![\w.-])", 1.0))
     for priority, confidence, table in ((1, 0.95, VERSIONED), (1, 0.95, CREATIVE), (2, 0.7, NAMES), (3, 0.3, MENTIONS)):
         for line in table.strip().split("\n"):
             label, keyword, written = line.split("; ", 2)
