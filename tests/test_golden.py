@@ -24,6 +24,7 @@ def test_roman(spark, code, roman):
 
 
 def test_parcel_order(spark):
+    # How these identifiers are ordered must agree.
     want = ["61580.240", "61580.240.3", "61580.240.24", "61580.240.24а", "61580.1A2B"]
     rows = spark.createDataFrame([(x,) for x in reversed(want)], "p string").orderBy(keys.parcel_key(F.col("p"))).collect()
     assert [r.p for r in rows] == want
@@ -35,10 +36,10 @@ def test_pole_order(spark):
 
 
 def test_remainder_on_paper(spark):
-    pieces = spark.createDataFrame([(1, "a.1", "5", 13.5)], "corridor_id int, parcel_id string, pole_no string, piece_sqm double")
-    drawn = spark.createDataFrame([(1, "a.1", 5380.2)], "corridor_id int, parcel_id string, drawn_sqm double")
-    r = registers.steps_table(pieces, drawn).first()
-    assert (float(r.area_dka), float(r.step_dka), float(r.remainder_dka)) == (5.380, 0.014, 5.366)
+    pieces = spark.createDataFrame([(1, "a.1", "5", 20.5), (1, "a.1", "6", 7.5)], "corridor_id int, parcel_id string, pole_no string, piece_sqm double")
+    drawn = spark.createDataFrame([(1, "a.1", 2199.6)], "corridor_id int, parcel_id string, drawn_sqm double")
+    r = registers.steps_table(pieces, drawn).orderBy("turn").first()
+    assert (float(r.area_dka), float(r.step_dka), float(r.remainder_dka)) == (2.200, 0.021, 2.171)  # 0.021 and 0.008, though 28 in all
 
 
 def test_percent_of_nothing(spark):
@@ -46,9 +47,9 @@ def test_percent_of_nothing(spark):
 
 
 def test_winner_tie_goes_to_smaller_id(spark):
-    rows = [(1, "3", "84.442", 20.0), (1, "3", "84.9", 15.0), (1, "4", "84.10", 5.0), (1, "4", "84.9", 5.0)]
+    rows = [(1, "a", "5.31", 8.25), (1, "a", "5.7", 6.5), (1, "b", "5.100", 4.0), (1, "b", "5.23", 4.0)]
     w = registers.winning_parcels(spark.createDataFrame(rows, "corridor_id int, pole_no string, parcel_id string, piece_sqm double"))
-    assert {r.pole_no: r.parcel_id for r in w.collect()} == {"3": "84.442", "4": "84.9"}
+    assert {r.pole_no: r.parcel_id for r in w.collect()} == {"a": "5.31", "b": "5.23"}
 
 
 def ring(points):
