@@ -45,6 +45,11 @@ def ekatte_of(parcel_id: Column) -> Column:
     return F.when(F.instr(parcel_id, ".") > 0, F.substring_index(parcel_id, ".", 1)).otherwise(F.lit(""))
 
 
+def has_settlement(parcel_id: Column) -> Column:
+    """Whether an identifier begins with a settlement's code."""
+    return F.instr(parcel_id, ".") > 1
+
+
 def full_parcel_id(ekatte: Column, ident: Column) -> Column:
     prefix = F.concat(ekatte, F.lit("."))
     return F.when(F.startswith(ident, prefix), ident).otherwise(F.concat(prefix, ident))

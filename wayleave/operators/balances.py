@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayleave.functions.units import DKA, percent, roman_category
+from wayleave.functions.units import DKA, percent, roman_category, sqm_to_dka, to_km
 
 TABLES = ["category", "ownership", "territory", "land use"]
 SUMS = ["parcels", "area_dka", "restricted_dka", "poles", "step_dka", "affected_dka"]
@@ -106,3 +106,37 @@ def unequal_combined(balance: DataFrame, combined: DataFrame, settlements: DataF
     for c in SUMS:
         differ = differ | ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     return own.join(sums, section, "full").where(differ).select(*section)
+
+
+def route_metres(route: DataFrame) -> DataFrame:
+    """(corridor_id, ekatte, metres, km): a route's length in each settlement; metres are added before they are rounded."""
+    return route.groupBy("corridor_id", "ekatte").agg(F.sum("metres").alias("metres")).withColumn("km", to_km(F.col("metres")))
+
+
+# --- the older tables: square metres are added up as they are and rounded once -------------------------------------------------
+
+# How empty texts are called.
+NO_TERRITORY, NO_OWNERSHIP = "(без вид)", "(без собственост)"
+
+
+def legacy_rows(areas: DataFrame, pieces: DataFrame, parcels: DataFrame) -> DataFrame:
+    """areas with pole_sqm, ekatte, territory and ownership of each parcel, empty texts named."""
+    q = pieces.groupBy("corridor_id", "parcel_id").agg(F.sum("piece_sqm").alias("pole_sqm"))
+    named = lambda c, none: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(none))
+    p = parcels.select("parcel_id", "ekatte", named("vidt", NO_TERRITORY).alias("territory"), named("vids", NO_OWNERSHIP).alias("ownership"))
+    return areas.join(p, "parcel_id").join(q, ["corridor_id", "parcel_id"], "left").withColumn("pole_sqm", F.coalesce("pole_sqm", F.lit(0.0)))
+
+
+def _rounded_once(rows: DataFrame, *by) -> DataFrame:
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("parcels"), *(sqm_to_dka(F.sum(c)).alias(n) for c, n in (("drawn_sqm", "area_dka"), ("gross_sqm", "gross_dka"), ("pole_sqm", "step_dka"))))
+
+
+def legacy_balances(rows: DataFrame) -> DataFrame:
+    """(corridor_id, table_ord, group, sums): legacy_rows() by territory (0) and by ownership (1), from one pass."""
+    t = F.explode(F.array(*(F.struct(F.lit(i).alias("table_ord"), F.col(c).alias("group")) for i, c in enumerate(("territory", "ownership"))))).alias("t")
+    return _rounded_once(rows.select("*", t), "corridor_id", F.col("t.table_ord").alias("table_ord"), F.col("t.group").alias("group"))
+
+
+def legacy_totals(rows: DataFrame, by: str) -> DataFrame:
+    """(corridor_id, by, sums): legacy_rows() by a column, and each corridor's total, with a null there; the total is rounded on its own."""
+    return _rounded_once(rows, "corridor_id", by).unionByName(_rounded_once(rows, "corridor_id"), allowMissingColumns=True)

@@ -39,6 +39,18 @@ def box_may_overlap(a: list[Column], b: list[Column], margin: float = BOX_M) ->
     return F.coalesce(test, F.lit(True))
 
 
+def touching_boxes(a: DataFrame, b: DataFrame, key_a: str, key_b: str, cell: float = 50.0, margin: float = BOX_M) -> DataFrame:
+    """(key_a, key_b): pairs of boxes (key, x0, y0, x1, y1) that touch within a margin: an equi-join on the cells of the widened boxes."""
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - margin) / cell), F.floor((F.col(hi) + margin) / cell)))
+    corners = ("x0", "y0", "x1", "y1")
+
+    def spread(df: DataFrame, key: str, t: str) -> DataFrame:
+        return df.select(key, *(F.col(c).alias(f"{c}{t}") for c in corners)).withColumn("_cx", cells(f"x0{t}", f"x1{t}")).withColumn("_cy", cells(f"y0{t}", f"y1{t}"))
+
+    met = spread(a, key_a, "a").join(spread(b, key_b, "b"), ["_cx", "_cy"])
+    return met.where(box_may_overlap(*([F.col(f"{c}{t}") for c in corners] for t in "ab"), margin)).select(key_a, key_b).distinct()
+
+
 def same_footprint(area_a: Column, area_b: Column, a: list[Column], b: list[Column]) -> Column:
     near = F.abs(area_a - area_b) < CLOSE_M
     for x, y in zip(a, b, strict=True):

@@ -9,7 +9,9 @@ from wayleave.functions.keys import POLE_PREFIX, control_key, ekatte_of, is_owne
 from wayleave.functions.units import DKA, roman_category, share, sqm_to_dka
 from wayleave.operators.order import placed
 
+# Fixed values, as printed.
 HEIRS = "н-ци на "
+UNKNOWN_MUNICIPALITY = "Неизвестна община"
 
 
 def sum_by_parcel(shapes: DataFrame) -> DataFrame:
@@ -134,3 +136,33 @@ def merged_rows(gross: DataFrame, pieces: DataFrame, parcels: DataFrame, none: s
     rows = gross.select(*key).union(pieces.select(*key)).distinct().join(parcels, "parcel_id", "left")
     rows = rows.join(pieces.groupBy(*key).agg(F.count(F.lit(1)).alias("poles")), key, "left").join(gross, key, "left")
     return rows.select(*key, F.coalesce("vidt", F.lit(none)).alias("territory"), F.coalesce("poles", F.lit(0)).alias("poles"), F.coalesce("gross_sqm", F.lit(0.0)).alias("gross_sqm"))
+
+
+def section_poles(winners: DataFrame) -> DataFrame:
+    """(corridor_id, ekatte, poles): how many structures stand in each settlement, each where winning_parcels() puts it."""
+    return winners.groupBy("corridor_id", ekatte_of(F.col("parcel_id")).alias("ekatte")).agg(F.count(F.lit(1)).alias("poles"))
+
+
+def municipality_groups(areas: DataFrame, settlements: DataFrame) -> DataFrame:
+    """(corridor_id, municipality, province, settlements, parcels): the settlements that a corridor touches by municipality; those that are not in the register are of an unknown one."""
+    rows = areas.withColumn("ekatte", ekatte_of(F.col("parcel_id"))).join(settlements.select("ekatte", "municipality", "province"), "ekatte", "left")
+    named = [F.coalesce("municipality", F.lit(UNKNOWN_MUNICIPALITY)).alias("municipality"), F.coalesce("province", F.lit("")).alias("province")]
+    return rows.groupBy("corridor_id", *named).agg(F.countDistinct("ekatte").alias("settlements"), F.count(F.lit(1)).alias("parcels"))
+
+
+def route_sort(areas: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(corridor_id, ekatte, place): a corridor's settlements in order of their lowest structure; those without one last, by their code."""
+    code = ekatte_of(F.col("parcel_id")).alias("ekatte")
+    low = lowest_pole(pieces.select("*", code), "corridor_id", "ekatte")
+    rows = areas.select("corridor_id", code).distinct().join(low, ["corridor_id", "ekatte"], "left")
+    order = Window.partitionBy("corridor_id").orderBy(F.col("lowest_pole").isNull(), pole_key(F.col("lowest_pole")), "ekatte")
+    return rows.select("corridor_id", "ekatte", F.dense_rank().over(order).alias("place"))
+
+
+def balance_check(areas: DataFrame, pieces: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """(corridor_id, parcel_id, gross_sqm, pole_sqm, check_text): whether what a corridor takes of a parcel is what is left of it beside structures, and these."""
+    p = pieces.groupBy("corridor_id", "parcel_id").agg(F.sum("piece_sqm").alias("pole_sqm"))
+    rows = areas.join(p, ["corridor_id", "parcel_id"], "left").withColumn("pole_sqm", F.coalesce("pole_sqm", F.lit(0.0)))
+    net = F.greatest(F.col("gross_sqm") - F.col("pole_sqm"), F.lit(0.0))
+    ok = F.abs(F.col("gross_sqm") - (net + F.col("pole_sqm"))) <= tolerance
+    return rows.select("corridor_id", "parcel_id", "gross_sqm", "pole_sqm", F.when(ok, "ОК").otherwise("ГРЕШКА").alias("check_text"))

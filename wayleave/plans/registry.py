@@ -286,7 +286,7 @@ def route(spark: SparkSession, d: str) -> DataFrame:
 
 @query("A10_route_metres_by_settlement", f", {AXIS} SELECT corridor_id, ekatte, CAST(sum(metres) AS DOUBLE) AS metres, CAST(round(CAST(sum(metres) AS DECIMAL(24,6))*0.001, 3) AS DOUBLE) AS km FROM axis GROUP BY ALL")
 def _(spark, d):
-    return route(spark, d).groupBy("corridor_id", "ekatte").agg(F.sum("metres").alias("metres")).withColumn("km", units.to_km(F.col("metres")))
+    return balances.route_metres(route(spark, d))
 
 
 RECAP = f"""recap AS (SELECT corridor_id, ekatte, {SUMMED} FROM sums WHERE table_ord = 0 GROUP BY ALL),
@@ -635,7 +635,7 @@ def _(spark, d):
 
 @query("J25_section_poles", "SELECT corridor_id, split_part(parcel_id,'.',1) AS ekatte, count(*) AS poles FROM winner GROUP BY ALL")
 def _(spark, d):
-    return registers.winning_parcels(pieces(spark, d)).groupBy("corridor_id", keys.ekatte_of(F.col("parcel_id")).alias("ekatte")).agg(F.count(F.lit(1)).alias("poles"))
+    return registers.section_poles(registers.winning_parcels(pieces(spark, d)))
 
 
 @query("J26_coordinate_register", "SELECT f.corridor_id, f.pole_no, w.parcel_id, (f.x0+f.x1)/2 AS east, (f.y0+f.y1)/2 AS north, f.area_sqm, u.i AS corner, CASE WHEN u.i IN (1,2) THEN f.x0 ELSE f.x1 END AS corner_east, CASE WHEN u.i IN (1,4) THEN f.y0 ELSE f.y1 END AS corner_north FROM footprint f JOIN winner w USING (corridor_id, pole_no), (SELECT unnest([1,2,3,4]) AS i) u")
@@ -692,19 +692,13 @@ def _(spark, d):
 
 @query("O11_route_sort", "SELECT corridor_id, ekatte, dense_rank() OVER (PARTITION BY corridor_id ORDER BY lowest NULLS LAST, ekatte) AS place FROM (SELECT DISTINCT corridor_id, ekatte FROM areas) LEFT JOIN (SELECT corridor_id, split_part(parcel_id,'.',1) AS ekatte, min(pole_no::BIGINT) AS lowest FROM piece GROUP BY ALL) USING (corridor_id, ekatte)")
 def _(spark, d):
-    code = keys.ekatte_of(F.col("parcel_id")).alias("ekatte")
-    low = registers.lowest_pole(pieces(spark, d).select("*", code), "corridor_id", "ekatte")
-    s = areas(spark, d).select("corridor_id", code).distinct().join(low, ["corridor_id", "ekatte"], "left")
-    order = Window.partitionBy("corridor_id").orderBy(F.col("lowest_pole").isNull(), keys.pole_key(F.col("lowest_pole")), "ekatte")
-    return s.select("corridor_id", "ekatte", F.dense_rank().over(order).alias("place"))
+    cut = saved(pieces(spark, d), "pieces")
+    return registers.route_sort(areas(spark, d, cut), cut)
 
 
 @query("J17_group_by_municipality", "SELECT corridor_id, coalesce(municipality, 'Неизвестна община') AS municipality, coalesce(province, '') AS province, count(DISTINCT ekatte) AS settlements, count(*) AS parcels FROM areas LEFT JOIN (SELECT * FROM settlement WHERE ekatte <> '00003') s USING (ekatte) GROUP BY ALL")
 def _(spark, d):
-    s = la.settlements(spark, d).where("ekatte <> '00003'")
-    rows = areas(spark, d).withColumn("ekatte", keys.ekatte_of(F.col("parcel_id"))).join(s, "ekatte", "left")
-    named = [F.coalesce("municipality", F.lit("Неизвестна община")).alias("municipality"), F.coalesce("province", F.lit("")).alias("province")]
-    return rows.groupBy("corridor_id", *named).agg(F.countDistinct("ekatte").alias("settlements"), F.count(F.lit(1)).alias("parcels"))
+    return registers.municipality_groups(areas(spark, d), la.settlements(spark, d).where("ekatte <> '00003'"))
 
 
 @query("J20_dedup_structures", "SELECT corridor_id, pole_no, area_sqm, CAST(unnest(CASE WHEN CAST(pole_no AS BIGINT)%3=0 THEN [0, 2] ELSE [0] END) AS INTEGER) AS take FROM footprint")
@@ -773,16 +767,12 @@ def _(spark, d):
 @query("P07_has_settlement", "SELECT num, num%6 <> 0 AS has FROM parcel")
 def _(spark, d):
     p = la.parcels(spark, d).select("num", F.when(F.col("num") % 6 == 0, F.replace("parcel_id", F.lit("."), F.lit("-"))).otherwise(F.col("parcel_id")).alias("id"))
-    return p.select("num", (F.instr("id", ".") > 1).alias("has"))
+    return p.select("num", keys.has_settlement(F.col("id")).alias("has"))
 
 
 @query("P09_box_may_overlap", "SELECT f.pole_no, p.parcel_id FROM footprint f JOIN parcel p ON f.x0 <= p.x1+0.01 AND p.x0 <= f.x1+0.01 AND f.y0 <= p.y1+0.01 AND p.y0 <= f.y1+0.01")
 def _(spark, d):
-    box = lambda t: [F.col(f"{c}{t}") for c in ("x0", "y0", "x1", "y1")]
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - 0.01) / la.CELL), F.floor((F.col(hi) + 0.01) / la.CELL)))
-    spread = lambda df, key, t: df.select(key, *(F.col(c).alias(f"{c}{t}") for c in ("x0", "y0", "x1", "y1"))).withColumn("cx", cells(f"x0{t}", f"x1{t}")).withColumn("cy", cells(f"y0{t}", f"y1{t}"))
-    met = spread(la.footprints(spark, d), "pole_no", "a").join(spread(la.parcels(spark, d), "parcel_id", "b"), ["cx", "cy"])
-    return met.where(lines.box_may_overlap(box("a"), box("b"))).select("pole_no", "parcel_id").distinct()
+    return lines.touching_boxes(la.footprints(spark, d), la.parcels(spark, d), "pole_no", "parcel_id", la.CELL)
 
 
 @query("F07_pole_numbers", "SELECT pole_no, 'Стълб №' || pole_no AS label, pole_no AS stripped, CAST(pole_no AS BIGINT) AS number FROM footprint")
@@ -827,11 +817,8 @@ def _(spark, d):
 
 @query("P14_balance_check", "SELECT corridor_id, parcel_id, gross_sqm, pole_sqm, CASE WHEN abs(gross_sqm - (net_sqm + pole_sqm)) <= 0.001 THEN 'ОК' ELSE 'ГРЕШКА' END AS check_text FROM (SELECT corridor_id, parcel_id, CAST(gross_sqm AS DOUBLE) AS gross_sqm, coalesce(p, 0.0) AS pole_sqm, greatest(gross_sqm - coalesce(p, 0.0), 0.0) AS net_sqm FROM areas LEFT JOIN (SELECT corridor_id, parcel_id, sum(piece_sqm) AS p FROM piece GROUP BY ALL) USING (corridor_id, parcel_id))")
 def _(spark, d):
-    p = pieces(spark, d).groupBy("corridor_id", "parcel_id").agg(F.sum("piece_sqm").alias("pole_sqm"))
-    a = areas(spark, d).join(p, ["corridor_id", "parcel_id"], "left").withColumn("pole_sqm", F.coalesce("pole_sqm", F.lit(0.0)))
-    net = F.greatest(F.col("gross_sqm") - F.col("pole_sqm"), F.lit(0.0))
-    ok = F.abs(F.col("gross_sqm") - (net + F.col("pole_sqm"))) <= 0.001
-    return a.select("corridor_id", "parcel_id", "gross_sqm", "pole_sqm", F.when(ok, "ОК").otherwise("ГРЕШКА").alias("check_text"))
+    cut = saved(pieces(spark, d), "pieces")
+    return registers.balance_check(areas(spark, d, cut), cut)
 
 
 # --- code lists, legacy tables, nearest shapes ------------------------------------------------------------------------
@@ -920,41 +907,30 @@ LEGACY = "raw AS (SELECT a.corridor_id, a.parcel_id, a.ekatte, a.drawn_sqm, a.gr
 
 
 def raw_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Unrounded sums by parcel, with empty texts named: the older tables add square metres and round once."""
-    q = pieces(spark, d).groupBy("corridor_id", "parcel_id").agg(F.sum("piece_sqm").alias("pole_sqm"))
-    named = lambda c, none: F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(none))
-    p = la.parcels(spark, d).select("parcel_id", "ekatte", named("vidt", "(без вид)").alias("territory"), named("vids", "(без собственост)").alias("ownership"))
-    return areas(spark, d).join(p, "parcel_id").join(q, ["corridor_id", "parcel_id"], "left").withColumn("pole_sqm", F.coalesce("pole_sqm", F.lit(0.0)))
+    cut = saved(pieces(spark, d), "pieces")
+    return saved(balances.legacy_rows(areas(spark, d, cut), cut, la.parcels(spark, d)), "legacy")
 
 
 def once(c: str) -> str:
     return f"CAST(round(CAST(sum({c}) AS DECIMAL(24,6))*0.001, 3) AS DOUBLE)"
 
 
-def rounded_once(rows: DataFrame, *by) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("parcels"), *(units.sqm_to_dka(F.sum(c)).alias(n) for c, n in (("drawn_sqm", "area_dka"), ("gross_sqm", "gross_dka"), ("pole_sqm", "step_dka"))))
-
-
 ONCE = f"count(*) AS parcels, {once('drawn_sqm')} AS area_dka, {once('gross_sqm')} AS gross_dka, {once('pole_sqm')} AS step_dka"
 
 
 @query("A18_legacy_balances", f", {LEGACY} SELECT corridor_id, 0 AS table_ord, territory AS \"group\", {ONCE} FROM raw GROUP BY ALL UNION ALL SELECT corridor_id, 1, ownership, {ONCE} FROM raw GROUP BY corridor_id, ownership")
 def _(spark, d):
-    t = F.explode(F.array(*(F.struct(F.lit(i).alias("table_ord"), F.col(c).alias("group")) for i, c in enumerate(("territory", "ownership"))))).alias("t")
-    rows = raw_rows(spark, d).select("*", t)
-    return rounded_once(rows, "corridor_id", F.col("t.table_ord").alias("table_ord"), F.col("t.group").alias("group"))
+    return balances.legacy_balances(raw_rows(spark, d))
 
 
 @query("A19_legacy_settlement_balance", f", {LEGACY} SELECT corridor_id, ekatte, {ONCE} FROM raw GROUP BY GROUPING SETS ((corridor_id, ekatte), (corridor_id))")
 def _(spark, d):
-    r = raw_rows(spark, d)
-    return rounded_once(r, "corridor_id", "ekatte").unionByName(rounded_once(r, "corridor_id"), allowMissingColumns=True)
+    return balances.legacy_totals(raw_rows(spark, d), "ekatte")
 
 
 @query("A20_legacy_recap", f", {LEGACY} SELECT corridor_id, territory, {ONCE} FROM raw GROUP BY GROUPING SETS ((corridor_id, territory), (corridor_id))")
 def _(spark, d):
-    r = raw_rows(spark, d)
-    return rounded_once(r, "corridor_id", "territory").unionByName(rounded_once(r, "corridor_id"), allowMissingColumns=True)
+    return balances.legacy_totals(raw_rows(spark, d), "territory")
 
 
 @query("J21_legacy_merge_rows", "SELECT k.corridor_id, k.parcel_id, CASE WHEN p.in_register THEN p.vidt ELSE 'NO DATA' END AS territory, coalesce(s.poles, 0) AS poles, CAST(coalesce(g.gross_sqm, 0) AS DOUBLE) AS gross_sqm FROM (SELECT corridor_id, parcel_id FROM gross UNION SELECT corridor_id, parcel_id FROM piece) k JOIN parcel p USING (parcel_id) LEFT JOIN (SELECT corridor_id, parcel_id, count(*) AS poles FROM piece GROUP BY ALL) s USING (corridor_id, parcel_id) LEFT JOIN gross g USING (corridor_id, parcel_id)")
