@@ -161,8 +161,8 @@ def newest(parcels_: DataFrame, rights_: DataFrame, modified: DataFrame) -> tupl
 
 def load_registers(rows: DataFrame) -> dict[str, DataFrame]:
     """All register tables of a DataFrame of lines. Files without a settlement code or without parcels are skipped, with the reason in `skipped`."""
-    parts = sections(rows)
-    raw = table_rows(parts)
+    parts = saved(sections(rows), "parts")  # all tables read them
+    raw = saved(table_rows(parts), "table-rows")
     good = good_rows(raw)
     modified = rows.select("path", "modified").distinct()
     head = modified.select("path").join(headers(parts), "path", "left")
