@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wayleave.operators import curved, duplicates, lines, overlay, walk
+from wayleave.functions import geometry
+from wayleave.operators import curved, duplicates, lines, order, overlay, report, walk
 
 PAIR = "array<struct<x:double,y:double>>"
 
@@ -87,6 +88,44 @@ def test_overlap_areas_takes_arcs(spark):
     assert overlay.overlap_areas(a.limit(0), b, ["a"], ["b"]).count() == 0
 
 
+def test_areas_of_bent_rings(spark):
+    """Discs either way round, a ring of straight edges, a half circle bent in, a null bulge, and rings of one vertex and of none."""
+    rings = [disc(0, 0, 30), disc(5, 5, 2)[::-1] * (1, 1, -1), [(0, 0, 0), (4, 0, 0), (4, 3, 0), (0, 3, 0)], [(0, 0, -1.0), (4, 0, None), (4, 3, 0), (0, 3, 0)], [(1, 1, 1.0)], []]
+    rows = [(i, [{"x": float(x), "y": float(y), "bulge": None if b is None else float(b)} for x, y, b in (r.tolist() if isinstance(r, np.ndarray) else r)]) for i, r in enumerate(rings)]
+    df = spark.createDataFrame(rows, "i long, ring array<struct<x:double,y:double,bulge:double>>")
+    got = {r.i: r.a for r in df.select("i", geometry.signed_area_with_arcs(F.col("ring")).alias("a")).collect()}
+    for i, want in enumerate([900 * math.pi, -4 * math.pi, 12, 12 - 2 * math.pi, 0, 0]):
+        assert got[i] == pytest.approx(want, abs=1e-9), i
+
+
+def test_report_run_with_arcs(spark):
+    """A corridor that is half a disc over two parcels, one of them a disc: the register's areas."""
+    ring = "array<struct<x:double,y:double,bulge:double>>"
+    shape = lambda r: [{"x": float(x), "y": float(y), "bulge": float(b)} for x, y, b in r]
+    corridors = spark.createDataFrame([(1, shape([(-60, 0, 0), (60, 0, 1)]))], f"corridor_id long, ring {ring}")
+    parcels = spark.createDataFrame([("1.1", shape([(-20, 0, 1), (20, 0, 1)])), ("1.2", shape([(100, 0, 0), (50, 0, 0), (50, 100, 0), (100, 100, 0)]))], f"parcel_id string, ring {ring}")
+    poles = spark.createDataFrame([(1, "7", shape([(-1, 1, 0), (1, 1, 0), (1, 3, 0), (-1, 3, 0)]))], f"corridor_id long, pole_no string, ring {ring}")
+    known = spark.createDataFrame([("1.1", "3", "a", "b", "c")], "parcel_id string, kat string, vids string, vidt string, ntp string")
+    made = report.shared_tables(corridors, poles, parcels, known, cell=16.0)
+    areas = {r.parcel_id: (r.drawn_sqm, r.gross_sqm) for r in made["areas"].collect()}
+    beyond = 3600 * math.acos(5 / 6) / 2 - 50 * math.sqrt(1100) / 2
+    assert areas["1.1"] == (pytest.approx(400 * math.pi), pytest.approx(200 * math.pi, abs=1e-5)) and areas["1.2"] == (pytest.approx(5000), pytest.approx(beyond, abs=1e-5))
+    body = {r.parcel_id: r for r in made["body"].collect()}
+    assert body["1.1"].found and body["1.1"].poles == 1 and float(body["1.1"].step_dka) == 0.004 and not body["1.2"].found
+
+
+def test_placed(spark):
+    """Consecutive numbers in each group, one of which has most of the rows, whatever the ranges."""
+    rnd = random.Random(8)
+    rows = [(rnd.choice("aaaab"), rnd.randint(0, 30), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v long, i long")
+    got = order.placed(df, ["g"], [-F.col("v"), F.col("i")]).collect()
+    for g in "ab":
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert {r.i: r.row_ord for r in got if r.g == g} == {r[2]: n + 1 for n, r in enumerate(own)}
+    assert order.placed(df.limit(0), ["g"], [F.col("i")]).count() == 0
+
+
 def test_running(spark):
     rnd = random.Random(1)
     rows = [(g, i, rnd.choice([None, rnd.randint(0, 99)])) for g in "ab" for i in range(50) if rnd.random() < 0.9]

@@ -15,6 +15,20 @@ def signed_area(ring: Column) -> Column:
     return F.when(F.size(ring) > 2, F.aggregate(F.sequence(F.lit(2), F.size(ring) - 1), F.lit(0.0), lambda s, i: s + term(i)) / 2).otherwise(F.lit(0.0))
 
 
+def signed_area_with_arcs(ring: Column) -> Column:
+    """signed_area() of a ring with a bulge at each vertex: the polygon, and between each arc and its chord a circular segment (null bulges are straight). Two vertices make a ring if an arc joins them."""
+
+    def segment(i: Column) -> Column:
+        p, q = F.element_at(ring, i), F.element_at(ring, F.when(i == F.size(ring), F.lit(1)).otherwise(i + 1))
+        b = F.when(F.abs(p["bulge"]) > 1e-12, p["bulge"])
+        chord2 = (q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"])
+        radius2, angle = chord2 * F.pow((1 + b * b) / (4 * b), 2), 4 * F.atan(b)
+        return F.coalesce(radius2 * (angle - F.sin(angle)) / 2, F.lit(0.0))
+
+    arcs = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ring), F.lit(1))), F.lit(0.0), lambda s, i: s + F.when(i <= F.size(ring), segment(i)).otherwise(F.lit(0.0)))
+    return signed_area(ring) + F.when(F.size(ring) > 1, arcs).otherwise(F.lit(0.0))
+
+
 def clockwise(ring: Column) -> Column:
     """The ring with the clock, the first corner kept."""
     turned = F.concat(F.slice(ring, 1, 1), F.reverse(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0)))))
