@@ -1022,4 +1022,4 @@ def _(spark, d):
     return kept.select("corridor_id", F.array_join(F.transform("kept", lambda m: m.cast("int").cast("string")), ",").alias("cuts"))
 
 
-from wayleave.plans import drawn, files, routes  # noqa: E402, F401  registers the queries of these modules too
+from wayleave.plans import drawn, files, routes, small  # noqa: E402, F401  registers the queries of these modules too
