@@ -32,3 +32,28 @@ def test_pipeline(spark):
         if i in keeps:
             assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in keeps[i](docs).select("doc_id").collect()}
         docs = out
+
+
+def test_bit_map_is_one_job_whatever_the_partitions(spark):
+    """A job for each shuffle partition made hundreds of jobs where many partitions stay as they are."""
+    import numpy as np
+
+    from wayleave.llm.shared import bit_map
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    hashes = [-(1 << 63), -1, 0, 63, 64, (1 << 63) - 1, *(i * 0x9E3779B97F4A7 for i in range(500))]
+    expected = np.zeros(1 << 10, np.uint64)
+    for h in hashes:
+        expected[h % (1 << 16) >> 6] |= np.uint64(1 << (h & 63))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("bit map", "")
+        words = bit_map(spark.createDataFrame([(h,) for h in hashes], "h long"), 1 << 16)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bit map")) <= 3
+        assert len(words) == len(expected) and (np.asarray(words, np.uint64) == expected).all()
+        assert not np.asarray(bit_map(spark.createDataFrame([], "h long"), 1 << 16)).any()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)

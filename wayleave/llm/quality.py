@@ -71,7 +71,7 @@ def _packed(f: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _unpacked(b: bytes) -> np.ndarray:
+def _unpacked(b: bytes | pa.Buffer) -> np.ndarray:
     return np.frombuffer(b, "<u4").astype(np.int64) if len(b) < FEATURES // 8 else np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), count=FEATURES))
 
 
@@ -82,7 +82,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(at, len(a))], ["fs", "label"])
 
 
-def descend(rows: list[bytes], y: np.ndarray, ratio: np.ndarray, cost: float = 1.0, rounds: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
+def descend(rows: list[bytes] | list[pa.Buffer], y: np.ndarray, ratio: np.ndarray, cost: float = 1.0, rounds: int = 12, seed: int = 5) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L1 hinge loss over unit-length rows ratio[features]; returns weights by feature, and the bias."""
     w, bias = np.zeros(ratio.size), 0.0
     alpha = np.zeros(len(rows))
@@ -134,8 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "d
     """
     spark = docs.sparkSession
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
-    words = bit_map(marks.select(F.xxhash64("id").alias("h")))
-    seen = spark.sparkContext.broadcast(np.array(words, np.int64).astype(np.uint64))
+    seen = spark.sparkContext.broadcast(bit_map(marks.select(F.xxhash64("id").alias("h"))))
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,12 +157,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "d
     there = docs.select(F.col(id_col).cast("long").alias("id")).join(marks, "id").dropDuplicates(["id"])
     chosen = there.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(sample)
     one = rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min_by("t", F.struct(F.xxhash64("t"), F.col("t"))).alias("t"))
-    kept = one.select("t", "label").mapInArrow(_listed, "fs binary, label int").toArrow().combine_chunks()
+    kept = one.select("t", "label").mapInArrow(_listed, "fs binary, label int").toArrow()
     y = np.where(kept["label"].to_numpy() == 1, 1.0, -1.0)
     if len(y) and ratio.any() and (y > 0).any() and (y < 0).any():
-        fs = kept["fs"].to_pylist()
-        order = sorted(range(len(y)), key=lambda i: (len(fs[i]), fs[i], y[i]))  # the same from run to run
-        weight, bias = descend([fs[i] for i in order], y[order], ratio)
+        keyed = kept.append_column("n", pc.binary_length(kept["fs"]))
+        order = pc.sort_indices(keyed, sort_keys=[(c, "ascending") for c in ("n", "fs", "label")])  # the same from run to run
+        fs = kept["fs"].take(order).combine_chunks()
+        weight, bias = descend([x.as_buffer() for x in fs], y[order.to_numpy()], ratio)  # pieces of one buffer, not copies
     else:
         weight, bias = np.zeros(FEATURES), 0.0
     return ratio, weight, bias
