@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayleave.llm.shared import as_row, bit_map, text_or_empty, whole_rows
+from wayleave.llm.shared import as_row, bit_words, small_batches, text_or_empty, whole_rows, with_bit
 from wayleave.llm.textops import SPACED, Words, pieces, raw
 
 TRIGRAMS = 1 << 16
@@ -132,18 +132,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, id_col: str = "d
     least hashes, and one text of each (of several with one identifier that with the least hash), packed to 8 kB at most. Without
     rows of both labels the model is all zeros and every score 0.5.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
-    seen = spark.sparkContext.broadcast(bit_map(marks.select(F.xxhash64("id").alias("h"))))
-
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column(1).to_numpy(zero_copy_only=False) % (seen.value.size << 6)
-            yield batch.filter(pa.array((seen.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) > 0)).select([0, 2])
-
     docs = docs.where(F.col(id_col).isNotNull())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long")).alias("h"), text_or_empty(text_col).alias("t"))
-    rows = rows.mapInArrow(labelled, "id long, t string")
+    rows = with_bit(rows, "h", bit_words(marks.select(F.xxhash64("id").alias("h"))), "labelled").where("labelled").select("id", "t")
     train = rows.join(marks, "id")
     counts = train.select("t", "label").mapInArrow(_counts, "f long, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()  # FEATURES rows at most
     ratio = np.zeros(FEATURES)
@@ -180,6 +173,7 @@ def score(docs: DataFrame, model: tuple, text_col: str = "text") -> DataFrame:
 
 def _with_score(docs: DataFrame, model: tuple, text_col: str) -> DataFrame:
     """(_row, score): the columns of docs as one struct, in which the text goes to Python once."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(as_row(docs).alias("_row"))
     return rows.mapInArrow(_scores(sent, docs.columns.index(text_col)), rows.select("_row", F.lit(0.5).alias("score")).schema)
