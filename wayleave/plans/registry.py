@@ -435,12 +435,14 @@ def _(spark, d):
 
 # --- .cad files: the given tables written as lines of such files, and parsed back --------------------------------------
 
+# Lines of a file are numbered by section, then by row; a parcel's rights by parcel and place. Sections are apart by more than any row's number times RIGHTS.
+SECTION, RIGHTS = 10**14, 10**6
+
 
 def cad_lines(spark: SparkSession, d: str) -> DataFrame:
     """(path, modified, line_no, text): one file for each settlement of a band of parcels; names hold quotes, localities are by ownership."""
     p = registered(spark, d).withColumn("band", F.floor(F.col("num") / 400))
-    # Lines of a file are numbered by section, then by row.
-    at = lambda part, i: (F.lit(part * 1_000_000_000).cast("long") + i).alias("line_no")
+    at = lambda part, i: (F.lit(part * SECTION).cast("long") + i).alias("line_no")
     every = p.select("ekatte", "band").distinct()
     blocks = [
         (0, ["HEADER", "VERSION 4.02", None, "NAME с. Пример", "END_HEADER", "", "CONTROL CADASTER"]),
@@ -459,7 +461,7 @@ def cad_lines(spark: SparkSession, d: str) -> DataFrame:
     area = p.select("ekatte", "band", at(1, F.col("num")), F.concat(F.lit("CONTUR_AREA "), ident, F.lit(" "), F.replace(F.col("area_sqm").cast("decimal(18,2)").cast("string"), F.lit("."), F.lit(","))).alias("text"))
     parcel = p.select("ekatte", "band", at(3, F.col("num")), F.concat(F.lit("D "), F.concat_ws(",", ident, q("vidt"), q("ntp"), q("vids"), F.col("kat"), F.lit("1")), F.lit(",")).alias("text"))
     r = la.rights(spark, d).join(p.select("parcel_id", "ekatte", "band", "num"), "parcel_id")
-    right = r.select("ekatte", "band", at(7, F.col("num") * 10_000 + F.col("right_ord")), F.concat(F.lit("D "), F.concat_ws(",", ident, F.col("person_id"), F.col("kind"), F.col("doc1"), F.col("doc2"))).alias("text"))
+    right = r.select("ekatte", "band", at(7, F.col("num") * RIGHTS + F.col("right_ord")), F.concat(F.lit("D "), F.concat_ws(",", ident, F.col("person_id"), F.col("kind"), F.col("doc1"), F.col("doc2"))).alias("text"))
     who = r.select("ekatte", "band", "person_id").distinct().join(la.persons(spark, d), "person_id")
     named = F.concat(F.lit('"ЕТ \\"'), F.col("name"), F.lit('\\" ООД"'))
     person = who.select("ekatte", "band", at(5, F.col("person_id").cast("long")), F.concat(F.lit("D "), F.concat_ws(",", "person_id", named, F.when(F.col("heirs"), F.lit("T")).otherwise(F.lit(""))), F.lit(",")).alias("text"))
@@ -517,7 +519,7 @@ def _(spark, d):
     """A parcel's rights come from the file that it comes from: of the newer file's parcels every second right, though the older one has them all."""
     _, held = newest_of(spark, d)
     file = F.when(F.startswith("path", F.lit("/b")), F.lit("b")).otherwise(F.lit("a")).alias("file")
-    return held.where("person_id <> '2'").select("parcel_id", "person_id", "kind", file, (F.col("right_ord") % 10_000).alias("right_ord"))
+    return held.where("person_id <> '2'").select("parcel_id", "person_id", "kind", file, (F.col("right_ord") % RIGHTS).alias("right_ord"))
 
 
 def newest_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -559,12 +561,12 @@ def _(spark, d):
 @query("S07_bad_contour_areas", f", {SPOILT} SELECT path, num FROM own JOIN file USING (band, ekatte) WHERE num%7=0")
 def _(spark, d):
     bad = cad.warnings(spoilt_lines(spark, d)).where("reason = 'bad contour area'")
-    return bad.select("path", (F.col("line_no") - 1_000_000_000).alias("num"))
+    return bad.select("path", (F.col("line_no") - SECTION).alias("num"))
 
 
 def spoilt_lines(spark: SparkSession, d: str) -> DataFrame:
     rows = cad_lines(spark, d)
-    band, part, at = F.get(F.split("path", "/"), F.lit(1)).cast("long") % 3, F.floor(F.col("line_no") / 1_000_000_000), F.col("line_no") % 1_000_000_000
+    band, part, at = F.get(F.split("path", "/"), F.lit(1)).cast("long") % 3, F.floor(F.col("line_no") / SECTION), F.col("line_no") % SECTION
     text = F.col("text")
     spoilt = (
         F.when((text == "VERSION 4.02") & (band == 0), F.lit("VERSION 4.03"))
@@ -577,7 +579,7 @@ def spoilt_lines(spark: SparkSession, d: str) -> DataFrame:
     twice = rows.where((part == 3) & (at % 17 == 0))
     named = rows.where(person & F.startswith("text", F.lit("D ")) & (at % 19 == 0)).withColumn("text", F.concat(F.substring_index("text", ",", 1), F.lit(',"another",,')))
     later = lambda df, by: df.withColumn("line_no", F.col("line_no") + by)
-    return rows.unionByName(later(twice, 100_000_000)).unionByName(later(named, 100_000_000))
+    return rows.unionByName(later(twice, SECTION // 10)).unionByName(later(named, SECTION // 10))
 
 
 @query("A22_register_summary", "SELECT p.ekatte, count(DISTINCT p.parcel_id) AS parcels, count(r.parcel_id) AS rights, count(DISTINCT r.person_id) AS persons FROM parcel p LEFT JOIN rights r USING (parcel_id) WHERE in_register GROUP BY ALL")

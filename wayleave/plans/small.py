@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayleave.functions import geometry, keys, units
 from wayleave.operators import balances, lines, overlay, registers
 from wayleave.plans import lattice as la
-from wayleave.plans.registry import areas, cad_lines, pieces, query
+from wayleave.plans.registry import SECTION, areas, cad_lines, pieces, query
 from wayleave.sources import cad
 from wayleave.sources.saved import saved
 
@@ -40,11 +40,11 @@ def _(spark, d):
 def _(spark, d):
     """Department and subdivision, one of them, or neither; a parcel with neither has none."""
     rows = cad_lines(spark, d)
-    at, part = F.col("line_no") % 1_000_000_000, F.floor(F.col("line_no") / 1_000_000_000)
+    at, part = F.col("line_no") % SECTION, F.floor(F.col("line_no") / SECTION)
     ident = F.regexp_extract("text", "^D ([^,]+),", 1)
     own = rows.where((part == 3) & F.startswith("text", F.lit("D ")))
-    line = lambda when, n, rest: own.where(when).select("path", "modified", (F.lit(9_100_000_000 + n).cast("long") + 10 * at).alias("line_no"), F.concat(F.lit("D "), ident, F.lit(rest)).alias("text"))
-    head = [rows.select("path", "modified").distinct().select("path", "modified", F.lit(9_000_000_000 + i).cast("long").alias("line_no"), F.lit(t).alias("text")) for i, t in enumerate(["TABLE GORIMOTI", "F IDENT C 20", "F OTDEL C 5", "F PODOTDEL C 5"])]
+    line = lambda when, n, rest: own.where(when).select("path", "modified", (F.lit(9 * SECTION + 10 + n).cast("long") + 10 * at).alias("line_no"), F.concat(F.lit("D "), ident, F.lit(rest)).alias("text"))
+    head = [rows.select("path", "modified").distinct().select("path", "modified", F.lit(9 * SECTION + i).cast("long").alias("line_no"), F.lit(t).alias("text")) for i, t in enumerate(["TABLE GORIMOTI", "F IDENT C 20", "F OTDEL C 5", "F PODOTDEL C 5"])]
     more = [*head, line((at % 4 < 2), 1, ",45,а,"), line((at % 4 == 0) | (at % 4 == 2), 2, ",46,,"), line(at % 4 == 3, 1, ", ,,")]
     for m in more:
         rows = rows.unionByName(m)
