@@ -26,7 +26,7 @@ def shifted(tmp_path_factory):
     return str(d), con
 
 
-@pytest.mark.parametrize("name", ["S12_cad_rights", "O01_newest_rights", "S03_cad_sections", "A22_register_summary"])
+@pytest.mark.parametrize("name", ["S12_cad_rights", "O01_newest_rights", "S03_cad_sections", "A22_register_summary", "S13_cad_warnings"])
 def test_rights_stay_in_their_section(name, spark, shifted):
     d, con = shifted
     df = registry.QUERIES[name](spark, d)
