@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once, however often f names it, in functions over arrays too."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def signed_area(ring: Column) -> Column:
     """Positive against the clock; coordinates count from the first corner."""
     o = F.element_at(ring, 1)

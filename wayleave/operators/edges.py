@@ -28,10 +28,10 @@ SAME_M = 1e-9
 def dedupe_vertices(verts: Column, tolerance: float = SAME_M) -> Column:
     """Vertices (x, y, ...) without those that repeat the one before them, nor a closing one that repeats the first."""
     near = lambda p, q: (F.abs(p["x"] - q["x"]) <= tolerance) & (F.abs(p["y"] - q["y"]) <= tolerance)
-    kept = F.filter(verts, lambda p, i: (i == 0) | ~near(p, F.get(verts, i - 1)))
+    kept = lambda v: F.filter(v, lambda p, i: (i == 0) | ~near(p, F.get(v, i - 1)))
     # Of the first vertex and what repeats it at the end only the first stays.
-    last = F.array_max(F.transform(kept, lambda p, i: F.when((i == 0) | ~near(p, F.get(kept, F.lit(0))), i + 1).otherwise(F.lit(0))))
-    return F.slice(kept, F.lit(1), F.coalesce(last, F.lit(0)))
+    last = lambda k: F.array_max(F.transform(k, lambda p, i: F.when((i == 0) | ~near(p, F.get(k, F.lit(0))), i + 1).otherwise(F.lit(0))))
+    return geometry.bound(verts, lambda v: geometry.bound(kept(v), lambda k: F.slice(k, F.lit(1), F.coalesce(last(k), F.lit(0)))))
 
 
 class Ends:
@@ -119,7 +119,8 @@ def split_edges(outlines: DataFrame, axes: DataFrame) -> tuple[DataFrame, DataFr
     station) in order of station, and (corridor_id, left_runs, right_runs). Vertices go round; a run is a stretch of one
     side of the axis, and vertices on the axis part runs. An edge against the axis is turned, its arcs with it.
     """
-    v = outlines.select("corridor_id", dedupe_vertices(F.col("verts")).alias("v")).where(F.size("v") > 3)
+    # Saved, as Spark would else ask for the size of v before whatever makes outlines distinct, row by row of what they are made from.
+    v = saved(outlines.select("corridor_id", dedupe_vertices(F.col("verts")).alias("v")), "outlines").where(F.size("v") > 3)
     v = v.select("corridor_id", F.size("v").alias("n"), F.posexplode("v").alias("i", "p")).select("corridor_id", "n", "i", "p.x", "p.y", "p.bulge")
     segments = line_segments(axes.where(F.size("verts") > 1), ["corridor_id"]).drop("bulge")
     at = located(v.select("corridor_id", "i", "x", "y"), segments, ["corridor_id"], ["i"])
