@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wayleave.operators import edges, lines
-from wayleave.plans import registry, routes  # noqa: F401  the registry comes first
+from wayleave.plans import registry, routes  # the registry comes first
 from wayleave.sources.saved import saved
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +33,10 @@ def test_rings_that_repeat_vertices_are_read_once(spark):
     ring = F.flatten(F.transform(F.sequence(F.lit(0), F.col("id") + 1999), lambda i: F.array(at(i), at(i))))
     kept = spark.range(1).select(edges.dedupe_vertices(F.concat(ring, F.slice(ring, 1, 1))).alias("v"))
     assert kept.select(F.size("v")).first()[0] == 2000
+
+
+def test_rows_dealt_to_cells_are_not_broadcast(spark):
+    """Spark's estimate of them is that of the parts' table, some kilobytes here and still below 10 MB where they are millions."""
+    met = registry.QUERIES["J22_axis_length_by_parcel"](spark, SF)
+    text = met._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [_cx" in text and "BroadcastHashJoin [_cx" not in text

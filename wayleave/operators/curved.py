@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayleave.operators.overlay import FEW_CELLS, SLIVER, _cross, _rolled, _spans, edge_overlaps, refined
+from wayleave.operators.overlay import FEW_CELLS, SLIVER, _cross, _rolled, _spans, by_cell, edge_overlaps, refined
 from wayleave.sources.saved import saved
 
 VERTEX = "array<struct<x:double,y:double,bulge:double>>"
@@ -157,7 +157,8 @@ def _near(shapes: DataFrame, cells: DataFrame, cell: float) -> DataFrame:
     few = (F.col("_hx") - F.col("_lx") + 1) * (F.col("_hy") - F.col("_ly") + 1) <= FEW_CELLS
     own = ["_more", "_lx", "_hx", "_ly", "_hy"]
     at = rows.where(few).withColumn("_n", F.monotonically_increasing_id())
-    at = at.withColumn("cx", F.explode(F.sequence("_lx", "_hx"))).withColumn("cy", F.explode(F.sequence("_ly", "_hy"))).join(cells, ["cx", "cy"], "left_semi").drop("cx", "cy")
+    at = at.withColumn("cx", F.explode(F.sequence("_lx", "_hx"))).withColumn("cy", F.explode(F.sequence("_ly", "_hy")))
+    at = by_cell(at, cells, ["cx", "cy"], "left_semi").drop("cx", "cy")
     return at.dropDuplicates(["_n"]).drop("_n", *own).unionByName(rows.where(~few).drop(*own))
 
 
@@ -326,7 +327,7 @@ def curved_areas(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str
     if not on:
         asked = _near(asked, fa.select("cx", "cy").distinct(), cell)
     fa, fb = refined(fa, saved(fragments(asked, cell), "fragments"), on, cell, 3, cut, lambda ring: abs(_area(ring)))
-    met = fa.drop("share").withColumnRenamed("part", "part_a").join(fb.drop("share").withColumnRenamed("part", "part_b"), [*on, "lv", "cx", "cy"])
+    met = by_cell(fa.drop("share").withColumnRenamed("part", "part_a"), fb.drop("share").withColumnRenamed("part", "part_b"), [*on, "lv", "cx", "cy"])
     met = (met if where is None else met.where(where)).select(*on, *keys_a, *keys_b, "part_a", "part_b")
     kinds = dict(met.dtypes)
     names = [*on, *keys_a, *keys_b]

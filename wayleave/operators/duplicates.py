@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayleave.functions.keys import hex_handle
 from wayleave.operators.lines import CLOSE_M, same_footprint
-from wayleave.operators.overlay import overlap_areas
+from wayleave.operators.overlay import by_cell, overlap_areas
 from wayleave.sources.saved import saved
 
 SAME_SHARE, PARTLY_SQM = 0.99, 0.01
@@ -76,7 +76,7 @@ def dedup_structures(footprints: DataFrame, by: list[str], tolerance: float = CL
     a = one.select(*by, F.col("take").alias("a"), *(F.col(c).alias(f"{c}_a") for c in box)).withColumn("_cx", at("x0_a")).withColumn("_cy", at("y0_a"))
     b = one.select(*by, F.col("take").alias("b"), *box).withColumn("_cx", about("x0")).withColumn("_cy", about("y0"))
     sides = [[F.col(f"{c}{s}") for c in box[1:]] for s in ("_a", "")]
-    alike = a.join(b, [*by, "_cx", "_cy"]).where((F.col("a") < F.col("b")) & same_footprint(F.col("area_sqm_a"), F.col("area_sqm"), *sides))
+    alike = by_cell(a, b, [*by, "_cx", "_cy"]).where((F.col("a") < F.col("b")) & same_footprint(F.col("area_sqm_a"), F.col("area_sqm"), *sides))
     twins = greedy_twins(alike, by)
     first = one.join(twins.select(*by, F.col("b").alias("take")), [*by, "take"], "left_anti").select(*by, "take")
     return rows.join(first, [*by, "take"], "left_semi")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wayleave.functions import geometry
 from wayleave.functions.keys import pole_key
 from wayleave.operators.lines import along_cells, containing, located, split_parameters
+from wayleave.operators.overlay import by_cell
 from wayleave.operators.shapes import ring_edges
 from wayleave.sources.saved import saved
 
@@ -166,7 +167,7 @@ def boundary_hits(segments: DataFrame, shapes: DataFrame, keys: list[str], cell:
     """(keys, cuts): for each segment that meets the boundary of a shape (ring), the sorted fractions where it does, without its ends and repeats."""
     s = along_cells(chords(segments, keys), cell)
     e = along_cells(ring_edges(shapes.where(F.size("ring") > 2).select("ring")), cell, "ax", "ay", "bx", "by")
-    met = s.join(e, ["_cx", "_cy"]).drop("_cx", "_cy")
+    met = by_cell(s, e, ["_cx", "_cy"]).drop("_cx", "_cy")
     rx, ry, ux, uy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     cross = rx * uy - ry * ux
     qx, qy = F.col("ax") - F.col("x0"), F.col("ay") - F.col("y0")

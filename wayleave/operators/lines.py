@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayleave.operators.overlay import fragments
+from wayleave.operators.overlay import by_cell, fragments
 from wayleave.sources.saved import saved
 
 OWN_LAYERS = ["servitude_points", "pole_corners", "servitude_markers"]
@@ -47,7 +47,7 @@ def touching_boxes(a: DataFrame, b: DataFrame, key_a: str, key_b: str, cell: flo
     def spread(df: DataFrame, key: str, t: str) -> DataFrame:
         return df.select(key, *(F.col(c).alias(f"{c}{t}") for c in corners)).withColumn("_cx", cells(f"x0{t}", f"x1{t}")).withColumn("_cy", cells(f"y0{t}", f"y1{t}"))
 
-    met = spread(a, key_a, "a").join(spread(b, key_b, "b"), ["_cx", "_cy"])
+    met = by_cell(spread(a, key_a, "a"), spread(b, key_b, "b"), ["_cx", "_cy"])
     return met.where(box_may_overlap(*([F.col(f"{c}{t}") for c in corners] for t in "ab"), margin)).select(key_a, key_b).distinct()
 
 
@@ -79,7 +79,7 @@ def containing(points: DataFrame, shapes: DataFrame, cell: float = 50.0) -> Data
     s = fragments(shapes, cell).withColumnsRenamed({"cx": "_cx", "cy": "_cy", "part": "_part"})
     p = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
     ring = F.transform(F.sequence(F.lit(1), F.size("_part"), F.lit(2)), lambda i: F.struct(F.element_at("_part", i).alias("x"), F.element_at("_part", i + 1).alias("y")))
-    met = p.join(s, ["_cx", "_cy"]).withColumn("_ring", ring)
+    met = by_cell(p, s, ["_cx", "_cy"]).withColumn("_ring", ring)
     inside = crossings(F.col("_ring"), F.col("x") - F.col("_cx") * cell, F.col("y") - F.col("_cy") * cell) % 2 == 1
     return met.where(inside).drop("_cx", "_cy", "_part", "_ring")
 
@@ -128,7 +128,7 @@ def located(points: DataFrame, axis: DataFrame, by: list[str], keys: list[str],
     while True:
         about = lambda c: F.explode(F.sequence(F.floor(F.col(c) / cell) - 1, F.floor(F.col(c) / cell) + 1))  # noqa: B023, E731
         p = left.withColumn("_cx", about("x")).withColumn("_cy", about("y"))
-        met = p.join(along_cells(s, cell), [*by, "_cx", "_cy"]).groupBy(*by, *keys).agg(near.alias("n")).where(F.col("n.d") <= cell)
+        met = by_cell(p, along_cells(s, cell), [*by, "_cx", "_cy"]).groupBy(*by, *keys).agg(near.alias("n")).where(F.col("n.d") <= cell)
         sure = saved(met.select(*by, *keys, "n.station", "n.offset"), "located")
         found = sure if found is None else found.unionByName(sure)
         left = saved(left.join(sure.select(*by, *keys), [*by, *keys], "left_anti"), "left")

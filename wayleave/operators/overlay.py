@@ -24,6 +24,11 @@ SLIVER = 0.001
 VERTEX = "array<struct<x:double,y:double>>"
 
 
+def by_cell(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join of rows that were dealt to cells. Spark takes their size for that of the table they come from, however many each row became, and would send all of a side through the driver; so neither side is broadcast."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _half(ring: np.ndarray, axis: int, bound: float, sign: int) -> np.ndarray:
     """The part of a ring on one side of an axis-parallel line."""
     d = sign * (ring[:, axis] - bound)
@@ -150,7 +155,7 @@ def refined(a: DataFrame, b: DataFrame, on: list[str], cell: float, width: int =
     for level in range(LEVELS):
         told = lambda df, n: df.where(F.col("lv") == level).groupBy(*key).agg(F.count(F.lit(1)).alias(f"n{n}"), F.sum("share").alias(f"d{n}"))  # noqa: B023, E731
         pairs, deep = F.col("na") * F.col("nb"), F.greatest("da", F.lit(1.0)) * F.greatest("db", F.lit(1.0))
-        dense = saved(told(a, "a").join(told(b, "b"), key).where((pairs > PAIRS) & (pairs > WASTE * deep)).select(*key, F.lit(level).alias("lv")), "dense")
+        dense = saved(by_cell(told(a, "a"), told(b, "b"), key).where((pairs > PAIRS) & (pairs > WASTE * deep)).select(*key, F.lit(level).alias("lv")), "dense")
         if dense.isEmpty():
             break
         half = cell / 2 ** (level + 1)
@@ -178,7 +183,8 @@ def _near(shapes: DataFrame, cells: DataFrame, cell: float) -> DataFrame:
     count = lambda c: F.ceil(F.array_max(c) / cell) - F.floor(F.array_min(c) / cell)
     rows = shapes.where(F.size("ring") > 2).withColumn("_few", F.greatest(count(x), F.lit(1)) * F.greatest(count(y), F.lit(1)) <= FEW_CELLS)
     few = rows.where("_few").withColumn("_n", F.monotonically_increasing_id())
-    at = few.withColumn("cx", F.explode(span(x))).withColumn("cy", F.explode(span(y))).join(cells, ["cx", "cy"], "left_semi").drop("cx", "cy")
+    at = few.withColumn("cx", F.explode(span(x))).withColumn("cy", F.explode(span(y)))
+    at = by_cell(at, cells, ["cx", "cy"], "left_semi").drop("cx", "cy")
     return at.dropDuplicates(["_n"]).drop("_n", "_few").unionByName(rows.where("not _few").drop("_few"))
 
 
@@ -267,7 +273,7 @@ def overlap_areas(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[st
     if not on:
         asked = _near(asked, fa.select("cx", "cy").distinct(), cell)
     fa, fb = refined(fa, saved(fragments(asked, cell, True), "fragments"), on, cell)
-    met = fa.drop("share").withColumnRenamed("part", "part_a").join(fb.drop("share").withColumnRenamed("part", "part_b"), [*on, "lv", "cx", "cy"])
+    met = by_cell(fa.drop("share").withColumnRenamed("part", "part_a"), fb.drop("share").withColumnRenamed("part", "part_b"), [*on, "lv", "cx", "cy"])
     met = (met if where is None else met.where(where)).select(*on, *keys_a, *keys_b, "part_a", "part_b")
     kinds = dict(met.dtypes)
     names = [*on, *keys_a, *keys_b]
@@ -294,7 +300,7 @@ def box_parts(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str],
         rows = df.select(*keys, *(F.col(c).alias(f"{c}{tag}") for c in ("x0", "y0", "x1", "y1")))
         return rows.withColumn("cx", F.explode(cells(f"x0{tag}", f"x1{tag}"))).withColumn("cy", F.explode(cells(f"y0{tag}", f"y1{tag}")))
 
-    met = spread(a, keys_a, "a").join(spread(b, keys_b, "b"), ["cx", "cy"])
+    met = by_cell(spread(a, keys_a, "a"), spread(b, keys_b, "b"), ["cx", "cy"])
     x0, y0, x1, y1 = F.greatest("x0a", "x0b"), F.greatest("y0a", "y0b"), F.least("x1a", "x1b"), F.least("y1a", "y1b")
     met = met.where((x1 > x0) & (y1 > y0) & (F.col("cx") == F.floor(x0 / cell)) & (F.col("cy") == F.floor(y0 / cell)) & ((x1 - x0) * (y1 - y0) > least))
     return met.select(*keys_a, *keys_b, x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))

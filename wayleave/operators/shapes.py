@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayleave.operators.lines import containing
+from wayleave.operators.overlay import by_cell
 
 
 def nearest_centroid(points: DataFrame, targets: DataFrame, keys: list[str], reach: float = 50.0, ratio: float = 0.5) -> DataFrame:
@@ -19,7 +20,7 @@ def nearest_centroid(points: DataFrame, targets: DataFrame, keys: list[str], rea
     near = lambda c: F.explode(F.sequence(F.floor(F.col(c) / reach) - 1, F.floor(F.col(c) / reach) + 1))
     t = targets.select("target", "ord", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("area").alias("tarea")).withColumn("_cx", near("tx")).withColumn("_cy", near("ty"))
     dist = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
-    met = p.join(t, ["_cx", "_cy"]).withColumn("dist", dist).where((F.col("dist") < reach) & (F.least("area", "tarea") >= ratio * F.greatest("area", "tarea")))
+    met = by_cell(p, t, ["_cx", "_cy"]).withColumn("dist", dist).where((F.col("dist") < reach) & (F.least("area", "tarea") >= ratio * F.greatest("area", "tarea")))
     return met.groupBy(*keys).agg(F.min_by(F.struct("target", "dist"), F.struct("dist", "ord")).alias("m")).select(*keys, "m.target", "m.dist")
 
 
@@ -50,7 +51,7 @@ def distance_to_settlements(points: DataFrame, shapes: DataFrame, keys: list[str
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     length = dx * dx + dy * dy
     t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / F.when(length > 0, length)))).otherwise(F.lit(0.0))
-    near = p.join(e, ["_cx", "_cy"]).select(*keys, "ekatte", F.hypot(F.col("x") - F.col("x0") - t * dx, F.col("y") - F.col("y0") - t * dy).alias("dist")).where(F.col("dist") <= reach)
+    near = by_cell(p, e, ["_cx", "_cy"]).select(*keys, "ekatte", F.hypot(F.col("x") - F.col("x0") - t * dx, F.col("y") - F.col("y0") - t * dy).alias("dist")).where(F.col("dist") <= reach)
     inside = containing(points, shapes.select("ekatte", "ring"), cell).select(*keys, "ekatte", F.lit(0.0).alias("dist"))
     return near.unionByName(inside).groupBy(*keys, "ekatte").agg(F.min("dist").alias("dist"))
 
