@@ -40,3 +40,9 @@ def test_rows_dealt_to_cells_are_not_broadcast(spark):
     met = registry.QUERIES["J22_axis_length_by_parcel"](spark, SF)
     text = met._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin [_cx" in text and "BroadcastHashJoin [_cx" not in text
+
+
+def test_much_work_on_each_row_is_dealt_to_tasks(spark):
+    """The parts are one file of a few kilobytes, which one task would read and work off."""
+    for name in ("S05_split_cad_csv", "F18_start_forward_left"):
+        assert registry.QUERIES[name](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
