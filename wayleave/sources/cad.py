@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayleave.functions.geometry import bound
 from wayleave.functions.keys import full_parcel_id, unescaped_quotes
 from wayleave.sources.saved import saved
 
@@ -56,8 +57,8 @@ def sections(rows: DataFrame) -> DataFrame:
 
 def split_values(rest: Column) -> Column:
     """Values of a D line; the match of nothing at the end of the line is no value."""
-    found = F.regexp_extract_all(rest, F.lit(VALUE), F.lit(0))
-    bare = F.transform(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), lambda v: F.trim(F.regexp_replace(v, ",$", "")))
+    found = bound(F.regexp_extract_all(rest, F.lit(VALUE), F.lit(0)), lambda v: F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))))
+    bare = F.transform(found, lambda v: F.trim(F.regexp_replace(v, ",$", "")))
     return F.transform(bare, lambda v: F.when(F.regexp_like(v, F.lit('^".*"$')) & (F.length(v) > 1), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v))
 
 
